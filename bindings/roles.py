@@ -24,8 +24,24 @@ GEARS = {
 }
 
 
+# Declared, so that opening a table reads no file footer.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def code(c: str) -> Column:
@@ -154,7 +170,7 @@ def specimens(spark: SparkSession, sf: str, status: str | None = None) -> DataFr
             code("l_suppkey").alias("stat"),
             F.col("r_name").alias("area"),
             F.when(F.col("l_linenumber") == 7, "711").otherwise("710").alias("species_code"),
-            F.when(F.col("p_size") != 13, 180 + 21 * F.col("p_size")).alias("length_millimeters"),
+            F.when(F.col("p_size") != 13, 180 + 21 * F.col("p_size") + F.col("l_partkey") % 7).alias("length_millimeters"),
             F.when(F.col("l_linenumber") != 5, F.col("l_extendedprice") / 10000).alias("weight_kilograms"),
             F.when(F.col("l_quantity") != 13, F.col("l_quantity").cast("int")).alias("age"),
             F.when(F.col("l_returnflag") == "A", "01")
@@ -374,7 +390,7 @@ SQL = {
     SELECT CAST(year(l_shipdate) AS INTEGER) AS year, l_linestatus, o_orderstatus,
       lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS stat, r_name AS area,
       CASE WHEN l_linenumber = 7 THEN '711' ELSE '710' END AS species_code,
-      CASE WHEN p_size <> 13 THEN 180 + 21 * p_size END AS length_millimeters,
+      CASE WHEN p_size <> 13 THEN 180 + 21 * p_size + l_partkey % 7 END AS length_millimeters,
       CASE WHEN l_linenumber <> 5 THEN l_extendedprice / 10000 END AS weight_kilograms,
       CASE WHEN l_quantity <> 13 THEN CAST(l_quantity AS INTEGER) END AS age,
       CASE l_returnflag WHEN 'A' THEN 'Male' WHEN 'R' THEN 'Female' END AS sex,

@@ -29,13 +29,36 @@ def strict(aggregate: Callable[[Column], Column], c: str | Column) -> Column:
     return F.when(row_count() == F.count(c), aggregate(c))
 
 
+def exact_parts(c: str | Column, scale: int = 4) -> tuple[Column, Column]:
+    """Row-level whole part and fraction, the latter in units of ``10**-scale``.
+
+    Both are added as 64-bit integers, which is as fast as adding doubles, does not
+    depend on the order of the rows and has room for any number of them.
+    """
+    c = as_col(c).cast("double")
+    fraction = F.rint((c - F.floor(c)) * F.lit(float(10**scale)))
+    return F.floor(c).cast("bigint"), fraction.cast("bigint")
+
+
+def exact_from_parts(whole: Column, fraction: Column, scale: int = 4) -> Column:
+    """The decimal total of summed parts."""
+    unit = F.lit(10**scale).cast(DecimalType(scale + 1, 0))
+    wide = DecimalType(20, 0)
+    return (whole.cast(wide) * unit + fraction.cast(wide)) / unit
+
+
+def exact_total(c: str | Column, scale: int = 4) -> Column:
+    whole, fraction = exact_parts(c, scale)
+    return exact_from_parts(F.sum(whole), F.sum(fraction), scale)
+
+
 def exact_sum(c: str | Column, scale: int = 4) -> Column:
-    """Sum that does not depend on the order in which partitions arrive.
+    """Sum that is the same to the last digit however the rows are partitioned.
 
-    Doubles are added as decimals with ``scale`` digits, so a retried task or
-    another partitioning gives the same total to the last digit.
+    Values are taken to ``scale`` decimal digits, so a retried task or another
+    partitioning cannot change the total.
     """
-    return F.sum(as_col(c).cast(DecimalType(18, scale))).cast("double")
+    return exact_total(c, scale).cast("double")
 
 
 def strict_sum(c: str | Column, scale: int | None = 4) -> Column:
@@ -43,6 +66,34 @@ def strict_sum(c: str | Column, scale: int | None = 4) -> Column:
     return strict(F.sum if scale is None else lambda x: exact_sum(x, scale), c)
 
 
+def rounded_mean(c: str | Column, digits: int, scale: int = 4) -> Column:
+    """Strict mean rounded half to even, from an exact sum.
+
+    The quotient is a decimal, so a mean such as 103.05 is seen as the tie it is.
+    """
+    mean = exact_total(c, scale) / row_count()
+    return strict(lambda _: F.bround(mean, digits).cast("double"), c)
+
+
+def rounded_sd(c: str | Column, digits: int, scale: int = 4) -> Column:
+    """Strict sample standard deviation rounded half to even, from exact sums.
+
+    Values and their squares are added as integers, so a published digit cannot flip
+    when the rows arrive in another order. One row gives NULL.
+    """
+    unit, block, wide = 10**scale, 10**6, DecimalType(20, 0)
+    x = F.rint(as_col(c).cast("double") * F.lit(float(unit))).cast("bigint")
+    whole, fraction = exact_parts(c, scale)
+    total = F.sum(whole).cast(wide) * F.lit(unit) + F.sum(fraction).cast(wide)
+    low = F.pmod(x * x, F.lit(block))
+    high = (x * x - low) / F.lit(block)
+    squares = F.sum(F.rint(high).cast("bigint")).cast(wide) * F.lit(block) + F.sum(low).cast(wide)
+    spread = row_count().cast(wide) * squares - total * total
+    pairs = row_count().cast("double") * (row_count() - 1)
+    sd = F.sqrt(spread.cast("double") / F.nullif(pairs, F.lit(0.0))) / F.lit(float(unit))
+    return strict(lambda _: F.bround(sd, digits), c)
+
+
 def strict_mean(c: str | Column) -> Column:
     return strict(F.avg, c)
 

@@ -54,50 +54,33 @@ def complete(
     declared = [len(v) for v in levels.values() if not isinstance(v, Column)]
     if prod(declared) > max_cells:
         raise ValueError(f"grid of {prod(declared)} cells exceeds {max_cells}")
-    inner = list(levels)
-    seen = F.max("_seen").over(Window.partitionBy(*within, *inner))
+    types = {f.name: f.dataType for f in df.schema}
     if within:
-        rows = _with_blanks(df, within, levels)
-    else:
-        one = df.sparkSession.range(1)
-        blanks = one.select(F.inline(_blank_cells(df, (), levels))).drop("_seen")
-        rows = (
-            df.withColumn("_seen", F.lit(True))
-            .unionByName(blanks.withColumn("_seen", F.lit(False)))
+        first = F.row_number().over(Window.partitionBy(*within).orderBy(*levels)) == 1
+        copies = F.when(F.col("_first"), F.array(F.lit(False), F.lit(True))).otherwise(
+            F.array(F.lit(False))
         )
-    kept = rows.withColumn("_any", seen).filter(F.col("_seen") | ~F.col("_any"))
-    filled = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in (fill or {}).items()}
-    return kept.select(*[filled.get(c, F.col(c)).alias(c) for c in df.columns])
-
-
-def _with_blanks(df: DataFrame, within: Sequence[str], levels: Mapping[str, Levels]) -> DataFrame:
-    """``df`` plus one blank row per cell, hung on the first row of each tuple."""
-    first = F.row_number().over(Window.partitionBy(*within).orderBy(*levels)) == 1
-    rest = [c for c in df.columns if c not in within]
-    own = F.array(F.struct(*[F.col(c) for c in rest], F.lit(True).alias("_seen")))
-    cells = F.when(F.col("_first"), F.concat(own, _blank_cells(df, within, levels))).otherwise(own)
-    return df.withColumn("_first", first).select(*within, F.inline(cells))
-
-
-def _blank_cells(df: DataFrame, within: Sequence[str], levels: Mapping[str, Levels]) -> Column:
-    """Array of one struct per combination of the levels, laid out like the rest of ``df``."""
-    types = {f.name: f.dataType for f in df.schema}
-    rest = [c for c in df.columns if c not in within]
-
-    def values(c: str) -> Column:
-        v = levels[c]
-        array = v if isinstance(v, Column) else F.array(*[F.lit(x) for x in v])
-        return array.cast(f"array<{types[c].simpleString()}>")
-
-    def combine(pending: list[str], chosen: dict[str, Column]) -> Column:
-        if pending:
-            head, *tail = pending
-            nested = F.transform(values(head), lambda x: combine(tail, {**chosen, head: x}))
-            return F.flatten(nested) if tail else nested
-        cell = [chosen.get(c, F.lit(None).cast(types[c])).alias(c) for c in rest]
-        return F.struct(*cell, F.lit(False).alias("_seen"))
-
-    return combine(list(levels), {})
+        rows = df.withColumn("_first", first).withColumn("_blank", F.explode(copies))
+    else:
+        empty = [F.lit(None).cast(t).alias(c) for c, t in types.items()]
+        blank = df.sparkSession.range(1).select(*empty, F.lit(True).alias("_blank"))
+        rows = df.withColumn("_blank", F.lit(False)).unionByName(blank)
+    for c, given in levels.items():
+        values = given if isinstance(given, Column) else F.array(*[F.lit(v) for v in given])
+        values = values.cast(f"array<{types[c].simpleString()}>")
+        here = F.when(F.col("_blank"), values).otherwise(F.array(F.col(c)))
+        rows = rows.withColumn(c, F.explode(here))
+    cell = Window.partitionBy(*within, *levels)
+    kept = rows.withColumn("_filled", F.min("_blank").over(cell)).filter(
+        F.col("_blank") == F.col("_filled")
+    )
+    out = []
+    for c in df.columns:
+        value = F.col(c) if c in within or c in levels else F.when(~F.col("_blank"), F.col(c))
+        if fill and c in fill:
+            value = F.coalesce(value, F.lit(fill[c]))
+        out.append(value.alias(c))
+    return kept.select(*out)
 
 
 def complete_global(
@@ -115,5 +98,5 @@ def complete_global(
     levels = levels or {}
     undeclared = [c for c in cols if c not in levels]
     inner: dict[str, Levels] = {c: levels[c] for c in cols if c in levels}
-    inner |= {c: present_levels(df, c, limit) for c in undeclared[1:]}
+    inner |= {c: present_levels(df, c, limit=limit) for c in undeclared[1:]}
     return complete(df, undeclared[:1], inner, fill)

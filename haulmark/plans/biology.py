@@ -13,9 +13,8 @@ from haulmark.functions.measures import (
     length_bin,
     millimeters_to_centimeters,
     plus_group,
-    round_even,
 )
-from haulmark.functions.nulls import row_count, strict_mean, strict_sd
+from haulmark.functions.nulls import rounded_mean, rounded_sd, row_count
 from haulmark.operators.grid import complete, present_levels
 from haulmark.operators.joins import LOOKUP_ROWS, lookup_join
 from haulmark.operators.levels import by_levels, count_rows
@@ -192,8 +191,8 @@ def _size_at_age(fish: DataFrame, measure: str, combined: Mapping[str, str]) ->
         {"Mgmt_area": combined["Mgmt_area"]},
         detail,
         {
-            f"mean_{measure}": round_even(strict_mean(measure), 1),
-            f"sd_{measure}": round_even(strict_sd(measure), 1),
+            f"mean_{measure}": rounded_mean(measure, 1),
+            f"sd_{measure}": rounded_sd(measure, 1),
             "n": row_count(),
         },
     )

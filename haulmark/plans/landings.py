@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from haulmark.functions.categories import map_codes
 from haulmark.functions.measures import pounds_to_tonnes
-from haulmark.functions.nulls import exact_sum, row_count, strict_sum, zero_fallback
+from haulmark.functions.nulls import (
+    exact_from_parts,
+    exact_parts,
+    exact_sum,
+    row_count,
+    strict_sum,
+    zero_fallback,
+)
 from haulmark.operators.grid import complete
 from haulmark.operators.joins import LOOKUP_ROWS, lookup_join, override_from
 from haulmark.operators.rows import stack, tagged
@@ -96,17 +103,23 @@ def catch_by_year_area_gear(
     map side. The lookup is corrected and filtered on its own, then joined to
     those sums.
     """
-    weight = zero_fallback("whole_pounds", "pounds").cast("decimal(18,4)")
+    whole, fraction = exact_parts(zero_fallback("whole_pounds", "pounds"))
     per_stat_area = (
         landings.select(
             F.col("year").cast("int").alias("year"),
             map_codes("gear_code", gears).alias("gear"),
             "stat_area",
             "stat_area_type",
-            weight.alias("_w"),
+            whole.alias("_whole"),
+            fraction.alias("_fraction"),
         )
         .groupBy("stat_area", "stat_area_type", "year", "gear")
-        .agg(F.sum("_w").alias("_w"), F.count("_w").alias("_known"), row_count().alias("_rows"))
+        .agg(
+            F.sum("_whole").alias("_whole"),
+            F.sum("_fraction").alias("_fraction"),
+            F.count("_whole").alias("_known"),
+            row_count().alias("_rows"),
+        )
     )
     districts = [d for codes in areas.values() for d in codes]
     wanted = (
@@ -116,12 +129,11 @@ def catch_by_year_area_gear(
             "stat_area", "stat_area_type", map_codes("g_mgt_area_district", areas).alias("Mgmt_area")
         )
     )
+    total = exact_from_parts(F.sum("_whole"), F.sum("_fraction")).cast("double")
     catch = (
         lookup_join(per_stat_area, wanted, ["stat_area", "stat_area_type"], "inner")
         .groupBy("year", "Mgmt_area", "gear")
-        .agg(
-            F.when(F.sum("_rows") == F.sum("_known"), F.sum("_w").cast("double")).alias("whole_pounds")
-        )
+        .agg(F.when(F.sum("_rows") == F.sum("_known"), total).alias("whole_pounds"))
     )
     return complete(
         catch, ["year"], {"Mgmt_area": list(areas), "gear": list(gears)}, {"whole_pounds": 0.0}

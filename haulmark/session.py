@@ -11,6 +11,7 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, **conf: st
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("haulmark")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
