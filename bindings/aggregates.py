@@ -223,7 +223,7 @@ def agg_two_level_stats(spark: S, sf: str) -> DataFrame:
     "win_share_of_total",
     f"""
     WITH fish AS ({_FISH}), c AS (SELECT year, Mgmt_area, Sex, age, count(*) AS n FROM fish GROUP BY ALL)
-    SELECT *, round_even(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY year, Mgmt_area, Sex), 4) AS proportion FROM c""",
+    SELECT *, round_even(CAST(n * 10000 AS DOUBLE) / sum(n) OVER (PARTITION BY year, Mgmt_area, Sex), 0) / 10000 AS proportion FROM c""",
 )
 def win_share_of_total(spark: S, sf: str) -> DataFrame:
     counts = count_rows(_fish(spark, sf), ["year", "Mgmt_area", "Sex", "age"])
@@ -234,7 +234,7 @@ def win_share_of_total(spark: S, sf: str) -> DataFrame:
     "flt_after_agg",
     f"""
     WITH fish AS ({_FISH}), c AS (SELECT year, Mgmt_area, Sex, age, count(*) AS n FROM fish GROUP BY ALL)
-    SELECT * FROM (SELECT *, round_even(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY year, Mgmt_area), 4) AS share FROM c)
+    SELECT * FROM (SELECT *, round_even(CAST(n * 10000 AS DOUBLE) / sum(n) OVER (PARTITION BY year, Mgmt_area), 0) / 10000 AS share FROM c)
     WHERE Sex = 'A' AND year >= 1997""",
 )
 def flt_after_agg(spark: S, sf: str) -> DataFrame:
@@ -277,7 +277,7 @@ def complete_global_levels(spark: S, sf: str) -> DataFrame:
 @query(
     "complete_multi_fill",
     f"""
-    WITH c AS (SELECT *, round_even(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY year), 4) AS proportion
+    WITH c AS (SELECT *, round_even(CAST(n * 10000 AS DOUBLE) / sum(n) OVER (PARTITION BY year), 0) / 10000 AS proportion
                FROM ({_GRID_COUNTS}))
     SELECT year, gear, area, coalesce(n, 0) AS n, coalesce(proportion, 0) AS proportion
     FROM (SELECT DISTINCT year FROM c) CROSS JOIN (SELECT DISTINCT gear FROM c) CROSS JOIN (SELECT DISTINCT area FROM c)

@@ -72,7 +72,7 @@ def _composition_sql(prefix: str, fish: str, inner: str, levels: str) -> str:
                WHEN 2 THEN '{stem}_sex' ELSE '{stem}' END AS description, {keys}, {inner}, {_AREA}, {_SEX}, count(*) AS n
       FROM fish GROUP BY GROUPING SETS (({keys}, {inner}, Mgmt_area, Sex), ({keys}, {inner}, Mgmt_area),
         ({keys}, {inner}, Sex), ({keys}, {inner}))),
-    shares AS (SELECT *, round_even(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY {group}), 4) AS proportion FROM counted),
+    shares AS (SELECT *, round_even(CAST(n * 10000 AS DOUBLE) / sum(n) OVER (PARTITION BY {group}), 0) / 10000 AS proportion FROM counted),
     cells AS (SELECT * FROM (SELECT DISTINCT {group} FROM shares) CROSS JOIN ({levels}))
     SELECT c.description, c.Source, c.Gear, c.Mgmt_area, c.Sex, c.year, c.{inner}, coalesce(s.n, 0) AS n,
       coalesce(s.proportion, 0) AS proportion
@@ -123,7 +123,7 @@ _GROUP = "description, Source, Gear, Mgmt_area, Sex, year"
         count(*) AS n
       FROM staged GROUP BY GROUPING SETS ((Source, Gear, Sex, year, Maturity, age, Mgmt_area),
         (Source, Gear, Sex, year, Maturity, age))),
-    shares AS (SELECT *, round_even(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY {_GROUP}), 4) AS proportion FROM counted),
+    shares AS (SELECT *, round_even(CAST(n * 10000 AS DOUBLE) / sum(n) OVER (PARTITION BY {_GROUP}), 0) / 10000 AS proportion FROM counted),
     mature AS (SELECT * FROM shares WHERE Maturity = 1),
     cells AS (SELECT * FROM (SELECT DISTINCT {_GROUP} FROM mature)
               CROSS JOIN (SELECT DISTINCT age FROM staged WHERE Maturity = 1))
