@@ -86,7 +86,7 @@ def cpue_index(spark: S, sf: str) -> DataFrame:
     SELECT year, p.Mgmt_area, CASE WHEN count(*) = count(npue * z.stat_km2)
         THEN round_even(CAST(sum(CAST(npue * z.stat_km2 AS DECIMAL(18, 4))) AS DOUBLE), 2) END AS RPN,
       round_even(sum(s) / sum(n), 2) AS NPUE
-    FROM per_stat p LEFT JOIN stat_sizes z ON p.Stat = z.Stat GROUP BY 1, 2""",
+    FROM per_stat p LEFT JOIN stat_sizes z ON p.Stat = CAST(z.Stat AS VARCHAR) GROUP BY 1, 2""",
 )
 def rpn_index(spark: S, sf: str) -> DataFrame:
     return plans.rpn_index(plans.survey_rates(_survey(spark, sf)), roles.stat_sizes(spark, sf))

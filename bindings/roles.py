@@ -87,8 +87,8 @@ def landings(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(
         F.year("l_shipdate").alias("year"),
         F.concat("l_returnflag", "l_linestatus").alias("gear_code"),
-        code("l_suppkey").alias("stat_area"),
-        F.when(F.col("l_suppkey") % 2 == 0, "G").otherwise("S").alias("stat_area_type"),
+        F.col("l_suppkey").alias("stat_area"),
+        (F.col("l_suppkey") % 2).alias("stat_area_type"),
         F.col("l_quantity").alias("pounds"),
         F.when(F.col("l_discount") == 0, 0.0).otherwise(F.col("l_extendedprice")).alias("whole_pounds"),
     )
@@ -103,10 +103,10 @@ def _validity() -> tuple[Column, Column]:
 def stat_areas(spark: SparkSession, sf: str) -> DataFrame:
     """Stat-area lookup: one supplier in ten has a type no landing uses."""
     start, end = _validity()
-    kind = F.when(F.col("s_suppkey") % 10 == 9, "X").when(F.col("s_suppkey") % 2 == 0, "G").otherwise("S")
+    kind = F.when(F.col("s_suppkey") % 10 == 9, 9).otherwise(F.col("s_suppkey") % 2)
     waters = F.when(F.col("s_suppkey") % 3 == 1, "STATE").when(F.col("s_suppkey") % 3 == 2, "FED")
     return region_of_supplier(spark, sf).select(
-        code("s_suppkey").alias("stat_area"),
+        F.col("s_suppkey").alias("stat_area"),
         kind.alias("stat_area_type"),
         F.col("r_name").alias("region"),
         waters.alias("waters"),
@@ -123,7 +123,7 @@ def waters_updates(spark: SparkSession, sf: str) -> DataFrame:
         table(spark, sf, "supplier")
         .filter(F.col("s_suppkey") % 3 == 0)
         .select(
-            code("s_suppkey").alias("stat_area"),
+            F.col("s_suppkey").alias("stat_area"),
             start.alias("start_date"),
             end.alias("end_date"),
             F.when(F.col("s_suppkey") % 4 < 2, "STATE").otherwise("FED").alias("updated_waters"),
@@ -167,7 +167,7 @@ def specimens(spark: SparkSession, sf: str, status: str | None = None) -> DataFr
             F.year("l_shipdate").alias("year"),
             "l_linestatus",
             "o_orderstatus",
-            code("l_suppkey").alias("stat"),
+            F.col("l_suppkey").alias("stat"),
             F.col("r_name").alias("area"),
             F.when(F.col("l_linenumber") == 7, "711").otherwise("710").alias("species_code"),
             F.when(F.col("p_size") != 13, 180 + 21 * F.col("p_size") + F.col("l_partkey") % 7).alias("length_millimeters"),
@@ -205,7 +205,7 @@ def stat_to_area(spark: SparkSession, sf: str) -> DataFrame:
     return (
         region_of_supplier(spark, sf)
         .filter(F.col("s_suppkey") % 10 != 3)
-        .select(code("s_suppkey").alias("stat"), F.col("r_name").alias("g_management_area_code"))
+        .select(F.col("s_suppkey").alias("stat"), F.col("r_name").alias("g_management_area_code"))
     )
 
 
@@ -244,7 +244,7 @@ def survey_hooks(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_suppkey").cast("string").alias("adfg_no"),
         F.col("l_linestatus").alias("vessel_name"),
         F.col("l_shipdate").alias("time_first_buoy_onboard"),
-        code("l_suppkey").alias("stat"),
+        F.col("l_suppkey").cast("string").alias("stat"),
         F.col("l_linenumber").alias("effort_no"),
         F.col("l_discount").alias("start_lat"),
         F.col("l_tax").alias("start_lon"),
@@ -266,7 +266,7 @@ def stat_sizes(spark: SparkSession, sf: str) -> DataFrame:
         region_of_supplier(spark, sf)
         .filter(F.col("s_suppkey") % 10 != 3)
         .select(
-            code("s_suppkey").alias("Stat"),
+            F.col("s_suppkey").alias("Stat"),
             F.col("r_name").alias("Mgmt_area"),
             (F.lit(10.0) + F.col("s_suppkey")).alias("stat_km2"),
         )
@@ -324,20 +324,19 @@ SQL = {
     JOIN region ON n_regionkey = r_regionkey""",
     "landings": """
     SELECT CAST(year(l_shipdate) AS INTEGER) AS year, l_returnflag || l_linestatus AS gear_code,
-      lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS stat_area,
-      CASE WHEN l_suppkey % 2 = 0 THEN 'G' ELSE 'S' END AS stat_area_type,
+      l_suppkey AS stat_area, l_suppkey % 2 AS stat_area_type,
       l_quantity AS pounds, CASE WHEN l_discount = 0 THEN 0 ELSE l_extendedprice END AS whole_pounds
     FROM lineitem""",
     "stat_areas": """
-    SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS stat_area,
-      CASE WHEN s_suppkey % 10 = 9 THEN 'X' WHEN s_suppkey % 2 = 0 THEN 'G' ELSE 'S' END AS stat_area_type,
+    SELECT s_suppkey AS stat_area,
+      CASE WHEN s_suppkey % 10 = 9 THEN 9 ELSE s_suppkey % 2 END AS stat_area_type,
       r_name AS region, CASE s_suppkey % 3 WHEN 1 THEN 'STATE' WHEN 2 THEN 'FED' END AS waters,
       CASE WHEN s_suppkey % 4 < 2 THEN TIMESTAMP '1985-01-01' ELSE TIMESTAMP '1990-01-01' END AS start_date,
       CASE WHEN s_suppkey % 2 = 0 THEN TIMESTAMP '1999-12-31' END AS end_date,
       n_name AS g_mgt_area_district
     FROM region_of_supplier""",
     "waters_updates": """
-    SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS stat_area,
+    SELECT s_suppkey AS stat_area,
       CASE WHEN s_suppkey % 4 < 2 THEN TIMESTAMP '1985-01-01' ELSE TIMESTAMP '1990-01-01' END AS start_date,
       CASE WHEN s_suppkey % 2 = 0 THEN TIMESTAMP '1999-12-31' END AS end_date,
       CASE WHEN s_suppkey % 4 < 2 THEN 'STATE' ELSE 'FED' END AS updated_waters
@@ -388,7 +387,7 @@ SQL = {
     FROM clean_tickets GROUP BY year, Mgmt_area""",
     "specimens": """
     SELECT CAST(year(l_shipdate) AS INTEGER) AS year, l_linestatus, o_orderstatus,
-      lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS stat, r_name AS area,
+      l_suppkey AS stat, r_name AS area,
       CASE WHEN l_linenumber = 7 THEN '711' ELSE '710' END AS species_code,
       CASE WHEN p_size <> 13 THEN 180 + 21 * p_size + l_partkey % 7 END AS length_millimeters,
       CASE WHEN l_linenumber <> 5 THEN l_extendedprice / 10000 END AS weight_kilograms,
@@ -409,7 +408,7 @@ SQL = {
       length_millimeters / 10 AS length, weight_kilograms AS weight, age, sex AS Sex, maturity AS Maturity
     FROM specimens WHERE o_orderstatus = 'O' AND species_code = '710' AND length_millimeters IS NOT NULL""",
     "stat_to_area": """
-    SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS stat, r_name AS g_management_area_code
+    SELECT s_suppkey AS stat, r_name AS g_management_area_code
     FROM region_of_supplier WHERE s_suppkey % 10 <> 3""",
     "longline_bio": """
     SELECT year, 'Longline' AS Gear, 'Survey' AS Source, g_management_area_code AS Mgmt_area,
@@ -429,7 +428,7 @@ SQL = {
            WHEN l_linenumber % 4 = 1 THEN '03' WHEN l_linenumber % 4 = 2 THEN '601' ELSE '01' END AS project_code,
       CAST(l_orderkey AS VARCHAR) AS trip_no, CAST(l_partkey AS VARCHAR) AS station_no,
       CAST(l_suppkey AS VARCHAR) AS adfg_no, l_linestatus AS vessel_name,
-      l_shipdate AS time_first_buoy_onboard, lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS stat,
+      l_shipdate AS time_first_buoy_onboard, CAST(l_suppkey AS VARCHAR) AS stat,
       l_linenumber AS effort_no, l_discount AS start_lat, l_tax AS start_lon,
       l_discount + 1 AS end_lat, l_tax + 1 AS end_lon, l_quantity AS avg_depth_fathoms,
       CAST(floor(l_extendedprice / 1000) AS INTEGER) + l_linenumber AS number_hooks,
@@ -439,7 +438,7 @@ SQL = {
       CASE l_returnflag WHEN 'A' THEN '02' WHEN 'R' THEN '01' END AS subset_condition_code
     FROM lineitem""",
     "stat_sizes": """
-    SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS Stat, r_name AS Mgmt_area,
+    SELECT s_suppkey AS Stat, r_name AS Mgmt_area,
       CAST(10 + s_suppkey AS DOUBLE) AS stat_km2
     FROM region_of_supplier WHERE s_suppkey % 10 <> 3""",
     "survey_effort": """
@@ -450,7 +449,7 @@ SQL = {
       number_hooks AS no_hooks, bare AS hooks_bare, bait AS hooks_bait, invalid AS hook_invalid,
       sablefish AS hooks_sablefish, subset_condition_code AS subset_condition_cde,
       s.Mgmt_area, s.stat_km2
-    FROM survey_hooks h LEFT JOIN stat_sizes s ON h.stat IS NOT DISTINCT FROM s.Stat
+    FROM survey_hooks h LEFT JOIN stat_sizes s ON h.stat IS NOT DISTINCT FROM CAST(s.Stat AS VARCHAR)
     WHERE project_code IN ('603', '03', '601', '01')
       AND h.year < (SELECT max(year) FROM survey_hooks WHERE project_code IN ('603', '03', '601', '01'))""",
     "survey_rates": """

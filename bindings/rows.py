@@ -382,12 +382,13 @@ def join_override_coalesce(spark: S, sf: str) -> DataFrame:
     "join_left_lookup",
     ctes("landings", "stat_sizes")
     + """
-    SELECT l.stat_area AS Stat, l.year, l.pounds, s.Mgmt_area, s.stat_km2
-    FROM landings l LEFT JOIN stat_sizes s ON l.stat_area = s.Stat""",
+    SELECT CAST(l.stat_area AS VARCHAR) AS Stat, l.year, l.pounds, s.Mgmt_area, s.stat_km2
+    FROM landings l LEFT JOIN stat_sizes s ON CAST(l.stat_area AS VARCHAR) = CAST(s.Stat AS VARCHAR)""",
 )
 def join_left_lookup(spark: S, sf: str) -> DataFrame:
-    sets = roles.landings(spark, sf).select(F.col("stat_area").alias("Stat"), "year", "pounds")
-    sizes = roles.stat_sizes(spark, sf)
+    stat = F.col("stat_area").cast("string").alias("Stat")
+    sets = roles.landings(spark, sf).select(stat, "year", "pounds")
+    sizes = roles.stat_sizes(spark, sf).withColumn("Stat", F.col("Stat").cast("string"))
     return lookup_join(sets, sizes, ["Stat"], "left", max_broadcast_rows=LOOKUP_ROWS)
 
 

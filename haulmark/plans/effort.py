@@ -183,7 +183,7 @@ def rpn_index(rates: DataFrame, stat_sizes: DataFrame) -> DataFrame:
         .agg(F.sum("std_cpue").alias("_sum"), F.count("std_cpue").alias("_n"))
         .withColumn("npue", round_even(ratio("_sum", "_n"), 2))
     )
-    sizes = stat_sizes.select("Stat", "stat_km2").distinct()
+    sizes = stat_sizes.select(F.col("Stat").cast("string").alias("Stat"), "stat_km2").distinct()
     weighted = lookup_join(per_stat, sizes, ["Stat"], "left").withColumn(
         "rpn", F.col("npue") * F.col("stat_km2")
     )

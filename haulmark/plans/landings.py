@@ -98,22 +98,22 @@ def catch_by_year_area_gear(
 ) -> DataFrame:
     """State-water catch for every year, area and gear, zeros included.
 
-    Landings are added up per stat area, year and gear before any join, so what is
-    shuffled does not grow with the landings and a hot stat area is collapsed on the
-    map side. The lookup is corrected and filtered on its own, then joined to
-    those sums.
+    Landings are added up per stat area, year and gear code before any join, so what
+    is shuffled does not grow with the landings and a hot stat area is collapsed on the
+    map side. Codes are decoded on those sums, not on the rows. The lookup is corrected
+    and filtered on its own, then joined to the sums.
     """
     whole, fraction = exact_parts(zero_fallback("whole_pounds", "pounds"))
     per_stat_area = (
         landings.select(
             F.col("year").cast("int").alias("year"),
-            map_codes("gear_code", gears).alias("gear"),
+            "gear_code",
             "stat_area",
             "stat_area_type",
             whole.alias("_whole"),
             fraction.alias("_fraction"),
         )
-        .groupBy("stat_area", "stat_area_type", "year", "gear")
+        .groupBy("stat_area", "stat_area_type", "year", "gear_code")
         .agg(
             F.sum("_whole").alias("_whole"),
             F.sum("_fraction").alias("_fraction"),
@@ -132,7 +132,7 @@ def catch_by_year_area_gear(
     total = exact_from_parts(F.sum("_whole"), F.sum("_fraction")).cast("double")
     catch = (
         lookup_join(per_stat_area, wanted, ["stat_area", "stat_area_type"], "inner")
-        .groupBy("year", "Mgmt_area", "gear")
+        .groupBy("year", "Mgmt_area", map_codes("gear_code", gears).alias("gear"))
         .agg(F.when(F.sum("_rows") == F.sum("_known"), total).alias("whole_pounds"))
     )
     return complete(
