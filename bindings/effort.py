@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bindings import roles
 from bindings.registry import query
@@ -17,6 +18,14 @@ LEGACY = {
 }
 
 
+_DATED = " SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM {} WHERE {}"
+
+
+def _dated(df: DataFrame) -> DataFrame:
+    """Dates as text, which every client compares alike."""
+    return df.withColumn("date", F.col("date").cast("string"))
+
+
 def _survey(spark: S, sf: str) -> DataFrame:
     return plans.survey_effort(roles.survey_hooks(spark, sf), roles.stat_sizes(spark, sf))
 
@@ -41,9 +50,9 @@ _FISHERY_INDEX = (
 )
 
 
-@query("effort_extract", ctes("survey_effort") + " SELECT * FROM survey_effort")
+@query("effort_extract", ctes("survey_effort") + _DATED.format("survey_effort", "TRUE"))
 def effort_extract(spark: S, sf: str) -> DataFrame:
-    return _survey(spark, sf)
+    return _dated(_survey(spark, sf))
 
 
 @query(
@@ -56,9 +65,12 @@ def effort_span_query(spark: S, sf: str) -> DataFrame:
     return effort_span(_survey(spark, sf), ["Project_cde"])
 
 
-@query("logbook_extract", ctes("logbook_sets") + " SELECT * FROM logbook_sets WHERE Mgmt_area IN ('AFRICA', 'ASIA')")
+@query(
+    "logbook_extract",
+    ctes("logbook_sets") + _DATED.format("logbook_sets", "Mgmt_area IN ('AFRICA', 'ASIA')"),
+)
 def logbook_extract(spark: S, sf: str) -> DataFrame:
-    return plans.logbook_effort(roles.logbook_sets(spark, sf), ["AFRICA", "ASIA"])
+    return _dated(plans.logbook_effort(roles.logbook_sets(spark, sf), ["AFRICA", "ASIA"]))
 
 
 @query("survey_npue_index", ctes("survey_rates") + _SURVEY_INDEX)

@@ -175,12 +175,13 @@ def unit_convert(spark: S, sf: str) -> DataFrame:
 
 @query(
     "date_parts",
-    """SELECT event_id, CAST(ts AS DATE) AS date, CAST(dayofyear(ts) AS INTEGER) AS julian_day FROM events""",
+    """SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, CAST(dayofyear(ts) AS INTEGER) AS julian_day FROM events""",
 )
 def date_parts(spark: S, sf: str) -> DataFrame:
     events = table(spark, sf, "events")
     day = utc_date(events, "ts")
-    return events.select("event_id", day.alias("date"), day_of_year(day).alias("julian_day"))
+    date = day.cast("string").alias("date")
+    return events.select("event_id", date, day_of_year(day).alias("julian_day"))
 
 
 @query(

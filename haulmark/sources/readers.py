@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
@@ -44,24 +44,39 @@ def read_csv(
             for f in schema
         ]
     )
-    rows = (
-        spark.read.schema(as_read)
-        .option("header", True)
+    rows = _csv_options(spark).schema(as_read).option("multiLine", multi_line).csv(path)
+    return rows.select(*[_cleaned(f, null_tokens) for f in schema])
+
+
+def read_csv_columns(
+    spark: SparkSession, path: str, schema: StructType, null_tokens: Sequence[str] = ()
+) -> DataFrame:
+    """The named columns of a wide headed CSV, read as text and then cast."""
+    rows = _csv_options(spark).csv(path)
+    text = [StructField(f.name, StringType()) for f in schema]
+    cleaned = rows.select(*[_cleaned(f, null_tokens) for f in text])
+    number = {f.name: "double" for f in schema if isinstance(f.dataType, IntegerType)}
+    return cleaned.select(
+        *[F.col(f.name).cast(number.get(f.name, f.dataType)).cast(f.dataType).alias(f.name) for f in schema]
+    )
+
+
+def _csv_options(spark: SparkSession) -> DataFrameReader:
+    return (
+        spark.read.option("header", True)
         .option("nullValue", "NA")
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
-        .option("multiLine", multi_line)
-        .csv(path)
     )
-    out = []
-    for f in schema:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, IntegerType):
-            c = c.cast("int")
-        elif isinstance(f.dataType, StringType):
-            c = blank_to_null(c, *null_tokens)
-        out.append(c.alias(f.name))
-    return rows.select(*out)
+
+
+def _cleaned(field: StructField, null_tokens: Sequence[str]) -> Column:
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, IntegerType):
+        c = c.cast("int")
+    elif isinstance(field.dataType, StringType):
+        c = blank_to_null(c, *null_tokens)
+    return c.alias(field.name)
 
 
 def grouped_number(c: str | Column) -> Column:

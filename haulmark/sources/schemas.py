@@ -112,6 +112,8 @@ WATERS_OVERRIDE = schema(
     validity="START_DATE timestamp, END_DATE timestamp",
     notes="G_MGT_AREA_DISTRICT string, SJL_WATERS string, UPDATED_WATERS string, SJL_AREA_NOTES string",
 )
+# The columns used of a wide file; read them by name.
+STAT_AREA_SIZES = schema(cols="SUBDISTRICT_CODE string, STAT_AREA string, Area_Kilometers double")
 HISTORICAL_CATCH = schema(cols="YEAR int, WHOLE_POUNDS double")
 CATCH_GRID = schema(cols="YEAR int, Mgmt_area string, GEAR_CODE string, WHOLE_POUNDS double")
 CATCH_SERIES = schema(cols="year int, Mgmt_area string, whole_mt double, data_source string")

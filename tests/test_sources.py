@@ -36,6 +36,14 @@ def test_csv_breaks_inside_quotes_and_repeated_headers(spark, tmp_path):
     assert got == [(1980, 7817236.0, "two\nlines", None, "b"), (1981, None, "c", None, None)]
 
 
+def test_csv_columns_by_name(spark, tmp_path, rows):
+    path = tmp_path / "wide.csv"
+    path.write_text("ID,STAT_AREA,NAME,Area_Kilometers,SUBDISTRICT_CODE,N\n1,000051,<Null>,2.5,SSEI,2e3\n2,000052,a,NA,,7\n")
+    kind = schemas.schema(c="SUBDISTRICT_CODE string, STAT_AREA string, Area_Kilometers double, N int, NAME string")
+    got = rows(readers.read_csv_columns(spark, str(path), kind, ["<Null>"]), "STAT_AREA", "SUBDISTRICT_CODE", "Area_Kilometers", "N", "NAME")
+    assert got == [("000051", "SSEI", 2.5, 2000, None), ("000052", None, None, 7, "a")]
+
+
 def test_scan_projects_and_filters(spark, rows):
     df = spark.createDataFrame([("710", 1.0, 5), ("711", 2.0, 6)], "species string, pounds double, x int")
     out = readers.scan(df, {"p": "pounds", "q": F.col("x") * 2}, F.col("species") == "710")
