@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bindings import roles
 from bindings.registry import query
-from bindings.roles import AREAS, GEARS, at_supplier, ctes, sql_values, table
+from bindings.roles import AREAS, GEARS, area_of, ctes, sql_area, sql_values, table
 from haulmark.functions.measures import ratio, round_even
 from haulmark.functions.nulls import (
     distinct_with_null,
@@ -198,17 +198,16 @@ def agg_grouping_sets_labels(spark: S, sf: str) -> DataFrame:
 
 @query(
     "agg_two_level_stats",
-    """
-    SELECT CASE WHEN grouping(r_name) = 0 THEN 'by_area' ELSE 'combined' END AS description,
-      CAST(year(l_shipdate) AS INTEGER) AS year, CASE WHEN grouping(r_name) = 1 THEN 'all' ELSE r_name END AS Mgmt_area,
+    f"""
+    SELECT CASE WHEN grouping(a) = 0 THEN 'by_area' ELSE 'combined' END AS description,
+      CAST(year(l_shipdate) AS INTEGER) AS year, CASE WHEN grouping(a) = 1 THEN 'all' ELSE a END AS Mgmt_area,
       round_even(avg(l_quantity), 1) AS mean_q, round_even(stddev_samp(l_quantity), 1) AS sd_q, count(*) AS n
-    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-    JOIN region ON n_regionkey = r_regionkey
-    GROUP BY GROUPING SETS ((year(l_shipdate), r_name), (year(l_shipdate)))""",
+    FROM (SELECT *, {sql_area("l_suppkey")} AS a FROM lineitem)
+    GROUP BY GROUPING SETS ((year(l_shipdate), a), (year(l_shipdate)))""",
 )
 def agg_two_level_stats(spark: S, sf: str) -> DataFrame:
-    fish = at_supplier(table(spark, sf, "lineitem"), spark, sf).select(
-        F.year("l_shipdate").alias("year"), F.col("r_name").alias("Mgmt_area"), "l_quantity"
+    fish = table(spark, sf, "lineitem").select(
+        F.year("l_shipdate").alias("year"), area_of("l_suppkey").alias("Mgmt_area"), "l_quantity"
     )
     stats = {
         "mean_q": round_even(strict_mean("l_quantity"), 1),

@@ -81,7 +81,8 @@ def survey_npue_index(spark: S, sf: str) -> DataFrame:
 @query("fishery_wpue_index", ctes("fishery_rates") + _FISHERY_INDEX)
 def fishery_wpue_index(spark: S, sf: str) -> DataFrame:
     legacy = plans.legacy_wpue(spark, LEGACY)
-    return plans.fishery_wpue_index(roles.fishery_effort(spark, sf), legacy, "FSH_")
+    sets = plans.logbook_effort(roles.logbook_sets(spark, sf), roles.REGIONS)
+    return plans.fishery_wpue_index(sets, legacy, "FSH_")
 
 
 @query("cpue_index", ctes("survey_rates", "fishery_rates") + _SURVEY_INDEX + " UNION ALL " + _FISHERY_INDEX)

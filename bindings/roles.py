@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulmark.functions.categories import map_codes
+from haulmark.plans.biology import MATURITY_CODES, SEX_CODES
+
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 # Districts of an area are the nations of a region; the last region is only partly used.
 AREAS = {r: [f"NATION_{k}" for k in range(i, 25, 5)] for i, r in enumerate(REGIONS[:4])}
@@ -44,8 +47,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf}/{name}.parquet")
 
 
-def code(c: str) -> Column:
-    return F.lpad(F.col(c).cast("string"), 6, "0")
+def area_of(key: str) -> Column:
+    """Area recorded on a row, from a key every row has."""
+    return F.element_at(F.array(*[F.lit(r) for r in REGIONS]), (F.col(key) % 5 + 1).cast("int"))
+
+
+def sql_area(key: str) -> str:
+    return f"([{sql_list(REGIONS)}])[{key} % 5 + 1]"
 
 
 def sql_list(values: list[str]) -> str:
@@ -61,25 +69,13 @@ def sql_values(values: list[str], name: str) -> str:
     return "(VALUES " + ", ".join(f"('{v}')" for v in values) + f") AS {name}_levels({name})"
 
 
-def with_region(rows: DataFrame, spark: SparkSession, sf: str, nation: str) -> DataFrame:
-    """Add nation and region names.
-
-    Joined table by table: Spark knows the size of a stored table, not of a join.
-    """
-    return rows.join(table(spark, sf, "nation"), F.col(nation) == F.col("n_nationkey")).join(
-        table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")
-    )
-
-
 def region_of_supplier(spark: SparkSession, sf: str) -> DataFrame:
     """Supplier with the names of its nation and region."""
-    return with_region(table(spark, sf, "supplier"), spark, sf, "s_nationkey")
-
-
-def at_supplier(rows: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
-    """Line items with the region of their supplier."""
-    placed = rows.join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return with_region(placed, spark, sf, "s_nationkey")
+    return (
+        table(spark, sf, "supplier")
+        .join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    )
 
 
 def landings(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,74 +128,41 @@ def waters_updates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tickets(spark: SparkSession, sf: str) -> DataFrame:
-    """A second landing source: orders by the region of their customer."""
-    orders = table(spark, sf, "orders")
-    sold = orders.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return with_region(sold, spark, sf, "c_nationkey").select(
+    """A second landing source: orders, the customer giving the area."""
+    return table(spark, sf, "orders").select(
         F.year("o_orderdate").alias("year"),
-        F.col("r_name").alias("g_management_area_code"),
+        area_of("o_custkey").alias("g_management_area_code"),
         F.col("o_orderpriority").alias("gear"),
         F.col("o_totalprice").alias("pounds"),
         F.when(F.col("o_orderstatus") == "P", 0.0).otherwise(F.col("o_totalprice")).alias("round_pounds"),
     )
 
 
-def specimens(spark: SparkSession, sf: str, status: str | None = None) -> DataFrame:
-    """Raw specimens; ``status`` picks one of three stores by order status."""
-    orders = table(spark, sf, "orders")
-    if status is not None:
-        orders = orders.filter(F.col("o_orderstatus") == status)
-    maturity = (
-        F.when(F.col("o_orderpriority") == "1-URGENT", "01")
-        .when(F.col("o_orderpriority") == "2-HIGH", "02")
-        .when(F.col("o_orderpriority") == "3-MEDIUM", "03")
-        .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "05")
-        .otherwise("08")
-    )
-    fish = (
-        table(spark, sf, "lineitem")
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    )
-    return (
-        at_supplier(fish, spark, sf)
-        .select(
-            F.year("l_shipdate").alias("year"),
-            "l_linestatus",
-            "o_orderstatus",
-            F.col("l_suppkey").alias("stat"),
-            F.col("r_name").alias("area"),
-            F.when(F.col("l_linenumber") == 7, "711").otherwise("710").alias("species_code"),
-            F.when(F.col("p_size") != 13, 180 + 21 * F.col("p_size") + F.col("l_partkey") % 7).alias("length_millimeters"),
-            F.when(F.col("l_linenumber") != 5, F.col("l_extendedprice") / 10000).alias("weight_kilograms"),
-            F.when(F.col("l_quantity") != 13, F.col("l_quantity").cast("int")).alias("age"),
-            F.when(F.col("l_returnflag") == "A", "01")
-            .when(F.col("l_returnflag") == "R", "02")
-            .alias("sex_code"),
-            maturity.alias("maturity_code"),
-        )
-    )
+PROJECTS = ["02", "17", "10", "11", "601", "603", "02"]
 
 
-def fishery_store(spark: SparkSession, sf: str) -> DataFrame:
-    project = F.when(F.col("l_linestatus") == "F", "02").otherwise("17")
-    return specimens(spark, sf, "F").select(
-        "*", project.alias("project_code"), F.col("area").alias("g_management_area_code")
-    )
-
-
-def pot_store(spark: SparkSession, sf: str) -> DataFrame:
-    project = F.when(F.col("l_linestatus") == "F", "10").otherwise("11")
-    return specimens(spark, sf, "O").select(
-        "*", project.alias("project_code"), F.col("area").alias("management_area")
+def specimens(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw specimens of all projects, the line number giving the project."""
+    size = F.col("l_partkey") % 50
+    stage = F.rint(F.col("l_tax") * 100).cast("int") + 1
+    area = area_of("l_suppkey")
+    return table(spark, sf, "lineitem").select(
+        F.year("l_shipdate").alias("year"),
+        F.element_at(F.array(*map(F.lit, PROJECTS)), F.col("l_linenumber")).alias("project_code"),
+        area.alias("g_management_area_code"),
+        area.alias("management_area"),
+        F.col("l_suppkey").alias("stat"),
+        F.when(F.col("l_linenumber") == 7, "711").otherwise("710").alias("species_code"),
+        F.when(size != 13, 180 + 21 * size + F.col("l_orderkey") % 7).alias("length_millimeters"),
+        F.when(F.col("l_discount") != 0.05, F.col("l_extendedprice") / 10000).alias("weight_kilograms"),
+        F.when(F.col("l_quantity") != 13, F.col("l_quantity").cast("int")).alias("age"),
+        F.when(F.col("l_returnflag") == "A", "01")
+        .when(F.col("l_returnflag") == "R", "02")
+        .alias("sex_code"),
+        F.lpad(stage.cast("string"), 2, "0").alias("maturity_code"),
     )
 
 
-def longline_store(spark: SparkSession, sf: str) -> DataFrame:
-    project = F.when(F.col("l_linestatus") == "F", "601").otherwise("603")
-    return specimens(spark, sf, "P").select("*", project.alias("project_code"))
-
-
 def stat_to_area(spark: SparkSession, sf: str) -> DataFrame:
     """Area of a stat area, unknown for one supplier in ten."""
     return (
@@ -211,20 +174,18 @@ def stat_to_area(spark: SparkSession, sf: str) -> DataFrame:
 
 def bio(spark: SparkSession, sf: str) -> DataFrame:
     """All specimens under the common column names, missing values left in."""
-    raw = specimens(spark, sf)
-    return raw.select(
+    project = F.col("project_code")
+    return specimens(spark, sf).select(
         "year",
-        F.when(F.col("l_linestatus") == "F", "Longline").otherwise("Pot").alias("Gear"),
-        F.when(F.col("o_orderstatus") == "F", "Fishery").otherwise("Survey").alias("Source"),
-        F.col("area").alias("Mgmt_area"),
+        F.when(project.isin("02", "601", "603"), "Longline").otherwise("Pot").alias("Gear"),
+        F.when(project.isin("02", "17"), "Fishery").otherwise("Survey").alias("Source"),
+        F.col("management_area").alias("Mgmt_area"),
         F.col("species_code").alias("Spp_cde"),
         (F.col("length_millimeters") / 10).alias("length"),
         F.col("weight_kilograms").alias("weight"),
         "age",
-        F.when(F.col("sex_code") == "01", "Male").when(F.col("sex_code") == "02", "Female").alias("Sex"),
-        F.when(F.col("maturity_code").isin("01", "02"), 0)
-        .when(F.col("maturity_code").isin("03", "05"), 1)
-        .alias("Maturity"),
+        map_codes("sex_code", SEX_CODES).alias("Sex"),
+        map_codes("maturity_code", MATURITY_CODES).cast("int").alias("Maturity"),
     )
 
 
@@ -274,47 +235,28 @@ def stat_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def logbook_sets(spark: SparkSession, sf: str) -> DataFrame:
-    """Logbook sets: set on the order date, hauled on the ship date."""
-    sets = (
-        table(spark, sf, "lineitem")
-        .join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    )
-    return (
-        at_supplier(sets, spark, sf)
-        .select(
-            F.year("l_shipdate").alias("year"),
-            F.col("r_name").alias("g_management_area_code"),
-            F.col("l_orderkey").cast("string").alias("trip_no"),
-            F.col("l_suppkey").cast("string").alias("adfg_no"),
-            F.col("o_orderpriority").alias("trip_target"),
-            F.col("o_orderdate").alias("time_set"),
-            F.col("l_shipdate").alias("time_hauled"),
-            F.col("l_linestatus").alias("longline_system_code"),
-            F.when(F.col("p_size") == 13, "mixed").otherwise(F.col("p_brand")).alias("hook_size"),
-            (F.lit(30.0) + 3 * F.col("l_linenumber")).alias("hook_spacing"),
-            code("l_suppkey").alias("g_stat_area"),
-            F.floor(F.col("l_extendedprice") / 1000).cast("int").alias("number_of_hooks"),
-            F.col("l_quantity").alias("average_depth_meters"),
-            F.col("l_linenumber").alias("effort_no"),
-            F.when(F.col("l_quantity") != 13, F.col("l_quantity")).alias("sable_lbs_per_set"),
-            F.col("l_discount").alias("start_latitude_decimal_degrees"),
-            F.col("l_tax").alias("start_longitude_decimal_degree"),
-        )
-    )
-
-
-def fishery_effort(spark: SparkSession, sf: str) -> DataFrame:
-    """The logbook columns the fishery index needs."""
-    return (
-        at_supplier(table(spark, sf, "lineitem"), spark, sf)
-        .select(
-            F.year("l_shipdate").alias("year"),
-            F.col("r_name").alias("Mgmt_area"),
-            (F.lit(30.0) + 3 * F.col("l_linenumber")).alias("hook_space"),
-            F.floor(F.col("l_extendedprice") / 1000).cast("int").alias("no_hooks"),
-            F.when(F.col("l_quantity") != 13, F.col("l_quantity")).alias("sable_lbs_set"),
-        )
+    """Logbook sets; some are hauled before they were set, some name no hook size."""
+    line = F.col("l_linenumber")
+    soak = F.make_dt_interval(hours=F.col("l_quantity").cast("int") - 10, mins=line)
+    size = F.when(line != 3, F.concat(F.lit("No. "), (line + 10).cast("string"), F.lit("/0")))
+    return table(spark, sf, "lineitem").select(
+        F.year("l_shipdate").alias("year"),
+        area_of("l_suppkey").alias("g_management_area_code"),
+        F.col("l_orderkey").cast("string").alias("trip_no"),
+        F.col("l_suppkey").cast("string").alias("adfg_no"),
+        F.col("l_returnflag").alias("trip_target"),
+        F.col("l_shipdate").alias("time_set"),
+        (F.col("l_shipdate") + soak).alias("time_hauled"),
+        F.col("l_linestatus").alias("longline_system_code"),
+        F.coalesce(size, F.lit("mixed")).alias("hook_size"),
+        (F.lit(30.0) + 3 * line).alias("hook_spacing"),
+        F.col("l_suppkey").cast("string").alias("g_stat_area"),
+        F.floor(F.col("l_extendedprice") / 1000).cast("int").alias("number_of_hooks"),
+        F.col("l_quantity").alias("average_depth_meters"),
+        F.col("l_linenumber").alias("effort_no"),
+        F.when(F.col("l_quantity") != 13, F.col("l_quantity")).alias("sable_lbs_per_set"),
+        F.col("l_discount").alias("start_latitude_decimal_degrees"),
+        F.col("l_tax").alias("start_longitude_decimal_degree"),
     )
 
 
@@ -372,10 +314,9 @@ SQL = {
         THEN CAST(sum(CAST(whole_pounds AS DECIMAL(18, 4))) AS DOUBLE) END AS whole_pounds
     FROM catch_grid GROUP BY year, Mgmt_area""",
     "tickets": """
-    SELECT CAST(year(o_orderdate) AS INTEGER) AS year, r_name AS Mgmt_area, o_orderpriority AS gear,
+    SELECT CAST(year(o_orderdate) AS INTEGER) AS year, {area} AS Mgmt_area, o_orderpriority AS gear,
       o_totalprice AS pounds, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_totalprice END AS round_pounds
-    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-    JOIN region ON n_regionkey = r_regionkey""",
+    FROM orders""".format(area=sql_area("o_custkey")),
     "clean_tickets": """
     SELECT year, Mgmt_area, gear, pounds,
       CASE WHEN round_pounds = 0 THEN pounds ELSE round_pounds END AS round_pounds
@@ -385,28 +326,27 @@ SQL = {
       CASE WHEN count(*) = count(round_pounds)
         THEN CAST(sum(CAST(round_pounds AS DECIMAL(18, 4))) AS DOUBLE) END AS whole_pounds
     FROM clean_tickets GROUP BY year, Mgmt_area""",
-    "specimens": """
-    SELECT CAST(year(l_shipdate) AS INTEGER) AS year, l_linestatus, o_orderstatus,
-      l_suppkey AS stat, r_name AS area,
+    "specimens": f"""
+    SELECT CAST(year(l_shipdate) AS INTEGER) AS year, ([{sql_list(PROJECTS)}])[l_linenumber] AS project_code,
+      {sql_area("l_suppkey")} AS area, l_suppkey AS stat,
       CASE WHEN l_linenumber = 7 THEN '711' ELSE '710' END AS species_code,
-      CASE WHEN p_size <> 13 THEN 180 + 21 * p_size + l_partkey % 7 END AS length_millimeters,
-      CASE WHEN l_linenumber <> 5 THEN l_extendedprice / 10000 END AS weight_kilograms,
+      CASE WHEN l_partkey % 50 <> 13 THEN 180 + 21 * (l_partkey % 50) + l_orderkey % 7 END AS length_millimeters,
+      CASE WHEN l_discount <> 0.05 THEN l_extendedprice / 10000 END AS weight_kilograms,
       CASE WHEN l_quantity <> 13 THEN CAST(l_quantity AS INTEGER) END AS age,
       CASE l_returnflag WHEN 'A' THEN 'Male' WHEN 'R' THEN 'Female' END AS sex,
-      CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 0
-           WHEN o_orderpriority IN ('3-MEDIUM', '4-NOT SPECIFIED') THEN 1 END AS maturity
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
-    JOIN region_of_supplier ON l_suppkey = s_suppkey""",
+      CASE WHEN round(l_tax * 100) <= 1 THEN 0 WHEN round(l_tax * 100) <= 6 THEN 1 END AS maturity
+    FROM lineitem""",
     "fishery_bio": """
-    SELECT year, CASE l_linestatus WHEN 'F' THEN 'Longline' ELSE 'Pot' END AS Gear, 'Fishery' AS Source,
+    SELECT year, CASE project_code WHEN '02' THEN 'Longline' ELSE 'Pot' END AS Gear, 'Fishery' AS Source,
       area AS Mgmt_area, species_code AS Spp_cde, length_millimeters / 10 AS length,
       weight_kilograms AS weight, age, sex AS Sex, maturity AS Maturity
-    FROM specimens WHERE o_orderstatus = 'F' AND species_code = '710' AND length_millimeters IS NOT NULL
-      AND NOT (length_millimeters < 200 OR length_millimeters > 1200)""",
+    FROM specimens WHERE project_code IN ('02', '17') AND species_code = '710'
+      AND length_millimeters IS NOT NULL AND NOT (length_millimeters < 200 OR length_millimeters > 1200)""",
     "pot_bio": """
     SELECT year, 'Pot' AS Gear, 'Survey' AS Source, area AS Mgmt_area, species_code AS Spp_cde,
       length_millimeters / 10 AS length, weight_kilograms AS weight, age, sex AS Sex, maturity AS Maturity
-    FROM specimens WHERE o_orderstatus = 'O' AND species_code = '710' AND length_millimeters IS NOT NULL""",
+    FROM specimens WHERE project_code IN ('10', '11') AND species_code = '710'
+      AND length_millimeters IS NOT NULL""",
     "stat_to_area": """
     SELECT s_suppkey AS stat, r_name AS g_management_area_code
     FROM region_of_supplier WHERE s_suppkey % 10 <> 3""",
@@ -415,10 +355,10 @@ SQL = {
       species_code AS Spp_cde, length_millimeters / 10 AS length, weight_kilograms AS weight, age,
       sex AS Sex, maturity AS Maturity
     FROM specimens JOIN stat_to_area USING (stat)
-    WHERE o_orderstatus = 'P' AND species_code = '710' AND length_millimeters IS NOT NULL""",
+    WHERE project_code IN ('601', '603') AND species_code = '710' AND length_millimeters IS NOT NULL""",
     "bio": """
-    SELECT year, CASE l_linestatus WHEN 'F' THEN 'Longline' ELSE 'Pot' END AS Gear,
-      CASE o_orderstatus WHEN 'F' THEN 'Fishery' ELSE 'Survey' END AS Source, area AS Mgmt_area,
+    SELECT year, CASE WHEN project_code IN ('02', '601', '603') THEN 'Longline' ELSE 'Pot' END AS Gear,
+      CASE WHEN project_code IN ('02', '17') THEN 'Fishery' ELSE 'Survey' END AS Source, area AS Mgmt_area,
       species_code AS Spp_cde, length_millimeters / 10 AS length, weight_kilograms AS weight, age,
       sex AS Sex, maturity AS Maturity
     FROM specimens""",
@@ -460,27 +400,26 @@ SQL = {
           coalesce(hooks_sablefish, 0) AS sablefish_retained
       FROM (SELECT *, no_hooks - coalesce(hook_invalid, 0) AS net_hooks
             FROM survey_effort WHERE subset_condition_cde <> '02'))""",
-    "logbook_sets": """
-    SELECT CAST(year(l_shipdate) AS INTEGER) AS year, r_name AS Mgmt_area, CAST(l_orderkey AS VARCHAR) AS trip_no,
-      CAST(l_suppkey AS VARCHAR) AS Adfg, o_orderpriority AS Spp_cde, CAST(o_orderdate AS DATE) AS date,
-      CAST(dayofyear(o_orderdate) AS INTEGER) AS julian_day,
-      CAST(epoch_us(l_shipdate) - epoch_us(o_orderdate) AS DOUBLE) / 1000000 / 3600 AS soak,
-      l_linestatus AS Gear, CASE WHEN p_size = 13 THEN 'mixed' ELSE p_brand END AS Hook_size,
-      TRY_CAST(nullif(regexp_replace(CASE WHEN p_size = 13 THEN 'mixed' ELSE p_brand END, '[^0-9]', '', 'g'), '')
-        AS DOUBLE) AS Size,
-      CAST(30 + 3 * l_linenumber AS DOUBLE) AS hook_space, lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS Stat,
-      CAST(floor(l_extendedprice / 1000) AS INTEGER) AS no_hooks, l_quantity AS depth, l_linenumber AS sets,
-      CASE WHEN l_quantity <> 13 THEN l_quantity END AS sable_lbs_set, l_discount AS start_lat, l_tax AS start_lon
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
-    JOIN region_of_supplier ON l_suppkey = s_suppkey""",
+    "logbook_sets": f"""
+    SELECT year, Mgmt_area, trip_no, Adfg, Spp_cde, CAST(time_set AS DATE) AS date,
+      CAST(dayofyear(time_set) AS INTEGER) AS julian_day,
+      CAST(epoch_us(time_hauled) - epoch_us(time_set) AS DOUBLE) / 1000000 / 3600 AS soak, Gear, Hook_size,
+      TRY_CAST(nullif(regexp_replace(Hook_size, '[^0-9]', '', 'g'), '') AS DOUBLE) AS Size, hook_space, Stat,
+      no_hooks, depth, sets, sable_lbs_set, start_lat, start_lon
+    FROM (
+      SELECT CAST(year(l_shipdate) AS INTEGER) AS year, {sql_area("l_suppkey")} AS Mgmt_area,
+        CAST(l_orderkey AS VARCHAR) AS trip_no, CAST(l_suppkey AS VARCHAR) AS Adfg, l_returnflag AS Spp_cde,
+        l_shipdate AS time_set,
+        l_shipdate + to_hours(CAST(l_quantity AS INTEGER) - 10) + to_minutes(l_linenumber) AS time_hauled,
+        l_linestatus AS Gear,
+        CASE WHEN l_linenumber = 3 THEN 'mixed' ELSE 'No. ' || (l_linenumber + 10) || '/0' END AS Hook_size,
+        CAST(30 + 3 * l_linenumber AS DOUBLE) AS hook_space, CAST(l_suppkey AS VARCHAR) AS Stat,
+        CAST(floor(l_extendedprice / 1000) AS INTEGER) AS no_hooks, l_quantity AS depth, l_linenumber AS sets,
+        CASE WHEN l_quantity <> 13 THEN l_quantity END AS sable_lbs_set, l_discount AS start_lat, l_tax AS start_lon
+      FROM lineitem)""",
     "fishery_rates": """
     SELECT *, sable_lbs_set / nullif(std_hooks, 0) AS std_cpue
-    FROM (SELECT *, 2.2e0 * no_hooks * (1 - exp(-0.57e0 * (hook_space / 39.37e0))) AS std_hooks
-      FROM (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, r_name AS Mgmt_area,
-              CAST(30 + 3 * l_linenumber AS DOUBLE) AS hook_space,
-              CAST(floor(l_extendedprice / 1000) AS INTEGER) AS no_hooks,
-              CASE WHEN l_quantity <> 13 THEN l_quantity END AS sable_lbs_set
-            FROM lineitem JOIN region_of_supplier ON l_suppkey = s_suppkey))""",
+    FROM (SELECT *, 2.2e0 * no_hooks * (1 - exp(-0.57e0 * (hook_space / 39.37e0))) AS std_hooks FROM logbook_sets)""",
 }
 NEEDS = {
     "stat_areas": ["region_of_supplier"],
@@ -490,7 +429,6 @@ NEEDS = {
     "catch_year_area": ["catch_grid"],
     "clean_tickets": ["tickets"],
     "ticket_year_area": ["clean_tickets"],
-    "specimens": ["region_of_supplier"],
     "fishery_bio": ["specimens"],
     "pot_bio": ["specimens"],
     "stat_to_area": ["region_of_supplier"],
@@ -499,8 +437,7 @@ NEEDS = {
     "stat_sizes": ["region_of_supplier"],
     "survey_effort": ["survey_hooks", "stat_sizes"],
     "survey_rates": ["survey_effort"],
-    "logbook_sets": ["region_of_supplier"],
-    "fishery_rates": ["region_of_supplier"],
+    "fishery_rates": ["logbook_sets"],
 }
 
 

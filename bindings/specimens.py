@@ -17,15 +17,15 @@ _SEX = "CASE WHEN grouping(Sex) = 1 THEN 'Sex_combined' ELSE Sex END AS Sex"
 
 
 def _fishery(spark: S, sf: str) -> DataFrame:
-    return plans.fishery_bio(roles.fishery_store(spark, sf), areas=roles.REGIONS)
+    return plans.fishery_bio(roles.specimens(spark, sf), areas=roles.REGIONS)
 
 
 def _pot(spark: S, sf: str) -> DataFrame:
-    return plans.pot_survey_bio(roles.pot_store(spark, sf), areas=roles.REGIONS)
+    return plans.pot_survey_bio(roles.specimens(spark, sf), areas=roles.REGIONS)
 
 
 def _longline(spark: S, sf: str) -> DataFrame:
-    return plans.longline_survey_bio(roles.longline_store(spark, sf), roles.stat_to_area(spark, sf))
+    return plans.longline_survey_bio(roles.specimens(spark, sf), roles.stat_to_area(spark, sf))
 
 
 @query(
