@@ -90,6 +90,11 @@ def landings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _waters() -> Column:
+    """Recorded waters; missing for the smallest balances."""
+    return F.when(F.col("s_acctbal") >= 6500, "FED").when(F.col("s_acctbal") >= 2500, "STATE")
+
+
 def _validity() -> tuple[Column, Column]:
     start = F.when(F.col("s_suppkey") % 4 < 2, "1985-01-01").otherwise("1990-01-01")
     end = F.when(F.col("s_suppkey") % 2 == 0, "1999-12-31")
@@ -97,15 +102,14 @@ def _validity() -> tuple[Column, Column]:
 
 
 def stat_areas(spark: SparkSession, sf: str) -> DataFrame:
-    """Stat-area lookup: one supplier in ten has a type no landing uses."""
+    """Stat-area lookup: the areas of one nation have a type no landing uses."""
     start, end = _validity()
-    kind = F.when(F.col("s_suppkey") % 10 == 9, 9).otherwise(F.col("s_suppkey") % 2)
-    waters = F.when(F.col("s_suppkey") % 3 == 1, "STATE").when(F.col("s_suppkey") % 3 == 2, "FED")
+    kind = F.when(F.col("n_name") == "NATION_7", 9).otherwise(F.col("s_suppkey") % 2)
     return region_of_supplier(spark, sf).select(
         F.col("s_suppkey").alias("stat_area"),
         kind.alias("stat_area_type"),
         F.col("r_name").alias("region"),
-        waters.alias("waters"),
+        _waters().alias("waters"),
         start.alias("start_date"),
         end.alias("end_date"),
         F.col("n_name").alias("g_mgt_area_district"),
@@ -117,7 +121,7 @@ def waters_updates(spark: SparkSession, sf: str) -> DataFrame:
     start, end = _validity()
     return (
         table(spark, sf, "supplier")
-        .filter(F.col("s_suppkey") % 3 == 0)
+        .filter(_waters().isNull())
         .select(
             F.col("s_suppkey").alias("stat_area"),
             start.alias("start_date"),
@@ -164,10 +168,10 @@ def specimens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stat_to_area(spark: SparkSession, sf: str) -> DataFrame:
-    """Area of a stat area, unknown for one supplier in ten."""
+    """Area of a stat area, unknown in one nation."""
     return (
         region_of_supplier(spark, sf)
-        .filter(F.col("s_suppkey") % 10 != 3)
+        .filter(F.col("n_name") != "NATION_13")
         .select(F.col("s_suppkey").alias("stat"), F.col("r_name").alias("g_management_area_code"))
     )
 
@@ -222,10 +226,10 @@ def survey_hooks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stat_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    """Area and size of a stat area, unknown for one supplier in ten."""
+    """Area and size of a stat area, unknown in one nation."""
     return (
         region_of_supplier(spark, sf)
-        .filter(F.col("s_suppkey") % 10 != 3)
+        .filter(F.col("n_name") != "NATION_13")
         .select(
             F.col("s_suppkey").alias("Stat"),
             F.col("r_name").alias("Mgmt_area"),
@@ -271,8 +275,8 @@ SQL = {
     FROM lineitem""",
     "stat_areas": """
     SELECT s_suppkey AS stat_area,
-      CASE WHEN s_suppkey % 10 = 9 THEN 9 ELSE s_suppkey % 2 END AS stat_area_type,
-      r_name AS region, CASE s_suppkey % 3 WHEN 1 THEN 'STATE' WHEN 2 THEN 'FED' END AS waters,
+      CASE WHEN n_name = 'NATION_7' THEN 9 ELSE s_suppkey % 2 END AS stat_area_type,
+      r_name AS region, CASE WHEN s_acctbal >= 6500 THEN 'FED' WHEN s_acctbal >= 2500 THEN 'STATE' END AS waters,
       CASE WHEN s_suppkey % 4 < 2 THEN TIMESTAMP '1985-01-01' ELSE TIMESTAMP '1990-01-01' END AS start_date,
       CASE WHEN s_suppkey % 2 = 0 THEN TIMESTAMP '1999-12-31' END AS end_date,
       n_name AS g_mgt_area_district
@@ -282,7 +286,7 @@ SQL = {
       CASE WHEN s_suppkey % 4 < 2 THEN TIMESTAMP '1985-01-01' ELSE TIMESTAMP '1990-01-01' END AS start_date,
       CASE WHEN s_suppkey % 2 = 0 THEN TIMESTAMP '1999-12-31' END AS end_date,
       CASE WHEN s_suppkey % 4 < 2 THEN 'STATE' ELSE 'FED' END AS updated_waters
-    FROM supplier WHERE s_suppkey % 3 = 0""",
+    FROM supplier WHERE s_acctbal < 2500""",
     "landings_areas": """
     SELECT l.*, a.region, coalesce(u.updated_waters, a.waters) AS waters, a.start_date, a.end_date,
       a.g_mgt_area_district
@@ -349,7 +353,7 @@ SQL = {
       AND length_millimeters IS NOT NULL""",
     "stat_to_area": """
     SELECT s_suppkey AS stat, r_name AS g_management_area_code
-    FROM region_of_supplier WHERE s_suppkey % 10 <> 3""",
+    FROM region_of_supplier WHERE n_name <> 'NATION_13'""",
     "longline_bio": """
     SELECT year, 'Longline' AS Gear, 'Survey' AS Source, g_management_area_code AS Mgmt_area,
       species_code AS Spp_cde, length_millimeters / 10 AS length, weight_kilograms AS weight, age,
@@ -380,7 +384,7 @@ SQL = {
     "stat_sizes": """
     SELECT s_suppkey AS Stat, r_name AS Mgmt_area,
       CAST(10 + s_suppkey AS DOUBLE) AS stat_km2
-    FROM region_of_supplier WHERE s_suppkey % 10 <> 3""",
+    FROM region_of_supplier WHERE n_name <> 'NATION_13'""",
     "survey_effort": """
     SELECT h.year, project_code AS Project_cde, station_no AS Station_no, trip_no, adfg_no AS Adfg,
       vessel_name AS Vessel, CAST(time_first_buoy_onboard AS DATE) AS date,

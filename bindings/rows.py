@@ -331,28 +331,29 @@ def join_inner_lookup(spark: S, sf: str) -> DataFrame:
 
 
 _ORDER_WATERS = """
-    SELECT o_orderkey, o_custkey % 10 AS block, CAST(year(o_orderdate) AS INTEGER) AS start_year,
+    SELECT o_orderkey, o_orderpriority AS block, CAST(year(o_orderdate) AS INTEGER) AS start_year,
       CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS end_code, 'FED' AS waters FROM orders"""
 _ORDER_UPDATES = """
-    SELECT DISTINCT o_custkey % 10 AS block, CAST(year(o_orderdate) AS INTEGER) AS start_year,
+    SELECT DISTINCT o_orderpriority AS block, CAST(year(o_orderdate) AS INTEGER) AS start_year,
       CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS end_code,
-      CASE WHEN o_custkey % 10 = 4 THEN NULL ELSE 'STATE' END AS updated_waters
-    FROM orders WHERE o_custkey % 10 < 5 AND o_orderstatus <> 'F'"""
+      CASE WHEN o_orderpriority <> '3-MEDIUM' THEN 'STATE' END AS updated_waters
+    FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AND o_orderstatus <> 'F'"""
 _ORDER_JOIN = """
     FROM w LEFT JOIN u ON w.block IS NOT DISTINCT FROM u.block
       AND w.start_year IS NOT DISTINCT FROM u.start_year AND w.end_code IS NOT DISTINCT FROM u.end_code"""
 
 
 def _order_waters(spark: S, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Orders with a key that is partly missing, and updates for some of those keys."""
     orders = table(spark, sf, "orders")
     keys = [
-        (F.col("o_custkey") % 10).alias("block"),
+        F.col("o_orderpriority").alias("block"),
         F.year("o_orderdate").alias("start_year"),
         F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("end_code"),
     ]
-    block = F.col("o_custkey") % 10
-    updated = F.when(block != 4, F.lit("STATE")).alias("updated_waters")
-    updates = orders.filter((block < 5) & (F.col("o_orderstatus") != "F")).select(*keys, updated).distinct()
+    known = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM") & (F.col("o_orderstatus") != "F")
+    updated = F.when(F.col("o_orderpriority") != "3-MEDIUM", F.lit("STATE")).alias("updated_waters")
+    updates = orders.filter(known).select(*keys, updated).distinct()
     return orders.select("o_orderkey", *keys, F.lit("FED").alias("waters")), updates
 
 
