@@ -20,7 +20,7 @@ from haulmark.functions.nulls import (
     strict_sum,
 )
 from haulmark.operators.grid import complete, complete_global
-from haulmark.operators.levels import by_levels, count_rows
+from haulmark.operators.levels import by_levels, count_rows, mean_sd_by_levels
 from haulmark.operators.series import interpolate_gaps, tick_labels
 from haulmark.operators.stats import rate_summary, share_of_total
 from haulmark.plans.landings import catch_by_year_area, catch_by_year_area_gear
@@ -201,7 +201,8 @@ def agg_grouping_sets_labels(spark: S, sf: str) -> DataFrame:
     f"""
     SELECT CASE WHEN grouping(a) = 0 THEN 'by_area' ELSE 'combined' END AS description,
       CAST(year(l_shipdate) AS INTEGER) AS year, CASE WHEN grouping(a) = 1 THEN 'all' ELSE a END AS Mgmt_area,
-      round_even(avg(l_quantity), 1) AS mean_q, round_even(stddev_samp(l_quantity), 1) AS sd_q, count(*) AS n
+      round_even(sum(l_quantity) * 10 / count(*), 0) / 10 AS mean_l_quantity,
+      round_even(stddev_samp(l_quantity), 1) AS sd_l_quantity, count(*) AS n
     FROM (SELECT *, {sql_area("l_suppkey")} AS a FROM lineitem)
     GROUP BY GROUPING SETS ((year(l_shipdate), a), (year(l_shipdate)))""",
 )
@@ -209,13 +210,8 @@ def agg_two_level_stats(spark: S, sf: str) -> DataFrame:
     fish = table(spark, sf, "lineitem").select(
         F.year("l_shipdate").alias("year"), area_of("l_suppkey").alias("Mgmt_area"), "l_quantity"
     )
-    stats = {
-        "mean_q": round_even(strict_mean("l_quantity"), 1),
-        "sd_q": round_even(strict_sd("l_quantity"), 1),
-        "n": row_count(),
-    }
     levels = {"by_area": ["Mgmt_area"], "combined": []}
-    return by_levels(fish, ["year"], {"Mgmt_area": "all"}, levels, stats)
+    return mean_sd_by_levels(fish, "l_quantity", ["year"], {"Mgmt_area": "all"}, levels)
 
 
 @query(

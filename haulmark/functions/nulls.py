@@ -7,7 +7,7 @@ Spark aggregates are used where missing values are to be skipped.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,32 +66,61 @@ def strict_sum(c: str | Column, scale: int | None = 4) -> Column:
     return strict(F.sum if scale is None else lambda x: exact_sum(x, scale), c)
 
 
-def rounded_mean(c: str | Column, digits: int, scale: int = 4) -> Column:
-    """Strict mean rounded half to even, from an exact sum.
+_BLOCK = 10**6
+
+
+def moments(c: str | Column, scale: int = 4) -> dict[str, Column]:
+    """Aggregates that give the strict mean and standard deviation of ``c``.
+
+    All are integer sums, squares kept in two parts so that they have room. They can
+    be added up again over groups without losing a digit.
+    """
+    c = as_col(c)
+    whole, fraction = exact_parts(c, scale)
+    x = F.rint(c.cast("double") * F.lit(float(10**scale))).cast("bigint")
+    low = F.pmod(x * x, F.lit(_BLOCK))
+    high = F.rint((x * x - low) / F.lit(_BLOCK)).cast("bigint")
+    return {
+        "rows": row_count(),
+        "known": F.count(c),
+        "whole": F.sum(whole),
+        "fraction": F.sum(fraction),
+        "high": F.sum(high),
+        "low": F.sum(low),
+    }
+
+
+def mean_of_moments(m: Mapping[str, Column], digits: int, scale: int = 4) -> Column:
+    """Strict mean rounded half to even.
 
     The quotient is a decimal, so a mean such as 103.05 is seen as the tie it is.
     """
-    mean = exact_total(c, scale) / row_count()
-    return strict(lambda _: F.bround(mean, digits).cast("double"), c)
+    mean = exact_from_parts(m["whole"], m["fraction"], scale) / m["rows"]
+    return F.when(m["rows"] == m["known"], F.bround(mean, digits).cast("double"))
 
 
-def rounded_sd(c: str | Column, digits: int, scale: int = 4) -> Column:
-    """Strict sample standard deviation rounded half to even, from exact sums.
+def sd_of_moments(m: Mapping[str, Column], digits: int, scale: int = 4) -> Column:
+    """Strict sample standard deviation rounded half to even; one row gives NULL.
 
-    Values and their squares are added as integers, so a published digit cannot flip
-    when the rows arrive in another order. One row gives NULL.
+    Built from exact sums, so a published digit cannot flip when the rows arrive in
+    another order.
     """
-    unit, block, wide = 10**scale, 10**6, DecimalType(20, 0)
-    x = F.rint(as_col(c).cast("double") * F.lit(float(unit))).cast("bigint")
-    whole, fraction = exact_parts(c, scale)
-    total = F.sum(whole).cast(wide) * F.lit(unit) + F.sum(fraction).cast(wide)
-    low = F.pmod(x * x, F.lit(block))
-    high = (x * x - low) / F.lit(block)
-    squares = F.sum(F.rint(high).cast("bigint")).cast(wide) * F.lit(block) + F.sum(low).cast(wide)
-    spread = row_count().cast(wide) * squares - total * total
-    pairs = row_count().cast("double") * (row_count() - 1)
-    sd = F.sqrt(spread.cast("double") / F.nullif(pairs, F.lit(0.0))) / F.lit(float(unit))
-    return strict(lambda _: F.bround(sd, digits), c)
+    wide = DecimalType(20, 0)
+    unit = 10**scale
+    total = m["whole"].cast(wide) * F.lit(unit) + m["fraction"].cast(wide)
+    squares = m["high"].cast(wide) * F.lit(_BLOCK) + m["low"].cast(wide)
+    spread = (m["rows"].cast(wide) * squares - total * total).cast("double")
+    pairs = m["rows"].cast("double") * (m["rows"] - 1)
+    sd = F.sqrt(spread / F.nullif(pairs, F.lit(0.0))) / F.lit(float(unit))
+    return F.when(m["rows"] == m["known"], F.bround(sd, digits))
+
+
+def rounded_mean(c: str | Column, digits: int, scale: int = 4) -> Column:
+    return mean_of_moments(moments(c, scale), digits, scale)
+
+
+def rounded_sd(c: str | Column, digits: int, scale: int = 4) -> Column:
+    return sd_of_moments(moments(c, scale), digits, scale)
 
 
 def strict_mean(c: str | Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from haulmark.functions.nulls import mean_of_moments, moments, sd_of_moments
+
 
 def by_levels(
     df: DataFrame,
@@ -53,3 +55,29 @@ def count_rows(df: DataFrame, cols: Sequence[str], count: str = "n") -> DataFram
     multiply this small table instead of the rows.
     """
     return df.groupBy(*cols).agg(F.count(F.lit(1)).alias(count))
+
+
+def mean_sd_by_levels(
+    df: DataFrame,
+    measure: str,
+    keys: Sequence[str],
+    combined: Mapping[str, str],
+    levels: Mapping[str, Sequence[str]],
+    digits: int = 1,
+    label: str = "description",
+) -> DataFrame:
+    """Strict mean, standard deviation and row count of ``measure`` per level.
+
+    Exact sums are taken once at the finest grain; the levels add those up. A
+    combined level therefore describes its rows, not the means of its parts, and the
+    rows themselves are never multiplied by the levels.
+    """
+    parts = moments(measure)
+    fine = df.groupBy(*keys, *combined).agg(*[c.alias(f"_{name}") for name, c in parts.items()])
+    total = {name: F.sum(f"_{name}") for name in parts}
+    summary = {
+        f"mean_{measure}": mean_of_moments(total, digits),
+        f"sd_{measure}": sd_of_moments(total, digits),
+        "n": total["rows"],
+    }
+    return by_levels(fine, keys, combined, levels, summary, label)

@@ -14,10 +14,10 @@ from haulmark.functions.measures import (
     millimeters_to_centimeters,
     plus_group,
 )
-from haulmark.functions.nulls import rounded_mean, rounded_sd, row_count
+from haulmark.functions.nulls import row_count
 from haulmark.operators.grid import complete, present_levels
 from haulmark.operators.joins import LOOKUP_ROWS, lookup_join
-from haulmark.operators.levels import by_levels, count_rows
+from haulmark.operators.levels import by_levels, count_rows, mean_sd_by_levels
 from haulmark.operators.rows import outside, stack
 from haulmark.operators.stats import coverage, share_of_total
 
@@ -185,16 +185,12 @@ def proportion_mature(
 def _size_at_age(fish: DataFrame, measure: str, combined: Mapping[str, str]) -> DataFrame:
     stem = f"{measure}ageby_gear_source"
     detail = {f"{stem}_area_year_sex": ["Mgmt_area"], f"{stem}_year_sex": []}
-    summary = by_levels(
+    summary = mean_sd_by_levels(
         fish,
+        measure,
         ["Gear", "Source", "Sex", "year", "age"],
         {"Mgmt_area": combined["Mgmt_area"]},
         detail,
-        {
-            f"mean_{measure}": rounded_mean(measure, 1),
-            f"sd_{measure}": rounded_sd(measure, 1),
-            "n": row_count(),
-        },
     )
     return summary.select(
         "description", "Gear", "Source", "Mgmt_area", "Sex", "year", "age",
