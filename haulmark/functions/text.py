@@ -13,6 +13,11 @@ def digits_to_number(c: str | Column) -> Column:
     return F.regexp_replace(as_col(c), "[^0-9]", "").try_cast("double")
 
 
+def whole_number(c: str | Column) -> Column:
+    """A number written as text, ``2e3`` included, as an int; NULL when it is none."""
+    return as_col(c).try_cast("double").cast("int")
+
+
 def prefixed_label(prefix: str, c: str | Column) -> Column:
     """``prefix`` followed by the value, with a missing value spelled NA."""
     return F.concat(F.lit(prefix), F.coalesce(as_col(c).cast("string"), F.lit("NA")))

@@ -3,7 +3,7 @@
 A lookup is broadcast only after its size was checked. Spark does so itself where it
 knows the size: from file statistics before the run, from shuffle statistics during
 it. For a lookup that is itself joined or aggregated it has no estimate before the
-run, so ``max_broadcast_rows`` counts the lookup, up to that bound, first. A larger
+run, so ``max_broadcast_rows`` measures the lookup, up to that bound, first. A larger
 lookup gets a sort-merge join, whose hot partitions adaptive execution splits.
 """
 
@@ -16,16 +16,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-# Narrow lookup rows: 200,000 of them stay far below Spark's broadcast limit.
+# A lookup is broadcast only within both bounds.
 LOOKUP_ROWS = 200_000
+LOOKUP_BYTES = 64 * 1024 * 1024
 
 
-def broadcast_if_small(lookup: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
-    """Mark ``lookup`` for broadcast if it holds at most ``max_rows`` rows.
+def broadcast_if_small(
+    lookup: DataFrame, max_rows: int = LOOKUP_ROWS, max_bytes: int = LOOKUP_BYTES
+) -> DataFrame:
+    """Mark ``lookup`` for broadcast if it holds few enough rows and bytes.
 
-    Starts one job that counts no more than ``max_rows + 1`` rows.
+    Starts one job that measures no more than ``max_rows + 1`` rows.
     """
-    return F.broadcast(lookup) if lookup.limit(max_rows + 1).count() <= max_rows else lookup
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    row = lookup.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), size.alias("size")).first()
+    return F.broadcast(lookup) if row.n <= max_rows and (row.size or 0) <= max_bytes else lookup
 
 
 def lookup_join(

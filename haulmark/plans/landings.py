@@ -17,6 +17,7 @@ from haulmark.functions.nulls import (
     strict_sum,
     zero_fallback,
 )
+from haulmark.functions.text import whole_number
 from haulmark.operators.grid import complete
 from haulmark.operators.joins import LOOKUP_ROWS, lookup_join, override_from
 from haulmark.operators.rows import stack, tagged
@@ -85,7 +86,8 @@ def landings_with_areas(
     """Every landing with its corrected stat-area attributes."""
     resolved = resolved_stat_areas(stat_areas, updates)
     keys = ["stat_area", "stat_area_type"]
-    return lookup_join(landings, resolved, keys, "inner", max_broadcast_rows=LOOKUP_ROWS)
+    dated = landings.withColumn("year", whole_number("year"))
+    return lookup_join(dated, resolved, keys, "inner", max_broadcast_rows=LOOKUP_ROWS)
 
 
 def catch_by_year_area_gear(
@@ -106,7 +108,7 @@ def catch_by_year_area_gear(
     whole, fraction = exact_parts(zero_fallback("whole_pounds", "pounds"))
     per_stat_area = (
         landings.select(
-            F.col("year").cast("int").alias("year"),
+            "year",
             "gear_code",
             "stat_area",
             "stat_area_type",
@@ -132,7 +134,11 @@ def catch_by_year_area_gear(
     total = exact_from_parts(F.sum("_whole"), F.sum("_fraction")).cast("double")
     catch = (
         lookup_join(per_stat_area, wanted, ["stat_area", "stat_area_type"], "inner")
-        .groupBy("year", "Mgmt_area", map_codes("gear_code", gears).alias("gear"))
+        .groupBy(
+            whole_number("year").alias("year"),
+            "Mgmt_area",
+            map_codes("gear_code", gears).alias("gear"),
+        )
         .agg(F.when(F.sum("_rows") == F.sum("_known"), total).alias("whole_pounds"))
     )
     return complete(

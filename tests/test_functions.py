@@ -186,6 +186,11 @@ def test_digits_to_number(spark, x, want):
     assert one(spark, x, "string", text.digits_to_number("x")) == want
 
 
+@pytest.mark.parametrize(("x", "want"), [("1999", 1999), ("2e3", 2000), ("n/a", None), (None, None)])
+def test_whole_number(spark, x, want):
+    assert one(spark, x, "string", text.whole_number("x")) == want
+
+
 @pytest.mark.parametrize(("x", "want"), [("NSEI", "p_NSEI"), (None, "p_NA")])
 def test_prefixed_label(spark, x, want):
     assert one(spark, x, "string", text.prefixed_label("p_", "x")) == want

@@ -33,6 +33,14 @@ def test_size_check_decides_on_broadcast(spark):
     assert "strategy=broadcast" not in plan(49)
 
 
+def test_size_check_counts_bytes_too(spark):
+    lookup = spark.createDataFrame([("k", "x" * 1000)], "k string, v string")
+    marked = [joins.broadcast_if_small(lookup, 10, limit) is not lookup for limit in (2000, 500)]
+    assert marked == [True, False]
+    empty = lookup.filter("k = 'none'")
+    assert joins.broadcast_if_small(empty, 10) is not empty
+
+
 def test_duplicate_lookup_rows_fan_out_and_are_reported(spark, rows):
     left = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     lookup = spark.createDataFrame([("a", 10), ("a", 11), ("b", 12)], "k string, w int")
