@@ -143,6 +143,7 @@ def tickets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PROJECTS = ["02", "17", "10", "11", "601", "603", "02"]
+STAGES = ["01", "02", "03", "04", "05", "06", "07", "08", "09"]
 
 
 def specimens(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,7 +164,7 @@ def specimens(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "A", "01")
         .when(F.col("l_returnflag") == "R", "02")
         .alias("sex_code"),
-        F.lpad(stage.cast("string"), 2, "0").alias("maturity_code"),
+        F.element_at(F.array(*map(F.lit, STAGES)), stage).alias("maturity_code"),
     )
 
 

@@ -78,7 +78,7 @@ def bin_right_closed(
     """
     unit = Decimal(10) ** digits
     start, step = int(Decimal(first_break) * unit), int(Decimal(width) * unit)
-    scaled = F.round(as_col(c).cast("double") * F.lit(float(unit))).cast("bigint")
+    scaled = F.rint(as_col(c).cast("double") * F.lit(float(unit))).cast("bigint")
     position = F.ceil((scaled - F.lit(start)) / F.lit(step)).cast("int")
     names = F.array(*[F.lit(label) for label in labels])
     return F.when(position.between(1, len(labels)), F.element_at(names, position))
