@@ -20,6 +20,7 @@ from haulmark.operators.joins import LOOKUP_ROWS, lookup_join
 from haulmark.operators.levels import by_levels, count_rows, mean_sd_by_levels
 from haulmark.operators.rows import outside, stack
 from haulmark.operators.stats import coverage, share_of_total
+from haulmark.sources.readers import scan
 
 # Codes and labels of the published specimen tables.
 SPECIES = "710"
@@ -57,6 +58,11 @@ def bio_scan(specimens: DataFrame, area: str, projects: Sequence[str], species:
     )
 
 
+def stat_to_area_scan(store: DataFrame) -> DataFrame:
+    """Management area of each stat area."""
+    return scan(store, {"stat": "g_stat_area", "g_management_area_code": "g_management_area_code"})
+
+
 def bio_clean(scanned: DataFrame, gear: Column, source: str, area: str) -> DataFrame:
     """Measured fish with sex and maturity decoded, under the common column names."""
     return scanned.filter(F.col("length").isNotNull()).select(

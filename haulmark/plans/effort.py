@@ -23,13 +23,21 @@ from haulmark.functions.text import digits_to_number, prefixed_label
 from haulmark.operators.joins import LOOKUP_ROWS, lookup_join
 from haulmark.operators.rows import below_global_max, stack
 from haulmark.operators.stats import rate_summary
-from haulmark.sources.readers import inline_series
+from haulmark.sources.readers import inline_series, scan
+from haulmark.sources.schemas import SURVEY_HOOKS
 
 # Codes, labels and legacy rates of the published indices.
 INVALID_CONDITION = "02"
 FIRST_INDEX_YEAR = 1997
 SURVEY_PROJECTS = ["603", "03", "601", "01"]
 LOGBOOK_AREAS = ["NSEI", "SSEI"]
+SURVEY_COLUMNS = {
+    "stat": "g_stat_area",
+    "start_lat": "start_latitude_decimal_degrees",
+    "start_lon": "start_longitude_decimal_degree",
+    "end_lat": "end_latitude_decimal_degrees",
+    "end_lon": "end_longitude_decimal_degrees",
+}
 SURVEY_LABEL = "ADFG_LLsrv_NPUE_"
 FISHERY_LABEL = "ADFG_LLfishery_WPUE_"
 LEGACY_WPUE = {
@@ -40,6 +48,13 @@ LEGACY_WPUE = {
 }
 
 
+def survey_scan(store: DataFrame) -> DataFrame:
+    """Survey sets of the two sablefish surveys under the short position names."""
+    wanted = F.col("project_code").isin(SURVEY_PROJECTS)
+    kept = [f.name for f in SURVEY_HOOKS if f.name not in SURVEY_COLUMNS]
+    return scan(store, {**{name: name for name in kept}, **SURVEY_COLUMNS}, wanted)
+
+
 def survey_effort(hooks: DataFrame, stat_sizes: DataFrame) -> DataFrame:
     """Survey sets under the common names, with area and size of their stat area.
 
@@ -172,22 +187,30 @@ def cpue_indices(survey: DataFrame, fishery: DataFrame) -> DataFrame:
     return stack([survey, fishery])
 
 
-def rpn_index(rates: DataFrame, stat_sizes: DataFrame) -> DataFrame:
-    """Relative population number: catch rates weighted by stat-area size.
+def rpn_index(
+    rates: DataFrame,
+    sizes: DataFrame,
+    stratum: str = "Stat",
+    size: str = "stat_km2",
+    names: tuple[str, str] = ("RPN", "NPUE"),
+) -> DataFrame:
+    """Relative population number: catch rates weighted by the size of their stratum.
 
-    One pass over the sets: sums and counts per stat area serve both the weighted
-    total and the overall rate. A stat area of unknown size makes its total NULL.
+    Give weight rates and names for the relative population weight, or a depth stratum
+    for totals over depth. One pass over the sets: sums and counts per stratum serve
+    both the weighted total and the overall rate. A stratum of unknown size makes its
+    total NULL.
     """
-    per_stat = (
-        rates.groupBy("year", "Mgmt_area", "Stat")
+    per_stratum = (
+        rates.groupBy("year", "Mgmt_area", F.col(stratum).cast("string").alias("_stratum"))
         .agg(F.sum("std_cpue").alias("_sum"), F.count("std_cpue").alias("_n"))
-        .withColumn("npue", round_even(ratio("_sum", "_n"), 2))
+        .withColumn("_rate", round_even(ratio("_sum", "_n"), 2))
     )
-    sizes = stat_sizes.select(F.col("Stat").cast("string").alias("Stat"), "stat_km2").distinct()
-    weighted = lookup_join(per_stat, sizes, ["Stat"], "left").withColumn(
-        "rpn", F.col("npue") * F.col("stat_km2")
+    area = sizes.select(F.col(stratum).cast("string").alias("_stratum"), F.col(size).alias("_size"))
+    weighted = lookup_join(per_stratum, area.distinct(), ["_stratum"], "left").withColumn(
+        "_weighted", F.col("_rate") * F.col("_size")
     )
     return weighted.groupBy("year", "Mgmt_area").agg(
-        round_even(strict_sum("rpn"), 2).alias("RPN"),
-        round_even(ratio(F.sum("_sum"), F.sum("_n")), 2).alias("NPUE"),
+        round_even(strict_sum("_weighted"), 2).alias(names[0]),
+        round_even(ratio(F.sum("_sum"), F.sum("_n")), 2).alias(names[1]),
     )

@@ -22,8 +22,43 @@ from haulmark.operators.grid import complete
 from haulmark.operators.joins import LOOKUP_ROWS, lookup_join, override_from
 from haulmark.operators.rows import stack, tagged
 from haulmark.operators.series import SpliceRule, splice
-
-# Area and gear groups of the published catch tables.
+from haulmark.sources.readers import scan
+
+# Store columns, area and gear groups of the published catch tables.
+SPECIES = "710"
+TICKET_AREAS = ["NSEI", "SSEI"]
+TICKET_COLUMNS = [
+    "year", "adfg_no", "trip_no", "vessel_name", "port_code", "gear", "catch_date", "sell_date",
+    "harvest_code", "harvest", "g_stat_area", "g_management_area_code", "species_code", "pounds",
+    "round_pounds", "delivery_code", "g_cfec_fishery_group", "g_cfec_fishery",
+]
+EARNINGS_COLUMNS = {
+    "year": "adfg_b_batch_year",
+    "date_landed": "adfg_h_date_landed",
+    "gear_code": "adfg_h_gear_code",
+    "port_code": "adfg_h_port",
+    "cfec_harvest_area": "cfec_harvest_area",
+    "cfec_permit": "adfg_h_permit_fishery",
+    "delivery_code": "adfg_i_delivery_code",
+    "harvest_code": "adfg_i_harvest_code",
+    "mgt_program_code": "adfg_h_mgt_program_id",
+    "species_code": "adfg_i_species_code",
+    "stat_area": "adfg_i_stat_area",
+    "stat_area_type": "adfg_h_stat_area_type",
+    "landing_status": "cfec_landing_status",
+    "pounds": "adfg_i_pounds",
+    "whole_pounds": "adfg_i_whole_pounds",
+}
+STAT_AREA_COLUMNS = {
+    "stat_area": "stat_area",
+    "stat_area_type": "database_type",
+    "region": "region",
+    "waters": "waters",
+    "start_date": "start_date",
+    "end_date": "end_date",
+    "g_mgt_area_district": "g_mgt_area_district",
+    "g_nmfs_area": "g_nmfs_area",
+}
 AREA_DISTRICTS = {
     "PWS": ["PWS", "PWSE", "PWSI", "PWSW"],
     "NSEI": ["NSEI"],
@@ -57,6 +92,27 @@ BEST_SERIES = [
 ]
 
 
+def ticket_scan(
+    store: DataFrame, species: str = SPECIES, areas: Sequence[str] = TICKET_AREAS
+) -> DataFrame:
+    wanted = (F.col("species_code") == species) & F.col("g_management_area_code").isin(list(areas))
+    return scan(store, TICKET_COLUMNS, wanted)
+
+
+def earnings_scan(store: DataFrame, species: str = SPECIES) -> DataFrame:
+    return scan(store, EARNINGS_COLUMNS, F.col(EARNINGS_COLUMNS["species_code"]) == species)
+
+
+def stat_area_scan(store: DataFrame) -> DataFrame:
+    return scan(store, STAT_AREA_COLUMNS)
+
+
+def unknown_waters(placed: DataFrame, districts: Sequence[str]) -> DataFrame:
+    """The stat areas of some districts as they occur in the landings, for review."""
+    keys = ["g_mgt_area_district", "stat_area", "waters", "start_date", "end_date"]
+    return placed.filter(F.col("g_mgt_area_district").isin(list(districts))).select(*keys).distinct()
+
+
 def clean_tickets(tickets: DataFrame) -> DataFrame:
     """Ticket landings with whole weight filled from landed weight where it is 0."""
     return tickets.withColumnRenamed("g_management_area_code", "Mgmt_area").withColumn(

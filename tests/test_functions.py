@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import random
+import statistics
 from datetime import date, datetime
 
 import pytest
@@ -62,6 +64,27 @@ def test_rounded_statistics_round_true_ties_to_even(spark, values, mean, sd):
     assert df.agg(nulls.rounded_mean("x", 1), nulls.rounded_sd("x", 1)).first()[:] == (mean, sd)
 
 
+@pytest.mark.parametrize("value", [123.00005, 0.00015, -7.33335, 57.3, 1 / 3])
+def test_equal_values_have_no_spread(spark, value):
+    df = spark.createDataFrame([(value,)] * 7, "x double")
+    assert df.agg(nulls.rounded_sd("x", 4)).first()[0] == 0.0
+
+
+def test_moments_add_up_over_groups(spark):
+    rng = random.Random(5)
+    data = [(rng.choice("abc"), round(rng.gauss(60, 9), 1)) for _ in range(500)]
+    df = spark.createDataFrame(data, "k string, x double")
+    parts = nulls.moments("x")
+    fine = df.groupBy("k").agg(*[c.alias(n) for n, c in parts.items()])
+    total = {n: F.sum(n) for n in parts}
+    got = fine.agg(nulls.mean_of_moments(total, 3), nulls.sd_of_moments(total, 3)).first()
+    values = [x for _, x in data]
+    assert got[:] == (
+        pytest.approx(statistics.mean(values), abs=6e-4),
+        pytest.approx(statistics.stdev(values), abs=6e-4),
+    )
+
+
 def test_rounded_sd_matches_plain_sd_for_large_values(spark):
     values = [123456.7, 98765.4, 150000.1, 222222.2]
     df = spark.createDataFrame([(v,) for v in values], "x double")

@@ -11,6 +11,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from haulmark.functions import measures
 from haulmark.operators.series import SpliceRule
 from haulmark.plans import biology, effort, landings
 from haulmark.sources import schemas
@@ -81,6 +82,37 @@ def test_catch_grid(catch, rows):
     assert dict(out.dtypes)["year"] == "int"
 
 
+def test_store_scans(spark, rows):
+    names = landings.EARNINGS_COLUMNS
+    store = spark.createDataFrame(
+        [tuple("710" if k == "species_code" else k for k in names), tuple("711" for _ in names)],
+        ", ".join(f"{source} string" for source in names.values()),
+    )
+    got = landings.earnings_scan(store)
+    assert got.columns == schemas.EARNINGS_LANDINGS.fieldNames()
+    assert rows(got) == [tuple("710" if k == "species_code" else k for k in names)]
+
+    data = [{"species_code": s, "g_management_area_code": a} for s, a in (("710", "NSEI"), ("710", "EYKT"), ("711", "NSEI"))]
+    tickets = landings.ticket_scan(make(spark, schemas.TICKET_LANDINGS, data))
+    assert tickets.columns == schemas.TICKET_LANDINGS.fieldNames() and tickets.count() == 1
+
+    lookup = make(spark, schemas.STAT_AREA_LOOKUP, STAT_AREAS).withColumnRenamed("stat_area_type", "database_type")
+    assert landings.stat_area_scan(lookup).columns == schemas.STAT_AREA_LOOKUP.fieldNames()
+    raw = make(spark, schemas.STAT_TO_AREA, [{"stat": "1"}]).withColumnRenamed("stat", "g_stat_area")
+    assert biology.stat_to_area_scan(raw).columns == schemas.STAT_TO_AREA.fieldNames()
+
+    hooked = make(spark, schemas.SURVEY_HOOKS, [hooks(2000), hooks(2000, project="77")])
+    survey_store = hooked.withColumnsRenamed(effort.SURVEY_COLUMNS)
+    scanned = effort.survey_scan(survey_store)
+    assert set(scanned.columns) == set(hooked.columns) and scanned.count() == 1
+
+
+def test_unknown_waters(catch, rows):
+    placed = landings.landings_with_areas(*catch)
+    got = landings.unknown_waters(placed, ["PWS", "PWSE"])
+    assert rows(got, "g_mgt_area_district", "stat_area", "waters") == [("PWS", "03", "STATE"), ("PWSE", "02", "STATE")]
+
+
 def test_preaggregated_catch_equals_the_row_level_chain(catch, rows):
     joined = landings.landings_with_areas(*catch)
     kept = joined.filter(F.col("waters").isin("STATE") & F.col("g_mgt_area_district").isin("NSEI", "SSEI", "PWS", "PWSE"))
@@ -405,3 +437,12 @@ def test_rpn(spark, rows):
     out = effort.rpn_index(effort.survey_rates(effort_rows), sizes)
     npue = round(20 / std(100, 78), 2)
     assert rows(out) == [(2000, "NSEI", round(npue * 3.0, 2), npue), (2000, "SSEI", None, round(5 / std(100, 78), 2))]
+
+
+def test_rpn_over_depth_strata(spark, rows):
+    depth = measures.depth_stratum("depth")
+    data = [(2000, "NSEI", 250.0, 1.0), (2000, "NSEI", 290.0, 2.0), (2000, "NSEI", 350.0, 4.0)]
+    rates = spark.createDataFrame(data, "year int, Mgmt_area string, depth double, std_cpue double")
+    sizes = spark.createDataFrame([(3, 10.0), (4, 100.0)], "stratum int, km2 double")
+    out = effort.rpn_index(rates.withColumn("stratum", depth), sizes, "stratum", "km2", ("RPW", "WPUE"))
+    assert rows(out, "RPW", "WPUE") == [(415.0, 2.33)]
