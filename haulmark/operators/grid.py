@@ -51,6 +51,7 @@ def complete(
     measures in ``fill`` get their fill value wherever they are NULL. Rows whose
     values are not among the levels are kept. Missing keys count as values.
     """
+    levels = {c: v if isinstance(v, Column) else list(dict.fromkeys(v)) for c, v in levels.items()}
     declared = [len(v) for v in levels.values() if not isinstance(v, Column)]
     if prod(declared) > max_cells:
         raise ValueError(f"grid of {prod(declared)} cells exceeds {max_cells}")

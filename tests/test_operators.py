@@ -203,6 +203,11 @@ def test_complete_keeps_duplicate_rows(spark):
     assert got(out) == complete_by_hand(data, ["year", "area", "gear"], combos, {"w": 0.0})
 
 
+def test_a_level_named_twice_is_one_level(spark):
+    once = grid.complete(frame(spark, CELLS), ["year", "area"], {"gear": ["H", "P"]})
+    assert got(grid.complete(frame(spark, CELLS), ["year", "area"], {"gear": ["H", "P", "H"]})) == got(once)
+
+
 def test_complete_is_idempotent(spark):
     once = grid.complete(frame(spark, CELLS), ["year", "area"], {"gear": ["H", "P"]}, {"w": 0.0})
     twice = grid.complete(once, ["year", "area"], {"gear": ["H", "P"]}, {"w": 0.0})
@@ -211,7 +216,7 @@ def test_complete_is_idempotent(spark):
 
 def test_complete_limits_are_errors_not_truncation(spark):
     with pytest.raises(ValueError, match="cells"):
-        grid.complete(frame(spark, CELLS), ["year"], {"gear": ["H"] * 20, "area": ["N"] * 20}, max_cells=100)
+        grid.complete(frame(spark, CELLS), ["year"], {"gear": list("abcdefghijk"), "area": list("abcdefghijk")}, max_cells=100)
     with pytest.raises(Exception, match="more than 2 levels"):
         grid.complete_global(frame(spark, CELLS), ["year", "gear"], limit=2).collect()
 
