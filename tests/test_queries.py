@@ -8,6 +8,7 @@ from datetime import datetime
 import pytest
 
 import __spark_entry__ as contract
+from bindings import ORACLE, QUERIES
 
 duckdb = pytest.importorskip("duckdb")
 SF = contract.SMOKE_DIR
@@ -44,10 +45,11 @@ def compare(df, duck, sql):
     return got
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
-    rows = compare(contract.queries()[name](spark, SF), duck, contract.oracle_sql()[name])
+    rows = compare(QUERIES[name](spark, SF), duck, ORACLE[name])
     assert rows
+    assert contract.queries()[name] is QUERIES[name]
 
 
 @pytest.mark.parametrize("name", JOINING)
