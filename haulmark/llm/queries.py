@@ -35,3 +35,40 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from haulmark.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+@query(
+    "op7_warc",
+    """
+    WITH p AS (
+      SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+      FROM pages
+    ), q AS (
+      SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+    FROM q
+    """,
+)
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haulmark.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+@query("op2_html_text")
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haulmark.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op6_secrets")
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haulmark.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
