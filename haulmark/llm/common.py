@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SLICE_BYTES = 2 << 20
 
 _own: list[str] = []
+_shipped: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,6 +41,20 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[0]
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this library to the executors, once for each Spark application."""
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    if context.applicationId in _shipped or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="haulmark-")) / "haulmark_library.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/haulmark/{name}-{uuid.uuid4().hex}"
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulmark.llm.common import table
+from haulmark.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +16,11 @@ ORACLE: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             ORACLE[name] = sql.strip()
         return fn
@@ -72,3 +76,42 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from haulmark.llm.secrets import scan
 
     return scan(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op5_decontaminate",
+    r"""
+    WITH letters AS (
+      SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS upper, 'abcdefghijklmnopqrstuvwxyz' AS low
+    ), d AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), upper, low),
+                                        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM documents, letters
+    ), b AS (
+      SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), upper, low),
+                                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM benchmark, letters
+    ), iw AS (
+      SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+      FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+    ), ks AS (SELECT DISTINCT k FROM iw), dw AS (
+      SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS g
+      FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k)
+    ), m AS (
+      SELECT doc_id, i, dw.k, item_id FROM dw JOIN iw USING (k, g)
+    ), h AS (
+      SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY 1
+    ), t AS (
+      SELECT doc_id, count(DISTINCT item_id) AS n_items,
+             string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
+      FROM m GROUP BY 1
+    )
+    SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+    """,
+)
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haulmark.llm.decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
