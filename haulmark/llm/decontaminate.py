@@ -91,7 +91,7 @@ def bloom(hashes: DataFrame) -> np.ndarray:
     rows = (
         hashes.select(bit)
         .groupBy(F.shiftright("bit", 6).alias("word"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("bit").bitwiseAND(63).cast("int"))).alias("bits"))
+        .agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("bits"))
         .toArrow()
     )
     out = np.zeros(FILTER_BITS // 64, np.int64)
