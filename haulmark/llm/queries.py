@@ -115,3 +115,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from haulmark.llm.decontaminate import decontaminate
 
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haulmark.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents"))
