@@ -122,3 +122,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from haulmark.llm.quality import judge
 
     return judge(table(spark, sf_dir, "documents"))
+
+
+@query("op4_near_dedup")
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haulmark.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
