@@ -129,3 +129,30 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from haulmark.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op8_substring_dedup",
+    r"""
+    WITH d AS (
+      SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), win AS (
+      SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+    ), f AS (SELECT g, min(doc_id) AS first FROM win GROUP BY g), gone AS (
+      SELECT DISTINCT doc_id, p
+      FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN f USING (g) WHERE first < doc_id)
+    ), words AS (
+      SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
+    ), kept AS (
+      SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
+      FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+    )
+    SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haulmark.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
