@@ -156,3 +156,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from haulmark.llm.substring_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op10_language_model")
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haulmark.llm.language_model import score
+
+    return score(table(spark, sf_dir, "documents"))
