@@ -163,3 +163,10 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from haulmark.llm.language_model import score
 
     return score(table(spark, sf_dir, "documents"))
+
+
+@query("op3_token_files")
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haulmark.llm.token_files import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
