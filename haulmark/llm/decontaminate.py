@@ -219,3 +219,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             (F.col("n_hit") > 0).alias("contaminated"),
         )
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents without a hit, all columns as they are."""
+    _, hits = find_leaks(docs, benchmark)
+    own = "__row_key"
+    keys = keep(hits.select(F.col("key").alias(own)).distinct(), "leaks")
+    return docs.withColumn(own, row_key()).join(keys, own, "left_anti").drop(own)

@@ -285,3 +285,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ).select(
         "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")
     )
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One document of each group of near duplicates, all columns as they are.
+
+    Rows that repeat the id that stays are the same document and stay with it.
+    """
+    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(keep(gone, "gone"), F.col("doc_id") == F.col("__gone"), "left_anti")

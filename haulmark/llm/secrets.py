@@ -13,12 +13,13 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from haulmark.llm.common import keep, map_slices, row_key, texts
 
@@ -151,20 +152,14 @@ def ownership(candidates: DataFrame) -> DataFrame:
     )
 
 
-def scan(
-    docs: DataFrame, owner_col: str = "source", repo_cols: Sequence[str] = ("source", "lang"), max_owners: int = 1
-) -> DataFrame:
-    """Base spans, all spans and the number of live and copied candidates of each document.
-
-    A candidate is copied if more than ``max_owners`` owners hold it, and live if it is not
-    and its characters look random. ``spans`` holds every base span and the further
-    candidates that are live. A missing or empty text has no spans; a missing owner or
-    repository counts as one of its own. Rows with equal or missing ids are scanned one by
-    one. Needs ``doc_id``, ``text`` and the named columns; others are ignored.
-    """
+def weigh(
+    docs: DataFrame, owner_col: str, repo_cols: Sequence[str], max_owners: int
+) -> tuple[DataFrame, DataFrame]:
+    """What was found in each document, and for those with candidates the live and copied ones."""
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner")
     repo = F.to_json(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in repo_cols))).alias("repo")
-    scanned = keep(map_slices(texts(docs, "doc_id", "text", row_key().alias("key"), owner, repo), scan_rows, SCANNED), "secrets")
+    rows = texts(docs, "doc_id", "text", row_key().alias("key"), owner, repo)
+    scanned = keep(map_slices(rows, scan_rows, SCANNED), "secrets")
     candidates = scanned.select("key", "owner", "repo", F.explode("found").alias("c")).select(
         "key", "owner", "repo", F.col("c.hash").alias("hash"), F.col("c").alias("span")
     )
@@ -179,9 +174,24 @@ def scan(
         .agg(
             F.count_if(live).alias("n_live"),
             F.count_if(copied).alias("n_copied"),
-            F.collect_list(F.when(live & ~F.col("span.base"), F.col("span"))).alias("added"),
+            F.collect_list(F.when(live | F.col("span.base"), F.col("span"))).alias("spans"),
         )
     )
+    return scanned, weighed
+
+
+def scan(
+    docs: DataFrame, owner_col: str = "source", repo_cols: Sequence[str] = ("source", "lang"), max_owners: int = 1
+) -> DataFrame:
+    """Base spans, all spans and the number of live and copied candidates of each document.
+
+    A candidate is copied if more than ``max_owners`` owners hold it, and live if it is not
+    and its characters look random. ``spans`` holds every base span and the further
+    candidates that are live. A missing or empty text has no spans; a missing owner or
+    repository counts as one of its own. Rows with equal or missing ids are scanned one by
+    one. Needs ``doc_id``, ``text`` and the named columns; others are ignored.
+    """
+    scanned, weighed = weigh(docs, owner_col, repo_cols, max_owners)
     base = F.filter("found", lambda s: s["base"])
 
     def count(kind: str) -> Column:
@@ -190,7 +200,7 @@ def scan(
     order = F.create_map(*(F.lit(x) for i, k in enumerate((*KINDS, *MORE_KINDS)) for x in (k, i)))
     everything = F.array_sort(
         F.transform(
-            F.concat(base, F.coalesce("added", F.lit(None).cast(FOUND), F.array().cast(FOUND))),
+            F.coalesce("spans", F.array().cast(FOUND)),
             lambda s: F.struct(
                 s["start"].alias("start"), order[s["kind"]].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")
             ),
@@ -204,3 +214,42 @@ def scan(
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
         F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
     )
+
+
+REDACTED = "[REDACTED]"
+
+
+def masked(text: str, spans: list[dict]) -> str:
+    """The text with each run of overlapping spans replaced."""
+    out, at = [], 0
+    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
+        if s["start"] >= at:
+            out += [text[at : s["start"]], REDACTED]
+        at = max(at, s["end"])
+    return "".join([*out, text[at:]])
+
+
+def redact(
+    docs: DataFrame, owner_col: str = "source", repo_cols: Sequence[str] = ("source", "lang"), max_owners: int = 1
+) -> DataFrame:
+    """All documents and columns, the spans of ``scan`` replaced in ``text``; ``n_chars`` follows, if there is one."""
+    _, weighed = weigh(docs, owner_col, repo_cols, max_owners)
+    spans = keep(weighed.select("key", "spans"), "spans")
+    rows = docs.select(row_key().alias("key"), F.struct(*docs.columns).alias("row")).join(spans, "key", "left")
+    clean = rows.select("spans", F.col("row.text").alias("text"), "row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [
+                masked(t, s) if s and t is not None else None
+                for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), batch.column("row")], ["new", "row"])
+
+    schema = T.StructType([T.StructField("new", T.StringType()), T.StructField("row", docs.schema)])
+    out = clean.mapInArrow(run, schema)
+    text = F.coalesce("new", "row.text")
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("new").isNotNull(), F.length(text)).otherwise(F.col("row.n_chars"))
+    return out.select(*(changed.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
