@@ -75,7 +75,7 @@ def logbook_extract(spark: S, sf: str) -> DataFrame:
 
 @query("survey_npue_index", ctes("survey_rates") + _SURVEY_INDEX)
 def survey_npue_index(spark: S, sf: str) -> DataFrame:
-    return plans.survey_npue_index(_survey(spark, sf), label="SRV_")
+    return plans.survey_npue_of_hooks(roles.survey_hooks(spark, sf), roles.stat_sizes(spark, sf), label="SRV_")
 
 
 @query("fishery_wpue_index", ctes("fishery_rates") + _FISHERY_INDEX)
@@ -102,4 +102,4 @@ def cpue_index(spark: S, sf: str) -> DataFrame:
     FROM per_stat p LEFT JOIN stat_sizes z ON p.Stat = CAST(z.Stat AS VARCHAR) GROUP BY 1, 2""",
 )
 def rpn_index(spark: S, sf: str) -> DataFrame:
-    return plans.rpn_index(plans.survey_rates(_survey(spark, sf)), roles.stat_sizes(spark, sf))
+    return plans.rpn_of_hooks(roles.survey_hooks(spark, sf), roles.stat_sizes(spark, sf))

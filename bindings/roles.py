@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulmark.functions.categories import map_codes
+from haulmark.functions.dates import in_years
 from haulmark.plans.biology import MATURITY_CODES, SEX_CODES
 
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -70,11 +71,11 @@ def sql_values(values: list[str], name: str) -> str:
 
 
 def region_of_supplier(spark: SparkSession, sf: str) -> DataFrame:
-    """Supplier with the names of its nation and region."""
-    return (
-        table(spark, sf, "supplier")
-        .join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    """Supplier with the names of its nation and region, which follow from its nation's key."""
+    return table(spark, sf, "supplier").select(
+        "*",
+        F.concat(F.lit("NATION_"), F.col("s_nationkey")).alias("n_name"),
+        area_of("s_nationkey").alias("r_name"),
     )
 
 
@@ -87,9 +88,15 @@ def landings(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("l_suppkey") % 2).alias("stat_area_type"),
         F.col("l_quantity").alias("pounds"),
         F.when(F.col("l_discount") == 0, 0.0).otherwise(F.col("l_extendedprice")).alias("whole_pounds"),
+        species_of("l_tax").alias("species_code"),
     )
 
 
+def species_of(c: str) -> Column:
+    """Some rows are of another species, which no catch table may count."""
+    return F.when(F.col(c) == 0.03, "711").otherwise("710")
+
+
 def _waters() -> Column:
     """Recorded waters; missing for the smallest balances."""
     return F.when(F.col("s_acctbal") >= 6500, "FED").when(F.col("s_acctbal") >= 2500, "STATE")
@@ -117,28 +124,27 @@ def stat_areas(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def waters_updates(spark: SparkSession, sf: str) -> DataFrame:
-    """Waters of the stat areas that lack them, half of them with an open validity."""
+    """Waters of the stat areas that lack them, half of all with an open validity."""
     start, end = _validity()
-    return (
-        table(spark, sf, "supplier")
-        .filter(_waters().isNull())
-        .select(
-            F.col("s_suppkey").alias("stat_area"),
-            start.alias("start_date"),
-            end.alias("end_date"),
-            F.when(F.col("s_suppkey") % 4 < 2, "STATE").otherwise("FED").alias("updated_waters"),
-        )
+    new = F.when(F.col("s_suppkey") % 4 < 2, "STATE").otherwise("FED")
+    return table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("stat_area"),
+        start.alias("start_date"),
+        end.alias("end_date"),
+        F.when(_waters().isNull(), new).alias("updated_waters"),
     )
 
 
-def tickets(spark: SparkSession, sf: str) -> DataFrame:
+def tickets(spark: SparkSession, sf: str, years: tuple[int, int] | None = None) -> DataFrame:
     """A second landing source: orders, the customer giving the area."""
-    return table(spark, sf, "orders").select(
+    orders = table(spark, sf, "orders")
+    return (orders.filter(in_years("o_orderdate", *years)) if years else orders).select(
         F.year("o_orderdate").alias("year"),
         area_of("o_custkey").alias("g_management_area_code"),
         F.col("o_orderpriority").alias("gear"),
         F.col("o_totalprice").alias("pounds"),
         F.when(F.col("o_orderstatus") == "P", 0.0).otherwise(F.col("o_totalprice")).alias("round_pounds"),
+        F.when(F.col("o_custkey") % 7 == 3, "711").otherwise("710").alias("species_code"),
     )
 
 
@@ -169,14 +175,16 @@ def specimens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stat_to_area(spark: SparkSession, sf: str) -> DataFrame:
-    """Area of a stat area, unknown in one nation."""
-    return (
-        region_of_supplier(spark, sf)
-        .filter(F.col("n_name") != "NATION_13")
-        .select(F.col("s_suppkey").alias("stat"), F.col("r_name").alias("g_management_area_code"))
+    """Area of a stat area; the keys of one nation match no set."""
+    return region_of_supplier(spark, sf).select(
+        _known_stat().alias("stat"), F.col("r_name").alias("g_management_area_code")
     )
 
 
+def _known_stat() -> Column:
+    return F.when(F.col("n_name") == "NATION_13", -F.col("s_suppkey")).otherwise(F.col("s_suppkey"))
+
+
 def bio(spark: SparkSession, sf: str) -> DataFrame:
     """All specimens under the common column names, missing values left in."""
     project = F.col("project_code")
@@ -227,15 +235,11 @@ def survey_hooks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stat_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    """Area and size of a stat area, unknown in one nation."""
-    return (
-        region_of_supplier(spark, sf)
-        .filter(F.col("n_name") != "NATION_13")
-        .select(
-            F.col("s_suppkey").alias("Stat"),
-            F.col("r_name").alias("Mgmt_area"),
-            (F.lit(10.0) + F.col("s_suppkey")).alias("stat_km2"),
-        )
+    """Area and size of a stat area; the keys of one nation match no set."""
+    return region_of_supplier(spark, sf).select(
+        _known_stat().alias("Stat"),
+        F.col("r_name").alias("Mgmt_area"),
+        (F.lit(10.0) + F.col("s_suppkey")).alias("stat_km2"),
     )
 
 
@@ -272,7 +276,8 @@ SQL = {
     "landings": """
     SELECT CAST(year(l_shipdate) AS INTEGER) AS year, l_returnflag || l_linestatus AS gear_code,
       l_suppkey AS stat_area, l_suppkey % 2 AS stat_area_type,
-      l_quantity AS pounds, CASE WHEN l_discount = 0 THEN 0 ELSE l_extendedprice END AS whole_pounds
+      l_quantity AS pounds, CASE WHEN l_discount = 0 THEN 0 ELSE l_extendedprice END AS whole_pounds,
+      CASE WHEN l_tax = 0.03 THEN '711' ELSE '710' END AS species_code
     FROM lineitem""",
     "stat_areas": """
     SELECT s_suppkey AS stat_area,
@@ -286,8 +291,8 @@ SQL = {
     SELECT s_suppkey AS stat_area,
       CASE WHEN s_suppkey % 4 < 2 THEN TIMESTAMP '1985-01-01' ELSE TIMESTAMP '1990-01-01' END AS start_date,
       CASE WHEN s_suppkey % 2 = 0 THEN TIMESTAMP '1999-12-31' END AS end_date,
-      CASE WHEN s_suppkey % 4 < 2 THEN 'STATE' ELSE 'FED' END AS updated_waters
-    FROM supplier WHERE s_acctbal < 2500""",
+      CASE WHEN s_acctbal < 2500 THEN CASE WHEN s_suppkey % 4 < 2 THEN 'STATE' ELSE 'FED' END END AS updated_waters
+    FROM supplier""",
     "landings_areas": """
     SELECT l.*, a.region, coalesce(u.updated_waters, a.waters) AS waters, a.start_date, a.end_date,
       a.g_mgt_area_district
@@ -305,7 +310,7 @@ SQL = {
       SELECT year, {sql_map("g_mgt_area_district", AREAS)} AS Mgmt_area, {sql_map("gear_code", GEARS)} AS gear,
         CASE WHEN whole_pounds = 0 THEN pounds ELSE whole_pounds END AS w
       FROM landings_areas
-      WHERE g_mgt_area_district IN ({sql_list([d for v in AREAS.values() for d in v])}) AND waters IN ('STATE')
+      WHERE species_code = '710' AND g_mgt_area_district IN ({sql_list([d for v in AREAS.values() for d in v])}) AND waters IN ('STATE')
     ) GROUP BY year, Mgmt_area, gear""",
     "catch_grid": f"""
     SELECT y.year, Mgmt_area, gear, coalesce(c.whole_pounds, 0) AS whole_pounds
@@ -321,7 +326,7 @@ SQL = {
     "tickets": """
     SELECT CAST(year(o_orderdate) AS INTEGER) AS year, {area} AS Mgmt_area, o_orderpriority AS gear,
       o_totalprice AS pounds, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_totalprice END AS round_pounds
-    FROM orders""".format(area=sql_area("o_custkey")),
+    FROM orders WHERE o_custkey % 7 <> 3""".format(area=sql_area("o_custkey")),
     "clean_tickets": """
     SELECT year, Mgmt_area, gear, pounds,
       CASE WHEN round_pounds = 0 THEN pounds ELSE round_pounds END AS round_pounds
@@ -353,8 +358,8 @@ SQL = {
     FROM specimens WHERE project_code IN ('10', '11') AND species_code = '710'
       AND length_millimeters IS NOT NULL""",
     "stat_to_area": """
-    SELECT s_suppkey AS stat, r_name AS g_management_area_code
-    FROM region_of_supplier WHERE n_name <> 'NATION_13'""",
+    SELECT CASE WHEN n_name = 'NATION_13' THEN -s_suppkey ELSE s_suppkey END AS stat, r_name AS g_management_area_code
+    FROM region_of_supplier""",
     "longline_bio": """
     SELECT year, 'Longline' AS Gear, 'Survey' AS Source, g_management_area_code AS Mgmt_area,
       species_code AS Spp_cde, length_millimeters / 10 AS length, weight_kilograms AS weight, age,
@@ -383,9 +388,9 @@ SQL = {
       CASE l_returnflag WHEN 'A' THEN '02' WHEN 'R' THEN '01' END AS subset_condition_code
     FROM lineitem""",
     "stat_sizes": """
-    SELECT s_suppkey AS Stat, r_name AS Mgmt_area,
+    SELECT CASE WHEN n_name = 'NATION_13' THEN -s_suppkey ELSE s_suppkey END AS Stat, r_name AS Mgmt_area,
       CAST(10 + s_suppkey AS DOUBLE) AS stat_km2
-    FROM region_of_supplier WHERE n_name <> 'NATION_13'""",
+    FROM region_of_supplier""",
     "survey_effort": """
     SELECT h.year, project_code AS Project_cde, station_no AS Station_no, trip_no, adfg_no AS Adfg,
       vessel_name AS Vessel, CAST(time_first_buoy_onboard AS DATE) AS date,

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindings import roles
 from bindings.registry import query
-from bindings.roles import ctes, table
+from bindings.roles import AREAS, ctes, table
 from haulmark.functions.dates import in_years
 from haulmark.functions.measures import (
     fathoms_to_meters,
@@ -15,7 +15,7 @@ from haulmark.functions.measures import (
     pounds_to_tonnes,
 )
 from haulmark.functions.nulls import exact_sum, is_in, null_to
-from haulmark.operators.joins import LOOKUP_ROWS, duplicate_keys, lookup_join, override_from
+from haulmark.operators.joins import duplicate_keys, lookup_join, override_from
 from haulmark.operators.rows import (
     below_global_max,
     order_by_levels,
@@ -24,7 +24,7 @@ from haulmark.operators.rows import (
     stack,
     tagged,
 )
-from haulmark.plans.landings import landings_with_areas
+from haulmark.plans.landings import landings_with_areas, unknown_waters
 from haulmark.sources.readers import inline_series, scan
 
 S = SparkSession
@@ -313,7 +313,6 @@ def join_inner_two_keys(spark: S, sf: str) -> DataFrame:
         lookup,
         ["stat_area", "stat_area_type"],
         "inner",
-        max_broadcast_rows=LOOKUP_ROWS,
     ).select("stat_area", "stat_area_type", "year", "gear_code", "pounds", "region", "waters")
 
 
@@ -327,56 +326,59 @@ def join_inner_two_keys(spark: S, sf: str) -> DataFrame:
 def join_inner_lookup(spark: S, sf: str) -> DataFrame:
     fish = roles.landings(spark, sf).select(F.col("stat_area").alias("stat"), "year", "pounds")
     areas = roles.stat_to_area(spark, sf)
-    return lookup_join(fish, areas, ["stat"], "inner", max_broadcast_rows=LOOKUP_ROWS)
-
-
-_ORDER_WATERS = """
-    SELECT o_orderkey, o_orderpriority AS block, CAST(year(o_orderdate) AS INTEGER) AS start_year,
-      CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS end_code, 'FED' AS waters FROM orders"""
-_ORDER_UPDATES = """
-    SELECT DISTINCT o_orderpriority AS block, CAST(year(o_orderdate) AS INTEGER) AS start_year,
-      CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS end_code,
-      CASE WHEN o_orderpriority <> '3-MEDIUM' THEN 'STATE' END AS updated_waters
-    FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AND o_orderstatus <> 'F'"""
-_ORDER_JOIN = """
+    return lookup_join(fish, areas, ["stat"], "inner")
+
+
+_SET_WATERS = """
+    SELECT l_orderkey, l_linenumber, l_suppkey AS block, 1985 + 5 * (l_suppkey % 4 // 2) AS start_year,
+      CASE WHEN l_suppkey % 2 = 0 THEN 'closed' END AS end_code, 'FED' AS waters FROM lineitem"""
+_SUPPLIER_UPDATES = """
+    SELECT s_suppkey AS block, CASE WHEN s_nationkey = 7 THEN 1970 ELSE 1985 + 5 * (s_suppkey % 4 // 2) END AS start_year,
+      CASE WHEN s_suppkey % 2 = 0 THEN 'closed' END AS end_code,
+      CASE WHEN s_acctbal < 2500 THEN 'STATE' END AS updated_waters FROM supplier"""
+_WATERS_JOIN = """
     FROM w LEFT JOIN u ON w.block IS NOT DISTINCT FROM u.block
       AND w.start_year IS NOT DISTINCT FROM u.start_year AND w.end_code IS NOT DISTINCT FROM u.end_code"""
 
 
-def _order_waters(spark: S, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Orders with a key that is partly missing, and updates for some of those keys."""
-    orders = table(spark, sf, "orders")
-    keys = [
-        F.col("o_orderpriority").alias("block"),
-        F.year("o_orderdate").alias("start_year"),
-        F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("end_code"),
-    ]
-    known = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM") & (F.col("o_orderstatus") != "F")
-    updated = F.when(F.col("o_orderpriority") != "3-MEDIUM", F.lit("STATE")).alias("updated_waters")
-    updates = orders.filter(known).select(*keys, updated).distinct()
-    return orders.select("o_orderkey", *keys, F.lit("FED").alias("waters")), updates
+def _set_waters(spark: S, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Sets whose key has a missing part in half the blocks, and updates of which some match none."""
+
+    def validity(key: str) -> list[Column]:
+        start = F.when(F.col(key) % 4 < 2, 1985).otherwise(1990)
+        return [start.alias("start_year"), F.when(F.col(key) % 2 == 0, "closed").alias("end_code")]
+
+    rows = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_suppkey").alias("block"), *validity("l_suppkey"), F.lit("FED").alias("waters")
+    )
+    start, end = validity("s_suppkey")
+    updates = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("block"),
+        F.when(F.col("s_nationkey") == 7, 1970).otherwise(start).alias("start_year"),
+        end,
+        F.when(F.col("s_acctbal") < 2500, "STATE").alias("updated_waters"),
+    )
+    return rows, updates
 
 
 @query(
     "join_left_nullsafe",
-    f"WITH w AS ({_ORDER_WATERS}), u AS ({_ORDER_UPDATES}) SELECT w.*, u.updated_waters {_ORDER_JOIN}",
+    f"WITH w AS ({_SET_WATERS}), u AS ({_SUPPLIER_UPDATES}) SELECT w.*, u.updated_waters {_WATERS_JOIN}",
 )
 def join_left_nullsafe(spark: S, sf: str) -> DataFrame:
-    rows, updates = _order_waters(spark, sf)
-    keys = ["block", "start_year", "end_code"]
-    return lookup_join(rows, updates, keys, "left", max_broadcast_rows=LOOKUP_ROWS)
+    rows, updates = _set_waters(spark, sf)
+    return lookup_join(rows, updates, ["block", "start_year", "end_code"], "left")
 
 
 @query(
     "join_override_coalesce",
-    f"""WITH w AS ({_ORDER_WATERS}), u AS ({_ORDER_UPDATES})
-    SELECT w.o_orderkey, w.block, w.start_year, w.end_code, coalesce(u.updated_waters, w.waters) AS waters
-    {_ORDER_JOIN}""",
+    f"""WITH w AS ({_SET_WATERS}), u AS ({_SUPPLIER_UPDATES})
+    SELECT w.l_orderkey, w.l_linenumber, w.block, w.start_year, w.end_code, coalesce(u.updated_waters, w.waters) AS waters
+    {_WATERS_JOIN}""",
 )
 def join_override_coalesce(spark: S, sf: str) -> DataFrame:
-    rows, updates = _order_waters(spark, sf)
-    keys = ["block", "start_year", "end_code"]
-    return override_from(rows, updates, keys, "waters", "updated_waters", LOOKUP_ROWS)
+    rows, updates = _set_waters(spark, sf)
+    return override_from(rows, updates, ["block", "start_year", "end_code"], "waters", "updated_waters")
 
 
 @query(
@@ -390,7 +392,7 @@ def join_left_lookup(spark: S, sf: str) -> DataFrame:
     stat = F.col("stat_area").cast("string").alias("Stat")
     sets = roles.landings(spark, sf).select(stat, "year", "pounds")
     sizes = roles.stat_sizes(spark, sf).withColumn("Stat", F.col("Stat").cast("string"))
-    return lookup_join(sets, sizes, ["Stat"], "left", max_broadcast_rows=LOOKUP_ROWS)
+    return lookup_join(sets, sizes, ["Stat"], "left")
 
 
 @query(
@@ -472,14 +474,8 @@ def set_union_by_name(spark: S, sf: str) -> DataFrame:
     WHERE a.region IN ('AFRICA', 'ASIA')""",
 )
 def set_distinct(spark: S, sf: str) -> DataFrame:
-    # Only lookup columns are wanted, so the landings reduce to their keys first.
-    used = roles.landings(spark, sf).select("stat_area", "stat_area_type").distinct()
-    areas = roles.stat_areas(spark, sf).filter(F.col("region").isin("AFRICA", "ASIA"))
-    return (
-        lookup_join(areas, used, ["stat_area", "stat_area_type"], "inner")
-        .select("g_mgt_area_district", "stat_area", "waters", "start_date", "end_date")
-        .distinct()
-    )
+    districts = [d for area in ("AFRICA", "ASIA") for d in AREAS[area]]
+    return unknown_waters(roles.landings(spark, sf), roles.stat_areas(spark, sf), districts)
 
 
 @query(

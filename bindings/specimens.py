@@ -139,10 +139,10 @@ def proportion_mature(spark: S, sf: str) -> DataFrame:
 def _size_sql(measure: str, where: str) -> str:
     keys = "Gear, Source, Sex, year, age"
     known = f"CASE WHEN count(*) = count({measure}) THEN"
-    unit = f"CAST(round({measure} * 10000) AS BIGINT)"
-    mean = f"CAST(sum({unit}) AS BIGINT) / (count(*) * 1000e0)"
+    unit = f"CAST(round({measure} * 1000000) AS BIGINT)"
+    mean = f"CAST(sum({unit}) AS BIGINT) / (count(*) * 100000e0)"
     spread = f"CAST(count(*) * sum({unit} * {unit}) - sum({unit}) * sum({unit}) AS DOUBLE)"
-    sd = f"sqrt({spread} / nullif(CAST(count(*) AS DOUBLE) * (count(*) - 1), 0)) / 1000"
+    sd = f"sqrt({spread} / nullif(CAST(count(*) AS DOUBLE) * (count(*) - 1), 0)) / 100000"
     return f"""{ctes("bio")}
     SELECT CASE WHEN grouping(Mgmt_area) = 0 THEN '{measure}ageby_gear_source_area_year_sex'
              ELSE '{measure}ageby_gear_source_year_sex' END AS description, {keys}, {_AREA},

@@ -29,14 +29,6 @@ def map_codes(
     return derive_category({label: c.isin(list(v)) for label, v in codes.items()}, default)
 
 
-def match_count(conditions: Mapping[str, Column]) -> Column:
-    """How many conditions hold. More than one means the categories overlap."""
-    total = F.lit(0)
-    for condition in conditions.values():
-        total = total + F.coalesce(condition.cast("int"), F.lit(0))
-    return total
-
-
 def by_range(
     c: str | Column, ranges: Sequence[tuple[float | None, float | None, object]]
 ) -> Column:

@@ -15,7 +15,7 @@ def digits_to_number(c: str | Column) -> Column:
 
 def whole_number(c: str | Column) -> Column:
     """A number written as text, ``2e3`` included, as an int; NULL when it is none."""
-    return as_col(c).try_cast("double").cast("int")
+    return as_col(c).try_cast("double").try_cast("int")
 
 
 def prefixed_label(prefix: str, c: str | Column) -> Column:

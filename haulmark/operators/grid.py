@@ -1,80 +1,62 @@
 """Completing category grids.
 
 ``complete`` is meant for aggregated frames with one row per cell, so a key tuple
-holds at most one row per combination of the inner levels. It reads its input
-once: the missing cells are added inside the partition of each key tuple, without a
-cross join and without joining the frame to itself.
+holds at most one row per combination of the inner levels. The missing cells are added
+inside the partition of each key tuple, without joining the frame to itself. Levels are
+declared lists, or frames of the values present, which may be of any size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from math import prod
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Levels = Sequence | Column
+Levels = Sequence | DataFrame
 
+#: Buckets that levels are dealt into, a power of two; a key tuple meets all of them.
+BUCKETS = 16
 
-def present_levels(df: DataFrame, c: str, count: Column | None = None, limit: int = 10_000) -> Column:
-    """The distinct values of ``c``, NULL included, as a sorted array.
 
-    With ``count``, the values whose total count is positive. At most ``limit + 1``
-    values leave the distinct step; more than ``limit`` is an error, so the array
-    is bounded.
+def present_levels(df: DataFrame, c: str, count: str | None = None) -> DataFrame:
+    """The distinct values of ``c``, NULL included.
+
+    With ``count``, the values whose total count is positive. The count is read either way
+    where it is given, so that an aggregate below is computed once for rows and levels.
     """
     if count is None:
-        values = df.select(c).distinct()
-    else:
-        values = df.groupBy(c).agg(F.sum(count).alias("_n")).filter(F.col("_n") > 0).select(c)
-    gathered = F.collect_list(F.struct(F.col(c).alias("v")))
-    return values.limit(limit + 1).agg(
-        F.when(F.size(gathered) <= limit, F.sort_array(gathered))
-        .otherwise(F.raise_error(F.lit(f"more than {limit} levels in {c}")))
-        .getField("v")
-        .alias("levels")
-    ).scalar()
+        return df.select(c).distinct()
+    return df.groupBy(c).agg(F.sum(count).alias("_n")).filter(F.col("_n") > 0).select(c)
 
 
 def complete(
-    df: DataFrame,
-    within: Sequence[str],
-    levels: Mapping[str, Levels],
-    fill: Mapping[str, object] | None = None,
-    max_cells: int = 1_000_000,
+    df: DataFrame, within: Sequence[str], levels: Mapping[str, Levels], fill: Mapping[str, object] | None = None
 ) -> DataFrame:
     """Give every existing ``within`` tuple a row for each combination of ``levels``.
 
-    ``levels`` maps an inner column to its values: a list, or an array column such as
+    ``levels`` maps an inner column to its values: a list, or a frame such as
     ``present_levels``. Added rows are NULL outside ``within`` and ``levels``; the
     measures in ``fill`` get their fill value wherever they are NULL. Rows whose
     values are not among the levels are kept. Missing keys count as values.
     """
-    levels = {c: v if isinstance(v, Column) else list(dict.fromkeys(v)) for c, v in levels.items()}
-    declared = [len(v) for v in levels.values() if not isinstance(v, Column)]
-    if prod(declared) > max_cells:
-        raise ValueError(f"grid of {prod(declared)} cells exceeds {max_cells}")
     types = {f.name: f.dataType for f in df.schema}
     if within:
         first = F.row_number().over(Window.partitionBy(*within).orderBy(*levels)) == 1
-        copies = F.when(F.col("_first"), F.array(F.lit(False), F.lit(True))).otherwise(
-            F.array(F.lit(False))
-        )
-        rows = df.withColumn("_first", first).withColumn("_blank", F.explode(copies))
+        copies = F.when(F.col("_first"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+        rows = df.withColumn("_first", first).withColumn("_blank", F.explode(copies)).drop("_first")
     else:
         empty = [F.lit(None).cast(t).alias(c) for c, t in types.items()]
         blank = df.sparkSession.range(1).select(*empty, F.lit(True).alias("_blank"))
         rows = df.withColumn("_blank", F.lit(False)).unionByName(blank)
     for c, given in levels.items():
-        values = given if isinstance(given, Column) else F.array(*[F.lit(v) for v in given])
-        values = values.cast(f"array<{types[c].simpleString()}>")
-        here = F.when(F.col("_blank"), values).otherwise(F.array(F.col(c)))
-        rows = rows.withColumn(c, F.explode(here))
+        if isinstance(given, DataFrame):
+            rows = _met(rows, c, given.select(F.col(c).cast(types[c]).alias("_level")))
+        else:
+            values = F.array(*[F.lit(v) for v in dict.fromkeys(given)]).cast(f"array<{types[c].simpleString()}>")
+            rows = rows.withColumn(c, F.explode(F.when(F.col("_blank"), values).otherwise(F.array(F.col(c)))))
     cell = Window.partitionBy(*within, *levels)
-    kept = rows.withColumn("_filled", F.min("_blank").over(cell)).filter(
-        F.col("_blank") == F.col("_filled")
-    )
+    kept = rows.withColumn("_filled", F.min("_blank").over(cell)).filter(F.col("_blank") == F.col("_filled"))
     out = []
     for c in df.columns:
         value = F.col(c) if c in within or c in levels else F.when(~F.col("_blank"), F.col(c))
@@ -84,20 +66,42 @@ def complete(
     return kept.select(*out)
 
 
+def _met(rows: DataFrame, c: str, levels: DataFrame) -> DataFrame:
+    """Blank rows once for each level, by an equal join on buckets; other rows as they are."""
+    level = levels.distinct().select(
+        "_level", _bits(F.xxhash64("_level"), BUCKETS).alias("_bucket"), F.lit(True).alias("_given")
+    )
+    # rows that are not blank have buckets of their own, which spreads them and meets no level
+    own = F.array(-1 - _bits(F.xxhash64(*rows.columns), 1 << 20))
+    every = F.array(*[F.lit(i).cast("bigint") for i in range(BUCKETS)])
+    dealt = rows.withColumn("_bucket", F.explode(F.when(F.col("_blank"), every).otherwise(own)))
+    return (
+        dealt.join(level, "_bucket", "left")
+        .filter(~F.col("_blank") | F.col("_given"))
+        .withColumn(c, F.when(F.col("_blank"), F.col("_level")).otherwise(F.col(c)))
+        .drop("_bucket", "_level", "_given")
+    )
+
+
+def _bits(c: Column, n: int) -> Column:
+    """The remainder by a power of two, which is never NULL, so that no filter is derived from it."""
+    return c.bitwiseAND(F.lit(n - 1).cast("bigint"))
+
+
 def complete_global(
     df: DataFrame,
     cols: Sequence[str],
     levels: Mapping[str, Sequence] | None = None,
     fill: Mapping[str, object] | None = None,
-    limit: int = 10_000,
+    count: str | None = None,
 ) -> DataFrame:
     """Every combination of the values of ``cols``, whatever occurs together.
 
-    Declared columns use their levels, the others their distinct values. The first
-    undeclared column stays distributed; further ones become bounded arrays.
+    Declared columns use their levels, the others their distinct values; with ``count``
+    those that are counted at least once.
     """
     levels = levels or {}
     undeclared = [c for c in cols if c not in levels]
     inner: dict[str, Levels] = {c: levels[c] for c in cols if c in levels}
-    inner |= {c: present_levels(df, c, limit=limit) for c in undeclared[1:]}
+    inner |= {c: present_levels(df, c, count) for c in undeclared[1:]}
     return complete(df, undeclared[:1], inner, fill)

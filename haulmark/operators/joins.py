@@ -1,10 +1,9 @@
 """Lookup joins.
 
-A lookup is broadcast only after its size was checked. Spark does so itself where it
-knows the size: from file statistics before the run, from shuffle statistics during
-it. For a lookup that is itself joined or aggregated it has no estimate before the
-run, so ``max_broadcast_rows`` measures the lookup, up to that bound, first. A larger
-lookup gets a sort-merge join, whose hot partitions adaptive execution splits.
+Spark decides by size whether a lookup is broadcast: from file statistics before the run,
+from shuffle statistics during it. Give lookups as they are stored, one join each: of a
+lookup that is itself joined Spark has no estimate before the run. A larger lookup gets a
+sort-merge join, whose hot partitions adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -16,38 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-# A lookup is broadcast only within both bounds.
-LOOKUP_ROWS = 200_000
-LOOKUP_BYTES = 64 * 1024 * 1024
-
-
-def broadcast_if_small(
-    lookup: DataFrame, max_rows: int = LOOKUP_ROWS, max_bytes: int = LOOKUP_BYTES
-) -> DataFrame:
-    """Mark ``lookup`` for broadcast if it holds few enough rows and bytes.
-
-    Starts one job that measures no more than ``max_rows + 1`` rows.
-    """
-    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
-    row = lookup.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), size.alias("size")).first()
-    return F.broadcast(lookup) if row.n <= max_rows and (row.size or 0) <= max_bytes else lookup
-
-
 def lookup_join(
     left: DataFrame,
     lookup: DataFrame,
     keys: Sequence[str],
     how: str = "left",
     null_matches_null: bool = True,
-    max_broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Join ``lookup`` by equal names; a missing key matches a missing key.
 
     ``<=>`` still runs as a hash or merge join. The lookup's key columns are dropped.
-    Give ``max_broadcast_rows`` where ``left`` holds raw rows and ``lookup`` is derived.
     """
-    if max_broadcast_rows is not None:
-        lookup = broadcast_if_small(lookup, max_broadcast_rows)
     if not null_matches_null:
         return left.join(lookup, list(keys), how)
     renamed = lookup.withColumnsRenamed({k: f"_lk_{k}" for k in keys})
@@ -61,11 +39,10 @@ def override_from(
     keys: Sequence[str],
     target: str,
     update: str,
-    max_broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Replace ``target`` by ``update`` where the update table has a value."""
     new = updates.select(*keys, update)
-    joined = lookup_join(df, new, keys, "left", max_broadcast_rows=max_broadcast_rows)
+    joined = lookup_join(df, new, keys, "left")
     return joined.withColumn(target, F.coalesce(F.col(update), F.col(target))).drop(update)
 
 

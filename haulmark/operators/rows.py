@@ -5,18 +5,25 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def below_global_max(df: DataFrame, c: str) -> DataFrame:
     """Drop the rows that hold the largest value of ``c``.
 
-    The maximum is a scalar subquery: a partial and final aggregate over one column.
+    The maximum is a scalar subquery, a second pass over that one column; where a summary
+    is wanted, ``without_newest`` drops it from the groups instead.
     """
     return df.filter(F.col(c) < df.agg(F.max(c)).scalar())
 
 
+def without_newest(summary: DataFrame, c: str) -> DataFrame:
+    """Drop the largest value of ``c`` from a summary, whose groups meet in one window."""
+    newest = F.max(c).over(Window.partitionBy())
+    return summary.withColumn("_newest", newest).filter(F.col(c) < F.col("_newest")).drop("_newest")
+
+
 def outside(c: Column, low: float, high: float) -> Column:
     return (c < low) | (c > high)
 

@@ -12,17 +12,15 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class SpliceRule:
-    """Rows to take: an area, optionally one source and a closed year range."""
+    """Rows to take: an area and one source, optionally a closed year range."""
 
     area: str
-    source: str | None = None
+    source: str
     first_year: int | None = None
     last_year: int | None = None
 
     def condition(self, area: str, source: str, year: str) -> Column:
-        hit = F.col(area) == self.area
-        if self.source is not None:
-            hit = hit & (F.col(source) == self.source)
+        hit = (F.col(area) == self.area) & (F.col(source) == self.source)
         if self.first_year is not None:
             hit = hit & (F.col(year) >= self.first_year)
         if self.last_year is not None:
@@ -37,10 +35,7 @@ def splice(
     source: str = "data_source",
     year: str = "year",
 ) -> DataFrame:
-    """One best series: the rows any rule takes.
-
-    A plain filter, so a source no rule names is pruned before it is read.
-    """
+    """One best series: the rows any rule takes."""
     return series.filter(reduce(lambda a, b: a | b, [r.condition(area, source, year) for r in rules]))
 
 
@@ -50,13 +45,14 @@ def interpolate_gaps(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFr
     Gaps at either end of a series stay NULL. Windows run per series.
     """
     before = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*by).orderBy(x).rowsBetween(0, Window.unboundedFollowing)
+    # the rows after, as a frame that grows row by row
+    after = Window.partitionBy(*by).orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, 0)
     known_x = F.when(F.col(y).isNotNull(), F.col(x))
     steps = {
         "_x0": F.last(known_x, ignorenulls=True).over(before),
         "_y0": F.last(y, ignorenulls=True).over(before),
-        "_x1": F.first(known_x, ignorenulls=True).over(after),
-        "_y1": F.first(y, ignorenulls=True).over(after),
+        "_x1": F.last(known_x, ignorenulls=True).over(after),
+        "_y1": F.last(y, ignorenulls=True).over(after),
     }
     slope = (F.col("_y1") - F.col("_y0")) / (F.col("_x1") - F.col("_x0"))
     line = F.when(F.col("_x1") > F.col("_x0"), F.col("_y0") + (F.col(x) - F.col("_x0")) * slope)
@@ -72,10 +68,11 @@ def tick_labels(df: DataFrame, c: str, step: int) -> DataFrame:
 
     Ticks start at the smallest value rounded, half to even, to a multiple of ``step``.
     """
-    values = df.select(F.col(c).alias("breaks")).distinct()
-    lowest = values.agg(F.min("breaks")).scalar()
-    start = F.bround(lowest / F.lit(step), 0).cast("bigint") * F.lit(step)
+    # a window over the distinct labels of an axis, so that the rows are read once
+    lowest = F.min("breaks").over(Window.partitionBy())
+    values = df.select(F.col(c).alias("breaks")).distinct().withColumn("_lowest", lowest)
+    start = F.bround(F.col("_lowest") / F.lit(step), 0).cast("bigint") * F.lit(step)
     on_tick = (F.col("breaks") >= start) & ((F.col("breaks") - start) % F.lit(step) == 0)
-    return values.withColumn(
-        "labels", F.when(on_tick, F.col("breaks").cast("string")).otherwise(F.lit(""))
+    return values.select(
+        "breaks", F.when(on_tick, F.col("breaks").cast("string")).otherwise(F.lit("")).alias("labels")
     )

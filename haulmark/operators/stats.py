@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulmark.functions.measures import ratio, round_even
-from haulmark.functions.nulls import distinct_with_null, row_count, strict_max, strict_min
+from haulmark.functions.nulls import (
+    distinct_with_null,
+    exact_total,
+    finite,
+    rounded_sd,
+    row_count,
+    strict_max,
+    strict_min,
+)
 
 
 def share_of_total(
@@ -19,18 +27,28 @@ def share_of_total(
     return df.withColumn(name, round_even(F.col(value) / total, digits))
 
 
-def rate_summary(df: DataFrame, value: str, by: Sequence[str], mean: str = "mean") -> DataFrame:
+#: Decimals that rates are taken to for their spread.
+RATE_SCALE = 9
+
+
+def rate_summary(
+    df: DataFrame, value: str, by: Sequence[str], mean: str = "mean", counted: Column | None = None
+) -> DataFrame:
     """Mean, sd, n, se, CV and RSE of a rate.
 
-    Missing rates are skipped by the mean and sd but counted in ``n``. Each later
-    column uses the rounded earlier ones.
+    Missing rates are skipped by the mean and sd but counted in ``n``. Each later column
+    uses the rounded earlier ones. Built from exact sums, so no published digit depends on
+    how the rows are spread. Rows that are not ``counted`` still make a group, of 0 rows.
     """
+    counted = F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))
+    rate = F.when(counted, F.col(value))
+    known = exact_total(rate) / F.nullif(F.count(finite(rate)), F.lit(0)).cast("decimal(12,0)")
     return (
         df.groupBy(*by)
         .agg(
-            round_even(F.avg(value), 2).alias(mean),
-            round_even(F.stddev_samp(value), 2).alias("sd"),
-            row_count().alias("n"),
+            F.bround(known, 2).cast("double").alias(mean),
+            rounded_sd(rate, 2, RATE_SCALE, strictly=False).alias("sd"),
+            F.count_if(counted).alias("n"),
         )
         .withColumn("se", round_even(F.col("sd") / F.sqrt(F.col("n")), 4))
         .withColumn("CV", round_even(ratio("sd", mean), 2))

@@ -16,7 +16,7 @@ from haulmark.functions.measures import (
 )
 from haulmark.functions.nulls import row_count
 from haulmark.operators.grid import complete, present_levels
-from haulmark.operators.joins import LOOKUP_ROWS, lookup_join
+from haulmark.operators.joins import lookup_join
 from haulmark.operators.levels import by_levels, count_rows, mean_sd_by_levels
 from haulmark.operators.rows import outside, stack
 from haulmark.operators.stats import coverage, share_of_total
@@ -96,9 +96,7 @@ def pot_survey_bio(specimens: DataFrame, area: str = "management_area",
 def longline_survey_bio(specimens: DataFrame, stat_to_area: DataFrame) -> DataFrame:
     """Longline survey specimens; the area comes from the stat-area lookup."""
     scanned = bio_scan(specimens, "stat", LONGLINE_SURVEY_PROJECTS)
-    placed = lookup_join(
-        scanned, stat_to_area, ["stat"], "inner", max_broadcast_rows=LOOKUP_ROWS
-    )
+    placed = lookup_join(scanned, stat_to_area, ["stat"], "inner")
     return bio_clean(placed, F.lit("Longline"), "Survey", "g_management_area_code")
 
 
@@ -130,7 +128,7 @@ def _composition(
     fine = count_rows(fish, [*keys, *combined])
     counted = by_levels(fine, keys, combined, detail, {"n": F.sum("n")})
     shares = share_of_total(counted, "n", group)
-    values = present_levels(fine, inner, F.col("n")) if levels is None else list(levels)
+    values = present_levels(fine, inner, "n") if levels is None else list(levels)
     filled = complete(shares, group, {inner: values}, {"n": 0, "proportion": 0.0})
     return filled.select(*group, inner, "n", "proportion")
 
@@ -182,8 +180,8 @@ def proportion_mature(
     fine = count_rows(staged, [*keys, "Mgmt_area"])
     counted = by_levels(fine, keys, area, detail, {"n": F.sum("n")})
     mature = share_of_total(counted, "n", group).filter(F.col("Maturity") == 1).drop("Maturity")
-    mature_n = F.when(F.col("Maturity") == 1, F.col("n"))
-    values = present_levels(fine, "age", mature_n) if ages is None else list(ages)
+    mature_n = F.when(F.col("Maturity") == 1, F.col("n")).otherwise(0)
+    values = present_levels(fine.withColumn("_mature", mature_n), "age", "_mature") if ages is None else list(ages)
     filled = complete(mature, group, {"age": values}, {"n": 0, "proportion": 0.0})
     return filled.select(*group, "age", "n", "proportion")
 

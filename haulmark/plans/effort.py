@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulmark.functions.dates import day_of_year, hours_between, utc_date
@@ -18,13 +18,13 @@ from haulmark.functions.measures import (
     standard_hooks,
     survey_inches_to_meters,
 )
-from haulmark.functions.nulls import null_to, strict_sum
+from haulmark.functions.nulls import exact_from_parts, exact_parts, exact_total, finite, null_to
 from haulmark.functions.text import digits_to_number, prefixed_label
-from haulmark.operators.joins import LOOKUP_ROWS, lookup_join
-from haulmark.operators.rows import below_global_max, stack
+from haulmark.operators.joins import lookup_join
+from haulmark.operators.rows import below_global_max, stack, without_newest
 from haulmark.operators.stats import rate_summary
 from haulmark.sources.readers import inline_series, scan
-from haulmark.sources.schemas import SURVEY_HOOKS
+from haulmark.sources.schemas import LOGBOOK_SETS, SURVEY_HOOKS
 
 # Codes, labels and legacy rates of the published indices.
 INVALID_CONDITION = "02"
@@ -55,15 +55,16 @@ def survey_scan(store: DataFrame) -> DataFrame:
     return scan(store, {**{name: name for name in kept}, **SURVEY_COLUMNS}, wanted)
 
 
-def survey_effort(hooks: DataFrame, stat_sizes: DataFrame) -> DataFrame:
+def survey_effort(hooks: DataFrame, stat_sizes: DataFrame, with_newest: bool = False) -> DataFrame:
     """Survey sets under the common names, with area and size of their stat area.
 
-    The newest year holds dummy rows and is dropped. Sets whose stat area is unknown
-    keep NULL area and size.
+    The newest year holds dummy rows and is dropped, which takes a second pass over the
+    year; the indices take the sets with it and drop it from their groups. Sets whose stat
+    area is unknown keep NULL area and size.
     """
     scanned = hooks.filter(F.col("project_code").isin(SURVEY_PROJECTS))
     day = utc_date(hooks, "time_first_buoy_onboard")
-    kept = below_global_max(scanned, "year").select(
+    kept = (scanned if with_newest else below_global_max(scanned, "year")).select(
         "year",
         F.col("project_code").alias("Project_cde"),
         F.col("station_no").alias("Station_no"),
@@ -87,14 +88,19 @@ def survey_effort(hooks: DataFrame, stat_sizes: DataFrame) -> DataFrame:
         F.col("subset_condition_code").alias("subset_condition_cde"),
     )
     sizes = stat_sizes.select(F.col("Stat").cast("string").alias("Stat"), "Mgmt_area", "stat_km2")
-    return lookup_join(kept, sizes, ["Stat"], "left", max_broadcast_rows=LOOKUP_ROWS)
+    return lookup_join(kept, sizes, ["Stat"], "left")
+
+
+def logbook_scan(store: DataFrame, areas: Sequence[str] | None = LOGBOOK_AREAS) -> DataFrame:
+    """The columns used of the logbook sets of some areas."""
+    kept = [name for name in LOGBOOK_SETS.names if name in store.columns]
+    return scan(store, kept, None if areas is None else F.col("g_management_area_code").isin(list(areas)))
 
 
 def logbook_effort(sets: DataFrame, areas: Sequence[str] | None = LOGBOOK_AREAS) -> DataFrame:
     """Logbook sets under the common names, with soak hours and numeric hook size."""
-    kept = sets if areas is None else sets.filter(F.col("g_management_area_code").isin(list(areas)))
     day = utc_date(sets, "time_set")
-    return kept.select(
+    return logbook_scan(sets, areas).select(
         "year",
         F.col("g_management_area_code").alias("Mgmt_area"),
         "trip_no",
@@ -117,14 +123,18 @@ def logbook_effort(sets: DataFrame, areas: Sequence[str] | None = LOGBOOK_AREAS)
     )
 
 
-def survey_rates(effort: DataFrame) -> DataFrame:
-    """Valid survey sets with standardized hooks and catch per hook.
+def valid_set() -> Column:
+    """Sets of unknown condition are left out with the invalid ones."""
+    return F.coalesce(F.col("subset_condition_cde") != INVALID_CONDITION, F.lit(False))
+
 
-    Sets of unknown condition are dropped with the invalid ones. Each column builds
-    on the ones before it.
+def survey_rates(effort: DataFrame, every_set: bool = False) -> DataFrame:
+    """Valid survey sets, or every set, with standardized hooks and catch per hook.
+
+    Each column builds on the ones before it.
     """
     return (
-        effort.filter(F.col("subset_condition_cde") != INVALID_CONDITION)
+        (effort if every_set else effort.filter(valid_set()))
         .withColumn("hooks_bare", null_to("hooks_bare", 0))
         .withColumn("hooks_bait", null_to("hooks_bait", 0))
         .withColumn("hook_invalid", null_to("hook_invalid", 0))
@@ -164,6 +174,16 @@ def survey_npue_index(
     return _index(rate_summary(rates, "std_cpue", ["year", "Mgmt_area"], "NPUE"), "NPUE", label)
 
 
+def survey_npue_of_hooks(
+    hooks: DataFrame, stat_sizes: DataFrame, first_year: int = FIRST_INDEX_YEAR, label: str = SURVEY_LABEL
+) -> DataFrame:
+    """The survey index from the raw sets, read once: the newest year goes from the groups."""
+    rates = survey_rates(survey_effort(hooks, stat_sizes, with_newest=True), every_set=True)
+    summary = rate_summary(rates, "std_cpue", ["year", "Mgmt_area"], "NPUE", valid_set())
+    kept = without_newest(summary, "year").filter((F.col("n") > 0) & (F.col("year") >= first_year))
+    return _index(kept, "NPUE", label)
+
+
 def legacy_wpue(spark: SparkSession, legacy: dict[str, tuple[int, list[float]]] = LEGACY_WPUE) -> DataFrame:
     """Published rates from before the logbook."""
     return stack(
@@ -193,24 +213,47 @@ def rpn_index(
     stratum: str = "Stat",
     size: str = "stat_km2",
     names: tuple[str, str] = ("RPN", "NPUE"),
+    counted: Column | None = None,
+    newest_is_dummy: bool = False,
 ) -> DataFrame:
     """Relative population number: catch rates weighted by the size of their stratum.
 
     Give weight rates and names for the relative population weight, or a depth stratum
-    for totals over depth. One pass over the sets: sums and counts per stratum serve
+    for totals over depth. One pass over the sets: exact sums and counts per stratum serve
     both the weighted total and the overall rate. A stratum of unknown size makes its
-    total NULL.
+    total NULL. Sets that are not ``counted`` make no stratum, only a year; with
+    ``newest_is_dummy`` the newest of all years is left out.
     """
+    counted = F.lit(True) if counted is None else counted
+    rate = F.when(counted, finite("std_cpue"))
+    parts = exact_parts(rate)
+    sums = {name: F.sum(f"_{name}") for name in parts}
+    n = F.nullif(F.col("_n"), F.lit(0)).cast("decimal(12,0)")
     per_stratum = (
         rates.groupBy("year", "Mgmt_area", F.col(stratum).cast("string").alias("_stratum"))
-        .agg(F.sum("std_cpue").alias("_sum"), F.count("std_cpue").alias("_n"))
-        .withColumn("_rate", round_even(ratio("_sum", "_n"), 2))
+        .agg(
+            *[F.sum(part).alias(f"_{name}") for name, part in parts.items()],
+            F.count(rate).alias("_n"),
+            F.count_if(counted).alias("_sets"),
+        )
+        .withColumn("_rate", F.bround(exact_from_parts({name: F.col(f"_{name}") for name in parts}) / n, 2).cast("double"))
     )
     area = sizes.select(F.col(stratum).cast("string").alias("_stratum"), F.col(size).alias("_size"))
     weighted = lookup_join(per_stratum, area.distinct(), ["_stratum"], "left").withColumn(
-        "_weighted", F.col("_rate") * F.col("_size")
+        "_weighted", F.when(F.col("_sets") > 0, F.col("_rate") * F.col("_size"))
     )
-    return weighted.groupBy("year", "Mgmt_area").agg(
-        round_even(strict_sum("_weighted"), 2).alias(names[0]),
-        round_even(ratio(F.sum("_sum"), F.sum("_n")), 2).alias(names[1]),
+    strata = F.count_if(F.col("_sets") > 0)
+    total = F.when(strata == F.count(finite("_weighted")), F.bround(exact_total("_weighted"), 2).cast("double"))
+    overall = exact_from_parts(sums) / F.nullif(F.sum("_n"), F.lit(0)).cast("decimal(12,0)")
+    index = weighted.groupBy("year", "Mgmt_area").agg(
+        total.alias(names[0]), F.bround(overall, 2).cast("double").alias(names[1]), F.sum("_sets").alias("_sets")
     )
+    if newest_is_dummy:
+        index = without_newest(index, "year")
+    return index.filter("_sets > 0").drop("_sets")
+
+
+def rpn_of_hooks(hooks: DataFrame, stat_sizes: DataFrame) -> DataFrame:
+    """The population index from the raw sets, read once: the newest year goes from the groups."""
+    rates = survey_rates(survey_effort(hooks, stat_sizes, with_newest=True), every_set=True)
+    return rpn_index(rates, stat_sizes, counted=valid_set(), newest_is_dummy=True)

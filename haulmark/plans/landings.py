@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulmark.functions.categories import map_codes
@@ -12,26 +12,23 @@ from haulmark.functions.measures import pounds_to_tonnes
 from haulmark.functions.nulls import (
     exact_from_parts,
     exact_parts,
-    exact_sum,
+    finite,
     row_count,
     strict_sum,
     zero_fallback,
 )
 from haulmark.functions.text import whole_number
 from haulmark.operators.grid import complete
-from haulmark.operators.joins import LOOKUP_ROWS, lookup_join, override_from
+from haulmark.operators.joins import lookup_join, override_from
 from haulmark.operators.rows import stack, tagged
 from haulmark.operators.series import SpliceRule, splice
 from haulmark.sources.readers import scan
+from haulmark.sources.schemas import TICKET_LANDINGS
 
 # Store columns, area and gear groups of the published catch tables.
 SPECIES = "710"
 TICKET_AREAS = ["NSEI", "SSEI"]
-TICKET_COLUMNS = [
-    "year", "adfg_no", "trip_no", "vessel_name", "port_code", "gear", "catch_date", "sell_date",
-    "harvest_code", "harvest", "g_stat_area", "g_management_area_code", "species_code", "pounds",
-    "round_pounds", "delivery_code", "g_cfec_fishery_group", "g_cfec_fishery",
-]
+TICKET_COLUMNS = TICKET_LANDINGS.names
 EARNINGS_COLUMNS = {
     "year": "adfg_b_batch_year",
     "date_landed": "adfg_h_date_landed",
@@ -59,6 +56,7 @@ STAT_AREA_COLUMNS = {
     "g_mgt_area_district": "g_mgt_area_district",
     "g_nmfs_area": "g_nmfs_area",
 }
+UPDATE_KEYS = ["stat_area", "start_date", "end_date"]
 AREA_DISTRICTS = {
     "PWS": ["PWS", "PWSE", "PWSI", "PWSW"],
     "NSEI": ["NSEI"],
@@ -88,7 +86,7 @@ BEST_SERIES = [
     SpliceRule("NSEI", HISTORICAL, last_year=1984),
     SpliceRule("NSEI", EARNINGS, first_year=1985),
     SpliceRule("SSEI", EARNINGS),
-    SpliceRule("PWS"),
+    SpliceRule("PWS", EARNINGS),
 ]
 
 
@@ -100,17 +98,25 @@ def ticket_scan(
 
 
 def earnings_scan(store: DataFrame, species: str = SPECIES) -> DataFrame:
-    return scan(store, EARNINGS_COLUMNS, F.col(EARNINGS_COLUMNS["species_code"]) == species)
+    """Landings of one species, under the store's column names or the short ones."""
+    named = EARNINGS_COLUMNS["species_code"] in store.columns
+    columns = EARNINGS_COLUMNS if named else list(EARNINGS_COLUMNS)
+    return scan(store, columns, F.col(EARNINGS_COLUMNS["species_code"] if named else "species_code") == species)
 
 
 def stat_area_scan(store: DataFrame) -> DataFrame:
     return scan(store, STAT_AREA_COLUMNS)
 
 
-def unknown_waters(placed: DataFrame, districts: Sequence[str]) -> DataFrame:
-    """The stat areas of some districts as they occur in the landings, for review."""
-    keys = ["g_mgt_area_district", "stat_area", "waters", "start_date", "end_date"]
-    return placed.filter(F.col("g_mgt_area_district").isin(list(districts))).select(*keys).distinct()
+def unknown_waters(landings: DataFrame, stat_areas: DataFrame, districts: Sequence[str]) -> DataFrame:
+    """The stat areas of some districts as they occur in the landings, for review.
+
+    Only lookup columns are wanted, so the landings reduce to their keys before the join.
+    """
+    keys = ["stat_area", "stat_area_type"]
+    wanted = stat_areas.filter(F.col("g_mgt_area_district").isin(list(districts)))
+    shown = ["g_mgt_area_district", "stat_area", "waters", "start_date", "end_date"]
+    return lookup_join(wanted, landings.select(*keys).distinct(), keys, "inner").select(*shown).distinct()
 
 
 def clean_tickets(tickets: DataFrame) -> DataFrame:
@@ -131,25 +137,25 @@ def resolved_stat_areas(stat_areas: DataFrame, updates: DataFrame) -> DataFrame:
     The correction depends on the lookup alone, so it is applied to the lookup and
     never to the landings.
     """
-    return override_from(
-        stat_areas, updates, ["stat_area", "start_date", "end_date"], "waters", "updated_waters"
-    )
+    return override_from(stat_areas, updates, UPDATE_KEYS, "waters", "updated_waters")
 
 
 def landings_with_areas(
-    landings: DataFrame, stat_areas: DataFrame, updates: DataFrame
+    landings: DataFrame, stat_areas: DataFrame, updates: DataFrame | None = None
 ) -> DataFrame:
-    """Every landing with its corrected stat-area attributes."""
-    resolved = resolved_stat_areas(stat_areas, updates)
-    keys = ["stat_area", "stat_area_type"]
+    """Every landing with its stat-area attributes, corrected where ``updates`` are given.
+
+    Both lookups are joined as they are stored, so that Spark knows their size.
+    """
     dated = landings.withColumn("year", whole_number("year"))
-    return lookup_join(dated, resolved, keys, "inner", max_broadcast_rows=LOOKUP_ROWS)
+    placed = lookup_join(dated, stat_areas, ["stat_area", "stat_area_type"], "inner")
+    return placed if updates is None else override_from(placed, updates, UPDATE_KEYS, "waters", "updated_waters")
 
 
 def catch_by_year_area_gear(
     landings: DataFrame,
     stat_areas: DataFrame,
-    updates: DataFrame,
+    updates: DataFrame | None = None,
     areas: Mapping[str, Sequence[str]] = AREA_DISTRICTS,
     gears: Mapping[str, Sequence[str]] = GEAR_CODES,
     waters: Sequence[str] = STATE_WATERS,
@@ -158,36 +164,36 @@ def catch_by_year_area_gear(
 
     Landings are added up per stat area, year and gear code before any join, so what
     is shuffled does not grow with the landings and a hot stat area is collapsed on the
-    map side. Codes are decoded on those sums, not on the rows. The lookup is corrected
-    and filtered on its own, then joined to the sums.
+    map side. Codes are decoded on those sums, not on the rows. The lookup is corrected, if
+    there are ``updates``, and filtered on its own, then joined to the sums.
     """
-    whole, fraction = exact_parts(zero_fallback("whole_pounds", "pounds"))
+    weight = finite(zero_fallback("whole_pounds", "pounds"))
+    parts = exact_parts(weight)
     per_stat_area = (
         landings.select(
             "year",
             "gear_code",
             "stat_area",
             "stat_area_type",
-            whole.alias("_whole"),
-            fraction.alias("_fraction"),
+            *[part.alias(f"_{name}") for name, part in parts.items()],
         )
         .groupBy("stat_area", "stat_area_type", "year", "gear_code")
         .agg(
-            F.sum("_whole").alias("_whole"),
-            F.sum("_fraction").alias("_fraction"),
+            *[F.sum(f"_{name}").alias(f"_{name}") for name in parts],
             F.count("_whole").alias("_known"),
             row_count().alias("_rows"),
         )
     )
     districts = [d for codes in areas.values() for d in codes]
+    resolved = stat_areas if updates is None else resolved_stat_areas(stat_areas, updates)
     wanted = (
-        resolved_stat_areas(stat_areas, updates)
+        resolved
         .filter(F.col("g_mgt_area_district").isin(districts) & F.col("waters").isin(list(waters)))
         .select(
             "stat_area", "stat_area_type", map_codes("g_mgt_area_district", areas).alias("Mgmt_area")
         )
     )
-    total = exact_from_parts(F.sum("_whole"), F.sum("_fraction")).cast("double")
+    total = exact_from_parts({name: F.sum(f"_{name}") for name in parts}).cast("double")
     catch = (
         lookup_join(per_stat_area, wanted, ["stat_area", "stat_area_type"], "inner")
         .groupBy(
@@ -221,8 +227,18 @@ def compare_sources(sources: Mapping[str, DataFrame]) -> DataFrame:
 def best_series(
     sources: Mapping[str, DataFrame], rules: Sequence[SpliceRule] = BEST_SERIES
 ) -> DataFrame:
-    """The source to use for each area and year range."""
-    return splice(compare_sources(sources), rules)
+    """The source to use for each area and year range.
+
+    A source is cut to its own rules before it is added to the series, so one that no rule
+    names is not read. Two rows for one area and year are an error.
+    """
+    used = {name: rows for name, rows in sources.items() if any(r.source == name for r in rules)}
+    cut = [splice(tagged(rows, data_source=name), [r for r in rules if r.source == name]) for name, rows in used.items()]
+    series = in_tonnes(stack(cut))
+    same = F.count(F.lit(1)).over(Window.partitionBy("Mgmt_area", "year"))
+    clash = F.concat(F.lit("two rows for "), F.concat_ws(" ", "Mgmt_area", "year"))
+    checked = F.when(F.col("_same") > 1, F.raise_error(clash)).otherwise(F.col("data_source"))
+    return series.withColumn("_same", same).withColumn("data_source", checked).drop("_same")
 
 
 def discrepancy_by_gear(
@@ -246,7 +262,3 @@ def discrepancy_by_gear(
     both = stack([tagged(left, data_source=names[0]), tagged(right, data_source=names[1])])
     return both.withColumn("whole_mt", pounds_to_tonnes("_w")).drop("_w")
 
-
-def total_pounds(df: DataFrame, measure: str, *by: str) -> DataFrame:
-    """Sum that skips missing weights, for checks against the strict totals."""
-    return df.groupBy(*by).agg(exact_sum(measure).alias(measure))

@@ -1,8 +1,10 @@
 """Jobs: from source tables to the published files.
 
-Each job writes a shared intermediate once, as Parquet, and goes on from the written
-table, so no upstream step runs again for the next output and a lost executor costs
-no more than the current step. Published tables are sorted at the sink only.
+Each job writes a shared intermediate once, as Parquet below its ``work`` folder, and goes
+on from the written table, so no upstream step runs again for the next output and a lost
+executor costs no more than the current step. ``work`` must be storage that all executors
+share. Published tables are written first and named by what was written; they are sorted at
+the sink only.
 """
 
 from __future__ import annotations
@@ -26,22 +28,28 @@ def publish_catch(
     historical: DataFrame,
     out: str,
     run_year: int,
+    work: str,
     compared_areas: Sequence[str] = ("NSEI", "SSEI"),
     areas: Mapping[str, Sequence[str]] = landings.AREA_DISTRICTS,
     gears: Mapping[str, Sequence[str]] = landings.GEAR_CODES,
     rules: Sequence[SpliceRule] = landings.BEST_SERIES,
+    species: str = landings.SPECIES,
+    ticket_areas: Sequence[str] = landings.TICKET_AREAS,
 ) -> dict[str, str]:
-    """Write landings, the catch grid, the source comparison and the best series."""
+    """Write landings, the catch grid, the source comparison and the best series.
+
+    Only ``species`` is published, and tickets of ``ticket_areas``.
+    """
     written: dict[str, str] = {}
-    cleaned = write_and_keep(landings.clean_tickets(tickets), f"{out}/work/tickets")
+    scanned = landings.ticket_scan(tickets, species, ticket_areas)
+    cleaned = write_and_keep(landings.clean_tickets(scanned), f"{work}/tickets")
     written["tickets"] = write_csv(cleaned, spanned_path(cleaned, f"{out}/ticket_landings"))
-    placed = write_and_keep(
-        landings.landings_with_areas(earnings, stat_areas, updates), f"{out}/work/landings"
-    )
+    landed = write_and_keep(landings.earnings_scan(earnings, species), f"{work}/earnings")
+    lookup = write_and_keep(landings.resolved_stat_areas(stat_areas, updates), f"{work}/stat_areas")
+    placed = write_and_keep(landings.landings_with_areas(landed, lookup), f"{work}/landings")
     written["landings"] = write_csv(placed, spanned_path(placed, f"{out}/landings_with_areas"))
     grid = write_and_keep(
-        landings.catch_by_year_area_gear(earnings, stat_areas, updates, areas, gears),
-        f"{out}/work/catch_grid",
+        landings.catch_by_year_area_gear(landed, lookup, areas=areas, gears=gears), f"{work}/catch_grid"
     )
     levels = {"Mgmt_area": list(areas), "gear": list(gears)}
     written["grid"] = write_csv(
@@ -56,19 +64,21 @@ def publish_catch(
     }
     shown = {**sources, landings.EARNINGS: by_area.filter(F.col("Mgmt_area").isin(list(compared_areas)))}
     order = ["Mgmt_area", "year", "data_source"]
-    comparison = order_nulls_last(landings.compare_sources(shown), *order)
-    written["comparison"] = write_csv(comparison, spanned_path(comparison, f"{out}/catch_comparison"))
+    comparison = write_and_keep(landings.compare_sources(shown), f"{work}/comparison")
+    written["comparison"] = write_csv(
+        order_nulls_last(comparison, *order), spanned_path(comparison, f"{out}/catch_comparison")
+    )
     best = order_nulls_last(landings.best_series(sources, rules), *order)
     written["best"] = write_csv(best, f"{out}/best_catch_{run_year}")
     return written
 
 
-def publish_biology(extracts: Mapping[str, DataFrame], out: str) -> dict[str, str]:
+def publish_biology(extracts: Mapping[str, DataFrame], out: str, work: str) -> dict[str, str]:
     """Write each specimen extract, its coverage and the five summaries."""
     kept = {}
     written = {}
     for name, extract in extracts.items():
-        kept[name] = write_and_keep(extract, f"{out}/work/{name}")
+        kept[name] = write_and_keep(extract, f"{work}/{name}")
         written[name] = write_csv(kept[name], spanned_path(kept[name], f"{out}/detailed_{name}"))
     bio = biology.stack_bio(*kept.values())
     written["coverage"] = write_csv(
@@ -89,11 +99,11 @@ def publish_biology(extracts: Mapping[str, DataFrame], out: str) -> dict[str, st
 
 
 def publish_effort(
-    hooks: DataFrame, stat_sizes: DataFrame, logbook: DataFrame, out: str
+    hooks: DataFrame, stat_sizes: DataFrame, logbook: DataFrame, out: str, work: str
 ) -> dict[str, str]:
     """Write both effort extracts and the stacked indices."""
-    survey = write_and_keep(effort.survey_effort(hooks, stat_sizes), f"{out}/work/survey_effort")
-    fishery = write_and_keep(effort.logbook_effort(logbook), f"{out}/work/fishery_effort")
+    survey = write_and_keep(effort.survey_effort(hooks, stat_sizes), f"{work}/survey_effort")
+    fishery = write_and_keep(effort.logbook_effort(logbook), f"{work}/fishery_effort")
     indices = effort.cpue_indices(
         effort.survey_npue_index(survey), effort.fishery_wpue_index(fishery)
     )

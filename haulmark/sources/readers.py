@@ -30,21 +30,27 @@ def read_csv(
     schema: StructType,
     null_tokens: Sequence[str] = (),
     multi_line: bool = False,
+    renames: Mapping[str, str] | None = None,
+    by_position: bool = False,
 ) -> DataFrame:
-    """Headed CSV under a declared schema, by position.
+    """Headed CSV under a declared schema.
 
     ``NA`` with or without padding, an empty field and each of ``null_tokens`` are
     missing. Whole numbers may be written like ``2e3``, so they are read as doubles
-    first. ``multi_line`` makes a file one task; use it only for files with line
-    breaks inside quotes.
+    first. An unreadable number and a header that differs from the schema are errors;
+    ``renames`` maps the schema's names to those of another vintage of the file, and
+    ``by_position`` skips the header, for files that repeat a name. ``multi_line`` makes a
+    file one task; use it only for files with line breaks inside quotes.
     """
+    renames = renames or {}
     as_read = StructType(
         [
-            StructField(f.name, DoubleType() if isinstance(f.dataType, IntegerType) else f.dataType)
+            StructField(renames.get(f.name, f.name), DoubleType() if isinstance(f.dataType, IntegerType) else f.dataType)
             for f in schema
         ]
     )
-    rows = _csv_options(spark).schema(as_read).option("multiLine", multi_line).csv(path)
+    reader = _csv_options(spark).schema(as_read).option("multiLine", multi_line).option("mode", "FAILFAST")
+    rows = reader.option("enforceSchema", by_position).csv(path).toDF(*schema.names)
     return rows.select(*[_cleaned(f, null_tokens) for f in schema])
 
 
@@ -84,11 +90,6 @@ def grouped_number(c: str | Column) -> Column:
     return F.regexp_replace(as_col(c), ",", "").try_cast("double")
 
 
-def run_path(template: str, year: int) -> str:
-    """Input or output path of one run year, ``{year}`` standing for it."""
-    return template.format(year=year)
-
-
 def inline_series(
     spark: SparkSession,
     tags: Mapping[str, str],

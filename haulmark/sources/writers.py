@@ -23,10 +23,6 @@ def spanned_path(df: DataFrame, prefix: str, year: str = "year", suffix: str = "
     return f"{prefix}_{span.lo}_{span.hi}{suffix}"
 
 
-def write_spanned_csv(df: DataFrame, prefix: str, year: str = "year", suffix: str = "") -> str:
-    return write_csv(df, spanned_path(df, prefix, year, suffix))
-
-
 def write_and_keep(df: DataFrame, path: str) -> DataFrame:
     """Write in the middle of a chain and go on from the written table.
 

@@ -13,34 +13,13 @@ from haulmark.operators import grid, joins, levels, rows as row_ops, series, sta
 def test_lookup_join_matches_missing_to_missing(spark, rows):
     left = spark.createDataFrame([("a", None, 1), ("a", "x", 2), ("b", None, 3)], "k string, d string, v int")
     lookup = spark.createDataFrame([("a", None, "N"), ("b", "x", "S")], "k string, d string, w string")
-    for bound in (None, 100, 0):
-        out = joins.lookup_join(left, lookup, ["k", "d"], "left", max_broadcast_rows=bound)
-        assert out.columns == ["k", "d", "v", "w"]
-        assert rows(out, "v", "w") == [(1, "N"), (2, None), (3, None)]
-        assert joins.lookup_join(left, lookup, ["k", "d"], "inner", max_broadcast_rows=bound).count() == 1
+    out = joins.lookup_join(left, lookup, ["k", "d"], "left")
+    assert out.columns == ["k", "d", "v", "w"]
+    assert rows(out, "v", "w") == [(1, "N"), (2, None), (3, None)]
+    assert joins.lookup_join(left, lookup, ["k", "d"], "inner").count() == 1
     assert joins.lookup_join(left, lookup, ["k", "d"], "inner", null_matches_null=False).count() == 0
 
 
-def test_size_check_decides_on_broadcast(spark):
-    lookup = spark.range(50).withColumnRenamed("id", "k").distinct()
-    left = spark.range(1000).withColumnRenamed("id", "k")
-
-    def plan(bound):
-        out = joins.lookup_join(left, lookup, ["k"], "left", max_broadcast_rows=bound)
-        return out._jdf.queryExecution().analyzed().toString()
-
-    assert "strategy=broadcast" in plan(50)
-    assert "strategy=broadcast" not in plan(49)
-
-
-def test_size_check_counts_bytes_too(spark):
-    lookup = spark.createDataFrame([("k", "x" * 1000)], "k string, v string")
-    marked = [joins.broadcast_if_small(lookup, 10, limit) is not lookup for limit in (2000, 500)]
-    assert marked == [True, False]
-    empty = lookup.filter("k = 'none'")
-    assert joins.broadcast_if_small(empty, 10) is not empty
-
-
 def test_duplicate_lookup_rows_fan_out_and_are_reported(spark, rows):
     left = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     lookup = spark.createDataFrame([("a", 10), ("a", 11), ("b", 12)], "k string, w int")
@@ -214,11 +193,13 @@ def test_complete_is_idempotent(spark):
     assert got(once) == got(twice)
 
 
-def test_complete_limits_are_errors_not_truncation(spark):
-    with pytest.raises(ValueError, match="cells"):
-        grid.complete(frame(spark, CELLS), ["year"], {"gear": list("abcdefghijk"), "area": list("abcdefghijk")}, max_cells=100)
-    with pytest.raises(Exception, match="more than 2 levels"):
-        grid.complete_global(frame(spark, CELLS), ["year", "gear"], limit=2).collect()
+def test_levels_have_no_limit(spark):
+    df = spark.range(20_001).select(F.lit(1).alias("a"), F.col("id").alias("b"), F.lit(2.0).alias("w"))
+    more = df.union(spark.createDataFrame([(2, 5, 3.0), (None, None, 4.0)], "a int, b long, w double"))
+    out = grid.complete_global(more, ["a", "b"], fill={"w": 0.0})
+    assert out.count() == 3 * 20_002
+    assert out.agg(F.sum("w")).first()[0] == 20_001 * 2.0 + 7.0
+    assert grid.complete(more, ["a"], {"b": range(3000)}).count() == 20_001 + 3000 + 3001
 
 
 def test_complete_has_no_cross_join_and_reads_its_input_once(spark):
@@ -232,17 +213,17 @@ def test_complete_has_no_cross_join_and_reads_its_input_once(spark):
 def test_splice_rules(spark, rows):
     data = [
         ("N", 1984, "old"), ("N", 1985, "old"), ("N", 1984, "new"), ("N", 1985, "new"), ("S", 1980, "new"),
-        ("S", 1980, "old"), ("P", 1970, "any"), ("L", 1990, "new"), (None, 1990, "new"),
+        ("S", 1980, "old"), ("P", 1970, "new"), ("P", 1970, "old"), ("L", 1990, "new"), (None, 1990, "new"),
     ]
     df = spark.createDataFrame(data, "Mgmt_area string, year int, data_source string")
     rules = [
         series.SpliceRule("N", "old", last_year=1984),
         series.SpliceRule("N", "new", first_year=1985),
         series.SpliceRule("S", "new"),
-        series.SpliceRule("P"),
+        series.SpliceRule("P", "new"),
     ]
     assert rows(series.splice(df, rules)) == [
-        ("N", 1984, "old"), ("N", 1985, "new"), ("P", 1970, "any"), ("S", 1980, "new"),
+        ("N", 1984, "old"), ("N", 1985, "new"), ("P", 1970, "new"), ("S", 1980, "new"),
     ]
 
 
@@ -255,6 +236,22 @@ def test_interpolation_fills_inner_gaps_only(spark, rows):
     ]
 
 
+def test_interpolation_is_linear_in_the_length_of_a_series(spark):
+    import time
+
+    df = spark.range(80_000).select(F.lit(1).alias("s"), "id", F.when(F.col("id") % 10 == 0, F.col("id") * 2.0).alias("v"))
+    start = time.perf_counter()
+    out = series.interpolate_gaps(df, ["s"], "id", "v")
+    assert out.filter(F.abs(F.col("v") - 2 * F.col("id")) > 1e-6).count() == 0
+    assert out.filter("v IS NULL").count() == 9
+    assert time.perf_counter() - start < 20
+
+
+def test_newest_goes_from_the_groups(spark, rows):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (None, "c")], "year int, k string")
+    assert rows(row_ops.without_newest(df, "year")) == [(1, "a")]
+
+
 @pytest.mark.parametrize(
     ("values", "step", "labelled"),
     [

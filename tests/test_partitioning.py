@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from haulmark.functions.nulls import exact_sum, rounded_mean, rounded_sd
 from haulmark.operators.joins import lookup_join
-from haulmark.plans import landings
+from haulmark.operators.stats import rate_summary
+from haulmark.plans import effort, landings
 
 KEYS = ["stat_area", "stat_area_type"]
 
@@ -84,3 +85,18 @@ def test_row_level_join_splits_a_hot_key(spark, skewed):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_rates_are_bit_equal_for_any_partitioning(spark, rows):
+    i = F.col("id")
+    sets = spark.range(200_000).select(
+        (1990 + i % 100).alias("year"),
+        (i % 200).cast("string").alias("Mgmt_area"),
+        (i % 7).cast("string").alias("Stat"),
+        ((i * 7919 % 10_007) / 977 / (1 + i % 13)).alias("std_cpue"),
+    )
+    sizes = spark.range(7).select(F.col("id").cast("string").alias("Stat"), (F.col("id") / 3).alias("stat_km2"))
+    summaries = [rows(rate_summary(sets.repartition(n), "std_cpue", ["year", "Mgmt_area"])) for n in (1, 3, 17)]
+    assert summaries[0] == summaries[1] == summaries[2]
+    indices = [rows(effort.rpn_index(sets.repartition(n), sizes)) for n in (1, 3, 17)]
+    assert indices[0] == indices[1] == indices[2]

@@ -7,7 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
-from bindings import roles
+from bindings import QUERIES, roles
 from haulmark.plans import biology
 
 SF = contract.SMOKE_DIR
@@ -19,9 +19,9 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_join_no_python_and_only_real_tables(spark, name):
-    plan = plan_of(contract.queries()[name](spark, SF))
+    plan = plan_of(QUERIES[name](spark, SF))
     assert not [word for word in FORBIDDEN if word in plan]
     assert "FileScan parquet" in plan
 
@@ -37,7 +37,7 @@ def test_no_cross_join_no_python_and_only_real_tables(spark, name):
     ],
 )
 def test_filters_reach_the_scan(spark, name, pushed):
-    df = contract.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     assert pushed in df._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     )
@@ -52,7 +52,7 @@ def test_filters_reach_the_scan(spark, name, pushed):
     ],
 )
 def test_only_used_columns_are_read(spark, name, columns):
-    plan = plan_of(contract.queries()[name](spark, SF))
+    plan = plan_of(QUERIES[name](spark, SF))
     schema = plan.split("ReadSchema: struct<")[1].split(">")[0]
     assert {field.split(":")[0] for field in schema.split(",")} == columns
 
@@ -71,3 +71,38 @@ def test_rows_are_aggregated_before_levels_multiply_them(spark, plan):
     assert text.count("FileScan parquet") == 1
     below_expand = text[text.index("Expand") :]
     assert "HashAggregate" in below_expand
+
+
+#: Scans of the rows: the survey indices and the grid read them once, both indices together twice.
+READS = {
+    "complete_multi_fill": 1, "survey_npue_index": 1, "rpn_index": 1, "cpue_index": 2, "age_composition": 1,
+    "proportion_mature": 1, "flt_below_global_max": 2,
+}
+
+
+@pytest.mark.parametrize("name", sorted(READS))
+def test_rows_are_read_as_often_as_needed(spark, name):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        df = QUERIES[name](spark, SF)
+        plan = plan_of(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line and "lineitem.parquet" in line]
+    assert len(scans) == READS[name]
+
+
+def test_no_query_starts_a_job_while_it_is_built(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "queries")
+    try:
+        for build in QUERIES.values():
+            build(spark, SF)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not tracker.getJobIdsForGroup("building")
+
+
+def test_splicing_reads_no_source_without_a_rule(spark):
+    assert "orders.parquet" not in plan_of(QUERIES["splice_sources"](spark, SF))

@@ -108,8 +108,8 @@ def test_store_scans(spark, rows):
 
 
 def test_unknown_waters(catch, rows):
-    placed = landings.landings_with_areas(*catch)
-    got = landings.unknown_waters(placed, ["PWS", "PWSE"])
+    landed, areas, updates = catch
+    got = landings.unknown_waters(landed, landings.resolved_stat_areas(areas, updates), ["PWS", "PWSE"])
     assert rows(got, "g_mgt_area_district", "stat_area", "waters") == [("PWS", "03", "STATE"), ("PWSE", "02", "STATE")]
 
 
@@ -119,7 +119,7 @@ def test_preaggregated_catch_equals_the_row_level_chain(catch, rows):
     weight = F.when(F.col("whole_pounds") == 0, F.col("pounds")).otherwise(F.col("whole_pounds"))
     by_hand = kept.groupBy(F.col("year").cast("int").alias("year")).agg(F.sum(weight).alias("w"))
     grid = landings.catch_by_year_area_gear(*catch)
-    total = landings.total_pounds(grid, "whole_pounds", "year")
+    total = grid.groupBy("year").agg(F.sum("whole_pounds"))
     # 2001 has a missing weight in one cell, which empties that cell in the strict grid.
     assert rows(by_hand) == [(2000, 29.75), (2001, 22.0)]
     assert rows(total) == [(2000, 29.75), (2001, 14.0)]
@@ -155,6 +155,12 @@ def test_compare_and_best_series(spark, rows):
     ]
 
 
+def test_two_rows_for_an_area_and_year_are_an_error(spark):
+    twice = {landings.EARNINGS: series(spark, [(1990, "PWS", 4.0), (1990, "PWS", 5.0)])}
+    with pytest.raises(Exception, match="two rows for PWS 1990"):
+        landings.best_series(twice).collect()
+
+
 def test_a_source_no_rule_names_is_not_read(spark, tmp_path):
     paths = {}
     for name in ("a", "b"):

@@ -8,22 +8,32 @@ from test_plans import UPDATES, STAT_AREAS, hooks, landing, make, random_bio, se
 
 
 def test_publish_catch(spark, tmp_path, rows):
-    earnings = make(spark, schemas.EARNINGS_LANDINGS, [landing("01", y, "61", float(y)) for y in (1984, 1985, 1986)])
+    earnings = make(spark, schemas.EARNINGS_LANDINGS, [
+        *(landing("01", y, "61", float(y)) | {"species_code": "710"} for y in (1984, 1985, 1986)),
+        landing("01", 1984, "61", 1e6) | {"species_code": "711"},
+    ])
     tickets = make(
         spark,
         schemas.TICKET_LANDINGS,
-        [{"year": 1985, "g_management_area_code": "NSEI", "pounds": 5.0, "round_pounds": 0.0}],
+        [
+            {"year": 1985, "g_management_area_code": a, "species_code": s, "pounds": 5.0, "round_pounds": 0.0}
+            for a, s in (("NSEI", "710"), ("NSEI", "711"), ("PWS", "710"), ("EYKT", "710"))
+        ],
     )
     updates = spark.createDataFrame(
         UPDATES, "stat_area string, start_date timestamp, end_date timestamp, updated_waters string"
     )
     history = series(spark, [(y, "NSEI", 100.0) for y in (1907, 1984, 1985)])
     lookup = make(spark, schemas.STAT_AREA_LOOKUP, STAT_AREAS)
-    out = publish.publish_catch(tickets, earnings, lookup, updates, history, str(tmp_path), 2018)
+    out = publish.publish_catch(tickets, earnings, lookup, updates, history, str(tmp_path), 2018, str(tmp_path / "work"))
     assert out["grid"].endswith("catch_by_year_area_gear_1984_1986")
     assert out["comparison"].endswith("catch_comparison_1907_1986")
-    grid = readers.read_csv(spark, out["grid"], schemas.CATCH_GRID)
+    grid = readers.read_csv(spark, out["grid"], schemas.CATCH_GRID, renames={"GEAR_CODE": "gear"})
     assert grid.count() == 3 * 4 * 6 and grid.first()[:] == (1984, "PWS", "HAL", 0.0)
+    assert grid.filter("YEAR = 1984").groupBy().sum("WHOLE_POUNDS").first()[0] == 1984.0
+    compared = readers.read_csv(spark, out["comparison"], schemas.CATCH_SERIES)
+    tickets_only = compared.filter(compared.data_source == landings.TICKETS)
+    assert [r[:] for r in tickets_only.select("year", "Mgmt_area", "whole_mt").collect()] == [(1985, "NSEI", 5 * 0.000453592)]
     best = readers.read_csv(spark, out["best"], schemas.CATCH_SERIES)
     got = [(r.year, r.data_source) for r in best.collect() if r.Mgmt_area == "NSEI"]
     assert got == [(1907, landings.HISTORICAL), (1984, landings.HISTORICAL), (1985, landings.EARNINGS), (1986, landings.EARNINGS)]
@@ -35,9 +45,9 @@ def test_publish_biology(spark, tmp_path, rows):
         "a": spark.createDataFrame(data[:120], schemas.BIO),
         "b": spark.createDataFrame(data[120:], schemas.BIO),
     }
-    out = publish.publish_biology(extracts, str(tmp_path))
+    out = publish.publish_biology(extracts, str(tmp_path), str(tmp_path / "work"))
     kind = schemas.schema(
-        c="description string, Source string, Gear string, Mgmt_area string, Sex string, year int, age int, n int, proportion double"
+        "description string, Source string, Gear string, Mgmt_area string, Sex string, year int, age int, n int, proportion double"
     )
     written = readers.read_csv(spark, out["agecomps"], kind)
     direct = biology.age_composition(spark.createDataFrame(data, schemas.BIO))
@@ -53,7 +63,7 @@ def test_publish_effort(spark, tmp_path, rows):
         schemas.LOGBOOK_SETS,
         [{"year": 1999, "g_management_area_code": "SSEI", "hook_spacing": 40.0, "number_of_hooks": 10, "sable_lbs_per_set": 5.0}],
     )
-    out = publish.publish_effort(data, sizes, logbook, str(tmp_path))
+    out = publish.publish_effort(data, sizes, logbook, str(tmp_path), str(tmp_path / "work"))
     assert out["survey"].endswith("survey_effort_1997_1998")
     index = readers.read_csv(spark, out["indices"], schemas.EFFORT_INDEX)
     assert index.count() == 29 + 1 + 2
