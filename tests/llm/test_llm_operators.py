@@ -93,6 +93,43 @@ def test_token_files_give_back_every_id(docs, doc_rows, tokenizer):
     assert [r.start for r in order] == [0, *np.cumsum([r.n_tokens for r in order])[:-1].tolist()]
 
 
+def test_documents_may_cross_segments(tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+
+    from haulmark.llm import token_files as tf
+
+    monkeypatch.setattr(tf, "SEGMENT_IDS", 1000)
+    rng = np.random.default_rng(8)
+    docs = [rng.integers(0, 50_000, n).astype(np.uint32) for n in (0, 1, 999, 1, 2500, 0, 1000, 700)]
+    fs, path = pafs.LocalFileSystem(), str(tmp_path / "x.tok")
+    with fs.open_output_stream(path) as out:
+        writer = tf.FileWriter(out)
+        for i, ids in enumerate(docs):
+            writer.add(pa.array([None if i == 1 else i], pa.int64()), ids, np.array([len(ids)]))
+        assert writer.close() == len(docs)
+    with fs.open_input_file(path) as file:
+        ids, sizes = tf.read_table(file)
+        assert ids.to_pylist() == [None if i == 1 else i for i in range(len(docs))]
+        assert tf.checksums(tf.read_segments(file), np.cumsum(sizes)) == [brute.crc(d) for d in docs]
+    data = bytearray((tmp_path / "x.tok").read_bytes())
+    data[-60] ^= 1
+    (tmp_path / "x.tok").write_bytes(data)
+    with fs.open_input_file(path) as file, pytest.raises(tf.BadFile):
+        tf.read_table(file)
+
+
+def test_units_follow_the_key_and_the_bound():
+    import pyarrow as pa
+
+    from haulmark.llm.packing import units
+
+    keys = [1, 1, 2, 2, 2, 2, 3]
+    batches = [pa.record_batch({"k": keys[i : i + 2], "v": list(range(i, min(i + 2, 7)))}) for i in range(0, 7, 2)]
+    assert [u.column("v").to_pylist() for u in units(iter(batches), "k")] == [[0, 1], [2, 3, 4, 5], [6]]
+    assert [u.num_rows for u in units(iter(batches), "k", most=2)] == [2, 2, 2, 1]
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 65535), max_size=400), st.sampled_from([1, 7, 64, 2048]))
 def test_range_coder_round_trip(ids, block):
