@@ -9,6 +9,7 @@ of gap is encoded whole.
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -97,9 +98,9 @@ class Encoder:
         while n + len(ids) > len(self.begin):
             self.begin = np.concatenate((self.begin, np.zeros_like(self.begin)))
             self.size = np.concatenate((self.size, np.zeros_like(self.size)))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.begin[n : n + len(ids)] = self.used + np.cumsum(size) - size
-        gap = np.array([not f and c[0].isspace() for c, f in zip(chunks, first.tolist(), strict=True)])
+        gap = np.fromiter((c[0].isspace() for c in chunks), bool, len(ids)) & ~first
         self.size[n : n + len(ids)] = np.where(gap, -1, size)
         self.known.add(keys)
         self.used += total

@@ -3,8 +3,8 @@
 A sequence is cut into blocks that start from the same state and carry a checksum each.
 Order 2 predicts the id last seen after the two ids before, order 1 the one after the id
 before. Each has an adaptive probability of being right for its confidence; their mixture,
-whose weights adapt too, gives the intervals of right predictions. All other ids fall to
-order 0: the magnitude of the id, by adaptive frequencies, and its remaining bits. Intervals
+whose weights adapt too, gives the intervals of right predictions, three quarters at most.
+All other ids fall to order 0: the magnitude of the id, by adaptive frequencies, and its remaining bits. Intervals
 drive a carry-less range coder with 32-bit words.
 
 Blocks are coded side by side: a numpy vector holds one value for each block, a step codes
@@ -27,7 +27,12 @@ _MAGNITUDES = 17
 _SCALE_BITS = 12
 _RENEW = 64
 _WEIGHT = 1 << 15
+#: Upper end of right predictions, of 2**16: what is left has room for a second interval.
+_MOST = 3 << 14
 _MAGNITUDE = np.array([0, *(x.bit_length() - 1 for x in range(1, 65537))], dtype=np.int64)
+# by confidence after a miss and, from 8 on, after a hit
+_CONFIDENCE = np.array([0, *[-1] * 7, *[1] * 7, 0], np.int32)
+_TARGET = np.array([30] * 8 + [65000] * 8, np.int32)
 _CHANCES = np.array([600, 2000, 6000, 12000, 20000, 28000, 36000, 44000], np.int32)
 
 
@@ -77,108 +82,110 @@ class Mixer:
         end1 = ((_WEIGHT - self.weight2) * self.chance1) >> 15
         end2 = (self.weight2 * self.chance2) >> 15
         end1 += end2
+        np.minimum(end1, _MOST, out=end1)
+        np.minimum(end2, _MOST, out=end2)
         return self.id1, self.id2, np.where(self.id1 == self.id2, end1, end2), end1
 
     def update(self, ids: np.ndarray) -> None:
+        """Learns the ids that came: ids and confidence in the tables, chances, weights."""
         new = (ids << 3) + 1
         hit1, hit2 = self.id1 == ids, self.id2 == ids
         for table, slot, held, right, cell, chance, hit in (
             (self.tables[0], self.slot1, self.held1, self.right[0], self.cell1, self.chance1, hit1),
             (self.tables[1], self.slot2, self.held2, self.right[1], self.cell2, self.chance2, hit2),
         ):
-            confidence = held & 7
-            held += np.where(hit, confidence < 7, -1)
-            table[slot] = np.where(hit | (confidence > 0), held, new)
-            chance += (np.where(hit, 65000, 30) - chance) >> 5
+            state = cell & 7
+            state += hit.view(np.int8) * np.int8(8)
+            held += _CONFIDENCE.take(state)
+            np.copyto(held, new, where=state == 0)
+            table[slot] = held
+            chance += (_TARGET.take(state) - chance) >> 5
             right[cell] = chance
-        self.weight2 += (hit2.view(np.int8) - hit1.view(np.int8)).astype(np.int32) << 7
-        np.clip(self.weight2, 1024, _WEIGHT - 1024, out=self.weight2)
+        self.weight2 += (hit2.view(np.int8) - hit1.view(np.int8)) * np.int32(128)
+        np.maximum(self.weight2, 1024, out=self.weight2)
+        np.minimum(self.weight2, _WEIGHT - 1024, out=self.weight2)
         self.two, self.one = self.one, ids.astype(np.int64)
         self.steps += 1
         if self.steps % _RENEW == 0:
             self.renew()
 
     def coded(self, rows: np.ndarray, magnitude: np.ndarray) -> None:
-        self.count[rows, magnitude] += 32
+        self.count.reshape(-1)[rows * _MAGNITUDES + magnitude] += 32
 
 
 _LOW32 = _U(0xFFFFFFFF)
 
 
-class Writer:
+class Coder:
+    """The intervals of ``n`` blocks, kept alike by the writer and the reader."""
+
+    def __init__(self, n: int):
+        self.low, self.range = np.zeros(n, _U), np.full(n, 0xFFFFFFFFFFFFFFFF, _U)
+
+    def narrow(self, step: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """All blocks go to an interval in units of ``step``."""
+        self.low += start.astype(_U) * step
+        np.multiply(size.astype(_U), step, out=self.range)
+
+    def narrow_rows(self, rows: np.ndarray, step: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        self.low[rows] += start.astype(_U) * step
+        self.range[rows] = size.astype(_U) * step
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        """The blocks whose upper word is fixed, or whose range is too small, and that word."""
+        settled = (self.low ^ (self.low + self.range)) <= _LOW32
+        full = np.flatnonzero(settled | (self.range <= _LOW32))
+        part = self.low.take(full)
+        left = np.where(settled.take(full), self.range.take(full), (~part + _U(1)) & _LOW32)
+        self.range[full] = left << _U(32)
+        self.low[full] = part << _U(32)
+        return full, part >> _U(32)
+
+    def keep(self, n: int) -> None:
+        self.low, self.range = self.low[:n], self.range[:n]
+
+
+class Writer(Coder):
     """Range encoders of ``n`` blocks."""
 
     def __init__(self, n: int, words: int):
-        self.low, self.range = np.zeros(n, _U), np.full(n, 0xFFFFFFFFFFFFFFFF, _U)
+        super().__init__(n)
+        self.whole = (self.low, self.range)
         self.out, self.used = np.zeros((n, words), np.uint32), np.zeros(n, np.int64)
 
-    def put(self, rows: np.ndarray | slice, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        step = self.range[rows] >> _U(bits)
-        low = self.low[rows] + start.astype(_U) * step
-        span = size.astype(_U) * step
-        settled = (low ^ (low + span)) <= _LOW32
-        small = span <= _LOW32
-        full = np.flatnonzero(settled | small)
-        if len(full):
-            cut = small[full] & ~settled[full]
-            part = low[full]
-            span[full] = np.where(cut, (~part + _U(1)) & _LOW32, span[full]) << _U(32)
-            own = full if isinstance(rows, slice) else rows[full]
-            self.out[own, self.used[own]] = part >> _U(32)
-            self.used[own] += 1
-            low[full] = part << _U(32)
-        self.low[rows], self.range[rows] = low, span
+    def put(self) -> None:
+        full, word = self.settle()
+        at = self.used.take(full)
+        self.out[full, at] = word
+        self.used[full] = at + 1
 
     def finish(self, row: int) -> bytes:
-        low = int(self.low[row])
+        low = int(self.whole[0][row])
         tail = np.array([low >> 32, low & 0xFFFFFFFF], np.uint32)
         return np.concatenate((self.out[row, : self.used[row]], tail)).astype("<u4").tobytes()
 
 
-class Reader:
+class Reader(Coder):
     """Range decoders of several blocks."""
 
     def __init__(self, blocks: list[bytes]):
+        super().__init__(len(blocks))
         words = [np.frombuffer(b, "<u4") for b in blocks]
-        most = max(map(len, words)) + 2
-        self.data = np.zeros((len(words), most), _U)
+        self.data = np.zeros((len(words), max(map(len, words)) + 2), np.uint32)
         for i, w in enumerate(words):
             self.data[i, : len(w)] = w
-        n = len(words)
-        self.low, self.range, self.used = np.zeros(n, _U), np.full(n, 0xFFFFFFFFFFFFFFFF, _U), np.full(n, 2)
-        self.code = (self.data[:, 0] << _U(32)) | self.data[:, 1]
+        self.used = np.full(len(words), 2)
+        self.code = (self.data[:, 0].astype(_U) << _U(32)) | self.data[:, 1]
 
     def keep(self, n: int) -> None:
-        self.low, self.range, self.used, self.code = self.low[:n], self.range[:n], self.used[:n], self.code[:n]
-        self.data = self.data[:n]
-
-    def side(self, rows: slice, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether the code, of 2**16, lies below ``a``, and whether at ``b`` or above."""
-        self.step = self.range[rows] >> _U(16)
-        value = self.code[rows] - self.low[rows]
-        return value < a.astype(_U) * self.step, value >= b.astype(_U) * self.step
-
-    def peek(self, rows: np.ndarray, bits: int) -> np.ndarray:
-        self.step = self.range[rows] >> _U(bits)
-        value = (self.code[rows] - self.low[rows]) // self.step
-        return np.minimum(value, _U((1 << bits) - 1)).astype(np.int64)
-
-    def take(self, rows: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
-        """Moves on by the interval that the last peek led to."""
-        low = self.low[rows] + start.astype(_U) * self.step
-        span = size.astype(_U) * self.step
-        settled = (low ^ (low + span)) <= _LOW32
-        small = span <= _LOW32
-        full = np.flatnonzero(settled | small)
-        if len(full):
-            cut = small[full] & ~settled[full]
-            part = low[full]
-            span[full] = np.where(cut, (~part + _U(1)) & _LOW32, span[full]) << _U(32)
-            own = full if isinstance(rows, slice) else rows[full]
-            self.code[own] = (self.code[own] << _U(32)) | self.data[own, np.minimum(self.used[own], self.data.shape[1] - 1)]
-            self.used[own] += 1
-            low[full] = part << _U(32)
-        self.low[rows], self.range[rows] = low, span
+        super().keep(n)
+        self.code = self.code[:n]
+
+    def take(self) -> None:
+        full, _ = self.settle()
+        at = self.used.take(full)
+        self.code[full] = (self.code.take(full) << _U(32)) | self.data[full, np.minimum(at, self.data.shape[1] - 1)]
+        self.used[full] = at + 1
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> list[tuple[int, int, bytes]]:
@@ -207,31 +214,31 @@ def _encode(ids: np.ndarray, sizes: list[int], block: int) -> list[bytes]:
         grid[i, :size] = ids[i * block : i * block + size]
     grid = np.ascontiguousarray(grid.T)
     mixer, writer = Mixer(n), Writer(n, max(sizes) * 2 + 4)
-    live = slice(0, n)
     for t, x in enumerate(grid):
         now = n if t < sizes[-1] else n - 1  # only the last block is shorter
         if now != len(mixer.one):
             if not now:
                 break
             mixer.keep(now)
-            live = slice(0, now)
+            writer.keep(now)
         x = x[:now]
         i1, i2, a, b = mixer.predict()
         hit2 = (i2 == x) & (a > 0)
         hit = hit2 | ((i1 == x) & (b > a))
-        miss = ~hit
-        start = np.where(hit2, 0, np.where(hit, a, b))
-        writer.put(live, start, np.where(hit2, a, np.where(hit, b, 65536)) - start, 16)
-        rows = np.flatnonzero(miss)
+        start = np.where(hit, np.where(hit2, 0, a), b)
+        writer.narrow(writer.range >> _U(16), start, np.where(hit, np.where(hit2, a, b), 65536) - start)
+        rows = np.flatnonzero(~hit)
         if len(rows):
-            y = x[rows].astype(np.int64) + 1
-            m = _MAGNITUDE[y]
+            y = x.take(rows).astype(np.int64) + 1
+            m = _MAGNITUDE.take(y)
             at = rows * (_MAGNITUDES + 1) + m
             cum = mixer.cum.reshape(-1)
             below = cum.take(at).astype(np.int64)
             part = (cum.take(at + 1) - below) << (16 - m)
-            writer.put(rows, (below << 16) + (y - (1 << m)) * part, part, _SCALE_BITS + 16)
+            step = writer.range.take(rows) >> _U(_SCALE_BITS + 16)
+            writer.narrow_rows(rows, step, (below << 16) + (y - (1 << m)) * part, part)
             mixer.coded(rows, m)
+        writer.put()
         mixer.update(x)
     return [writer.finish(i) for i in range(n)]
 
@@ -257,21 +264,23 @@ def _decode(sizes: list[int], codes: list[bytes]) -> np.ndarray:
     n = len(sizes)
     grid = np.zeros((max(sizes), n), np.int32)
     mixer, reader = Mixer(n), Reader(codes)
-    live = slice(0, n)
     for t in range(max(sizes)):
         now = n if t < sizes[-1] else n - 1
         if now != len(mixer.one):
             mixer.keep(now)
             reader.keep(now)
-            live = slice(0, now)
         i1, i2, a, b = mixer.predict()
-        hit2, miss = reader.side(live, a, b)
-        start = np.where(hit2, 0, np.where(miss, b, a))
-        reader.take(live, start, np.where(hit2, a, np.where(miss, 65536, b)) - start)
+        step = reader.range >> _U(16)
+        value = reader.code - reader.low
+        hit2, hit = value < a.astype(_U) * step, value < b.astype(_U) * step
+        start = np.where(hit, np.where(hit2, 0, a), b)
+        reader.narrow(step, start, np.where(hit, np.where(hit2, a, b), 65536) - start)
         x = np.where(hit2, i2, i1)
-        rows = np.flatnonzero(miss)
+        rows = np.flatnonzero(~hit)
         if len(rows):
-            value = reader.peek(rows, _SCALE_BITS + 16)
+            step = reader.range.take(rows) >> _U(_SCALE_BITS + 16)
+            value = ((reader.code.take(rows) - reader.low.take(rows)) // step).astype(np.int64)
+            np.minimum(value, (1 << _SCALE_BITS + 16) - 1, out=value)
             m = (mixer.cum[rows, 1:] <= (value >> 16).astype(np.int16)[:, None]).sum(axis=1)
             at = rows * (_MAGNITUDES + 1) + m
             cum = mixer.cum.reshape(-1)
@@ -279,9 +288,10 @@ def _decode(sizes: list[int], codes: list[bytes]) -> np.ndarray:
             part = (cum.take(at + 1) - below) << (16 - m)
             below <<= 16
             rest = ((value - below) / part).astype(np.int64)  # exact: both are below 2**28
-            reader.take(rows, below + rest * part, part)
+            reader.narrow_rows(rows, step, below + rest * part, part)
             x[rows] = rest + (1 << m) - 1
             mixer.coded(rows, m)
+        reader.take()
         mixer.update(x)
         grid[t, :now] = x
     flat = np.ascontiguousarray(grid.T)
