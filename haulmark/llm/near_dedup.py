@@ -6,9 +6,11 @@ number of samples falls. Equal sets are folded first. Bands of samples propose c
 the population count of the XOR of two sketches estimates their similarity, and pairs that
 may reach the threshold are confirmed on the full sets.
 
-A band's members are first compared with its smallest one, so a group of near copies costs
-one comparison a member. Only where a band still holds several components are members of
-different ones compared, in blocks, until no unseen pair is left.
+A member is first compared with the smallest one of all its bands, so a group of near copies
+costs one comparison a member. Where a band still holds several components, its members meet
+in blocks with their full sets: pairs of different components are confirmed there, nearest
+sketches first, each in the first band they share, and a pair leaves the task only if it is
+a link that joins two components.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ SKETCH_BITS = 512
 PARTS, OF = 75, 100
 #: Estimates are off by 0.05 at the threshold (one deviation); candidates below are not confirmed.
 LEAST_ESTIMATE = 0.45
-#: Members of a band in a block of comparisons.
-BLOCK = 512
+#: Members of a band in a block; two blocks meet in one task.
+BLOCK = 2048
 
 _U = np.uint64
 _ORDER = np.argsort(mix(np.arange(SAMPLES * SAMPLES, dtype=_U)).reshape(SAMPLES, SAMPLES), axis=1)
@@ -84,6 +86,18 @@ def samples(shingles: np.ndarray) -> np.ndarray:
     return value
 
 
+SAME = ["n", "low", "high"]
+
+
+def identity(sets: list[np.ndarray]) -> dict:
+    """Size and a 128-bit hash of each set."""
+    return {
+        "n": [len(s) for s in sets],
+        "low": np.array([s.sum(dtype=_U) for s in sets], _U).view(np.int64),
+        "high": np.array([mix(s).sum(dtype=_U) for s in sets], _U).view(np.int64),
+    }
+
+
 def sign(part: pa.RecordBatch) -> dict:
     sets = shingle_sets(Words(part.column("text"), LOWER))
     some = [s for s in sets if len(s)]
@@ -99,19 +113,12 @@ def sign(part: pa.RecordBatch) -> dict:
     upto = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
     return {
         "doc_id": part.column("doc_id"),
-        "n": [len(s) for s in sets],
-        "low": np.array([s.sum(dtype=_U) for s in sets], _U).view(np.int64),
-        "high": np.array([mix(s).sum(dtype=_U) for s in sets], _U).view(np.int64),
+        **identity(sets),
         "bands": pa.ListArray.from_arrays(upto, pa.array(band.ravel().view(np.int64))),
         "sketch": binary_column(sketch.ravel(), np.where(has, SKETCH_BITS // 8, 0)),
     }
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = np.intersect1d(a, b, assume_unique=True).size
-    return OF * both >= PARTS * (len(a) + len(b) - both)
-
-
 def estimated(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """Pairs ``a, b`` whose sketches and set sizes allow the threshold."""
     side = signed.select("doc_id", "sketch", "n")
@@ -135,16 +142,12 @@ def bits(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), _U).reshape(-1, SKETCH_BITS // 64)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold.
+def full_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """Shingle sets of the ``wanted`` documents (id and identity of the set).
 
-    Sets are made from the texts that occur in a pair. Rows are dealt by the first document
-    and a salt, its set comes first, and one set is held at a time.
+    A filter of fixed size spares most other texts the work.
     """
-    salts = F.lit(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pairs = keep(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), salts)), "pairs")
-    wanted = pairs.select(F.col("a").alias("hash")).union(pairs.select("b"))
-    held = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select(F.xxhash64("hash").alias("hash"))))
+    held = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select(F.xxhash64("doc_id").alias("hash"))))
 
     def sets(part: pa.RecordBatch) -> dict | None:
         hashes = part.column("id_hash").to_numpy().view(_U)
@@ -153,10 +156,22 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             return None
         found = shingle_sets(Words(part.column("text"), LOWER))
         flat = np.concatenate(found)
-        return {"doc_id": part.column("doc_id"), "shingles": binary_column(flat, np.array([len(s) for s in found]))}
+        shingles = binary_column(flat, np.array([len(s) for s in found]))
+        return identity(found) | {"doc_id": part.column("doc_id"), "shingles": shingles}
 
     hashed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("id_hash"))
-    shingles = keep(map_slices(hashed, sets, "doc_id long, shingles binary"), "sets")
+    made = map_slices(hashed, sets, "doc_id long, n long, low long, high long, shingles binary")
+    return keep(made.join(wanted, ["doc_id", *SAME]).drop(*SAME).dropDuplicates(["doc_id"]), "sets")
+
+
+def confirmed(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """The pairs whose full shingle sets reach the threshold.
+
+    Rows are dealt by the first document and a salt, its set comes first, and one set is
+    held at a time.
+    """
+    salts = F.lit(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), salts))
     heads = pairs.select("a", "salt").distinct().join(shingles.withColumnRenamed("doc_id", "a"), "a")
     members = pairs.join(shingles.withColumnRenamed("doc_id", "b"), "b")
     dealt = (
@@ -174,7 +189,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             for a, b, data in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "shingles")), strict=True):
                 if b is None:
                     head, own = a, np.frombuffer(data, _U)
-                elif a == head and similar(own, np.frombuffer(data, _U)):
+                elif a == head and linked(own, np.frombuffer(data, _U)):
                     out.append((a, b))
             if out:
                 yield record({"a": [p[0] for p in out], "b": [p[1] for p in out]}, schema)
@@ -183,38 +198,78 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame) -> DataFrame:
-    """Pairs of different components in one band whose sketches may reach the threshold.
+    """Links that join different components of a band.
 
-    ``members``: band, doc_id, component, lead (the component of the band's smallest member),
-    size, n, sketch. The lead's members are dealt into blocks and the others go to each block.
+    ``members``: band, i (its number), doc_id, component, size, n, sketch, bands, shingles.
+    They are dealt into blocks, and each two blocks of a band meet in one task.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.hash("doc_id"), blocks)
-    at = F.when(F.col("component") == F.col("lead"), F.array(own)).otherwise(F.sequence(F.lit(0), blocks - 1))
+    every = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, own).alias("p"), F.greatest(x, own).alias("q")))
     dealt = (
-        members.withColumn("block", F.explode(at))
-        .repartition("band", "block")
-        .sortWithinPartitions("band", "block", "doc_id")
-        .select("band", "block", "doc_id", "component", "lead", "n", "sketch")
+        members.withColumn("own", own)
+        .withColumn("meet", F.explode(every))
+        .select("band", "meet.p", "meet.q", "own", "i", "doc_id", "component", "n", "sketch", "bands", "shingles")
+        .repartition("band", "p", "q")
+        .sortWithinPartitions("band", "p", "q", "doc_id")
     )
     schema = arrow_schema("a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, ("band", "block")):
-            doc, comp, lead, n = (group.column(c).to_numpy() for c in ("doc_id", "component", "lead", "n"))
-            sketch = bits(group.column("sketch"))
-            first = group.column("block")[0].as_py() == 0
-            for i in np.flatnonzero(comp != lead).tolist():
-                other = (comp != comp[i]) & ((comp == lead) | (first & (doc > doc[i])))
-                other &= OF * np.minimum(n, n[i]) >= PARTS * np.maximum(n, n[i])
-                j = np.flatnonzero(other)
-                j = j[np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1) <= MOST_ODD]
-                if len(j):
-                    yield record({"a": np.minimum(doc[j], doc[i]), "b": np.maximum(doc[j], doc[i])}, schema)
+        for group in groups(batches, ("band", "p", "q")):
+            if links := joining(group):
+                yield record({"a": [x[0] for x in links], "b": [x[1] for x in links]}, schema)
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def joining(group: pa.RecordBatch) -> list[tuple[int, int]]:
+    """Pairs of a group that are links and join components that no earlier one joined."""
+    doc, comp, n, own = (group.column(c).to_numpy() for c in ("doc_id", "component", "n", "own"))
+    index, p, q = (group.column(c)[0].as_py() for c in ("i", "p", "q"))
+    label = comp.copy()
+    if (label == label[0]).all():
+        return []
+    sketch = bits(group.column("sketch"))
+    bands = group.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+    sets = [np.frombuffer(s, _U) for s in group.column("shingles").to_pylist()]
+    most = np.unique(comp, return_counts=True)
+    main = most[0][most[1].argmax()]
+    out = []
+    for i in np.flatnonzero(comp != main).tolist():
+        # pairs within the largest component need no comparison, others are met from one side
+        other = (label != label[i]) & ((comp == main) | (doc > doc[i]))
+        if p != q:
+            other &= own != own[i]
+        other &= OF * np.minimum(n, n[i]) >= PARTS * np.maximum(n, n[i])
+        j = np.flatnonzero(other)
+        odd = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1)
+        near = odd <= MOST_ODD
+        j, odd = j[near], odd[near]
+        j, odd = (x[(bands[j] == bands[i]).argmax(axis=1) == index] for x in (j, odd))
+        for k in j[np.argsort(odd, kind="stable")].tolist():
+            if label[k] != label[i] and linked(sets[i], sets[k]):
+                out.append((min(int(doc[i]), int(doc[k])), max(int(doc[i]), int(doc[k]))))
+                label[label == label[k]] = label[i]
+    return out
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if len(a) > len(b):
+        a, b = b, a
+    both = int((b.take(np.searchsorted(b, a), mode="clip") == a).sum())
+    return OF * both >= PARTS * (len(a) + len(b) - both)
+
+
+def in_several(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of the bands that hold several components."""
+    component = F.coalesce("component", "doc_id")
+    placed = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", component)
+    mixed = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    return placed.join(mixed.filter("least < most").select("band"), "band")
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     last = None
@@ -241,45 +296,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Documents are linked if 100 * intersection >= 75 * union of their shingle sets. The
     component is the smallest doc_id reachable over links; the document of that id is kept.
     A text of fewer than SHINGLE words is one shingle; one without words, or a missing one,
-    is linked with nothing and kept. Rows that repeat an id and text are one document;
-    different texts under one id are linked through that id. A missing id gives a missing
+    is linked with nothing and kept. Rows that repeat an id are one document; of different
+    texts under one id that with the largest set counts. A missing id gives a missing
     component and is kept. Needs ``doc_id`` and ``text``; other columns are ignored.
     """
     rows = texts(docs)
     signed = keep(map_slices(rows, sign, SIGNED), "signed")
     some = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    same = ["n", "low", "high"]
-    first = some.groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    reps = keep(
-        some.join(first, same)
-        .filter("doc_id = rep")
-        .dropDuplicates(["doc_id", *same])
-        .select("doc_id", "n", "bands", "sketch"),
-        "reps",
-    )
+    own = keep(some.groupBy("doc_id").agg(F.max(F.struct(*SAME)).alias("own")).select("doc_id", "own.*"), "own")
+    first = own.groupBy(*SAME).agg(F.min("doc_id").alias("rep"))
+    copies = own.join(first, SAME)
+    reps = copies.filter("doc_id = rep").drop("rep").join(some, ["doc_id", *SAME]).dropDuplicates(["doc_id"])
+    reps = keep(reps.select("doc_id", *SAME, "bands", "sketch"), "reps")
     banded = reps.select("doc_id", F.posexplode("bands").alias("i", "value")).select(
-        "doc_id", F.xxhash64("i", "value").alias("band")
+        "doc_id", "i", F.xxhash64("i", "value").alias("band")
     )
     leads = banded.groupBy("band").agg(F.min("doc_id").alias("lead"), F.count("*").alias("size")).filter("size > 1")
     members = keep(banded.join(leads, "band"), "members")
-    star = members.filter("doc_id > lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    unique = reps.dropDuplicates(["doc_id"])
-    links = keep(confirmed(estimated(star, unique), rows), "links")
-    labels = components(links)
-
+    star = members.filter("doc_id > lead").groupBy(F.col("doc_id").alias("b")).agg(F.min("lead").alias("a"))
+    near = members.select("doc_id").distinct()
+    sets = full_sets(reps.select("doc_id", *SAME).join(near, "doc_id"), rows)
+    links = keep(confirmed(estimated(star.select("a", "b"), reps), sets), "links")
+    apart = in_several(members, components(links))
+    whole = reps.select("doc_id", "n", "bands", "sketch").join(apart.select("doc_id").distinct(), "doc_id").join(sets, "doc_id")
+    more = keep(across(apart.join(whole, "doc_id")), "links")
+    same = copies.filter("doc_id > rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    labels = components(links.union(more).union(same))
     component = F.coalesce("component", "doc_id")
-    placed = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", component)
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    lead = labels.select(F.col("node").alias("lead"), F.col("component").alias("lead_component"))
-    apart = (
-        placed.join(mixed.filter("low < high").select("band"), "band")
-        .join(lead, "lead", "left")
-        .withColumn("lead", F.coalesce("lead_component", "lead"))
-        .join(unique.select("doc_id", "n", "sketch"), "doc_id")
-    )
-    more = confirmed(across(apart), rows)
-    own = some.join(first, same).filter("doc_id > rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    labels = components(links.union(more).union(own).distinct())
     return signed.select("doc_id", F.col("n").alias("n_shingles")).join(
         labels.withColumnRenamed("node", "doc_id"), "doc_id", "left"
     ).select(

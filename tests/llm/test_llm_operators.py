@@ -183,15 +183,20 @@ def test_near_duplicate_chains_and_hot_groups(spark, same):
     same(near_duplicates(frame).collect(), brute.near_duplicates(rows))
 
 
-def test_members_of_different_components_meet_in_blocks(spark):
+def test_members_of_different_components_meet_in_blocks(spark, monkeypatch):
     import haulmark.llm.near_dedup as nd
 
-    sketch = bytes(nd.SKETCH_BITS // 8)
-    rows = [(1, i, 0 if i < 700 else i, 0, 710, 10, sketch) for i in range(710)]
-    cols = "band long, doc_id long, component long, lead long, size long, n long, sketch binary"
+    monkeypatch.setattr(nd, "BLOCK", 8)
+    sketch, bands = bytes(nd.SKETCH_BITS // 8), list(range(nd.BANDS))
+    rows = []
+    for i in range(60):  # pairs i, i + 30 are links, all lie in one band, the first half is one component
+        shingles = np.arange(100 * (i % 30), 100 * (i % 30) + 50, dtype=np.uint64).tobytes()
+        rows.append((1, 0, i, 0 if i < 30 else i, 60, 50, sketch, bands, shingles))
+    cols = "band long, i int, doc_id long, component long, size long, n long, sketch binary, bands array<bigint>, shingles binary"
     got = {tuple(r) for r in across(spark.createDataFrame(rows, cols)).collect()}
-    want = {(i, j) for j in range(700, 710) for i in range(j)}
-    assert got == want
+    assert got == {(i, i + 30) for i in range(30)}
+    other = [(*r[:1], 1, *r[2:]) for r in rows]  # not the first band that they share
+    assert across(spark.createDataFrame(other, cols)).count() == 0
 
 
 def test_components(spark):
