@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _own: list[str] = []
 _shipped: set[str] = set()
 
@@ -42,8 +43,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this library to the executors, once for each Spark application."""
+    """Sends this library to the executors, once for each Spark application.
+
+    Rows reach Python by the thousand, unless the session says otherwise: whole texts make
+    Spark's usual batches of ten thousand rows too large for small executors.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, "1000")
     root = Path(__file__).resolve().parent.parent
     if context.applicationId in _shipped or not root.is_dir():
         return
@@ -108,6 +115,7 @@ def map_slices(
             for part in slices(batch, column):
                 if (cols := fn(part)) is not None:
                     yield record(cols, arrow)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -187,7 +195,10 @@ class Words:
     ``start`` and ``end`` point into.
     """
 
-    def __init__(self, column: pa.Array, kind: tuple[np.ndarray, np.ndarray]):
+    def __init__(
+        self, column: pa.Array, kind: tuple[np.ndarray, np.ndarray], cuts: Callable[[np.ndarray], np.ndarray] | None = None
+    ):
+        """``cuts`` gives places inside words at which they are cut as well."""
         sep, code = kind
         n = len(column)
         size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -196,6 +207,9 @@ class Words:
         gap = sep[raw]
         edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
         self.start, self.end = edge[0::2], edge[1::2]
+        if cuts is not None:
+            self.cuts = cuts(raw)
+            self.start, self.end = (np.sort(np.concatenate((x, self.cuts)), kind="stable") for x in (self.start, self.end))
         power, inverse = powers(len(raw))
         total = np.cumsum(code[raw] * power, dtype=_U)
         h = (total[self.end - 1] - total[self.start - 1]) * inverse[self.start]

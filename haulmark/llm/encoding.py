@@ -1,9 +1,9 @@
 """Ids of a public byte-level tokenizer for many texts, as the library gives them.
 
-The tokenizer splits a text before any space that a visible character follows, and never
-looks across such a split. The library encodes each distinct chunk between them once; a
-worker keeps the ids in a hash table and looks later chunks up. A text with any other kind
-of gap is encoded whole.
+The tokenizer splits a text before any space that a visible character follows, and where
+letters begin or end; it never looks across such a split. The library encodes each distinct
+chunk between them once; a worker keeps the ids in a hash table and looks later chunks up.
+A text with any other kind of gap is encoded whole.
 """
 
 from __future__ import annotations
@@ -16,11 +16,26 @@ import pyarrow as pa
 
 from haulmark.llm.common import SPACED, Words
 
-#: Chunks a worker keeps at most (about 90 MB); then it begins anew.
-CHUNKS = 1_500_000
+#: Chunks a worker keeps at most (about 50 MB); then it begins anew.
+CHUNKS = 700_000
 
 _FIRST = np.uint64(0xA5A5F00DD00F5A5B)
 _encoders: dict[str, Encoder] = {}
+_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+#: ASCII other than letters and the space.
+_OTHER = np.array([b < 128 and b != 32 and not chr(b).isalpha() for b in range(256)])
+
+
+def letter_edges(raw: np.ndarray) -> np.ndarray:
+    """Where ASCII letters end before, or begin after, other ASCII.
+
+    After an apostrophe letters may belong to it, and white space is split by what follows
+    it, so letters after these are not cut off.
+    """
+    letter, other = _LETTER[raw], _OTHER[raw]
+    ends = letter[:-1] & other[1:]
+    begins = other[:-1] & letter[1:] & (raw[:-1] > 32) & (raw[:-1] != 39)
+    return np.flatnonzero(ends | begins) + 1
 
 
 def encoder(path: str) -> Encoder:
@@ -88,20 +103,35 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def learn(self, keys: np.ndarray, chunks: list[str], first: np.ndarray) -> None:
-        """A chunk that is not the first of its text stands for itself with a space before it."""
-        given = [c if f else " " + c for c, f in zip(chunks, first.tolist(), strict=True)]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(given, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int32, len(ids))
-        n, total = self.known.count, int(size.sum())
+        """A chunk that is not ``first`` stands for itself with a space before it."""
+        plain = [i for i, (c, f) in enumerate(zip(chunks, first.tolist(), strict=True)) if not f and c.isascii() and c.isalpha()]
+        other = sorted(set(range(len(chunks))).difference(plain))
+        given = [chunks[i] if first[i] else " " + chunks[i] for i in other]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(given, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(found), np.uint32)
+        size = np.zeros(len(chunks), np.int32)
+        size[other] = np.fromiter(map(len, found), np.int32, len(found))
+        if plain:
+            # letters with a space before them, in one text: their ids by where they end
+            text = " ".join(["", *(chunks[i] for i in plain)])
+            made = self.tokenizer.encode(text, add_special_tokens=False)
+            ends = np.fromiter((e for _, e in made.offsets), np.int64)
+            upto = np.cumsum([len(chunks[i]) + 1 for i in plain])
+            size[plain] = np.bincount(np.searchsorted(upto, ends), minlength=len(plain))
+            ids = np.concatenate((ids, np.array(made.ids, np.uint32)))
+        order = np.concatenate((np.array(other, np.int64), np.array(plain, np.int64)))
+        keys, first, size = keys[order], first[order], size[order]
+        chunks = [chunks[i] for i in order.tolist()]
+        n, total = self.known.count, len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while n + len(ids) > len(self.begin):
+        while n + len(size) > len(self.begin):
             self.begin = np.concatenate((self.begin, np.zeros_like(self.begin)))
             self.size = np.concatenate((self.size, np.zeros_like(self.size)))
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.begin[n : n + len(ids)] = self.used + np.cumsum(size) - size
-        gap = np.fromiter((c[0].isspace() for c in chunks), bool, len(ids)) & ~first
-        self.size[n : n + len(ids)] = np.where(gap, -1, size)
+        self.flat[self.used : self.used + total] = ids
+        self.begin[n : n + len(size)] = self.used + np.cumsum(size) - size
+        gap = np.fromiter((c[0].isspace() for c in chunks), bool, len(size)) & ~first
+        self.size[n : n + len(size)] = np.where(gap, -1, size)
         self.known.add(keys)
         self.used += total
 
@@ -110,8 +140,11 @@ class Encoder:
         if self.known.count > self.chunks:
             self.clear()
         n = len(texts)
-        words = Words(texts, SPACED)
+        words = Words(texts, SPACED, letter_edges)
+        # the first chunk of a text, and one cut off from the chunk before, has no space before it
         first = np.zeros(len(words.hash), bool)
+        first[np.searchsorted(words.start, words.cuts)] = True
+        joined = np.bincount(words.doc_of()[first], minlength=n)
         first[words.docs[:-1][words.counts > 0]] = True
         keys = np.where(first, words.hash ^ _FIRST, words.hash) | np.uint64(1 << 63)
         at = self.known.get(keys)
@@ -126,7 +159,7 @@ class Encoder:
         length = np.diff(words.bytes_from) - 1
         total = np.concatenate(([0], np.cumsum(words.end - words.start)))
         spaces = length - (total[words.docs[1:]] - total[words.docs[:-1]])
-        odd = spaces != np.maximum(words.counts - 1, 0)
+        odd = spaces != np.maximum(words.counts - joined - 1, 0)
         odd[words.doc_of()[size < 0]] = True
         size[size < 0] = 0
         ids = spread(self.flat, self.begin[at], size)
