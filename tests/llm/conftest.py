@@ -59,6 +59,14 @@ def documents() -> list[tuple]:
     return rows
 
 
+@pytest.fixture(scope="session", autouse=True)
+def shipped(spark):
+    """Workers find the library wherever the tests are started."""
+    from haulmark.llm.common import ship
+
+    ship(spark)
+
+
 @pytest.fixture(scope="session")
 def doc_rows():
     return documents()
