@@ -2,11 +2,12 @@
 
 Markup is stripped into lines, one for each block element. Elements that hold no article
 text by their name, role or class (menus, adverts, forms, comments) leave no lines but a
-gap as wide as the window, and so does the edge of every container that holds blocks. Text lengths
-are summed over a sliding window of lines: a sum that rises from zero is a surge, one that
-falls back to zero is a dive, and the text between the two is a candidate. The candidates
-inside the page's article are kept; without such an element, those of the container whose
-candidates weigh most, links not counted.
+gap as wide as the window, and the edge of a container that holds blocks leaves one empty line.
+Text lengths, links discounted, are summed over a sliding window of lines: a sum that reaches
+SURGE is a surge, one that falls below DIVE is a dive, and the text between the two is a run. The
+runs inside the page's article are joined; without such an element those inside main, or else those
+inside the deepest container that holds nearly all of their text. Joining them keeps the short lines
+between runs and drops blocks of links. An article also keeps its short lines at both ends.
 """
 
 from __future__ import annotations
@@ -26,6 +27,12 @@ TEXTS = "page_id long, url string, text string, n_chars long"
 
 #: Lines a window sums over.
 WINDOW = 3
+#: Characters outside links in a window that begin a run; on pages of short lines, half of the largest window.
+SURGE = 80
+#: Below this share of the surge a window ends a run.
+DIVE = 0.25
+#: A container gives way to one inside it that holds this share of the text in runs.
+NESTED = 0.9
 
 # Element names of the HTML standard, fixed values.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
@@ -38,6 +45,7 @@ INLINE = {
     "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img",
 }
 CONTAINER = {"html", "body", "div", "section", "article", "main", "center", "table", "tbody", "td", "frameset"}
+TABLE = {"table", "tbody", "td"}
 #: Block elements that end an open paragraph.
 LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "th", "option", "thead", "tfoot"}
 DROPPED = {
@@ -71,6 +79,8 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|\S+)")
 _SPACE = re.compile(r"\s+")
 _ROOT = 0
+#: What explicit element a line is in.
+_MAIN, _ARTICLE = 1, 2
 
 
 @dataclass
@@ -79,28 +89,48 @@ class Line:
 
     text: str
     owner: int
-    article: bool
+    scope: int
     links: int
+    title: bool
+
+    def weight(self) -> int:
+        return max(0, len(self.text) - 2 * self.links)
 
 
 @dataclass
 class Page:
+    """Lines and gaps (None); each container's parent, and the block it belongs to: tables have none of their own."""
+
     lines: list[Line | None] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     links: int = 0
     in_link: int = 0
+    title: bool = False
+    parent: list[int] = field(default_factory=lambda: [_ROOT])
+    block: list[int] = field(default_factory=lambda: [_ROOT])
+    articles: set[int] = field(default_factory=set)
 
-    def flush(self, owner: int, article: bool) -> None:
+    def flush(self, owner: int, scope: int) -> None:
         if self.parts:
             text = _SPACE.sub(" ", entities.unescape("".join(self.parts))).strip()
             if text:
-                self.lines.append(Line(text, owner, article, self.links))
+                self.lines.append(Line(text, owner, scope, 0 if self.title else self.links, self.title))
             self.parts = []
         self.links = 0
+        self.title = False
 
-    def gap(self) -> None:
-        if self.lines and self.lines[-1] is not None:
-            self.lines.extend([None] * WINDOW)
+    def gap(self, size: int) -> None:
+        if self.lines:
+            empty = 0
+            while empty < size and self.lines[-1 - empty] is None:
+                empty += 1
+            self.lines.extend([None] * (size - empty))
+
+    def open(self, owner: int, name: str) -> int:
+        """A container inside ``owner``."""
+        self.parent.append(owner)
+        self.block.append(self.block[owner] if name in TABLE else len(self.block))
+        return len(self.parent) - 1
 
 
 def _beside(name: str, attributes: str) -> bool:
@@ -120,11 +150,17 @@ def _beside(name: str, attributes: str) -> bool:
     return "hidden" in attributes and "hidden" in _QUOTED.sub("", attributes).lower().split()
 
 
-def lines_of(page: str) -> list[Line | None]:
-    """The page's blocks in order; gaps (None) where boilerplate stood or a container ends."""
+def _is_main(name: str, attributes: str) -> bool:
+    return name == "main" or "role" in attributes.lower() and any(
+        key.lower() == "role" and "".join(values).lower() == "main" for key, *values in _ATTRIBUTE.findall(attributes)
+    )
+
+
+def lines_of(page: str) -> Page:
+    """The page's blocks in order; gaps where boilerplate stood or a container ends."""
     out = Page()
-    stack: list[tuple[str, int, bool]] = [("", _ROOT, False)]
-    containers, skip, depth, at = 0, "", 0, 0
+    stack: list[tuple[str, int, int]] = [("", _ROOT, 0)]
+    skip, depth, at = "", 0, 0
     find = _TOKEN.search
     while True:
         m = find(page, at)
@@ -148,7 +184,7 @@ def lines_of(page: str) -> list[Line | None]:
             if depth == 0:
                 skip = ""
             continue
-        _, owner, article = stack[-1]
+        _, owner, scope = stack[-1]
         if not closing and name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -157,60 +193,125 @@ def lines_of(page: str) -> list[Line | None]:
             if name == "br":
                 out.parts.append(" ")
             elif name == "hr":
-                out.flush(owner, article)
+                out.flush(owner, scope)
             continue
         if not closing and _beside(name, m[3]) and not m[3].endswith("/"):
             if name not in INLINE:
-                out.flush(owner, article)
-                out.gap()
+                out.flush(owner, scope)
+                out.gap(WINDOW)
             skip, depth = name, 1
             continue
         if name == "a":
             out.in_link = 0 if closing else 1
         if name in INLINE:
             continue
-        out.flush(owner, article)
+        out.flush(owner, scope)
         out.in_link = 0
+        out.title = name == "h1" and not closing
         if name in CONTAINER:
             if not closing:
-                containers += 1
-                out.gap()
-                stack.append((name, containers, article or name == "article"))
+                out.gap(1)
+                inner = out.open(owner, name)
+                if name == "article":
+                    out.articles.add(inner)
+                    scope = _ARTICLE
+                elif _is_main(name, m[3]):
+                    scope = max(scope, _MAIN)
+                stack.append((name, inner, scope))
             elif any(s[0] == name for s in stack):
-                out.gap()
+                out.gap(1)
                 while stack.pop()[0] != name:
                     pass
     out.flush(*stack[-1][1:])
-    return out.lines
+    return out
+
+
+def candidates(lines: list[Line | None]) -> tuple[np.ndarray, float]:
+    """Which lines are in a run between a surge and the next dive, and what a surge is on this page."""
+    weight = np.array([0 if x is None else x.weight() for x in lines], np.int64)
+    if not weight.any():  # nothing but links
+        weight = np.array([0 if x is None else len(x.text) for x in lines], np.int64)
+    total = np.concatenate((np.zeros(WINDOW, np.int64), np.cumsum(weight), np.full(WINDOW - 1, weight.sum())))
+    block = total[WINDOW:] - total[:-WINDOW]  # the window that ends at each line, and those that end behind the last
+    reach = np.lib.stride_tricks.sliding_window_view(block, WINDOW).max(axis=1)  # the largest window a line is in
+    surge = min(SURGE, block.max() / 2)
+    up = np.concatenate(([False], reach >= max(1.0, DIVE * surge), [False]))
+    begin, end = np.flatnonzero(up[1:] & ~up[:-1]), np.flatnonzero(up[:-1] & ~up[1:])
+    inside = np.zeros(len(lines), bool)
+    for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+        inside[a:b] = reach[a:b].max() >= surge
+    return inside & (weight > 0), surge
+
+
+def heaviest(page: Page, run: np.ndarray, surge: float) -> set[int]:
+    """The deepest container with nearly all text of the runs, their titles too, and all containers inside it."""
+    own, titles = [0] * len(page.parent), [0] * len(page.parent)
+    for x, inside in zip(page.lines, run.tolist(), strict=True):
+        if inside:
+            own[x.owner] += max(x.weight(), 1)
+            titles[x.owner] += x.title
+    below, heavy = own.copy(), [_ROOT] * len(own)
+    for c in range(len(own) - 1, _ROOT, -1):
+        up = page.parent[c]
+        below[up] += below[c]
+        titles[up] += titles[c]
+        if heavy[up] == _ROOT or below[c] >= below[heavy[up]]:
+            heavy[up] = c
+    best = _ROOT
+    while (c := heavy[best]) != _ROOT and own[best] < surge and below[c] >= NESTED * below[best]:
+        if titles[c] < titles[best]:
+            break
+        best = c
+    within = {best}
+    for c in range(best + 1, len(own)):
+        if page.parent[c] in within:
+            within.add(c)
+    return within
+
+
+def joined(page: Page, at: list[int], run: np.ndarray, article: bool) -> list[str]:
+    """Lines of the runs among ``at``, and of the stretches between them that are not blocks of links."""
+    lines = page.lines
+    inside = [i for i in at if run[i]]
+    first, last = (inside[0], inside[-1]) if inside and not article else (-1, len(lines))
+    texts = {page.block[lines[i].owner] for i in inside} | (page.articles if article else set())
+    kept: list[str] = []
+    stretch: list[Line] = []
 
+    def close() -> None:
+        block = page.block[stretch[0].owner]
+        linked = 2 * sum(x.links for x in stretch) > sum(len(x.text) for x in stretch)
+        if not linked or block in texts and (article or len(stretch) < WINDOW):
+            kept.extend(x.text for x in stretch)
+        stretch.clear()
 
-def candidates(lines: list[Line | None]) -> list[tuple[int, int]]:
-    """Runs of lines between a surge and the next dive of the windowed text lengths."""
-    length = np.array([0 if x is None else len(x.text) for x in lines], np.int64)
-    total = np.concatenate(([0], np.cumsum(length)))
-    first = np.maximum(np.arange(len(length)) - WINDOW + 1, 0)
-    block = total[1:] - total[first]
-    up = np.concatenate(([False], block > 0, [False]))
-    surge, dive = np.flatnonzero(up[1:] & ~up[:-1]), np.flatnonzero(up[:-1] & ~up[1:])
-    return list(zip(surge.tolist(), dive.tolist(), strict=True))
+    for i in at:
+        x = lines[i]
+        if stretch and (run[i] or page.block[x.owner] != page.block[stretch[0].owner]):
+            close()
+        if run[i]:
+            kept.append(x.text)
+        elif first < i < last:
+            stretch.append(x)
+    if stretch:
+        close()
+    return kept
 
 
 def main_text(page: str) -> str:
     """The article's blocks, joined by a newline each; empty if the page has none."""
-    lines = lines_of(page)
-    runs = [[x for x in lines[a:b] if x is not None] for a, b in candidates(lines)]
-    if not runs:
+    found = lines_of(page)
+    lines = [i for i, x in enumerate(found.lines) if x is not None]
+    if not lines:
         return ""
-    if any(x.article for run in runs for x in run):
-        kept = [x.text for run in runs for x in run if x.article]
+    run, surge = candidates(found.lines)
+    scope = max(found.lines[i].scope for i in lines)
+    if scope:
+        at = [i for i in lines if found.lines[i].scope == scope]
     else:
-        weight: dict[int, int] = {}
-        for run in runs:
-            for x in run:
-                weight[x.owner] = weight.get(x.owner, 0) + max(0, len(x.text) - 2 * x.links)
-        best = max(weight, key=lambda k: (weight[k], -k))
-        kept = [x.text for run in runs for x in run if x.owner == best]
-    return "\n".join(kept)
+        within = heaviest(found, run, surge)
+        at = [i for i in lines if found.lines[i].owner in within]
+    return "\n".join(joined(found, at, run, scope == _ARTICLE))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -89,6 +89,28 @@ def test_main_text(page):
     assert main_text(page) == EXPECTED
 
 
+A, B, C = (f"{w} paragraph " + "with enough words to read on " * 5 + "." for w in ("First", "Second", "Third"))
+MENU = "<ul>" + "".join(f"<li><a href=/{i}>Page number {i}</a></li>" for i in range(9)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        (f"<main><section><p>{A}</section><section><h2>Next</h2><p>{B}</section></main>", [A, "Next", B]),
+        (f"<div role=main><div><p>{A}</div><div><p>{B}</div></div><div><p>{C}</div>", [A, B]),
+        (f"<div class=content><p>{A}</p><div><p>{B}</p></div><p>{C}</p></div>", [A, B, C]),
+        (f"<div><div><p>{A}</p></div><div><p>{B}</p></div><div><p>{C}</p></div></div>", [A, B, C]),
+        (f"<div class=content><p>{A}</p><p>{B}</p><div class=box>{MENU}</div><p>{C}</p></div>", [A, B, C]),
+        (f"<div class=content>{MENU}<p>{A}</p><p>{B}</p></div>", [A, B]),
+        (f"<article><p>{A}</p><div class=box>{MENU}</div><p>{B}</p></article>", [A, B]),
+        (f"<article><p>By X</p><ul><li>1</li><li>2</li><li>3</li><li>4</li></ul><p>{A}</p></article>", ["By X", *"1234", A]),
+        (f"<body><div class=box>{MENU}</div><div><h1><a href=/>Name</a></h1><div><p>{A}</p></div></div></body>", ["Name", A]),
+    ],
+)
+def test_runs_of_text_are_joined_and_blocks_of_links_are_not(page, expected):
+    assert main_text(page) == "\n".join(expected)
+
+
 @pytest.mark.parametrize("page", ["", "   ", "<html></html>", "<nav>only a menu</nav>", "<!-- x", "<p", "</div></div>"])
 def test_pages_without_text(page):
     assert main_text(page) == ""
