@@ -1,9 +1,10 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block element. Elements that hold no article
-text by their name, role or class (menus, adverts, forms, comments) leave no lines but a
+text by their name or role (menus, forms) leave no lines but a
 gap as wide as the window, and the edge of a container that holds blocks leaves one empty line.
-Text lengths, links discounted, are summed over a sliding window of lines: a sum that reaches
+A container whose class or id names such a kind is left out as well, if its
+text and links do not speak against it. Text lengths, links discounted, are summed over a sliding window of lines: a sum that reaches
 SURGE is a surge, one that falls below DIVE is a dive, and the text between the two is a run. The
 runs inside the page's article are joined; without such an element those inside main, or else those
 inside the deepest container that holds nearly all of their text. Joining them keeps the short lines
@@ -56,18 +57,32 @@ DROPPED_ROLES = {
     "navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "toolbar", "dialog",
     "alertdialog", "alert", "note", "status",
 }
-#: Words of a class or id that mark text beside the article.
-DROPPED_WORDS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "sponsor", "sponsored",
-    "promo", "promotion", "promoted", "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs",
-    "header", "masthead", "topbar", "footer", "foot", "sidebar", "sidebars", "aside", "rail", "widget", "widgets",
-    "notice", "notices", "notification", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay",
-    "alert", "disclaimer", "newsletter", "subscribe", "subscription", "signup", "login", "signin", "register",
-    "form", "search", "searchbox", "comment", "comments", "commentlist", "reply", "replies", "respond", "disqus",
-    "discussion", "feedback", "share", "sharing", "social", "related", "recommended", "recommendations", "teaser",
-    "trending", "popular", "pagination", "pager", "toolbar", "copyright", "legal", "tags", "hidden", "print",
+#: Containers whose class or id is judged; headings, paragraphs, list items and inline elements are not.
+JUDGED = {"div", "section", "table", "tbody", "td", "center", "ul", "ol", "dl", "figure", "details"}
+COMMENTS = {"comment", "comments", "commentlist", "reply", "replies", "respond", "disqus"}
+ADVERTS = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo",
+    "promotion", "promoted",
+}
+#: Words that name a part of a page beside the article.
+BESIDE = {
+    "banner", "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "header", "masthead",
+    "topbar", "footer", "sidebar", "sidebars", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "newsletter",
+    "subscribe", "signup", "login", "signin", "searchbox", "pagination", "pager", "toolbar",
+}
+#: Everyday words, which need a short text or one of links to count.
+PERHAPS = {
+    "foot", "aside", "rail", "widget", "widgets", "notice", "notices", "notification", "overlay", "alert", "disclaimer",
+    "subscription", "register", "form", "search", "discussion", "feedback", "share", "sharing", "social", "related",
+    "recommended", "recommendations", "teaser", "trending", "popular", "copyright", "legal", "tags", "hidden", "print",
     "toc", "skip", "paywall",
 }
+#: With one of these, a class tells how a page is laid out: has-sidebar, comments-open.
+STATES = {
+    "has", "no", "with", "without", "open", "closed", "on", "off", "enabled", "disabled", "allowed", "layout", "count",
+}
+#: A block named by an everyday word is short if the rest of the page has this many times its text.
+SHORT_OF = 4
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
@@ -92,11 +107,22 @@ class Line:
     scope: int
     links: int
     title: bool
+    named: int
 
     def weight(self) -> int:
         return max(0, len(self.text) - 2 * self.links)
 
 
+@dataclass
+class Named:
+    """A container with a telling class or id, inside ``outer`` of them (-1: none)."""
+
+    kind: str
+    outer: int
+    in_article: bool
+    holds_title: bool = False
+
+
 @dataclass
 class Page:
     """Lines and gaps (None); each container's parent, and the block it belongs to: tables have none of their own."""
@@ -109,12 +135,14 @@ class Page:
     parent: list[int] = field(default_factory=lambda: [_ROOT])
     block: list[int] = field(default_factory=lambda: [_ROOT])
     articles: set[int] = field(default_factory=set)
+    named: list[Named] = field(default_factory=list)
+    named_now: int = -1
 
     def flush(self, owner: int, scope: int) -> None:
         if self.parts:
             text = _SPACE.sub(" ", entities.unescape("".join(self.parts))).strip()
             if text:
-                self.lines.append(Line(text, owner, scope, 0 if self.title else self.links, self.title))
+                self.lines.append(Line(text, owner, scope, 0 if self.title else self.links, self.title, self.named_now))
             self.parts = []
         self.links = 0
         self.title = False
@@ -126,6 +154,12 @@ class Page:
                 empty += 1
             self.lines.extend([None] * (size - empty))
 
+    def holds(self, named: int) -> None:
+        """A title or main element stands in a named container, so it is no part beside."""
+        while named >= 0:
+            self.named[named].holds_title = True
+            named = self.named[named].outer
+
     def open(self, owner: int, name: str) -> int:
         """A container inside ``owner``."""
         self.parent.append(owner)
@@ -133,8 +167,27 @@ class Page:
         return len(self.parent) - 1
 
 
+def _kind(name: str, attributes: str) -> str:
+    """What the class and id of a container name: comments, adverts, beside, perhaps or nothing."""
+    if not attributes or name not in JUDGED and name != "article":
+        return ""
+    words: set[str] = set()
+    for key, *values in _ATTRIBUTE.findall(attributes):
+        if key.lower() in ("class", "id"):
+            for token in "".join(values).split():
+                own = {w.lower() for w in _WORD.findall(token)}
+                words |= own if STATES.isdisjoint(own) else set()
+    if not words.isdisjoint(COMMENTS):
+        return "comments"
+    if name == "article":
+        return ""
+    if not words.isdisjoint(ADVERTS):
+        return "adverts"
+    return "beside" if not words.isdisjoint(BESIDE) else "perhaps" if not words.isdisjoint(PERHAPS) else ""
+
+
 def _beside(name: str, attributes: str) -> bool:
-    """Whether an element's name, role, class or id says that it is not article text."""
+    """Whether an element's name, role or state says that it is not article text."""
     if name in DROPPED:
         return True
     if not attributes or name in ("html", "body", "article", "main"):
@@ -143,8 +196,6 @@ def _beside(name: str, attributes: str) -> bool:
         key, value = key.lower(), "".join(values)
         if key == "role" and value.lower() in DROPPED_ROLES:
             return True
-        if key in ("class", "id") and not DROPPED_WORDS.isdisjoint(w.lower() for w in _WORD.findall(value)):
-            return True
         if key == "aria-hidden" and value.lower() == "true":
             return True
     return "hidden" in attributes and "hidden" in _QUOTED.sub("", attributes).lower().split()
@@ -156,10 +207,54 @@ def _is_main(name: str, attributes: str) -> bool:
     )
 
 
+def leave_out(page: Page) -> None:
+    """Takes out the named containers that hold what they say; inner ones first, a gap stays."""
+    if not page.named:
+        return
+    # characters, those in links, those that count, and of these the ones in article elements
+    sums = np.zeros((len(page.named) + 1, 4), np.int64)
+    for x in page.lines:
+        if x is not None:
+            weight = x.weight()
+            sums[x.named] += (len(x.text), x.links, weight, weight if x.scope == _ARTICLE else 0)
+    own = sums.tolist()
+    _, _, left, left_article = sums.sum(axis=0).tolist()
+    out: set[int] = set()
+    for i in range(len(page.named) - 1, -1, -1):
+        x, (size, links, weight, article) = page.named[i], own[i]
+        if goes(x, 2 * links > size, weight, left - weight, article, left_article - article):
+            out.add(i)
+            left, left_article = left - weight, left_article - article
+        elif x.outer >= 0:
+            own[x.outer] = [a + b for a, b in zip(own[x.outer], own[i], strict=True)]
+    gone = [False] * len(page.named)
+    for i, x in enumerate(page.named):
+        gone[i] = i in out or x.outer >= 0 and gone[x.outer]
+    lines, page.lines = page.lines, []
+    for x in lines:
+        if x is not None and x.named >= 0 and gone[x.named]:
+            page.gap(WINDOW)
+        else:
+            page.lines.append(x)
+
+
+def goes(x: Named, linked: bool, weight: int, rest: int, article: int, rest_article: int) -> bool:
+    """Whether a named container's text is beside the article; ``rest`` is what the page has without it."""
+    if linked or weight < SURGE and weight * SHORT_OF <= rest:
+        return True
+    if x.kind == "perhaps":
+        return False
+    if not rest:
+        return weight < SURGE
+    if x.in_article:  # only a comment or an advert is ever long there
+        return x.kind != "beside" and rest_article > 0
+    return not x.holds_title and not (x.kind == "beside" and article > 0 and not rest_article)
+
+
 def lines_of(page: str) -> Page:
     """The page's blocks in order; gaps where boilerplate stood or a container ends."""
     out = Page()
-    stack: list[tuple[str, int, int]] = [("", _ROOT, 0)]
+    stack: list[tuple[str, int, int, int]] = [("", _ROOT, 0, -1)]
     skip, depth, at = "", 0, 0
     find = _TOKEN.search
     while True:
@@ -184,7 +279,7 @@ def lines_of(page: str) -> Page:
             if depth == 0:
                 skip = ""
             continue
-        _, owner, scope = stack[-1]
+        _, owner, scope, named = stack[-1]
         if not closing and name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -208,21 +303,32 @@ def lines_of(page: str) -> Page:
         out.flush(owner, scope)
         out.in_link = 0
         out.title = name == "h1" and not closing
-        if name in CONTAINER:
+        if name == "h1" and not closing:
+            out.holds(named)
+        if name in CONTAINER or name in JUDGED:
             if not closing:
-                out.gap(1)
-                inner = out.open(owner, name)
-                if name == "article":
-                    out.articles.add(inner)
+                kind = _kind(name, m[3])
+                if name in CONTAINER:
+                    out.gap(1)
+                    owner = out.open(owner, name)
+                if kind:
+                    out.named.append(Named(kind, named, scope == _ARTICLE))
+                    named = len(out.named) - 1
+                elif name == "article":
+                    out.articles.add(owner)
                     scope = _ARTICLE
                 elif _is_main(name, m[3]):
+                    out.holds(named)
                     scope = max(scope, _MAIN)
-                stack.append((name, inner, scope))
+                stack.append((name, owner, scope, named))
             elif any(s[0] == name for s in stack):
-                out.gap(1)
+                if name in CONTAINER:
+                    out.gap(1)
                 while stack.pop()[0] != name:
                     pass
-    out.flush(*stack[-1][1:])
+            out.named_now = stack[-1][3]
+    out.flush(*stack[-1][1:3])
+    leave_out(out)
     return out
 
 

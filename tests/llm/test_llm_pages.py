@@ -111,6 +111,25 @@ def test_runs_of_text_are_joined_and_blocks_of_links_are_not(page, expected):
     assert main_text(page) == "\n".join(expected)
 
 
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        (f"<article><h2 id=related-work>Work</h2><p id=legal-history>{A}<ul><li id=search-engines>{B}</ul></article>", ["Work", A, B]),
+        (f"<article><div class=print-body><p>{A}</p><p>{B}</p></div></article>", [A, B]),
+        (f"<div class=print-body>{ARTICLE}</div>", EXPECTED.split("\n")),
+        (f"<div class='has-sidebar comments-open'><p>{A}</p></div>", [A]),
+        (f"<div class=sidebar-left><article><p>{A}</p></article></div><div class=sidebar><p>{B}</p></div>", [A]),
+        (f"<article class=post><p>{A}</p><article class=comment><p>{B}</p></article></article>", [A]),
+        (f"<article><p>{A}</p></article><article class='comment odd'><p>{B}</p></article>", [A]),
+        (f"<article><p>{A}</p><div id=related>{MENU}</div><div id=comments><p>{B}</p></div><p>{C}</p></article>", [A, C]),
+        (f"<div><p>{A}</p><ul class=comments><li>{B}<ul><li>{B}</ul></ul><p>{C}</p></div>", [A, C]),
+        (f"<div class=header><h1>Name</h1><p>{A}</p></div><p>{B}</p>", ["Name", A, B]),
+    ],
+)
+def test_names_are_judged_on_containers_and_by_their_text(page, expected):
+    assert main_text(page) == "\n".join(expected)
+
+
 @pytest.mark.parametrize("page", ["", "   ", "<html></html>", "<nav>only a menu</nav>", "<!-- x", "<p", "</div></div>"])
 def test_pages_without_text(page):
     assert main_text(page) == ""
