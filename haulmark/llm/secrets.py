@@ -2,9 +2,10 @@
 
 Texts are searched for assignments, access keys and hexadecimal strings, and for further
 candidate formats. The hash of every candidate is counted over the whole corpus by distinct
-owners and repositories: a value that several owners hold is a copied example, one that a
-single owner holds and that looks random is a live credential. Further candidates become
-spans only if they are live; base spans always stay.
+owners, and for each owner by repositories and documents; equal and near-equal documents count
+once, for one owner. A value that several owners hold, or that one owner holds in many
+repositories or documents, is a copied example; another one that looks random is a live
+credential. Further candidates become spans only if they are live; base spans always stay.
 """
 
 from __future__ import annotations
@@ -22,9 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haulmark.llm.common import keep, map_slices, row_key, texts
+from haulmark.llm.near_dedup import near_duplicates
 
 KINDS = ("assign", "access", "hex")
 MORE_KINDS = ("provider", "jwt", "pem", "opaque")
+#: Repositories and documents of one owner that may share a live credential.
+MAX_REPOS = 2
+MAX_USES = 8
+#: Copies of a text with fewer shingles are copies of its candidate, not of a document.
+FOLD_SHINGLES = 16
 
 _ASSIGN = re.compile(
     r"(?a)((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -42,7 +49,7 @@ _PREFIXES = (b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_", b"xox", b"aiza", b"sk_
 _KEYWORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
 FOUND = "array<struct<kind:string,start:bigint,end:bigint,hash:bigint,random:boolean,base:boolean>>"
-SCANNED = f"key long, doc_id long, owner string, repo string, found {FOUND}"
+SCANNED = f"key long, doc_id long, owner string, repo string, text string, found {FOUND}"
 
 
 def entropy(value: str) -> float:
@@ -131,7 +138,8 @@ def scan_rows(part: pa.RecordBatch) -> dict:
         ]
         for base, more in spans_of(part.column("text").to_pylist())
     ]
-    return {c: part.column(c) for c in ("key", "doc_id", "owner", "repo")} | {"found": found}
+    text = [t if f else None for t, f in zip(part.column("text").to_pylist(), found, strict=True)]
+    return {c: part.column(c) for c in ("key", "doc_id", "owner", "repo")} | {"text": text, "found": found}
 
 
 def joined(spans: Column) -> Column:
@@ -140,20 +148,30 @@ def joined(spans: Column) -> Column:
     return F.concat_ws(",", one)
 
 
+def folded(scanned: DataFrame) -> DataFrame:
+    """``key`` and ``copy``, equal for rows that are near copies of one document; only rows with candidates."""
+    some = scanned.filter("text IS NOT NULL").select(F.col("key").alias("doc_id"), "text")
+    return near_duplicates(some).select(
+        F.col("doc_id").alias("key"), F.when(F.col("n_shingles") >= FOLD_SHINGLES, F.col("component_id")).alias("copy")
+    ).distinct()
+
+
 def ownership(candidates: DataFrame) -> DataFrame:
-    """Distinct owners and repositories of each candidate hash, added up step by step."""
+    """Owners of each candidate hash, and the most repositories and documents (``copy``) that one of them holds."""
     return (
-        candidates.groupBy("hash", "owner", "repo")
-        .agg(F.count("*").alias("n"))
+        candidates.groupBy("hash", "copy")
+        .agg(F.min(F.struct("owner", "repo")).alias("at"))
+        .groupBy("hash", F.col("at.owner").alias("owner"), F.col("at.repo").alias("repo"))
+        .agg(F.count("*").alias("uses"))
         .groupBy("hash", "owner")
-        .agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
+        .agg(F.count("*").alias("repos"), F.sum("uses").alias("uses"))
         .groupBy("hash")
-        .agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("n"))
+        .agg(F.count("*").alias("owners"), F.max("repos").alias("repos"), F.max("uses").alias("uses"))
     )
 
 
 def weigh(
-    docs: DataFrame, owner_col: str, repo_cols: Sequence[str], max_owners: int
+    docs: DataFrame, owner_col: str, repo_cols: Sequence[str], max_owners: int, max_repos: int, max_uses: int
 ) -> tuple[DataFrame, DataFrame]:
     """What was found in each document, and for those with candidates the live and copied ones."""
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner")
@@ -163,8 +181,11 @@ def weigh(
     candidates = scanned.select("key", "owner", "repo", F.explode("found").alias("c")).select(
         "key", "owner", "repo", F.col("c.hash").alias("hash"), F.col("c").alias("span")
     )
-    spread = ownership(candidates).select("hash", "owners")
-    copied = F.col("owners") > max_owners
+    # short texts are not folded: each row is a document of its own
+    copy = F.coalesce("copy", F.xxhash64("key", "owner", "repo")).alias("copy")
+    held = candidates.join(keep(folded(scanned), "copies"), "key", "left").select("hash", "owner", "repo", copy)
+    spread = ownership(held)
+    copied = (F.col("owners") > max_owners) | (F.col("repos") > max_repos) | (F.col("uses") > max_uses)
     live = ~copied & F.col("span.random")
     weighed = (
         candidates.select("key", "hash", "span")
@@ -181,17 +202,23 @@ def weigh(
 
 
 def scan(
-    docs: DataFrame, owner_col: str = "source", repo_cols: Sequence[str] = ("source", "lang"), max_owners: int = 1
+    docs: DataFrame,
+    owner_col: str = "source",
+    repo_cols: Sequence[str] = ("source", "lang"),
+    max_owners: int = 1,
+    max_repos: int = MAX_REPOS,
+    max_uses: int = MAX_USES,
 ) -> DataFrame:
     """Base spans, all spans and the number of live and copied candidates of each document.
 
-    A candidate is copied if more than ``max_owners`` owners hold it, and live if it is not
-    and its characters look random. ``spans`` holds every base span and the further
+    A candidate is copied if more than ``max_owners`` owners hold it, or one of them in more
+    than ``max_repos`` repositories or ``max_uses`` documents, and live if it is not and its
+    characters look random. Near copies of a document of some length are one document. ``spans`` holds every base span and the further
     candidates that are live. A missing or empty text has no spans; a missing owner or
     repository counts as one of its own. Rows with equal or missing ids are scanned one by
     one. Needs ``doc_id``, ``text`` and the named columns; others are ignored.
     """
-    scanned, weighed = weigh(docs, owner_col, repo_cols, max_owners)
+    scanned, weighed = weigh(docs, owner_col, repo_cols, max_owners, max_repos, max_uses)
     base = F.filter("found", lambda s: s["base"])
 
     def count(kind: str) -> Column:
@@ -230,10 +257,15 @@ def masked(text: str, spans: list[dict]) -> str:
 
 
 def redact(
-    docs: DataFrame, owner_col: str = "source", repo_cols: Sequence[str] = ("source", "lang"), max_owners: int = 1
+    docs: DataFrame,
+    owner_col: str = "source",
+    repo_cols: Sequence[str] = ("source", "lang"),
+    max_owners: int = 1,
+    max_repos: int = MAX_REPOS,
+    max_uses: int = MAX_USES,
 ) -> DataFrame:
     """All documents and columns, the spans of ``scan`` replaced in ``text``; ``n_chars`` follows, if there is one."""
-    _, weighed = weigh(docs, owner_col, repo_cols, max_owners)
+    _, weighed = weigh(docs, owner_col, repo_cols, max_owners, max_repos, max_uses)
     spans = keep(weighed.select("key", "spans"), "spans")
     rows = docs.select(row_key().alias("key"), F.struct(*docs.columns).alias("row")).join(spans, "key", "left")
     clean = rows.select("spans", F.col("row.text").alias("text"), "row")

@@ -267,6 +267,26 @@ def test_copied_secrets_are_told_from_live_ones(spark):
     assert (out[10].spans, out[10].n_live) == ("", 0)
 
 
+def test_secrets_are_weighed_by_documents_and_repositories(spark):
+    import random
+
+    rng = random.Random(8)
+
+    def prose(n):
+        return " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+
+    many, langs, live, two = (f"Qw3rTy7uIoP1aSdF9gHjK2l{c}" for c in "ABCD")
+    rows = [(i, f"{prose(40)} {many}", "a", "en") for i in range(30)]
+    rows += [(100 + i, f"{prose(40)} {langs}", "a", f"l{i}") for i in range(4)]
+    text = f"{prose(200)} {live} {prose(9)}"
+    rows += [(200, text, "a", "en"), (201, text, "b", "en"), (202, text + " edited", "c", "de")]
+    rows += [(300 + i, f"{prose(40)} {two}", "a", "en") for i in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = {r.doc_id: (r.n_live, r.n_copied, r.spans.split(":")[0]) for r in scan(frame).collect()}
+    assert all(out[i] == (0, 1, "") for i in (*range(30), *range(100, 104)))
+    assert all(out[i] == (1, 0, "opaque") for i in (200, 201, 202, 300, 301))
+
+
 def test_redaction(docs, doc_rows):
     got = redact(docs)
     assert got.schema == docs.schema
