@@ -170,3 +170,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from haulmark.llm.token_files import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+@query("op11_language_id")
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haulmark.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
