@@ -165,7 +165,8 @@ class Model:
         if self.code.shape[1]:
             for bucket, some, start in grams(column):
                 if len(some):
-                    total[some] += np.add.reduceat(self.weights[bucket], start, axis=0)
+                    for j, weights in enumerate(self.weights):
+                        total[some, j] += np.add.reduceat(weights.take(bucket), start)
                     n[some, 0] += np.diff(np.append(start, len(bucket)))
         return total / (n + SHRINK)
 
@@ -189,7 +190,7 @@ def learn(labelled: DataFrame) -> Model:
     languages = [f[0] for f in found]
     code = codewords(len(languages))
     width = code.shape[1]
-    plain = Model(languages, code, np.zeros((BUCKETS, width)), np.ones(width), np.ones(code.shape))
+    plain = Model(languages, code, np.zeros((width, BUCKETS)), np.ones(width), np.ones(code.shape))
     if width == 0:
         return plain
     place = {lang: i for i, lang in enumerate(languages)}
@@ -214,7 +215,8 @@ def learn(labelled: DataFrame) -> Model:
     weights[:] = even
     for row in groups.applyInArrow(weigh, _WEIGHTS).collect():
         weights[row.chunk] = np.frombuffer(bytes(row.weights)).reshape(256, width)
-    plain = Model(languages, code, weights.reshape(BUCKETS, width), plain.scale, plain.trust)
+    weights = np.ascontiguousarray(weights.reshape(BUCKETS, width).T)
+    plain = Model(languages, code, weights, plain.scale, plain.trust)
 
     sent = spark.sparkContext.broadcast(plain)
 
