@@ -177,3 +177,12 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from haulmark.llm.language_id import identify
 
     return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haulmark.llm.common import keep
+    from haulmark.llm.conversations import damaged, digest, repair
+
+    rows = table(spark, sf_dir, "conversations")
+    return digest(keep(repair(rows, **damaged(rows)), "conversation-pieces"))
