@@ -365,6 +365,7 @@ def mine(rows: DataFrame, anchors: Column, positives: int = BEST, negatives: int
     queries = asked.select(key.alias("query"), F.col("vec_id").alias("anchor_id"), "label", "vector")
     plain = queries.withColumns({"window": one(0), "low": one(_LOW), "high": one(_HIGH)})
     near = keep(search(plain, pages, True, positives), "positives")
+    # positives by their rank, as rows may share an id
     windows = near.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("near"))
     # the least integer of at least four fifths of the score
     least = lambda p: F.call_function("div", F.lit(4) * p["score"] + F.when(p["score"] > 0, 4).otherwise(0), F.lit(5))
@@ -373,13 +374,14 @@ def mine(rows: DataFrame, anchors: Column, positives: int = BEST, negatives: int
         "anchor_id",
         "label",
         "vector",
-        F.transform("near", lambda p: p["vec_id"]).alias("window"),
+        F.transform("near", lambda p: p["rank"].cast("long")).alias("window"),
         F.transform("near", least).alias("low"),
         F.transform("near", lambda p: p["score"]).alias("high"),
     )
-    return search(wanted, pages, False, negatives).select(
+    found = search(wanted, pages, False, negatives).join(windows, "query")
+    return found.select(
         "anchor_id",
-        F.col("window").alias("positive_id"),
+        F.element_at("near", F.col("window").cast("int"))["vec_id"].alias("positive_id"),
         F.col("rank").cast("int").alias("rank"),
         F.col("vec_id").alias("negative_id"),
         F.col("high").alias("positive_score"),

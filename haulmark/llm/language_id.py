@@ -102,6 +102,8 @@ def grams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
             bucket = (((gram ^ np.uint64(k << 56)) * _FACTOR) >> np.uint64(48)).astype(np.int64)
             first, last = np.clip(begins, low, high) - low, np.clip(ends - k + 1, low, high) - low
             some = np.flatnonzero(last > first)
+            if not len(some):
+                continue
             size = (last - first)[some]
             start = np.cumsum(size) - size
             yield bucket[np.arange(int(size.sum())) + np.repeat(first[some] - start, size)], some, start
@@ -164,10 +166,9 @@ class Model:
         total, n = np.zeros((len(column), self.code.shape[1])), np.zeros((len(column), 1))
         if self.code.shape[1]:
             for bucket, some, start in grams(column):
-                if len(some):
-                    for j, weights in enumerate(self.weights):
-                        total[some, j] += np.add.reduceat(weights.take(bucket), start)
-                    n[some, 0] += np.diff(np.append(start, len(bucket)))
+                for j, weights in enumerate(self.weights):
+                    total[some, j] += np.add.reduceat(weights.take(bucket), start)
+                n[some, 0] += np.diff(np.append(start, len(bucket)))
         return total / (n + SHRINK)
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
