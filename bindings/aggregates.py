@@ -11,14 +11,11 @@ from bindings.roles import AREAS, GEARS, area_of, ctes, sql_area, sql_values, ta
 from haulmark.functions.measures import ratio, round_even
 from haulmark.functions.nulls import (
     distinct_with_null,
-    exact_sum,
-    rounded_mean,
-    rounded_sd,
     row_count,
     strict_max,
     strict_min,
-    strict_sum,
 )
+from haulmark.operators import totals
 from haulmark.operators.grid import complete, complete_global
 from haulmark.operators.levels import by_levels, count_rows, mean_sd_by_levels
 from haulmark.operators.series import interpolate_gaps, tick_labels
@@ -41,17 +38,12 @@ def agg_sum_by(spark: S, sf: str) -> DataFrame:
     pounds = F.when(F.col("l_linenumber") > 5, F.col("l_quantity")).otherwise(
         F.nullif(F.col("l_quantity"), F.lit(13.0))
     )
-    return (
-        table(spark, sf, "lineitem")
-        .select(
-            F.year("l_shipdate").alias("year"),
-            F.col("l_returnflag").alias("gear"),
-            "l_linenumber",
-            pounds.alias("q"),
-        )
-        .groupBy("year", "gear", "l_linenumber")
-        .agg(strict_sum("q").alias("strict_total"), exact_sum("q").alias("total"))
+    rows = table(spark, sf, "lineitem").select(
+        F.year("l_shipdate").alias("year"), F.col("l_returnflag").alias("gear"), "l_linenumber", pounds.alias("q")
     )
+    by = ["year", "gear", "l_linenumber"]
+    parts = totals.exact_parts(rows, by, "q")
+    return totals.exact_totals(parts, by, strict_total=totals.total(strictly=True), total=totals.total())
 
 
 @query(
@@ -63,14 +55,9 @@ def agg_sum_by(spark: S, sf: str) -> DataFrame:
     FROM lineitem GROUP BY ALL""",
 )
 def agg_sum_fine(spark: S, sf: str) -> DataFrame:
-    return (
-        table(spark, sf, "lineitem")
-        .groupBy(F.col("l_returnflag").alias("gear"), F.col("l_linestatus").alias("area"))
-        .agg(
-            exact_sum(F.col("l_quantity") / 1000000).alias("small"),
-            exact_sum(F.col("l_partkey") / 100000000).alias("smaller"),
-        )
-    )
+    rows = table(spark, sf, "lineitem").withColumns({"gear": F.col("l_returnflag"), "area": F.col("l_linestatus")})
+    small = {"small": F.col("l_quantity") / 1000000, "smaller": F.col("l_partkey") / 100000000}
+    return totals.exact_sums(rows, ["gear", "area"], small)
 
 
 @query(
@@ -115,16 +102,15 @@ def agg_rowcount(spark: S, sf: str) -> DataFrame:
     FROM (SELECT *, nullif(l_quantity, 13) AS q FROM lineitem) GROUP BY 1, 2""",
 )
 def agg_mean_sd(spark: S, sf: str) -> DataFrame:
-    return (
-        table(spark, sf, "lineitem")
-        .select("l_suppkey", "l_linenumber", F.nullif(F.col("l_quantity"), F.lit(13.0)).alias("q"))
-        .groupBy("l_suppkey", "l_linenumber")
-        .agg(
-            rounded_mean("q", 1).alias("mean_strict"),
-            rounded_sd("q", 1).alias("sd_strict"),
-            rounded_mean("q", 2, strictly=False).alias("mean_known"),
-            rounded_sd("q", 2, strictly=False).alias("sd_known"),
-        )
+    by = ["l_suppkey", "l_linenumber"]
+    known = F.nullif(F.col("l_quantity"), F.lit(13.0))
+    return totals.exact_totals(
+        totals.exact_parts(table(spark, sf, "lineitem"), by, known, spread=True),
+        by,
+        mean_strict=totals.mean(1, strictly=True),
+        sd_strict=totals.sd(1, strictly=True),
+        mean_known=totals.mean(2),
+        sd_known=totals.sd(2),
     )
 
 
@@ -331,10 +317,12 @@ def complete_within_group(spark: S, sf: str) -> DataFrame:
       WHEN x1 > x0 THEN y0 + (year - x0) * ((y1 - y0) / (x1 - x0)) END AS value FROM b""",
 )
 def interpolate_gaps_query(spark: S, sf: str) -> DataFrame:
-    yearly = (
-        table(spark, sf, "lineitem")
-        .groupBy(F.year("l_shipdate").alias("year"), F.col("l_suppkey").alias("series"))
-        .agg(ratio(exact_sum("l_quantity"), row_count()).alias("value"))
+    dated = table(spark, sf, "lineitem").select(
+        F.year("l_shipdate").alias("year"), F.col("l_suppkey").alias("series"), "l_quantity"
+    )
+    by = ["year", "series"]
+    yearly = totals.exact_totals(
+        totals.exact_parts(dated, by, "l_quantity"), by, value=ratio(totals.total(), totals.rows())
     )
     gaps = yearly.withColumn("value", F.when(~F.col("year").isin(1997, 1998, 2001), F.col("value")))
     return interpolate_gaps(gaps, ["series"], "year", "value")

@@ -14,7 +14,7 @@ from haulmark.functions.measures import (
     millimeters_to_centimeters,
     pounds_to_tonnes,
 )
-from haulmark.functions.nulls import exact_sum, is_in, null_to
+from haulmark.functions.nulls import is_in, null_to
 from haulmark.operators.joins import duplicate_keys, lookup_join, override_from
 from haulmark.operators.rows import (
     below_global_max,
@@ -24,6 +24,7 @@ from haulmark.operators.rows import (
     stack,
     tagged,
 )
+from haulmark.operators.totals import exact_total
 from haulmark.plans.landings import landings_with_areas, unknown_waters
 from haulmark.sources.readers import inline_series, scan
 
@@ -109,11 +110,8 @@ def proj_computed_scan(spark: S, sf: str) -> DataFrame:
 )
 def src_inline_series(spark: S, sf: str) -> DataFrame:
     old = inline_series(spark, {"Mgmt_area": "AFRICA"}, 1993, [74.5, 81.25, 60.0, 99.75], "whole_pounds")
-    new = (
-        table(spark, sf, "lineitem")
-        .groupBy(F.year("l_shipdate").alias("year"))
-        .agg(exact_sum("l_extendedprice").alias("whole_pounds"))
-    )
+    dated = table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("year"), "l_extendedprice")
+    new = exact_total(dated, ["year"], "l_extendedprice", "whole_pounds")
     return stack([tagged(old, data_source="Historical"), tagged(new, data_source="Landings")])
 
 

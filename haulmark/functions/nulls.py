@@ -7,11 +7,10 @@ Spark aggregates are used where missing values are to be skipped.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
 
 
 def as_col(c: str | Column) -> Column:
@@ -29,145 +28,10 @@ def strict(aggregate: Callable[[Column], Column], c: str | Column) -> Column:
     return F.when(row_count() == F.count(c), aggregate(c))
 
 
-# A number is split into whole part, four digits and eight more digits, each an integer.
-_COARSE, _FINE = 10**4, 10**8
-
-
 def finite(c: str | Column) -> Column:
-    """The value as a double; NULL for NaN, infinities and what no 64-bit integer holds."""
+    """The value as a double; NULL for NaN and infinities."""
     c = as_col(c).try_cast("double")
-    return F.when(F.abs(c) < 9.2e18, c)
-
-
-def exact_parts(c: str | Column) -> dict[str, Column]:
-    """Row-level whole part, its next four digits and the eight after them, as integers.
-
-    They are added as 64-bit integers, which is nearly as fast as adding doubles and does
-    not depend on the order of the rows. A value counts with the 15 significant digits a
-    double has, 12 decimals at most, so nothing that a double can tell apart above 1e-12 is
-    lost. Sums have room up to 9.2e18, or 1.8e11 rows; more is an overflow error.
-    """
-    c = finite(c)
-    whole = F.floor(c)
-    digits = (c - whole) * F.lit(float(_COARSE))
-    coarse = F.rint(digits)
-    left = digits - coarse
-    # what is left of a number with four decimals is the double's own error
-    noise = F.abs(c) * 4e-12 + 2e-12
-    step = F.greatest(F.lit(1.0), F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))) - 2))
-    fine = F.when(F.abs(left) <= noise, 0.0).otherwise(F.rint(left * float(_FINE) / step) * step)
-    return {"whole": whole.cast("bigint"), "coarse": coarse.cast("bigint"), "fine": fine.cast("bigint")}
-
-
-def exact_from_parts(parts: Mapping[str, Column]) -> Column:
-    """The decimal total of summed parts, with 12 decimals."""
-    wide = DecimalType(20, 0)
-    coarse = parts["coarse"].cast(wide) * F.lit("0.0001").cast(DecimalType(4, 4))
-    fine = parts["fine"].cast(wide) * F.lit("0.000000000001").cast(DecimalType(12, 12))
-    return parts["whole"].cast(DecimalType(19, 0)) + coarse + fine
-
-
-def exact_total(c: str | Column) -> Column:
-    return exact_from_parts({name: F.sum(part) for name, part in exact_parts(c).items()})
-
-
-def exact_sum(c: str | Column) -> Column:
-    """Sum that is the same to the last digit however the rows are partitioned."""
-    return exact_total(c).cast("double")
-
-
-def strict_sum(c: str | Column, exact: bool = True) -> Column:
-    """Strict sum; with ``exact`` off the values are added in their own type."""
-    return strict(exact_sum, finite(c)) if exact else strict(F.sum, c)
-
-
-_HALF = 10**5
-_LIMB = 10**6
-#: Weights of the five digits that a square is kept in.
-_SQUARE = (1, 10**5, 10**10, 10**16, 10**22)
-
-
-def moments(c: str | Column, scale: int = 6) -> dict[str, Column]:
-    """Aggregates that give the mean and standard deviation of ``c``.
-
-    Values are taken to ``scale`` decimals. All are integer sums, squares kept in five
-    digits, each with room for 9e12 rows, and they can be added up again over groups
-    without losing one. Beyond 9e13 units of the last decimal a value counts as missing.
-    """
-    units = F.rint(finite(c) * F.lit(float(10**scale)))
-    x = F.when(F.abs(units) < 9e13, units.cast("bigint"))
-    size, half, limb = F.abs(x), F.lit(_HALF), F.lit(_LIMB)
-
-    def div(a: Column, b: Column) -> Column:
-        return F.call_function("div", a, b)
-
-    high, low = div(size, half), size % half
-    square = low * low
-    digits = [square % half]
-    square = 2 * high * low + div(square, half)
-    digits.append(square % half)
-    square = high * high + div(square, half)
-    digits += [square % limb, div(square, limb) % limb, div(div(square, limb), limb)]
-    return {
-        "rows": row_count(),
-        "known": F.count(x),
-        "whole": F.sum(div(x, limb)),
-        "rest": F.sum(x % limb),
-        **{f"square{i}": F.sum(d) for i, d in enumerate(digits)},
-    }
-
-
-def _units(m: Mapping[str, Column]) -> Column:
-    """The sum of a measure in units of its last decimal."""
-    return m["whole"].cast(DecimalType(20, 0)) * F.lit(_LIMB).cast(DecimalType(7, 0)) + m["rest"].cast(DecimalType(20, 0))
-
-
-def mean_of_moments(m: Mapping[str, Column], digits: int, scale: int = 6, strictly: bool = True) -> Column:
-    """Mean rounded half to even, strict or of the known values.
-
-    The quotient is a decimal, so a mean such as 103.05 is seen as the tie it is.
-    """
-    unit = F.lit("0." + "0" * (scale - 1) + "1").cast(DecimalType(scale, scale))
-    mean = _units(m).cast(DecimalType(28, 0)) * unit / F.nullif(m["known"], F.lit(0)).cast(DecimalType(12, 0))
-    rounded = F.bround(mean, digits).cast("double")
-    return F.when(m["rows"] == m["known"], rounded) if strictly else rounded
-
-
-def sd_of_moments(m: Mapping[str, Column], digits: int | None, scale: int = 6, strictly: bool = True) -> Column:
-    """Sample standard deviation rounded half to even; one row gives NULL.
-
-    Built from exact sums about the whole mean, so a published digit cannot flip when the
-    rows arrive in another order.
-    """
-    wide = DecimalType(38, 0)
-    squares = F.lit(0).cast(wide)
-    for i, weight in enumerate(_SQUARE):
-        squares = squares + (m[f"square{i}"].cast(DecimalType(19, 0)) * F.lit(str(weight)).cast(DecimalType(23, 0))).cast(wide)
-    n, total = m["known"], _units(m)
-    whole_mean = F.floor(total / F.nullif(n, F.lit(0)).cast(DecimalType(12, 0))).cast(DecimalType(19, 0))
-    rest = (total - whole_mean * n.cast(DecimalType(12, 0))).cast("double")
-    about = squares - (2 * whole_mean * total).cast(wide) + (whole_mean * whole_mean * n.cast(DecimalType(12, 0))).cast(wide)
-    spread = about.cast("double") - rest * rest / n
-    sd = F.sqrt(spread / F.nullif(n - 1, F.lit(0))) / F.lit(float(10**scale))
-    rounded = sd if digits is None else F.bround(sd, digits)
-    return F.when(m["rows"] == n, rounded) if strictly else rounded
-
-
-def rounded_mean(c: str | Column, digits: int, scale: int = 6, strictly: bool = True) -> Column:
-    return mean_of_moments(moments(c, scale), digits, scale, strictly)
-
-
-def rounded_sd(c: str | Column, digits: int, scale: int = 6, strictly: bool = True) -> Column:
-    return sd_of_moments(moments(c, scale), digits, scale, strictly)
-
-
-def strict_mean(c: str | Column) -> Column:
-    return strict(lambda x: (exact_total(x) / F.nullif(row_count(), F.lit(0)).cast(DecimalType(12, 0))).cast("double"), finite(c))
-
-
-def strict_sd(c: str | Column) -> Column:
-    """Sample standard deviation; one row gives NULL."""
-    return sd_of_moments(moments(c), None)
+    return F.when(F.abs(c) < float("inf"), c)
 
 
 def strict_min(c: str | Column) -> Column:

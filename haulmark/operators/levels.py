@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.functions.nulls import mean_of_moments, moments, sd_of_moments
+from haulmark.operators import totals
 
 
 def by_levels(
@@ -72,12 +72,7 @@ def mean_sd_by_levels(
     combined level therefore describes its rows, not the means of its parts, and the
     rows themselves are never multiplied by the levels.
     """
-    parts = moments(measure)
-    fine = df.groupBy(*keys, *combined).agg(*[c.alias(f"_{name}") for name, c in parts.items()])
-    total = {name: F.sum(f"_{name}") for name in parts}
-    summary = {
-        f"mean_{measure}": mean_of_moments(total, digits),
-        f"sd_{measure}": sd_of_moments(total, digits),
-        "n": total["rows"],
-    }
-    return by_levels(fine, keys, combined, levels, summary, label)
+    fine = totals.exact_parts(df, [*keys, *combined], measure, spread=True)
+    parts = by_levels(fine, [*keys, "_class"], combined, levels, totals.part_sums(fine), label)
+    summary = {f"mean_{measure}": totals.mean(digits, True), f"sd_{measure}": totals.sd(digits, True), "n": totals.rows()}
+    return totals.exact_totals(parts, [label, *keys, *combined], **summary)

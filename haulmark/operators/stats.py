@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 from haulmark.functions.measures import ratio, round_even
 from haulmark.functions.nulls import (
     distinct_with_null,
-    exact_total,
-    finite,
-    rounded_sd,
     row_count,
     strict_max,
     strict_min,
 )
+from haulmark.operators import totals
 
 
 def share_of_total(
@@ -27,10 +25,6 @@ def share_of_total(
     return df.withColumn(name, round_even(F.col(value) / total, digits))
 
 
-#: Decimals that rates are taken to for their spread.
-RATE_SCALE = 9
-
-
 def rate_summary(
     df: DataFrame, value: str, by: Sequence[str], mean: str = "mean", counted: Column | None = None
 ) -> DataFrame:
@@ -42,14 +36,9 @@ def rate_summary(
     """
     counted = F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))
     rate = F.when(counted, F.col(value))
-    known = exact_total(rate) / F.nullif(F.count(finite(rate)), F.lit(0)).cast("decimal(12,0)")
+    parts = totals.exact_parts(df, by, rate, spread=True, counts={"n": counted})
     return (
-        df.groupBy(*by)
-        .agg(
-            F.bround(known, 2).cast("double").alias(mean),
-            rounded_sd(rate, 2, RATE_SCALE, strictly=False).alias("sd"),
-            F.count_if(counted).alias("n"),
-        )
+        totals.exact_totals(parts, by, ["n"], **{mean: totals.mean(2), "sd": totals.sd(2), "n": F.col("n")})
         .withColumn("se", round_even(F.col("sd") / F.sqrt(F.col("n")), 4))
         .withColumn("CV", round_even(ratio("sd", mean), 2))
         .withColumn("RSE", round_even(ratio("se", mean), 2))

@@ -18,8 +18,9 @@ from haulmark.functions.measures import (
     standard_hooks,
     survey_inches_to_meters,
 )
-from haulmark.functions.nulls import exact_from_parts, exact_parts, exact_total, finite, null_to
+from haulmark.functions.nulls import null_to
 from haulmark.functions.text import digits_to_number, prefixed_label
+from haulmark.operators import totals
 from haulmark.operators.joins import lookup_join
 from haulmark.operators.rows import below_global_max, stack, without_newest
 from haulmark.operators.stats import rate_summary
@@ -225,29 +226,16 @@ def rpn_index(
     ``newest_is_dummy`` the newest of all years is left out.
     """
     counted = F.lit(True) if counted is None else counted
-    rate = F.when(counted, finite("std_cpue"))
-    parts = exact_parts(rate)
-    sums = {name: F.sum(f"_{name}") for name in parts}
-    n = F.nullif(F.col("_n"), F.lit(0)).cast("decimal(12,0)")
-    per_stratum = (
-        rates.groupBy("year", "Mgmt_area", F.col(stratum).cast("string").alias("_stratum"))
-        .agg(
-            *[F.sum(part).alias(f"_{name}") for name, part in parts.items()],
-            F.count(rate).alias("_n"),
-            F.count_if(counted).alias("_sets"),
-        )
-        .withColumn("_rate", F.bround(exact_from_parts({name: F.col(f"_{name}") for name in parts}) / n, 2).cast("double"))
-    )
+    group = ["year", "Mgmt_area"]
+    named = rates.withColumn("_stratum", F.col(stratum).cast("string"))
+    parts = totals.exact_parts(named, [*group, "_stratum"], F.when(counted, F.col("std_cpue")), counts={"_sets": counted})
+    per_stratum = totals.exact_totals(parts, [*group, "_stratum"], ["_sets"], _rate=totals.mean(2), _sets=F.col("_sets"))
     area = sizes.select(F.col(stratum).cast("string").alias("_stratum"), F.col(size).alias("_size"))
-    weighted = lookup_join(per_stratum, area.distinct(), ["_stratum"], "left").withColumn(
-        "_weighted", F.when(F.col("_sets") > 0, F.col("_rate") * F.col("_size"))
-    )
-    strata = F.count_if(F.col("_sets") > 0)
-    total = F.when(strata == F.count(finite("_weighted")), F.bround(exact_total("_weighted"), 2).cast("double"))
-    overall = exact_from_parts(sums) / F.nullif(F.sum("_n"), F.lit(0)).cast("decimal(12,0)")
-    index = weighted.groupBy("year", "Mgmt_area").agg(
-        total.alias(names[0]), F.bround(overall, 2).cast("double").alias(names[1]), F.sum("_sets").alias("_sets")
-    )
+    weighted = lookup_join(per_stratum.filter("_sets > 0"), area.distinct(), ["_stratum"], "left")
+    total = totals.exact_parts(weighted, group, F.col("_rate") * F.col("_size"))
+    total = totals.exact_totals(total, group, **{names[0]: totals.round_to_even(totals.total(True), 2)})
+    overall = totals.exact_totals(parts, group, ["_sets"], **{names[1]: totals.mean(2), "_sets": F.col("_sets")})
+    index = lookup_join(overall, total, group, "left").select(*group, *names, "_sets")
     if newest_is_dummy:
         index = without_newest(index, "year")
     return index.filter("_sets > 0").drop("_sets")

@@ -9,15 +9,9 @@ from pyspark.sql import functions as F
 
 from haulmark.functions.categories import map_codes
 from haulmark.functions.measures import pounds_to_tonnes
-from haulmark.functions.nulls import (
-    exact_from_parts,
-    exact_parts,
-    finite,
-    row_count,
-    strict_sum,
-    zero_fallback,
-)
+from haulmark.functions.nulls import zero_fallback
 from haulmark.functions.text import whole_number
+from haulmark.operators import totals
 from haulmark.operators.grid import complete
 from haulmark.operators.joins import lookup_join, override_from
 from haulmark.operators.rows import stack, tagged
@@ -128,7 +122,7 @@ def clean_tickets(tickets: DataFrame) -> DataFrame:
 
 def ticket_catch(cleaned: DataFrame) -> DataFrame:
     """Ticket landings by year and area."""
-    return cleaned.groupBy("year", "Mgmt_area").agg(strict_sum("round_pounds").alias("whole_pounds"))
+    return totals.exact_total(cleaned, ["year", "Mgmt_area"], "round_pounds", "whole_pounds", strictly=True)
 
 
 def resolved_stat_areas(stat_areas: DataFrame, updates: DataFrame) -> DataFrame:
@@ -167,23 +161,8 @@ def catch_by_year_area_gear(
     map side. Codes are decoded on those sums, not on the rows. The lookup is corrected, if
     there are ``updates``, and filtered on its own, then joined to the sums.
     """
-    weight = finite(zero_fallback("whole_pounds", "pounds"))
-    parts = exact_parts(weight)
-    per_stat_area = (
-        landings.select(
-            "year",
-            "gear_code",
-            "stat_area",
-            "stat_area_type",
-            *[part.alias(f"_{name}") for name, part in parts.items()],
-        )
-        .groupBy("stat_area", "stat_area_type", "year", "gear_code")
-        .agg(
-            *[F.sum(f"_{name}").alias(f"_{name}") for name in parts],
-            F.count("_whole").alias("_known"),
-            row_count().alias("_rows"),
-        )
-    )
+    place = ["stat_area", "stat_area_type"]
+    per_stat_area = totals.exact_parts(landings, [*place, "year", "gear_code"], zero_fallback("whole_pounds", "pounds"))
     districts = [d for codes in areas.values() for d in codes]
     resolved = stat_areas if updates is None else resolved_stat_areas(stat_areas, updates)
     wanted = (
@@ -193,16 +172,13 @@ def catch_by_year_area_gear(
             "stat_area", "stat_area_type", map_codes("g_mgt_area_district", areas).alias("Mgmt_area")
         )
     )
-    total = exact_from_parts({name: F.sum(f"_{name}") for name in parts}).cast("double")
-    catch = (
-        lookup_join(per_stat_area, wanted, ["stat_area", "stat_area_type"], "inner")
-        .groupBy(
-            whole_number("year").alias("year"),
-            "Mgmt_area",
-            map_codes("gear_code", gears).alias("gear"),
-        )
-        .agg(F.when(F.sum("_rows") == F.sum("_known"), total).alias("whole_pounds"))
+    decoded = (
+        lookup_join(per_stat_area, wanted, place, "inner")
+        .withColumns({"year": whole_number("year"), "gear": map_codes("gear_code", gears)})
+        .drop(*place, "gear_code")
     )
+    cell = ["year", "Mgmt_area", "gear"]
+    catch = totals.exact_totals(totals.add_parts(decoded, cell), cell, whole_pounds=totals.total(strictly=True))
     return complete(
         catch, ["year"], {"Mgmt_area": list(areas), "gear": list(gears)}, {"whole_pounds": 0.0}
     )
@@ -210,7 +186,7 @@ def catch_by_year_area_gear(
 
 def catch_by_year_area(grid: DataFrame) -> DataFrame:
     """The catch grid added up over gears."""
-    return grid.groupBy("year", "Mgmt_area").agg(strict_sum("whole_pounds").alias("whole_pounds"))
+    return totals.exact_total(grid, ["year", "Mgmt_area"], "whole_pounds", "whole_pounds", strictly=True)
 
 
 def in_tonnes(series: DataFrame) -> DataFrame:
@@ -252,13 +228,9 @@ def discrepancy_by_gear(
 ) -> DataFrame:
     """Catch of two sources by gear for one area and year range, in tonnes."""
     span = (F.col("Mgmt_area") == area) & F.col("year").between(first_year, last_year)
-    left = grid.filter(span).groupBy("year", "gear").agg(strict_sum("whole_pounds").alias("_w"))
-    right = (
-        cleaned_tickets.filter(span)
-        .select("year", map_codes("gear", ticket_gears).alias("gear"), "round_pounds")
-        .groupBy("year", "gear")
-        .agg(strict_sum("round_pounds").alias("_w"))
-    )
+    left = totals.exact_total(grid.filter(span), ["year", "gear"], "whole_pounds", "_w", strictly=True)
+    tickets = cleaned_tickets.filter(span).withColumn("gear", map_codes("gear", ticket_gears))
+    right = totals.exact_total(tickets, ["year", "gear"], "round_pounds", "_w", strictly=True)
     both = stack([tagged(left, data_source=names[0]), tagged(right, data_source=names[1])])
     return both.withColumn("whole_mt", pounds_to_tonnes("_w")).drop("_w")
 

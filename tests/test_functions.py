@@ -6,12 +6,21 @@ import math
 import random
 import statistics
 from datetime import date, datetime
+from fractions import Fraction
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from haulmark.functions.text import whole_number
 from haulmark.functions import categories, dates, measures, nulls, text
+from haulmark.operators import totals
+
+
+def summed(df, **outputs):
+    """The outputs over all of ``x``."""
+    return totals.exact_totals(totals.exact_parts(df, [], "x", spread=True), [], **outputs).first()
 
 
 def one(spark, value, kind, expression):
@@ -21,16 +30,18 @@ def one(spark, value, kind, expression):
 
 def test_strict_aggregates_turn_null_on_any_missing_value(spark, rows):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("b", 2.0), ("b", 4.0)], "k string, x double")
-    out = df.groupBy("k").agg(
-        nulls.strict_sum("x").alias("s"),
-        nulls.exact_sum("x").alias("known"),
-        nulls.strict_mean("x").alias("m"),
-        nulls.strict_sd("x").alias("sd"),
-        nulls.strict_min("x").alias("lo"),
-        nulls.strict_max("x").alias("hi"),
-        nulls.row_count().alias("n"),
+    plain = df.groupBy("k").agg(
+        nulls.strict_min("x").alias("lo"), nulls.strict_max("x").alias("hi"), nulls.row_count().alias("n")
+    )
+    sums = totals.exact_totals(
+        totals.exact_parts(df, ["k"], "x", spread=True),
+        ["k"],
+        s=totals.total(strictly=True),
+        known=totals.total(),
+        m=totals.mean(strictly=True),
+        sd=totals.sd(strictly=True),
     )
-    got = rows(out)
+    got = rows(sums.join(plain, "k"))
     assert got[0] == ("a", None, 1.0, None, None, None, None, 2)
     assert got[1] == ("b", 6.0, 6.0, 3.0, pytest.approx(math.sqrt(2)), 2.0, 4.0, 2)
 
@@ -39,20 +50,22 @@ def test_exact_sum_ignores_row_order_and_keeps_sign(spark):
     values = [0.1] * 1000 + [-3.37, 1e9 + 0.25, -1e9]
     for order in (values, values[::-1], sorted(values)):
         df = spark.createDataFrame([(v,) for v in order], "x double").repartition(7)
-        assert df.agg(nulls.exact_sum("x")).first()[0] == 96.88
+        assert summed(df, t=totals.total())[0] == 96.88
 
 
 def test_exact_sum_keeps_small_digits(spark):
     tiny = spark.range(100_000).select(F.lit(0.00004).alias("x"), (F.col("id") * 1e-9).alias("y"))
-    assert tiny.agg(nulls.exact_sum("x"), nulls.exact_sum("y")).first()[:] == (4.0, 4.99995)
+    both = totals.exact_sums(tiny, [], {"x": F.col("x"), "y": F.col("y")}).first()
+    assert both[:] == (4.0, 4.99995)
     mixed = spark.createDataFrame([(1e12 + 0.25,), (-1e12,), (1e-12,), (-0.3,), (123456.789012,)], "x double")
-    assert mixed.agg(nulls.exact_sum("x")).first()[0] == pytest.approx(123456.739012, abs=1e-9)
+    assert summed(mixed, t=totals.total())[0] == pytest.approx(123456.739012, abs=1e-9)
 
 
-@pytest.mark.parametrize("odd", [float("nan"), float("inf"), 1e300])
+@pytest.mark.parametrize("odd", [float("nan"), float("inf"), float("-inf")])
 def test_no_number_makes_strict_totals_missing(spark, odd):
     df = spark.createDataFrame([(1.0,), (odd,)], "x double")
-    got = df.agg(nulls.strict_sum("x"), nulls.strict_mean("x"), nulls.rounded_mean("x", 1), nulls.exact_sum("x")).first()
+    strict = {"t": totals.total(strictly=True), "m": totals.mean(strictly=True), "r": totals.mean(1, strictly=True)}
+    got = summed(df, **strict, known=totals.total())
     assert got[:] == (None, None, None, 1.0)
 
 
@@ -63,21 +76,17 @@ def test_whole_number_of_what_is_none(spark):
 
 def test_moments_have_room(spark):
     df = spark.range(1_100_000).select((F.lit(300_000.0) + F.col("id") % 2).alias("x"))
-    assert df.agg(nulls.rounded_mean("x", 1), nulls.rounded_sd("x", 3)).first()[:] == (300_000.5, 0.5)
+    assert summed(df, m=totals.mean(1), sd=totals.sd(3))[:] == (300_000.5, 0.5)
 
 
 def test_exact_sum_of_nothing_is_null(spark):
     df = spark.createDataFrame([(None,)], "x double")
-    assert df.agg(nulls.exact_sum("x")).first()[0] is None
+    assert summed(df, t=totals.total(), m=totals.mean(1), sd=totals.sd(1))[:] == (None, None, None)
 
 
 def test_sd_needs_two_rows(spark):
     df = spark.createDataFrame([(3.0,)], "x double")
-    assert df.agg(nulls.strict_sd("x"), nulls.rounded_sd("x", 1), nulls.rounded_mean("x", 1)).first()[:] == (
-        None,
-        None,
-        3.0,
-    )
+    assert summed(df, sd=totals.sd(), r=totals.sd(1), m=totals.mean(1))[:] == (None, None, 3.0)
 
 
 @pytest.mark.parametrize(
@@ -86,23 +95,21 @@ def test_sd_needs_two_rows(spark):
 )
 def test_rounded_statistics_round_true_ties_to_even(spark, values, mean, sd):
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    assert df.agg(nulls.rounded_mean("x", 1), nulls.rounded_sd("x", 1)).first()[:] == (mean, sd)
+    assert summed(df, m=totals.mean(1), sd=totals.sd(1))[:] == (mean, sd)
 
 
 @pytest.mark.parametrize("value", [123.00005, 0.00015, -7.33335, 57.3, 1 / 3])
 def test_equal_values_have_no_spread(spark, value):
     df = spark.createDataFrame([(value,)] * 7, "x double")
-    assert df.agg(nulls.rounded_sd("x", 4)).first()[0] == 0.0
+    assert summed(df, r=totals.sd(4), sd=totals.sd())[:] == (0.0, 0.0)
 
 
 def test_moments_add_up_over_groups(spark):
     rng = random.Random(5)
     data = [(rng.choice("abc"), round(rng.gauss(60, 9), 1)) for _ in range(500)]
     df = spark.createDataFrame(data, "k string, x double")
-    parts = nulls.moments("x")
-    fine = df.groupBy("k").agg(*[c.alias(n) for n, c in parts.items()])
-    total = {n: F.sum(n) for n in parts}
-    got = fine.agg(nulls.mean_of_moments(total, 3), nulls.sd_of_moments(total, 3)).first()
+    fine = totals.exact_parts(df, ["k"], "x", spread=True)
+    got = totals.exact_totals(totals.add_parts(fine, []), [], m=totals.mean(3), sd=totals.sd(3)).first()
     values = [x for _, x in data]
     assert got[:] == (
         pytest.approx(statistics.mean(values), abs=6e-4),
@@ -113,10 +120,53 @@ def test_moments_add_up_over_groups(spark):
 def test_rounded_sd_matches_plain_sd_for_large_values(spark):
     values = [123456.7, 98765.4, 150000.1, 222222.2]
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got, plain = df.agg(nulls.rounded_sd("x", 3), F.stddev_samp("x")).first()
+    got, plain = summed(df, sd=totals.sd(3))[0], df.agg(F.stddev_samp("x")).first()[0]
     assert got == pytest.approx(plain, abs=1e-3)
 
 
+MAGNITUDES = {
+    "far apart": [100000.0, 200000.0, 1.0, 2.0],
+    "large": [1e8, 2e8],
+    "beyond a long": [9.3e18, -1.0, 4e25],
+    "tiny": [4e-13, 5e-13, 1.7e-13],
+    "subject to cancellation": [1e12 + 0.25, -1e12, 1e-12, -0.3],
+    "edges of classes": [2.0**24, 2.0**24 - 2.0**-29, 1 - 2.0**-53, -(2.0**48), 2.0**-24, 1.0],
+    "widest": [1e300, -1e300, 1.0, 1e-250],
+    "near each other": [1e9 + 1.25, 1e9 + 3.5, 1e9],
+}
+
+
+@pytest.mark.parametrize("name", MAGNITUDES)
+def test_numbers_of_any_magnitude(spark, name):
+    values = MAGNITUDES[name]
+    exact = [Fraction(v) for v in values]
+    mean = sum(exact) / len(exact)
+    variance = sum((v - mean) ** 2 for v in exact) / (len(exact) - 1)
+    root = Fraction(math.isqrt(int(variance * 4**1200))) / 2**1200
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    outputs = {"t": totals.total(), "m": totals.mean(), "sd": totals.sd()}
+    got = {summed(df.repartition(n), **outputs)[:] for n in (1, 2, 4)}
+    assert len(got) == 1
+    for value, want in zip(got.pop(), (sum(exact), mean, root), strict=True):
+        assert value == pytest.approx(float(want), rel=1e-13)
+
+
+def test_no_digit_is_lost(spark):
+    same = spark.range(100_000).select(F.lit(4e-13).alias("x"))
+    assert summed(same, t=totals.total())[0] == 4e-8
+    for values in ([1e9 + 3e-7], [1e9, 3e-7], [3e-7, 0.0, 1e9]):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        assert summed(df, t=totals.total())[0] == 1e9 + 3e-7
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.floats(-1e100, 1e100, allow_subnormal=False).filter(lambda x: x == 0 or abs(x) > 1e-200), min_size=1, max_size=12))
+def test_totals_are_the_double_nearest_to_the_true_one(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    want = float(sum(map(Fraction, values)))
+    assert summed(df, t=totals.total())[0] == pytest.approx(want, rel=2.0**-52, abs=0)
+
+
 def test_distinct_counts_missing_once(spark, rows):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("a", None), ("a", None), ("b", 2)], "k string, y int")
     assert rows(df.groupBy("k").agg(nulls.distinct_with_null("y"))) == [("a", 2), ("b", 1)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from haulmark.functions.nulls import exact_sum, rounded_mean, rounded_sd
+from haulmark.operators import totals
 from haulmark.operators.joins import lookup_join
 from haulmark.operators.stats import rate_summary
 from haulmark.plans import effort, landings
@@ -59,8 +59,9 @@ def test_catch_shuffles_sums_not_rows(spark, skewed):
 
 def test_statistics_are_bit_equal_for_any_partitioning(spark, skewed):
     landed = skewed[0]
-    stats = [exact_sum("pounds"), rounded_mean("pounds", 1), rounded_sd("pounds", 1)]
-    results = {tuple(landed.repartition(n).agg(*stats).first()) for n in (1, 3, 17)}
+    stats = {"t": totals.total(), "m": totals.mean(), "sd": totals.sd(), "r": totals.sd(1)}
+    parts = [totals.exact_parts(landed.repartition(n), [], "pounds", spread=True) for n in (1, 3, 17)]
+    results = {tuple(totals.exact_totals(p, [], **stats).first()) for p in parts}
     assert len(results) == 1
 
 
