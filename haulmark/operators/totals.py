@@ -17,18 +17,32 @@ its deviation is wanted; more is an overflow error.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.functions.nulls import finite, row_count
+from haulmark.functions.nulls import finite
 
 _WIDTH, _LIMB = 24, 27
 _LOWEST, _HIGHEST = -41, 42
 _SUMS = ["_a", "_b", "_c"]
 _SQUARES = [f"_q{k}" for k in range(6)]
 
+# The steps below are SQL text, as each call that builds a column takes its time.
+
+_CLASS = f"""CASE WHEN _x = 0 THEN 0 WHEN _x IS NOT NULL
+    THEN greatest(least(CAST(floor(log2(abs(_x)) / {_WIDTH}) AS INT), {_HIGHEST}), {_LOWEST}) END"""
+#: The common classes need no power.
+_SCALED = f"""_x * CASE _class WHEN 0 THEN 1D WHEN -1 THEN {2**_WIDTH}D WHEN 1 THEN {2.0**-_WIDTH!r}D
+    ELSE pow(2D, -{_WIDTH} * _class) END"""
+_REST = f"(_y - CAST(_y AS BIGINT)) * {2**_LIMB}D"
+_LIMBS = {
+    "_a": "CAST(_y AS BIGINT)",
+    "_b": f"CAST({_REST} AS BIGINT)",
+    "_c": f"CAST(({_REST} - CAST({_REST} AS BIGINT)) * {2**_LIMB}D AS BIGINT)",
+}
+
 
 def exact_parts(
     df: DataFrame,
@@ -39,40 +53,38 @@ def exact_parts(
 ) -> DataFrame:
     """Integer sums of ``value`` for each ``by`` and exponent class.
 
-    With ``spread`` the squares are summed too, which deviations need. ``counts`` are sums of
-    whole numbers, or numbers of rows that meet a condition, taken in the same pass.
+    With ``spread`` the squares are summed too, which deviations need. ``counts`` are numbers of
+    rows that meet a condition, taken in the same pass.
     """
     counts = counts or {}
-    x = F.col("_x")
-    exponent = F.floor(F.log2(F.abs(x)) / F.lit(float(_WIDTH))).cast("int")
-    klass = F.when(x == 0, 0).otherwise(F.greatest(F.least(exponent, F.lit(_HIGHEST)), F.lit(_LOWEST)))
-    scales = F.array(*[F.lit(2.0 ** (-_WIDTH * c)) for c in range(_LOWEST, _HIGHEST + 1)])
-    rows = df.select(*by, finite(value).alias("_x"), *[c.alias(name) for name, c in counts.items()]).withColumn("_class", klass)
-    rows = rows.withColumn("_y", F.col("_x") * F.element_at(scales, F.col("_class") - F.lit(_LOWEST - 1)))
-    whole = F.col("_y").cast("bigint")
-    rest = (F.col("_y") - whole) * F.lit(2.0**_LIMB)
-    middle = rest.cast("bigint")
-    limbs = rows.withColumns({"_a": whole, "_b": middle, "_c": ((rest - middle) * F.lit(2.0**_LIMB)).cast("bigint")})
-    added = {name: F.sum(name) for name in _SUMS}
-    if spread:
-        added |= {name: F.sum(c) for name, c in zip(_SQUARES, _square(), strict=True)}
-    kinds = {f.name: f.dataType.typeName() for f in rows.schema}
-    return limbs.groupBy(*by, "_class").agg(
-        *[c.alias(name) for name, c in added.items()],
-        row_count().alias("_rows"),
-        F.count("_x").alias("_known"),
-        *[(F.count_if(name) if kinds[name] == "boolean" else F.sum(name)).alias(name) for name in counts],
+    kept = [*map(_quoted, by), *map(_quoted, counts)]
+    rows = df.select(*by, finite(value).alias("_x"), *[c.alias(name) for name, c in counts.items()])
+    limbs = (
+        rows.selectExpr(*kept, "_x", f"{_CLASS} AS _class")
+        .selectExpr(*kept, "_x", "_class", f"{_SCALED} AS _y")
+        .selectExpr(*kept, "_x", "_class", *[f"{text} AS {name}" for name, text in _LIMBS.items()])
     )
+    sums = {name: f"sum({name})" for name in _SUMS}
+    if spread:
+        sums |= {name: f"sum({digit})" for name, digit in zip(_SQUARES, _square(), strict=True)}
+    sums |= {"_rows": "count(1)", "_known": "count(_x)"} | {name: f"count_if({_quoted(name)})" for name in counts}
+    return limbs.groupBy(*by, "_class").agg(*[_named(name, text) for name, text in sums.items()])
+
 
+def _quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
 
-def _square() -> list[Column]:
+
+def _named(name: str, text: str) -> Column:
+    return F.expr(f"{text} AS {_quoted(name)}")
+
+
+def _square() -> list[str]:
     """Digits of 27 bits, the lowest first, of the square of a number's three integers."""
-    a, b, c = (F.col(name) for name in _SUMS)
-    terms = [c * c, F.lit(2) * b * c, b * b + F.lit(2) * a * c, F.lit(2) * a * b, a * a]
-    mask = F.lit((1 << _LIMB) - 1).cast("bigint")
-    low = [t.bitwiseAND(mask) for t in terms]
-    high = [F.shiftright(t, _LIMB) for t in terms]
-    return [low[0], *[high[k] + low[k + 1] for k in range(4)], high[4]]
+    terms = ["_c * _c", "2 * _b * _c", "_b * _b + 2 * _a * _c", "2 * _a * _b", "_a * _a"]
+    low = [f"(({t}) & {(1 << _LIMB) - 1})" for t in terms]
+    high = [f"shiftright({t}, {_LIMB})" for t in terms]
+    return [low[0], *[f"{high[k]} + {low[k + 1]}" for k in range(4)], high[4]]
 
 
 def add_parts(parts: DataFrame, by: Sequence[str], counts: Sequence[str] = ()) -> DataFrame:
@@ -83,7 +95,7 @@ def add_parts(parts: DataFrame, by: Sequence[str], counts: Sequence[str] = ()) -
 def part_sums(parts: DataFrame, counts: Sequence[str] = ()) -> dict[str, Column]:
     """Aggregates that add up what ``exact_parts`` made."""
     names = [n for n in [*_SUMS, *_SQUARES, "_rows", "_known"] if n in parts.columns]
-    return {n: F.sum(n) for n in [*names, *counts]}
+    return {n: F.expr(f"sum({_quoted(n)})") for n in [*names, *counts]}
 
 
 def exact_totals(parts: DataFrame, by: Sequence[str], counts: Sequence[str] = (), **outputs: Column) -> DataFrame:
@@ -92,81 +104,90 @@ def exact_totals(parts: DataFrame, by: Sequence[str], counts: Sequence[str] = ()
     ``counts`` are added up and can be used by name in the outputs.
     """
     spread = _SQUARES[0] in parts.columns
-    sums = [*_SUMS, *_SQUARES] if spread else _SUMS
-    bins = F.collect_list(F.when(F.col("_a").isNotNull(), F.struct("_class", *sums)))
-    groups = parts.groupBy(*by).agg(
-        F.sort_array(bins, asc=False).alias("_bins"),
-        F.max(F.when(F.col("_a").isNotNull(), F.col("_class"))).alias("_top"),
-        F.sum("_rows").alias("_rows"),
-        F.sum("_known").alias("_known"),
-        *[F.sum(name).alias(name) for name in counts],
-    )
-    scale = F.pow(F.lit(2.0), F.lit(float(_WIDTH)) * F.col("_top"))
-    groups = _added(groups, "_s", _SUMS, 1, [0, -_LIMB, -2 * _LIMB])
-    groups = groups.withColumn("_sum", (F.col("_s_h") + F.col("_s_l")) * scale)
-    groups = groups.withColumn("_total", F.when(F.col("_known") > 1, _decimal(F.col("_sum"))).otherwise(F.col("_sum")))
-    if spread:
-        groups = _added(groups, "_q", _SQUARES, 2, [_LIMB * (k - 4) for k in range(6)])
-        groups = _deviation(groups, scale)
+    sums = ", ".join([*_SUMS, *_SQUARES] if spread else _SUMS)
+    found = {
+        "_bins": f"sort_array(collect_list(CASE WHEN _a IS NOT NULL THEN struct(_class, {sums}) END), false)",
+        "_top": "max(CASE WHEN _a IS NOT NULL THEN _class END)",
+        "_rows": "sum(_rows)",
+        "_known": "sum(_known)",
+    }
+    found |= {name: f"sum({_quoted(name)})" for name in counts}
+    groups = parts.groupBy(*by).agg(*[_named(name, text) for name, text in found.items()])
+    for step in [*_TOTAL, *(_DEVIATION if spread else [])]:
+        groups = groups.selectExpr("*", *[f"{text} AS {name}" for name, text in step.items()])
     return groups.select(*by, *[c.alias(name) for name, c in outputs.items()])
 
 
-def _added(groups: DataFrame, name: str, sums: Sequence[str], power: int, places: Sequence[int]) -> DataFrame:
+def _added(sums: Sequence[str], power: int, places: Sequence[int]) -> str:
     """The sums of all classes in units of the top class, as a pair of doubles."""
-
-    def terms(b: Column) -> Column:
-        unit = F.pow(F.lit(2.0), F.lit(float(_WIDTH * power)) * (b["_class"] - F.col("_top")))
-        high = [F.shiftright(b[s], 32) * (unit * F.lit(2.0 ** (p + 32))) for s, p in zip(sums, places, strict=True)]
-        low = [b[s].bitwiseAND(F.lit((1 << 32) - 1)) * (unit * F.lit(2.0**p)) for s, p in zip(sums, places, strict=True)]
-        return F.array(*high, *low)
-
-    def add(acc: Column, v: Column) -> Column:
-        total = acc["h"] + v
-        moved = total - acc["h"]
-        return F.struct(total.alias("h"), (acc["l"] + ((acc["h"] - (total - moved)) + (v - moved))).alias("l"))
-
-    start = F.struct(F.lit(0.0).alias("h"), F.lit(0.0).alias("l"))
-    pair = F.aggregate(F.flatten(F.transform("_bins", terms)), start, add)
-    return groups.withColumn(name, pair).withColumns({f"{name}_h": F.col(f"{name}.h"), f"{name}_l": F.col(f"{name}.l")})
-
-
-def _product(df: DataFrame, name: str, x: str, y: str) -> DataFrame:
-    """``x * y`` as the double nearest to it and what is left, both exact."""
-    for c in dict.fromkeys((x, y)):
-        long = F.col(c) * F.lit(134217729.0)
-        df = df.withColumn(f"{c}_1", long - (long - F.col(c))).withColumn(f"{c}_2", F.col(c) - F.col(f"{c}_1"))
-    df = df.withColumn(name, F.col(x) * F.col(y))
-    x1, x2, y1, y2 = (F.col(c) for c in (f"{x}_1", f"{x}_2", f"{y}_1", f"{y}_2"))
-    return df.withColumn(f"{name}_r", ((x1 * y1 - F.col(name)) + x1 * y2 + x2 * y1) + x2 * y2)
-
-
-def _deviation(groups: DataFrame, scale: Column) -> DataFrame:
-    """The sample deviation, from rows times squares less the square of the sum.
-
-    What doubles cannot tell from no spread at all is none.
-    """
-    n = F.col("_known")
-    groups = groups.withColumns(
-        {
-            "_n": n.cast("double"),
-            "_s_x": F.col("_s_h") + F.col("_s_l"),
-            "_q_x": F.col("_q_h") + F.col("_q_l"),
-        }
-    ).withColumns({"_s_y": F.col("_s_l") - (F.col("_s_x") - F.col("_s_h")), "_q_y": F.col("_q_l") - (F.col("_q_x") - F.col("_q_h"))})
-    groups = _product(_product(groups, "_ss", "_s_x", "_s_x"), "_nq", "_n", "_q_x")
-    small = (F.col("_nq_r") + F.col("_n") * F.col("_q_y")) - (F.col("_ss_r") + F.lit(2.0) * F.col("_s_x") * F.col("_s_y"))
-    groups = groups.withColumn("_left", (F.col("_nq") - F.col("_ss")) + small)
-    none = F.col("_left") <= F.col("_nq") * F.lit(2.0**-98)
-    spread = F.when(none, 0.0).otherwise(F.col("_left")) / F.nullif(F.col("_n") * (F.col("_n") - 1), F.lit(0.0))
-    return groups.withColumn("_sd", F.sqrt(spread) * scale)
-
-
-def _decimal(c: Column) -> Column:
+    unit = f"pow(2D, {_WIDTH * power} * (b._class - _top))"
+    high = [f"shiftright(b.{s}, 32) * ({unit} * {2.0 ** (p + 32)!r}D)" for s, p in zip(sums, places, strict=True)]
+    low = [f"(b.{s} & {(1 << 32) - 1}) * ({unit} * {2.0**p!r}D)" for s, p in zip(sums, places, strict=True)]
+    step = f"named_struct('h', acc.h + v, 'l', acc.l + {_error('acc.h', 'v')})"
+    every = f"""aggregate(flatten(transform(_bins, b -> array({", ".join(high + low)}))),
+        named_struct('h', 0D, 'l', 0D), (acc, v) -> {step})"""
+    # mostly there is one class, with sums that are doubles themselves
+    sorted_by_place = sorted(zip(sums, places, strict=True), key=lambda x: -x[1])
+    terms = [f"(_bins[0].{s} * {2.0**p!r}D)" for s, p in sorted_by_place]
+    total, errors = terms[0], []
+    for term in terms[1:]:
+        errors.append(_error(total, term))
+        total = f"({total} + {term})"
+    one = f"named_struct('h', {total}, 'l', {' + '.join(errors)})"
+    return f"CASE WHEN size(_bins) = 1 AND _known < {1 << 25} THEN {one} ELSE {every} END"
+
+
+def _error(x: str, y: str) -> str:
+    """What the double nearest to ``x + y`` lacks."""
+    total = f"({x} + {y})"
+    return f"(({x} - ({total} - ({total} - {x}))) + ({y} - ({total} - {x})))"
+
+
+def _decimal(c: str) -> str:
     """The number with 4, 8 or 12 decimals that ``c`` is but for its last bits, or ``c``."""
-    room = F.abs(c) * F.lit(2.0**-52)
-    near: Callable[[int], Column] = lambda d: F.rint(c * F.lit(10.0**d)) / F.lit(10.0**d)
-    fits = [F.when((F.abs(c) < 2.0**49 / 10**d) & (F.abs(near(d) - c) <= room), near(d)) for d in (4, 8, 12)]
-    return F.coalesce(*fits, c)
+    fits = "".join(
+        f" WHEN abs({c}) < {2.0**49 / 10**d!r}D AND abs(rint({c} * {10**d}D) / {10**d}D - {c}) <= abs({c}) * {2.0**-52!r}D"
+        f" THEN rint({c} * {10**d}D) / {10**d}D"
+        for d in (4, 8, 12)
+    )
+    return f"CASE{fits} ELSE {c} END"
+
+
+def _high(x: str) -> str:
+    """The upper half of a double's digits."""
+    return f"({x} * 134217729D - ({x} * 134217729D - {x}))"
+
+
+def _lost(x: str, x1: str, y: str, y1: str) -> str:
+    """What the double nearest to ``x * y`` lacks, from the upper halves of both."""
+    x2, y2 = f"({x} - {x1})", f"({y} - {y1})"
+    return f"((({x1} * {y1} - {x} * {y}) + {x1} * {y2} + {x2} * {y1}) + {x2} * {y2})"
+
+
+_TOTAL = [
+    {"_s": _added(_SUMS, 1, [0, -_LIMB, -2 * _LIMB]), "_scale": f"pow(2D, {_WIDTH} * _top)"},
+    {"_sum": "(_s.h + _s.l) * _scale"},
+    {"_total": f"CASE WHEN _known > 1 THEN {_decimal('_sum')} ELSE _sum END"},
+]
+# Rows times squares less the square of the sum, all in units of the top class. What doubles
+# cannot tell from no spread at all is none.
+_DEVIATION = [
+    {"_q": _added(_SQUARES, 2, [_LIMB * (k - 4) for k in range(6)]), "_n": "CAST(_known AS DOUBLE)"},
+    {"_sx": "_s.h + _s.l", "_qx": "_q.h + _q.l"},
+    {
+        "_sy": "_s.l - (_sx - _s.h)",
+        "_qy": "_q.l - (_qx - _q.h)",
+        **{f"{c}1": _high(c) for c in ("_sx", "_qx", "_n")},
+    },
+    {
+        "_left": f"""(_n * _qx - _sx * _sx) + (({_lost("_n", "_n1", "_qx", "_qx1")} + _n * _qy)
+            - ({_lost("_sx", "_sx1", "_sx", "_sx1")} + 2D * _sx * _sy))"""
+    },
+    {
+        "_sd": f"""_scale * sqrt(CASE WHEN _left <= _n * _qx * {2.0**-98!r}D THEN 0D ELSE _left END
+            / nullif(_n * (_n - 1), 0D))"""
+    },
+]
 
 
 def round_to_even(c: Column, digits: int) -> Column:
