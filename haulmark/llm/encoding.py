@@ -3,7 +3,8 @@
 The tokenizer splits a text before any space that a visible character follows, and where
 letters begin or end; it never looks across such a split. The library encodes each distinct
 chunk between them once; a worker keeps the ids in a hash table and looks later chunks up.
-A text with any other kind of gap is encoded whole.
+A text with any other kind of gap, or with the content of an added token, which the library
+looks for before it splits, is encoded whole.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from haulmark.llm.common import SPACED, Words
 
@@ -92,6 +94,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.chunks = Tokenizer.from_file(path), chunks
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
@@ -161,6 +164,8 @@ class Encoder:
         spaces = length - (total[words.docs[1:]] - total[words.docs[:-1]])
         odd = spaces != np.maximum(words.counts - joined - 1, 0)
         odd[words.doc_of()[size < 0]] = True
+        for content in self.added:
+            odd |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
         size[size < 0] = 0
         ids = spread(self.flat, self.begin[at], size)
         upto = np.concatenate(([0], np.cumsum(size)))[words.docs]

@@ -161,6 +161,30 @@ def test_chunked_encoding_equals_the_library(texts):
 
 
 CHUNKED: dict = {}
+ADDED = "<|endoftext|>"
+PIECES = [*" \n\t　abé'.!1s", " the", " quick", ADDED, "<|", "|>", "endoftext", " " + ADDED]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=12).map("".join), max_size=4))
+def test_added_tokens_are_found_as_the_library_does(texts):
+    import pyarrow as pa
+
+    encoder = CHUNKED.setdefault("e", Encoder(PATH, chunks=200))
+    ids, upto = encoder.encode(pa.array(texts, pa.string()))
+    for i, text in enumerate(texts):
+        assert ids[upto[i] : upto[i + 1]].tolist() == encoder.whole(text).tolist()
+
+
+def test_packing_and_files_with_added_tokens(spark, tokenizer):
+    texts = [f"see {ADDED} here", ADDED, ADDED * 2, f"{ADDED} at the beginning", f"at the end {ADDED}", f"in{ADDED}side", "none"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in ids[0]
+    packed = {r.doc_id: (r.length, r.ids_crc32) for r in pack(df, PATH, length=64).collect()}
+    assert packed == {i: (len(x) + 1, brute.crc([*x, 0])) for i, x in enumerate(ids)}
+    filed = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in round_trip(df, PATH).collect()}
+    assert filed == {i: (len(x) + 1, brute.crc([*x, 2])) for i, x in enumerate(ids)}
 
 
 # --- 4 near duplicates -------------------------------------------------------------------
