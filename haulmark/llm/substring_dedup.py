@@ -1,11 +1,13 @@
-"""Removal of word sequences that an earlier document holds, by prefix-partitioned suffix trees.
+"""Removal of word sequences that an earlier document holds, by windows grouped by their least grams.
 
-Suffixes are the places where WINDOW words begin. A suffix belongs to the subtree of the
-prefix that ends with the smallest hash of its GRAM-word runs, so equal windows meet in one
-subtree and neighbours that share that run travel as one row with their common words.
-Subtrees that only one document reaches are never sent; subtrees with many rows are split
-by longer prefixes. Each subtree is grown top down: nodes split at doubling path lengths,
-leaves fall away, and the nodes left at depth WINDOW are the repeats.
+The places where WINDOW words begin are called suffixes. A suffix belongs to the group, called
+subtree, of the smallest hash of its GRAM-word runs, so equal windows meet in one subtree and
+neighbours that share that run travel as one row with their common words. Subtrees that
+only one document reaches are never sent; subtrees with many rows are split by the smallest
+hash of longer runs in the window, which neighbours mostly share too, so that a row falls into
+two or three parts, however large its subtree is. In a part, windows are told apart by the
+hashes of their first 16, 32 and 50 words. This stands in for a suffix tree: no branching
+nodes or maximal repeats are built.
 
 Documents with the words of an earlier one are folded before.
 """
@@ -28,11 +30,10 @@ from haulmark.llm.decontaminate import bloom, may_hold
 
 WINDOW = 50
 GRAM = 8
-GRAMS = WINDOW - GRAM + 1
 #: Path lengths at which nodes split.
 DEPTHS = (16, 32, WINDOW)
-#: Words of the longer prefix by which a large subtree is split, and its rows in a part.
-PREFIX = 16
+#: Words of the longer runs by which a large subtree is split, and its rows in a part.
+LONGER = 16
 PART_ROWS = 4096
 
 _U = np.uint64
@@ -50,14 +51,7 @@ def suffix_runs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     _, begin = words.windows(WINDOW)
     if not len(begin):
         return np.zeros(0, _U), begin, begin
-    gram, at = words.windows(GRAM)
-    least = np.zeros(len(words.hash), _U)
-    least[at] = gram
-    width = 1
-    while 2 * width <= GRAMS:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    least = np.minimum(least[: len(least) - (GRAMS - width)], least[GRAMS - width :])[begin]
+    least = least_gram(words, begin, GRAM)
     new = np.concatenate(([True], (begin[1:] != begin[:-1] + 1) | (least[1:] != least[:-1])))
     first = np.flatnonzero(new)
     # a run repeated in its text may stand for more suffixes than one occurrence can: cut to 64
@@ -68,6 +62,18 @@ def suffix_runs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return least[first][own], begin[first][own] + 64 * nth, np.minimum(size[own] - 64 * nth, 64)
 
 
+def least_gram(words: Words, begin: np.ndarray, k: int) -> np.ndarray:
+    """The smallest hash of k words in each of the windows that begin at ``begin``."""
+    gram, at = words.windows(k)
+    least = np.zeros(len(words.hash), _U)
+    least[at] = gram
+    width, grams = 1, WINDOW - k + 1
+    while 2 * width <= grams:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    return np.minimum(least[: len(least) - (grams - width)], least[grams - width :])[begin]
+
+
 def path(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k words from each place on."""
     power, inverse = powers(len(hashes) + 1)
@@ -143,8 +149,9 @@ def suffixes(touched: DataFrame) -> DataFrame:
         at = start + words.docs[:-1][doc]
         run = np.repeat(np.arange(len(at)), size)
         nth = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
-        longer = path(words.hash, at[run] + nth, PREFIX) if len(run) else np.zeros(0, _U)
-        where = (longer % parts[run].astype(_U)).astype(np.int64)
+        longer = least_gram(words, at[run] + nth, LONGER) if len(run) else np.zeros(0, _U)
+        # mixed, as the least of many hashes is small
+        where = (mix(longer) % parts[run].astype(_U)).astype(np.int64)
         order = np.lexsort((nth, where, run))
         run, nth, where = run[order], nth[order], where[order]
         new = np.concatenate(([True], (run[1:] != run[:-1]) | (where[1:] != where[:-1]))) if len(run) else run

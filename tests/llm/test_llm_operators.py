@@ -346,6 +346,33 @@ def test_repeats_inside_and_across_texts(spark, same, monkeypatch):
     same(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect(), brute.repeats(rows))
 
 
+def test_rows_of_near_copies_grow_in_proportion(spark, monkeypatch):
+    import random
+
+    import haulmark.llm.substring_dedup as sd
+
+    monkeypatch.setattr(sd, "PART_ROWS", 64)
+    made, grow = [], sd.grow
+
+    def counted(dealt):
+        out = grow(dealt)
+        made.append((dealt.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(sd, "grow", counted)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    for n in (300, 600, 1200):
+        rows = []
+        for i in range(n):
+            text = list(base)
+            text[rng.randrange(200)] = f"own{i}"
+            rows.append((i, " ".join(text)))
+        remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    for (sent, left), (sent2, left2) in zip(made, made[1:], strict=False):
+        assert sent2 < 2.5 * sent and left2 < 2.5 * left
+
+
 # --- 9 quality ---------------------------------------------------------------------------
 
 
