@@ -30,14 +30,17 @@ _TONNES = "whole_pounds * 0.000453592e0 AS whole_mt"
 _HISTORY = "(VALUES " + ", ".join(f"({1992 + i}, {v}e0)" for i, v in enumerate(HISTORY)) + ") h(year, whole_pounds)"
 
 
-def catch_grid(spark: S, sf: str) -> DataFrame:
-    landed = roles.landings(spark, sf)
+def catch_grid(
+    spark: S, sf: str, shown: list[str] | None = None, years: tuple[int, int] | None = None
+) -> DataFrame:
+    landed = roles.landings(spark, sf, years)
     return plans.catch_by_year_area_gear(
         landed.filter(F.col("species_code") == plans.SPECIES),
         roles.stat_areas(spark, sf),
         roles.waters_updates(spark, sf),
         AREAS,
         GEARS,
+        shown=shown,
     )
 
 
@@ -81,9 +84,8 @@ def catch_by_year_area_gear(spark: S, sf: str) -> DataFrame:
     UNION ALL SELECT year, Mgmt_area, {_TONNES}, '{TICKETS}' FROM ticket_year_area WHERE Mgmt_area IN ('AFRICA', 'AMERICA')""",
 )
 def compare_sources(spark: S, sf: str) -> DataFrame:
-    earnings = plans.catch_by_year_area(catch_grid(spark, sf))
-    shown = earnings.filter(F.col("Mgmt_area").isin("AFRICA", "AMERICA"))
-    return plans.compare_sources(_sources(spark, sf, shown))
+    earnings = plans.catch_by_year_area(catch_grid(spark, sf, ["AFRICA", "AMERICA"]))
+    return plans.compare_sources(_sources(spark, sf, earnings))
 
 
 @query(
@@ -96,7 +98,7 @@ def compare_sources(spark: S, sf: str) -> DataFrame:
     WHERE (Mgmt_area = 'AFRICA' AND year >= 1998) OR Mgmt_area IN ('AMERICA', 'ASIA')""",
 )
 def splice_sources(spark: S, sf: str) -> DataFrame:
-    earnings = plans.catch_by_year_area(catch_grid(spark, sf))
+    earnings = plans.catch_by_year_area(catch_grid(spark, sf, [r.area for r in RULES if r.source == EARNINGS]))
     return plans.best_series(_sources(spark, sf, earnings), RULES)
 
 
@@ -113,7 +115,7 @@ def splice_sources(spark: S, sf: str) -> DataFrame:
 )
 def discrepancy_by_gear(spark: S, sf: str) -> DataFrame:
     return plans.discrepancy_by_gear(
-        catch_grid(spark, sf),
+        catch_grid(spark, sf, ["AFRICA"], (1996, 1998)),
         plans.clean_tickets(_wanted(roles.tickets(spark, sf, (1996, 1998)), ["AFRICA"])),
         "AFRICA",
         1996,

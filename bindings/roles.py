@@ -79,9 +79,10 @@ def region_of_supplier(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def landings(spark: SparkSession, sf: str) -> DataFrame:
+def landings(spark: SparkSession, sf: str, years: tuple[int, int] | None = None) -> DataFrame:
     """Landings: the supplier is the stat area, the return and line flags the gear."""
-    return table(spark, sf, "lineitem").select(
+    items = table(spark, sf, "lineitem")
+    return (items.filter(in_years("l_shipdate", *years)) if years else items).select(
         F.year("l_shipdate").alias("year"),
         F.concat("l_returnflag", "l_linestatus").alias("gear_code"),
         F.col("l_suppkey").alias("stat_area"),

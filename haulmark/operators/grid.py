@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 Levels = Sequence | DataFrame
 
-#: Buckets that levels are dealt into, a power of two; a key tuple meets all of them.
-BUCKETS = 16
+#: Levels of a bucket, about: there are as many buckets as the levels ask for.
+BUCKET_LEVELS = 1024
 
 
 def present_levels(df: DataFrame, c: str, count: str | None = None) -> DataFrame:
@@ -67,13 +67,19 @@ def complete(
 
 
 def _met(rows: DataFrame, c: str, levels: DataFrame) -> DataFrame:
-    """Blank rows once for each level, by an equal join on buckets; other rows as they are."""
-    level = levels.distinct().select(
-        "_level", _bits(F.xxhash64("_level"), BUCKETS).alias("_bucket"), F.lit(True).alias("_given")
-    )
+    """Blank rows once for each level, by an equal join on buckets; other rows as they are.
+
+    The number of buckets is a scalar of the levels, rounded up to a power of two; a blank row
+    goes to all of them. Few levels are one bucket, which Spark may broadcast.
+    """
+    distinct = levels.distinct()
+    asked = F.greatest(distinct.agg(F.count(F.lit(1))).scalar() / F.lit(BUCKET_LEVELS), F.lit(1.0))
+    # never NULL, as _bits
+    last = F.coalesce(F.pow(F.lit(2.0), F.ceil(F.log2(asked))).cast("bigint") - F.lit(1), F.lit(0).cast("bigint"))
+    level = distinct.select("_level", F.xxhash64("_level").bitwiseAND(last).alias("_bucket"), F.lit(True).alias("_given"))
     # rows that are not blank have buckets of their own, which spreads them and meets no level
     own = F.array(-1 - _bits(F.xxhash64(*rows.columns), 1 << 20))
-    every = F.array(*[F.lit(i).cast("bigint") for i in range(BUCKETS)])
+    every = F.sequence(F.lit(0).cast("bigint"), last)
     dealt = rows.withColumn("_bucket", F.explode(F.when(F.col("_blank"), every).otherwise(own)))
     return (
         dealt.join(level, "_bucket", "left")

@@ -125,63 +125,91 @@ def ticket_catch(cleaned: DataFrame) -> DataFrame:
     return totals.exact_total(cleaned, ["year", "Mgmt_area"], "round_pounds", "whole_pounds", strictly=True)
 
 
-def resolved_stat_areas(stat_areas: DataFrame, updates: DataFrame) -> DataFrame:
+def resolved_stat_areas(stat_areas: DataFrame, updates: DataFrame, unique: bool = False) -> DataFrame:
     """Stat-area lookup with its waters replaced where a correction exists.
 
     The correction depends on the lookup alone, so it is applied to the lookup and
     never to the landings.
     """
-    return override_from(stat_areas, updates, UPDATE_KEYS, "waters", "updated_waters")
+    return override_from(stat_areas, updates, UPDATE_KEYS, "waters", "updated_waters", unique)
 
 
 def landings_with_areas(
-    landings: DataFrame, stat_areas: DataFrame, updates: DataFrame | None = None
+    landings: DataFrame, stat_areas: DataFrame, updates: DataFrame | None = None, unique: bool = False
 ) -> DataFrame:
     """Every landing with its stat-area attributes, corrected where ``updates`` are given.
 
-    Both lookups are joined as they are stored, so that Spark knows their size.
+    Both lookups are joined as they are stored, so that Spark knows their size. With
+    ``unique`` a landing whose stat area is held twice is an error instead of two rows.
     """
     dated = landings.withColumn("year", whole_number("year"))
-    placed = lookup_join(dated, stat_areas, ["stat_area", "stat_area_type"], "inner")
+    placed = lookup_join(dated, stat_areas, ["stat_area", "stat_area_type"], "inner", unique=unique)
     return placed if updates is None else override_from(placed, updates, UPDATE_KEYS, "waters", "updated_waters")
 
 
-def catch_by_year_area_gear(
-    landings: DataFrame,
+CATCH_PLACE = ["stat_area", "stat_area_type"]
+
+
+def catch_parts(landings: DataFrame, years: tuple[int, int] | None = None) -> DataFrame:
+    """Exact sums of the weight per stat area, year and gear code, to be added up by ``catch_of_parts``.
+
+    Landings are added up before any join, so what is shuffled does not grow with the
+    landings and a hot stat area is collapsed on the map side.
+    """
+    if years is not None:
+        landings = landings.filter(whole_number("year").between(*years))
+    return totals.exact_parts(landings, [*CATCH_PLACE, "year", "gear_code"], zero_fallback("whole_pounds", "pounds"))
+
+
+def catch_of_parts(
+    parts: DataFrame,
     stat_areas: DataFrame,
     updates: DataFrame | None = None,
     areas: Mapping[str, Sequence[str]] = AREA_DISTRICTS,
     gears: Mapping[str, Sequence[str]] = GEAR_CODES,
     waters: Sequence[str] = STATE_WATERS,
+    shown: Sequence[str] | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """State-water catch for every year, area and gear, zeros included.
 
-    Landings are added up per stat area, year and gear code before any join, so what
-    is shuffled does not grow with the landings and a hot stat area is collapsed on the
-    map side. Codes are decoded on those sums, not on the rows. The lookup is corrected, if
-    there are ``updates``, and filtered on its own, then joined to the sums.
+    Codes are decoded on the sums, not on the rows. The lookup is corrected, if there are
+    ``updates``, and filtered on its own, then joined to the sums. With ``shown`` only these
+    areas are added up and filled; the others count for one thing, that a year has catch, so
+    the rows are those of the whole grid. With ``unique`` catch of a stat area that the lookup
+    holds twice is an error; without, it counts twice.
     """
-    place = ["stat_area", "stat_area_type"]
-    per_stat_area = totals.exact_parts(landings, [*place, "year", "gear_code"], zero_fallback("whole_pounds", "pounds"))
+    shown = list(areas) if shown is None else [a for a in areas if a in shown]
     districts = [d for codes in areas.values() for d in codes]
     resolved = stat_areas if updates is None else resolved_stat_areas(stat_areas, updates)
     wanted = (
         resolved
         .filter(F.col("g_mgt_area_district").isin(districts) & F.col("waters").isin(list(waters)))
         .select(
-            "stat_area", "stat_area_type", map_codes("g_mgt_area_district", areas).alias("Mgmt_area")
+            *CATCH_PLACE, map_codes("g_mgt_area_district", {a: areas[a] for a in shown}).alias("Mgmt_area")
         )
     )
-    decoded = (
-        lookup_join(per_stat_area, wanted, place, "inner")
-        .withColumns({"year": whole_number("year"), "gear": map_codes("gear_code", gears)})
-        .drop(*place, "gear_code")
-    )
+    named = {"year": whole_number("year"), "gear": F.when(F.col("Mgmt_area").isNotNull(), map_codes("gear_code", gears))}
+    decoded = lookup_join(parts, wanted, CATCH_PLACE, "inner", unique=unique).withColumns(named).drop(*CATCH_PLACE, "gear_code")
     cell = ["year", "Mgmt_area", "gear"]
     catch = totals.exact_totals(totals.add_parts(decoded, cell), cell, whole_pounds=totals.total(strictly=True))
-    return complete(
-        catch, ["year"], {"Mgmt_area": list(areas), "gear": list(gears)}, {"whole_pounds": 0.0}
-    )
+    grid = complete(catch, ["year"], {"Mgmt_area": shown, "gear": list(gears)}, {"whole_pounds": 0.0})
+    return grid if len(shown) == len(areas) else grid.filter(F.col("Mgmt_area").isNotNull())
+
+
+def catch_by_year_area_gear(
+    landings: DataFrame,
+    stat_areas: DataFrame,
+    updates: DataFrame | None = None,
+    areas: Mapping[str, Sequence[str]] = AREA_DISTRICTS,
+    gears: Mapping[str, Sequence[str]] = GEAR_CODES,
+    waters: Sequence[str] = STATE_WATERS,
+    shown: Sequence[str] | None = None,
+    years: tuple[int, int] | None = None,
+    unique: bool = False,
+) -> DataFrame:
+    """The catch grid of landings, in whole or for the ``shown`` areas and a closed range of ``years``."""
+    return catch_of_parts(catch_parts(landings, years), stat_areas, updates, areas, gears, waters, shown, unique)
 
 
 def catch_by_year_area(grid: DataFrame) -> DataFrame:

@@ -17,7 +17,32 @@ from pyspark.sql import functions as F
 from haulmark.operators.rows import order_by_levels, order_nulls_last
 from haulmark.operators.series import SpliceRule
 from haulmark.plans import biology, effort, landings
-from haulmark.sources.writers import spanned_path, write_and_keep, write_csv
+from haulmark.sources.writers import write_and_keep, write_csv, write_spanned_csv
+
+
+def refresh_catch(
+    earnings: DataFrame,
+    stat_areas: DataFrame,
+    updates: DataFrame,
+    store: str,
+    years: Sequence[int],
+    species: str = landings.SPECIES,
+) -> DataFrame:
+    """The catch grid of all stored years, after the landings of ``years`` alone were added up anew.
+
+    ``store`` keeps exact sums per stat area, year and gear code as Parquet, a directory a year.
+    The sums of ``years`` replace what is stored for them, other years are not touched, and the
+    grid is made of sums, so it equals that of a full run to the last digit. A year that has
+    lost all its landings keeps the sums it had. Landings keep their years as the store does.
+    """
+    scanned = landings.earnings_scan(earnings, species)
+    year = scanned.schema["year"].dataType
+    changed = scanned.filter(F.col("year").isin([F.lit(y).cast(year) for y in years]))
+    parts = landings.catch_parts(changed)
+    parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(store)
+    kept = earnings.sparkSession.read.schema(parts.schema).parquet(store)
+    lookup = landings.resolved_stat_areas(stat_areas, updates, unique=True)
+    return landings.catch_of_parts(kept, lookup, unique=True)
 
 
 def publish_catch(
@@ -38,23 +63,23 @@ def publish_catch(
 ) -> dict[str, str]:
     """Write landings, the catch grid, the source comparison and the best series.
 
-    Only ``species`` is published, and tickets of ``ticket_areas``.
+    Only ``species`` is published, and tickets of ``ticket_areas``. Landings of a stat area
+    that is held twice, or has two corrections, are an error.
     """
     written: dict[str, str] = {}
     scanned = landings.ticket_scan(tickets, species, ticket_areas)
     cleaned = write_and_keep(landings.clean_tickets(scanned), f"{work}/tickets")
-    written["tickets"] = write_csv(cleaned, spanned_path(cleaned, f"{out}/ticket_landings"))
+    written["tickets"] = write_spanned_csv(cleaned, f"{out}/ticket_landings")
     landed = write_and_keep(landings.earnings_scan(earnings, species), f"{work}/earnings")
-    lookup = write_and_keep(landings.resolved_stat_areas(stat_areas, updates), f"{work}/stat_areas")
-    placed = write_and_keep(landings.landings_with_areas(landed, lookup), f"{work}/landings")
-    written["landings"] = write_csv(placed, spanned_path(placed, f"{out}/landings_with_areas"))
+    lookup = write_and_keep(landings.resolved_stat_areas(stat_areas, updates, unique=True), f"{work}/stat_areas")
+    placed = write_and_keep(landings.landings_with_areas(landed, lookup, unique=True), f"{work}/landings")
+    written["landings"] = write_spanned_csv(placed, f"{out}/landings_with_areas")
     grid = write_and_keep(
-        landings.catch_by_year_area_gear(landed, lookup, areas=areas, gears=gears), f"{work}/catch_grid"
+        landings.catch_by_year_area_gear(landed, lookup, areas=areas, gears=gears, unique=True), f"{work}/catch_grid"
     )
     levels = {"Mgmt_area": list(areas), "gear": list(gears)}
-    written["grid"] = write_csv(
-        order_by_levels(grid, levels, ["year", "Mgmt_area", "gear"]),
-        spanned_path(grid, f"{out}/catch_by_year_area_gear"),
+    written["grid"] = write_spanned_csv(
+        order_by_levels(grid, levels, ["year", "Mgmt_area", "gear"]), f"{out}/catch_by_year_area_gear"
     )
     by_area = landings.catch_by_year_area(grid)
     sources = {
@@ -65,9 +90,7 @@ def publish_catch(
     shown = {**sources, landings.EARNINGS: by_area.filter(F.col("Mgmt_area").isin(list(compared_areas)))}
     order = ["Mgmt_area", "year", "data_source"]
     comparison = write_and_keep(landings.compare_sources(shown), f"{work}/comparison")
-    written["comparison"] = write_csv(
-        order_nulls_last(comparison, *order), spanned_path(comparison, f"{out}/catch_comparison")
-    )
+    written["comparison"] = write_spanned_csv(order_nulls_last(comparison, *order), f"{out}/catch_comparison")
     best = order_nulls_last(landings.best_series(sources, rules), *order)
     written["best"] = write_csv(best, f"{out}/best_catch_{run_year}")
     return written
@@ -79,7 +102,7 @@ def publish_biology(extracts: Mapping[str, DataFrame], out: str, work: str) -> d
     written = {}
     for name, extract in extracts.items():
         kept[name] = write_and_keep(extract, f"{work}/{name}")
-        written[name] = write_csv(kept[name], spanned_path(kept[name], f"{out}/detailed_{name}"))
+        written[name] = write_spanned_csv(kept[name], f"{out}/detailed_{name}")
     bio = biology.stack_bio(*kept.values())
     written["coverage"] = write_csv(
         order_nulls_last(biology.bio_coverage(bio), "Gear", "Source", "Mgmt_area"), f"{out}/coverage"
@@ -108,7 +131,7 @@ def publish_effort(
         effort.survey_npue_index(survey), effort.fishery_wpue_index(fishery)
     )
     return {
-        "survey": write_csv(survey, spanned_path(survey, f"{out}/survey_effort")),
-        "fishery": write_csv(fishery, spanned_path(fishery, f"{out}/fishery_effort")),
+        "survey": write_spanned_csv(survey, f"{out}/survey_effort"),
+        "fishery": write_spanned_csv(fishery, f"{out}/fishery_effort"),
         "indices": write_csv(order_nulls_last(indices, "description", "Year"), f"{out}/cpue_indices"),
     }

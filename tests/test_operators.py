@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -247,6 +248,85 @@ def test_interpolation_is_linear_in_the_length_of_a_series(spark):
     assert time.perf_counter() - start < 20
 
 
+def test_interpolation_equals_one_sweep(spark, rows, monkeypatch):
+    """Whatever the stretches are, and where known points and rows without ``x`` lie."""
+    rng = random.Random(7)
+    data = []
+    for s in ["a", "b", None]:
+        for x in rng.sample(range(-50, 400), 120):
+            data.append((s, float(x) ** 3, rng.random() if rng.random() < 0.2 else None))
+    data += [("c", 1.0, None), ("d", 2.0, 5.0), ("a", None, 3.0), ("e", None, None)]
+
+    def by_hand(s, x, y):
+        if y is not None or x is None:
+            return y
+        left = max(((a, b) for t, a, b in data if t == s and b is not None and a is not None and a < x), default=None)
+        right = min(((a, b) for t, a, b in data if t == s and b is not None and a is not None and a > x), default=None)
+        if left is None or right is None:
+            return None
+        return left[1] + (x - left[0]) * ((right[1] - left[1]) / (right[0] - left[0]))
+
+    want = sorted([(s, x, by_hand(s, x, y)) for s, x, y in data], key=repr)
+    for stretches in (1, 7, 256):
+        monkeypatch.setattr(series, "STRETCHES", stretches)
+        out = series.interpolate_gaps(spark.createDataFrame(data, "s string, x double, v double"), ["s"], "x", "v")
+        assert sorted(map(tuple, out.collect()), key=repr) == want
+
+
+def test_a_long_series_is_spread_over_tasks(spark):
+    df = spark.range(200_000).select(F.lit(1).alias("s"), "id", F.when(F.col("id") % 1000 == 0, F.col("id") * 2.0).alias("v"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = series.interpolate_gaps(df, ["s"], "id", "v").withColumn("_task", F.spark_partition_id())
+        sizes = [r["count"] for r in out.groupBy("_task").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(sizes) == tasks and max(sizes) < 1.5 * 200_000 / tasks
+    assert out.filter(F.abs(F.col("v") - 2 * F.col("id")) > 1e-6).count() == 0
+
+
+def test_buckets_follow_the_levels(spark):
+    """Many levels and few keys: the cells are spread over all tasks."""
+    df = spark.range(300_000).select((F.col("id") % 4).alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("w"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = df.withColumn("_blank", F.lit(False)).unionByName(
+            spark.range(4).select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("w"), F.lit(True).alias("_blank"))
+        )
+        met = grid._met(rows, "b", df.select(F.col("b").alias("_level"))).filter("_blank")
+        sizes = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 4 * 300_000
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(sizes) == tasks and max(sizes) < 1.5 * min(sizes)
+
+
+def test_lookups_with_doubled_keys_fail(spark, rows):
+    lookup = [(1, "a", 2.0), (1, None, 3.0), (None, "a", 4.0), (7, "x", 1.0), (7, "x", 1.0)]
+    kind = "k int, l string, v double"
+    left = spark.createDataFrame([(1, "a"), (1, None), (2, "b")], "k int, l string")
+    good = spark.createDataFrame(lookup, kind)
+    for how in ("left", "inner"):
+        # 7, x is doubled, but nothing matches it
+        plain, checked = (joins.lookup_join(left, good, ["k", "l"], how, unique=u) for u in (False, True))
+        assert rows(plain) == rows(checked) and plain.columns == checked.columns
+        bad = spark.createDataFrame([*lookup, (1, None, 9.0)], kind)
+        with pytest.raises(Exception, match="several rows for k, l = 1, NULL"):
+            joins.lookup_join(left, bad, ["k", "l"], how, unique=True).select("v").count()
+
+
+def test_the_lowest_tick_is_no_window_over_all_rows(spark):
+    plan = series.tick_labels(spark.range(100).toDF("y"), "y", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "NestedLoop" not in plan
+
+
 def test_newest_goes_from_the_groups(spark, rows):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (None, "c")], "year int, k string")
     assert rows(row_ops.without_newest(df, "year")) == [(1, "a")]

@@ -104,5 +104,20 @@ def test_no_query_starts_a_job_while_it_is_built(spark):
     assert not tracker.getJobIdsForGroup("building")
 
 
+def formatted(spark, df):
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)
+
+
+def test_years_and_areas_go_through_the_grid(spark):
+    plan = formatted(spark, QUERIES["discrepancy_by_gear"](spark, SF))
+    items = [part for part in plan.split("\n\n") if "lineitem.parquet" in part and "PushedFilters" in part]
+    assert items
+    for part in items:
+        assert "GreaterThanOrEqual(l_shipdate,1996-01-01" in part and "LessThan(l_shipdate,1999-01-01" in part
+    # blank rows are made for the one area only
+    assert "THEN [AFRICA] ELSE" in plan
+
+
 def test_splicing_reads_no_source_without_a_rule(spark):
     assert "orders.parquet" not in plan_of(QUERIES["splice_sources"](spark, SF))

@@ -452,3 +452,15 @@ def test_rpn_over_depth_strata(spark, rows):
     sizes = spark.createDataFrame([(3, 10.0), (4, 100.0)], "stratum int, km2 double")
     out = effort.rpn_index(rates.withColumn("stratum", depth), sizes, "stratum", "km2", ("RPW", "WPUE"))
     assert rows(out, "RPW", "WPUE") == [(415.0, 2.33)]
+
+
+def test_areas_and_years_go_through_the_grid(spark, rows):
+    """Restricted before the work, the rows are those of the whole grid."""
+    data = [landing("01", y, "61", 5.0) for y in (1999, 2000)] + [landing("06", y, "91", 7.0) for y in (2000, 2001, 2002)]
+    lookup = make(spark, schemas.STAT_AREA_LOOKUP, STAT_AREAS)
+    landed = make(spark, schemas.EARNINGS_LANDINGS, data)
+    full = landings.catch_by_year_area_gear(landed, lookup)
+    part = landings.catch_by_year_area_gear(landed, lookup, shown=["NSEI", "PWS"], years=(2000, 2001))
+    want = full.filter(F.col("Mgmt_area").isin("NSEI", "PWS") & F.col("year").between(2000, 2001))
+    # in 2001 only another area has catch
+    assert rows(part) == rows(want) and part.count() == 2 * 2 * 6

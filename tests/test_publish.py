@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
+
 from haulmark.plans import biology, effort, landings, publish
 from haulmark.sources import readers, schemas
 from test_plans import UPDATES, STAT_AREAS, hooks, landing, make, random_bio, series
@@ -39,6 +43,47 @@ def test_publish_catch(spark, tmp_path, rows):
     assert got == [(1907, landings.HISTORICAL), (1984, landings.HISTORICAL), (1985, landings.EARNINGS), (1986, landings.EARNINGS)]
 
 
+def test_a_doubled_stat_area_fails(spark, tmp_path):
+    earnings = make(spark, schemas.EARNINGS_LANDINGS, [landing("01", 1985, "61", 5.0) | {"species_code": "710"}])
+    tickets = make(spark, schemas.TICKET_LANDINGS, [])
+    updates = spark.createDataFrame(
+        UPDATES, "stat_area string, start_date timestamp, end_date timestamp, updated_waters string"
+    )
+    doubled = make(spark, schemas.STAT_AREA_LOOKUP, [*STAT_AREAS, STAT_AREAS[0] | {"start_date": None}])
+    with pytest.raises(Exception, match="several rows for stat_area, stat_area_type"):
+        publish.publish_catch(tickets, earnings, doubled, updates, series(spark, []), str(tmp_path), 2018, str(tmp_path / "work"))
+    twice = updates.union(updates.limit(1))
+    with pytest.raises(Exception, match="several rows for stat_area, start_date, end_date"):
+        landings.resolved_stat_areas(make(spark, schemas.STAT_AREA_LOOKUP, STAT_AREAS), twice, unique=True).collect()
+
+
+def test_refresh_reads_the_changed_years_only(spark, tmp_path, rows):
+    rng = random.Random(3)
+    landed = [
+        landing("01", y, rng.choice(["61", "91", "99"]), rng.random() * 10.0 ** rng.randrange(-8, 9)) | {"species_code": "710"}
+        for y in (1984, 1985, 1986) for _ in range(20)
+    ]
+    stored = str(tmp_path / "earnings")
+    make(spark, schemas.EARNINGS_LANDINGS, landed).write.parquet(stored)
+    updates = spark.createDataFrame(
+        UPDATES, "stat_area string, start_date timestamp, end_date timestamp, updated_waters string"
+    )
+    lookup, store = make(spark, schemas.STAT_AREA_LOOKUP, STAT_AREAS), str(tmp_path / "sums")
+    earnings = spark.read.parquet(stored)
+    full = rows(landings.catch_by_year_area_gear(landings.earnings_scan(earnings), lookup, updates))
+    publish.refresh_catch(earnings, lookup, updates, store, [1984, 1985])
+    untouched = {p.name for p in (tmp_path / "sums" / "year=1984").iterdir()}
+    grid = publish.refresh_catch(earnings, lookup, updates, store, [1985, 1986])
+    assert rows(grid) == full
+    assert {p.name for p in (tmp_path / "sums" / "year=1984").iterdir()} == untouched
+    # a landing more, in a year that is there
+    more = [landing("01", 1986, "61", 0.1) | {"species_code": "710"}]
+    make(spark, schemas.EARNINGS_LANDINGS, more).write.mode("append").parquet(stored)
+    grown = spark.read.parquet(stored)
+    again = rows(publish.refresh_catch(grown, lookup, updates, store, [1986]))
+    assert again == rows(landings.catch_by_year_area_gear(landings.earnings_scan(grown), lookup, updates)) != full
+
+
 def test_publish_biology(spark, tmp_path, rows):
     data = random_bio(3, 200)
     extracts = {

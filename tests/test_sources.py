@@ -100,6 +100,20 @@ def test_spanned_name_and_tee(spark, tmp_path, rows):
     assert "Parquet" in kept._jdf.queryExecution().executedPlan().toString() or kept.inputFiles()
 
 
+def test_name_by_span_in_one_job(spark, tmp_path, rows):
+    df = spark.createDataFrame([(1999.0, 1), (1975.0, 2), (None, 3)], "year double, v int")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("naming", "one write")
+    try:
+        for _ in range(2):  # the second replaces the first
+            path = writers.write_spanned_csv(df, str(tmp_path / "catch"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup("naming")) == 2
+    assert path.endswith("catch_1975_1999") and [p.name for p in tmp_path.iterdir()] == ["catch_1975_1999"]
+    assert rows(readers.read_csv(spark, path, df.schema)) == rows(df)
+
+
 @pytest.mark.parametrize("name", [n for n in dir(schemas) if n.isupper() and not n.startswith("_")])
 def test_declared_schemas_have_distinct_names(name):
     names = getattr(schemas, name).fieldNames()
