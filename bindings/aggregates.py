@@ -60,6 +60,44 @@ def agg_sum_fine(spark: S, sf: str) -> DataFrame:
     return totals.exact_sums(rows, ["gear", "area"], small)
 
 
+# Powers of two, so that each value is a double: 1e-13 to 1e14, one magnitude a line number.
+_POWER = "(l_linenumber * 14 - 57)"
+
+
+def _magnitudes(spark: S, sf: str) -> DataFrame:
+    power = F.pow(F.lit(2.0), F.col("l_linenumber") * 14 - 57)
+    return table(spark, sf, "lineitem").select(
+        F.col("l_returnflag").alias("gear"), F.col("l_linenumber").alias("line"), (F.col("l_quantity") * power).alias("x")
+    )
+
+
+@query(
+    "agg_any_magnitude",
+    f"""
+    SELECT l_returnflag AS gear, l_linenumber AS line, s * pow(2e0, {_POWER}) AS total, s * pow(2e0, {_POWER}) / n AS mean,
+      sqrt(CAST(n * ss - s * s AS DOUBLE) / (n * (n - 1))) * pow(2e0, {_POWER}) AS sd, n
+    FROM (SELECT l_returnflag, l_linenumber, sum(CAST(l_quantity AS BIGINT))::BIGINT AS s,
+            sum(CAST(l_quantity * l_quantity AS BIGINT))::BIGINT AS ss, count(*) AS n FROM lineitem GROUP BY 1, 2)""",
+)
+def agg_any_magnitude(spark: S, sf: str) -> DataFrame:
+    by = ["gear", "line"]
+    parts = totals.exact_parts(_magnitudes(spark, sf), by, "x", spread=True)
+    return totals.exact_totals(
+        parts, by, total=totals.total(), mean=totals.mean(), sd=totals.sd(), n=totals.rows()
+    )
+
+
+@query(
+    "agg_mixed_magnitudes",
+    """
+    SELECT l_returnflag AS gear,
+      CAST(sum(CAST(l_quantity AS DECIMAL(38, 0)) * CAST(CAST(1 AS HUGEINT) << (l_linenumber * 14 - 14) AS DECIMAL(38, 0))) AS DOUBLE)
+        * pow(2e0, -43) AS total FROM lineitem GROUP BY 1""",
+)
+def agg_mixed_magnitudes(spark: S, sf: str) -> DataFrame:
+    return totals.exact_total(_magnitudes(spark, sf), ["gear"], "x", "total")
+
+
 @query(
     "agg_count_by",
     """
