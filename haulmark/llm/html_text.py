@@ -8,13 +8,19 @@ text and links do not speak against it. Text lengths, links discounted, are summ
 SURGE is a surge, one that falls below DIVE is a dive, and the text between the two is a run. The
 runs inside the page's article are joined; without such an element those inside main, or else those
 inside the deepest container that holds nearly all of their text. Joining them keeps the short lines
-between runs and drops blocks of links. An article also keeps its short lines at both ends.
+between runs and drops blocks of links. An article also keeps its short lines at both ends, and the
+headings of its own header.
+
+Markup may be broken: a head without its end tag ends where something stands that no head
+holds, another element at the end tag of what it stands in. A form, or an element without its end
+tag, is not left out by its name if it holds blocks and nearly all text of the page.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,6 +34,8 @@ TEXTS = "page_id long, url string, text string, n_chars long"
 
 #: Lines a window sums over.
 WINDOW = 3
+#: An element is left out by its name or not: it holds this many times the text of the rest of the page.
+HOLDS = 9
 #: Characters outside links in a window that begin a run; on pages of short lines, half of the largest window.
 SURGE = 80
 #: Below this share of the surge a window ends a run.
@@ -45,6 +53,9 @@ INLINE = {
     "ins", "kbd", "label", "mark", "q", "rb", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong",
     "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img",
 }
+#: What may stand in a head, besides elements of raw text.
+HEAD = {"title", "base", "link", "meta", "style", "script", "noscript", "template", "head"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CONTAINER = {"html", "body", "div", "section", "article", "main", "center", "table", "tbody", "td", "frameset"}
 TABLE = {"table", "tbody", "td"}
 #: Block elements that end an open paragraph.
@@ -86,7 +97,7 @@ SHORT_OF = 4
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|[^>])*)(?:>|$)",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+))")
@@ -123,6 +134,17 @@ class Named:
     holds_title: bool = False
 
 
+@dataclass
+class Dropped:
+    """An element left out by its name: where it begins, its text outside links, and the blocks in it."""
+
+    start: int
+    name: str
+    closed: bool = False
+    weight: int = 0
+    blocks: int = 0
+
+
 @dataclass
 class Page:
     """Lines and gaps (None); each container's parent, and the block it belongs to: tables have none of their own."""
@@ -137,6 +159,7 @@ class Page:
     articles: set[int] = field(default_factory=set)
     named: list[Named] = field(default_factory=list)
     named_now: int = -1
+    dropped: list[Dropped] = field(default_factory=list)
 
     def flush(self, owner: int, scope: int) -> None:
         if self.parts:
@@ -251,11 +274,16 @@ def goes(x: Named, linked: bool, weight: int, rest: int, article: int, rest_arti
     return not x.holds_title and not (x.kind == "beside" and article > 0 and not rest_article)
 
 
-def lines_of(page: str) -> Page:
-    """The page's blocks in order; gaps where boilerplate stood or a container ends."""
+def lines_of(page: str, kept: frozenset[int] = frozenset()) -> Page:
+    """The page's blocks in order; gaps where boilerplate stood or a container ends.
+
+    Elements that begin at a place in ``kept`` are not left out by their name.
+    """
     out = Page()
     stack: list[tuple[str, int, int, int]] = [("", _ROOT, 0, -1)]
     skip, depth, at = "", 0, 0
+    inner: Counter[str] = Counter()  # containers open in the element that is left out
+    linked, heading = False, -1
     find = _TOKEN.search
     while True:
         m = find(page, at)
@@ -264,37 +292,61 @@ def lines_of(page: str) -> Page:
             out.parts.append(text)
             if out.in_link:
                 out.links += len(text)
+        elif text:
+            size = len(text.strip())
+            out.dropped[-1].weight += -size if linked else size
         if not m:
             break
         at = m.end()
         if not m[2]:
             continue
         closing, name = bool(m[1]), m[2].lower()
+        if not closing and name in RAW:
+            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            at = end.end() if end else len(page)
+            continue
+        if skip == "head" and not closing and name not in HEAD:
+            skip = ""  # its end tag was left out
         if skip in LEAVES and not closing and (name == skip or name in LEAVES and skip == "p"):
             skip = ""  # its end tag was left out
         if skip in LEAVES and closing and name in CONTAINER:
             skip = ""
-        if skip:
-            depth += (-1 if closing else 1) if name == skip else 0
-            if depth == 0:
-                skip = ""
-            continue
         _, owner, scope, named = stack[-1]
-        if not closing and name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
+        if skip:
+            linked = not closing if name == "a" else linked
+            out.dropped[-1].blocks += not closing and name in ("p", "article", "main", "h1")
+            if skip == "header" and scope == _ARTICLE and name in HEADINGS:
+                if closing and heading >= 0:
+                    out.parts = [_TOKEN.sub("", page[heading : m.start()])]
+                    out.title = name == "h1"
+                    if out.title:
+                        out.holds(named)
+                    out.flush(owner, scope)
+                heading = -1 if closing else at
+            if name == skip:
+                depth += -1 if closing else 1
+                if depth == 0:
+                    skip, out.dropped[-1].closed = "", True
+                continue
+            if name not in CONTAINER:
+                continue
+            inner[name] += -1 if closing else 1
+            if not closing or inner[name] >= 0 or all(s[0] != name for s in stack):
+                continue
+            skip = ""  # its end tag was left out
         if name in VOID:
             if name == "br":
                 out.parts.append(" ")
             elif name == "hr":
                 out.flush(owner, scope)
             continue
-        if not closing and _beside(name, m[3]) and not m[3].endswith("/"):
+        if not closing and m.start() not in kept and _beside(name, m[3]) and not m[3].endswith("/"):
             if name not in INLINE:
                 out.flush(owner, scope)
                 out.gap(WINDOW)
-            skip, depth = name, 1
+            skip, depth, linked, heading = name, 1, False, -1
+            inner.clear()
+            out.dropped.append(Dropped(m.start(), name))
             continue
         if name == "a":
             out.in_link = 0 if closing else 1
@@ -404,9 +456,22 @@ def joined(page: Page, at: list[int], run: np.ndarray, article: bool) -> list[st
     return kept
 
 
+def held(page: Page) -> frozenset[int]:
+    """Where forms, and elements without their end tag, begin that hold nearly all text of the page."""
+    rest = sum(x.weight() for x in page.lines if x is not None)
+    return frozenset(
+        d.start
+        for d in page.dropped
+        if d.blocks and (d.name == "form" or not d.closed) and d.weight >= max(SURGE, HOLDS * rest)
+    )
+
+
 def main_text(page: str) -> str:
     """The article's blocks, joined by a newline each; empty if the page has none."""
-    found = lines_of(page)
+    found, kept = lines_of(page), frozenset()
+    while more := held(found) - kept:
+        kept |= more
+        found = lines_of(page, kept)
     lines = [i for i, x in enumerate(found.lines) if x is not None]
     if not lines:
         return ""

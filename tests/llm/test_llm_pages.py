@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import random
 import zlib
 
 import pytest
@@ -130,6 +131,77 @@ def test_names_are_judged_on_containers_and_by_their_text(page, expected):
     assert main_text(page) == "\n".join(expected)
 
 
+TEXT = "A sentence of some length stands here, so that it counts as text. " * 3
+BROKEN = {
+    "head without its end tag": f"<html><head><title>x</title><meta charset=utf-8><body><p>{TEXT}</p><p>{TEXT}</p></body></html>",
+    "script in such a head": f"<head><script>if (a<b) document.write('<div>')</script><body><p>{TEXT}</p><p>{TEXT}</p>",
+    "form around the page": f"<body><form action=x><div><p>{TEXT}</p><p>{TEXT}</p><input name=q></div></form></body>",
+    "nav without its end tag": f"<body><nav><a href=/>Home</a> <a href=/b>More</a><article><p>{TEXT}</p><p>{TEXT}</p></article></body>",
+    "nav that ends with its parent": f"<body><div><nav><a href=/>Home</a></div><div><p>{TEXT}</p><p>{TEXT}</p></div></body>",
+    "apostrophe in an unquoted attribute": f"<body><p><b class=x'y></b>{TEXT}</p><p>{TEXT}</p></body>",
+    "quotes among attributes": f"<body><p><b title='a > b' \" class=\"x>y\"></b>{TEXT}</p><p>{TEXT}</p></body>",
+    "svg without its end tag": f"<body><div><svg viewBox='0 0 1 1'><path d=M0></div><p>{TEXT}</p><p>{TEXT}</p></body>",
+    "svg never ended": f"<body><svg><path d=M0><article><p>{TEXT}</p><p>{TEXT}</p></article>",
+}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_broken_markup_loses_no_article(name):
+    assert main_text(BROKEN[name]) == "\n".join([TEXT.strip()] * 2)
+
+
+def test_header_of_an_article_gives_its_headings():
+    page = f"<article><header><p>By someone</p><h1>The <i>title</i></h1><h2>More</h2><nav>x</nav></header><p>{TEXT}</p></article>"
+    assert main_text(page) == "\n".join(["The title", "More", TEXT.strip()])
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><form><label>Name</label><input><p>Send us a message and we will answer soon.</p></form></body>",
+        f"<body><nav><p>{TEXT}</p></nav></body>",
+        f"<body><footer><p>{TEXT}</p></footer><header><p>{TEXT}</p></header></body>",
+    ],
+)
+def test_forms_and_closed_menus_stay_out(page):
+    assert main_text(page) == ""
+
+
+def test_generated_pages_give_their_article(spark):
+    """Pages put together from an article whose text is known, and everything that stands beside one."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgehilmnoprstu") for _ in range(rng.randrange(2, 9)))
+    words = lambda n: " ".join(word() for _ in range(n))
+
+    def block():
+        kind, text = rng.choice(["p", "p", "p", "p", "h2", "li", "blockquote"]), words(rng.randrange(25, 60))
+        if kind == "h2":
+            text = words(4)
+            return f"<h2>{text}</h2>", text
+        marked = text.replace(" ", rng.choice([" ", "\n  ", " <b>x</b> "]), 1)
+        text = " ".join(marked.replace("<b>", "").replace("</b>", "").split())
+        return {"li": f"<ul><li>{marked}</li></ul>", "blockquote": f"<blockquote><p>{marked}</p></blockquote>"}.get(kind, f"<p>{marked}</p>"), text
+
+    links = lambda n: "".join(f"<li><a href=/{word()}>{words(2)}</a></li>" for _ in range(n))
+    rows, want = [], {}
+    for i in range(150):
+        blocks = [("<h1>Some title here</h1>", "Some title here"), (f"<p>{(t := words(50))}</p>", t), *(block() for _ in range(rng.randrange(2, 8)))]
+        body, texts = "".join(b for b, _ in blocks), [t for _, t in blocks]
+        body = rng.choice(["<article>{}</article>", "<main><article>{}</article></main>", "<main>{}</main>", "<div class=content>{}</div>"]).format(body)
+        before = rng.choice(["", f"<nav><ul>{links(6)}</ul></nav>", f"<header><p>{words(9)}</p></header>", f"<div class=menu><ul>{links(9)}</ul></div>"])
+        after = rng.choice(["", f"<footer><p>{words(30)}</p></footer>", f"<aside><p>{words(40)}</p></aside>", f"<form><p>{words(8)}</p></form>"])
+        after += rng.choice(["", "<script>var a = '<p>no</p>';</script>", f"<style>p {{}} /* {words(20)} */</style>"])
+        head = rng.choice(["<head><title>t</title></head>", "<head><title>t</title>", ""])
+        rows.append((i, f"http://x/{i}", f"<!doctype html><html>{head}<body>{before}{body}{after}</body></html>"))
+        want[i] = "\n".join(texts)
+    out = extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in out.collect()} == want
+
+
+def test_an_empty_table_of_pages(spark):
+    assert extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
 @pytest.mark.parametrize("page", ["", "   ", "<html></html>", "<nav>only a menu</nav>", "<!-- x", "<p", "</div></div>"])
 def test_pages_without_text(page):
     assert main_text(page) == ""
