@@ -123,3 +123,75 @@ def discrepancy_by_gear(spark: S, sf: str) -> DataFrame:
         TICKET_GEARS,
         (EARNINGS, TICKETS),
     )
+
+
+# Stores with every column that the scans fetch, by expressions that both engines read alike.
+TICKET_STORE = {
+    "year": "CAST(year(o_orderdate) AS INT)",
+    "adfg_no": "CAST(o_custkey AS STRING)",
+    "trip_no": "CAST(o_orderkey AS STRING)",
+    "vessel_name": "concat('V-', CAST(o_custkey % 97 AS STRING))",
+    "port_code": "o_orderstatus",
+    "gear": "o_orderpriority",
+    "catch_date": "CAST(CAST(o_orderdate AS DATE) AS STRING)",
+    "sell_date": "CASE WHEN o_orderstatus <> 'O' THEN CAST(CAST(o_orderdate AS DATE) AS STRING) END",
+    "harvest_code": "CASE WHEN o_orderkey % 5 = 0 THEN '43' ELSE '11' END",
+    "harvest": "CASE WHEN o_orderkey % 5 = 0 THEN 'Survey' ELSE 'State' END",
+    "g_stat_area": "CAST(345000 + o_custkey % 700 AS STRING)",
+    "g_management_area_code": "CASE o_custkey % 4 WHEN 0 THEN 'AFRICA' WHEN 1 THEN 'AMERICA' WHEN 2 THEN 'ASIA' END",
+    "species_code": "CASE WHEN o_custkey % 7 = 3 THEN '711' ELSE '710' END",
+    "pounds": "o_totalprice",
+    "round_pounds": "CASE WHEN o_orderstatus = 'P' THEN 0e0 ELSE o_totalprice END",
+    "delivery_code": "CAST(o_orderkey % 10 AS STRING)",
+    "g_cfec_fishery_group": "substring(o_orderpriority, 1, 1)",
+    "g_cfec_fishery": "concat(substring(o_orderpriority, 1, 1), CAST(o_custkey % 3 AS STRING))",
+    "not_fetched": "o_orderkey + o_custkey",
+}
+EARNINGS_STORE = {
+    "year": "CAST(year(l_shipdate) AS STRING)",
+    "date_landed": "CAST(CAST(l_shipdate AS DATE) AS STRING)",
+    "gear_code": "concat(l_returnflag, l_linestatus)",
+    "port_code": "CAST(l_suppkey % 11 AS STRING)",
+    "cfec_harvest_area": "CAST(l_partkey % 13 AS STRING)",
+    "cfec_permit": "concat('C', CAST(l_partkey % 29 AS STRING))",
+    "delivery_code": "CAST(l_linenumber AS STRING)",
+    "harvest_code": "CASE WHEN l_linenumber = 7 THEN '43' ELSE '11' END",
+    "mgt_program_code": "CASE WHEN l_orderkey % 3 = 0 THEN 'IFQ' END",
+    "species_code": "CASE WHEN l_tax = 3e-2 THEN '711' ELSE '710' END",
+    "stat_area": "CAST(l_suppkey AS STRING)",
+    "stat_area_type": "CAST(l_suppkey % 2 AS STRING)",
+    "landing_status": "l_linestatus",
+    "pounds": "l_quantity",
+    "whole_pounds": "CASE WHEN l_discount = 0 THEN 0e0 ELSE l_extendedprice END",
+    "not_fetched": "l_orderkey + l_partkey",
+}
+
+
+def _sql(store: dict[str, str], source: str, columns: list[str], where: str) -> str:
+    fetched = ", ".join(columns)
+    return f"SELECT {fetched} FROM (SELECT {', '.join(f'{x} AS {c}' for c, x in store.items())} FROM {source}) WHERE {where}"
+
+
+@query(
+    "ticket_scan",
+    _sql(
+        TICKET_STORE,
+        "orders",
+        plans.TICKET_COLUMNS,
+        "species_code = '710' AND g_management_area_code IN ('AFRICA', 'AMERICA')",
+    ),
+)
+def ticket_scan(spark: S, sf: str) -> DataFrame:
+    store = roles.table(spark, sf, "orders").selectExpr(*[f"{x} AS {c}" for c, x in TICKET_STORE.items()])
+    return plans.ticket_scan(store, areas=["AFRICA", "AMERICA"])
+
+
+@query(
+    "earnings_scan",
+    _sql(EARNINGS_STORE, "lineitem", list(plans.EARNINGS_COLUMNS), "species_code = '710'"),
+)
+def earnings_scan(spark: S, sf: str) -> DataFrame:
+    """The store's own column names, which the scan shortens."""
+    named = {plans.EARNINGS_COLUMNS.get(c, c): x for c, x in EARNINGS_STORE.items()}
+    store = roles.table(spark, sf, "lineitem").selectExpr(*[f"{x} AS {c}" for c, x in named.items()])
+    return plans.earnings_scan(store)

@@ -59,11 +59,9 @@ def exact_parts(
     counts = counts or {}
     kept = [*map(_quoted, by), *map(_quoted, counts)]
     rows = df.select(*by, finite(value).alias("_x"), *[c.alias(name) for name, c in counts.items()])
-    limbs = (
-        rows.selectExpr(*kept, "_x", f"{_CLASS} AS _class")
-        .selectExpr(*kept, "_x", "_class", f"{_SCALED} AS _y")
-        .selectExpr(*kept, "_x", "_class", *[f"{text} AS {name}" for name, text in _LIMBS.items()])
-    )
+    # later columns name earlier ones
+    steps = {"_class": _CLASS, "_y": _SCALED, **_LIMBS}
+    limbs = rows.selectExpr(*kept, "_x", *[f"{text} AS {name}" for name, text in steps.items()])
     sums = {name: f"sum({name})" for name in _SUMS}
     if spread:
         sums |= {name: f"sum({digit})" for name, digit in zip(_SQUARES, _square(), strict=True)}
@@ -113,8 +111,8 @@ def exact_totals(parts: DataFrame, by: Sequence[str], counts: Sequence[str] = ()
     }
     found |= {name: f"sum({_quoted(name)})" for name in counts}
     groups = parts.groupBy(*by).agg(*[_named(name, text) for name, text in found.items()])
-    for step in [*_TOTAL, *(_DEVIATION if spread else [])]:
-        groups = groups.selectExpr("*", *[f"{text} AS {name}" for name, text in step.items()])
+    steps = _TOTAL | (_DEVIATION if spread else {})
+    groups = groups.selectExpr("*", *[f"{text} AS {name}" for name, text in steps.items()])
     return groups.select(*by, *[c.alias(name) for name, c in outputs.items()])
 
 
@@ -164,30 +162,28 @@ def _lost(x: str, x1: str, y: str, y1: str) -> str:
     return f"((({x1} * {y1} - {x} * {y}) + {x1} * {y2} + {x2} * {y1}) + {x2} * {y2})"
 
 
-_TOTAL = [
-    {"_s": _added(_SUMS, 1, [0, -_LIMB, -2 * _LIMB]), "_scale": f"pow(2D, {_WIDTH} * _top)"},
-    {"_sum": "(_s.h + _s.l) * _scale"},
-    {"_total": f"CASE WHEN _known > 1 THEN {_decimal('_sum')} ELSE _sum END"},
-]
+# Each step names those before it.
+_TOTAL = {
+    "_s": _added(_SUMS, 1, [0, -_LIMB, -2 * _LIMB]),
+    "_scale": f"pow(2D, {_WIDTH} * _top)",
+    "_sum": "(_s.h + _s.l) * _scale",
+    "_total": f"CASE WHEN _known > 1 THEN {_decimal('_sum')} ELSE _sum END",
+}
 # Rows times squares less the square of the sum, all in units of the top class. What doubles
 # cannot tell from no spread at all is none.
-_DEVIATION = [
-    {"_q": _added(_SQUARES, 2, [_LIMB * (k - 4) for k in range(6)]), "_n": "CAST(_known AS DOUBLE)"},
-    {"_sx": "_s.h + _s.l", "_qx": "_q.h + _q.l"},
-    {
-        "_sy": "_s.l - (_sx - _s.h)",
-        "_qy": "_q.l - (_qx - _q.h)",
-        **{f"{c}1": _high(c) for c in ("_sx", "_qx", "_n")},
-    },
-    {
-        "_left": f"""(_n * _qx - _sx * _sx) + (({_lost("_n", "_n1", "_qx", "_qx1")} + _n * _qy)
-            - ({_lost("_sx", "_sx1", "_sx", "_sx1")} + 2D * _sx * _sy))"""
-    },
-    {
-        "_sd": f"""_scale * sqrt(CASE WHEN _left <= _n * _qx * {2.0**-98!r}D THEN 0D ELSE _left END
-            / nullif(_n * (_n - 1), 0D))"""
-    },
-]
+_DEVIATION = {
+    "_q": _added(_SQUARES, 2, [_LIMB * (k - 4) for k in range(6)]),
+    "_n": "CAST(_known AS DOUBLE)",
+    "_sx": "_s.h + _s.l",
+    "_qx": "_q.h + _q.l",
+    "_sy": "_s.l - (_sx - _s.h)",
+    "_qy": "_q.l - (_qx - _q.h)",
+    **{f"{c}1": _high(c) for c in ("_sx", "_qx", "_n")},
+    "_left": f"""(_n * _qx - _sx * _sx) + (({_lost("_n", "_n1", "_qx", "_qx1")} + _n * _qy)
+        - ({_lost("_sx", "_sx1", "_sx", "_sx1")} + 2D * _sx * _sy))""",
+    "_sd": f"""_scale * sqrt(CASE WHEN _left <= _n * _qx * {2.0**-98!r}D THEN 0D ELSE _left END
+        / nullif(_n * (_n - 1), 0D))""",
+}
 
 
 def round_to_even(c: Column, digits: int) -> Column:
