@@ -125,7 +125,27 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
-@query("op4_near_dedup")
+@query(
+    "op4_near_dedup",
+    r"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x20\x09-\x0D]+') AS w
+      FROM documents
+    ), s AS (
+      SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+    ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), pairs AS (
+      SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+    ), links AS (
+      SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * shared >= 75 * (nx.n + ny.n - shared)
+    ), edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links), reach AS (
+      SELECT doc_id, doc_id AS r FROM d UNION SELECT y, r FROM reach JOIN edges ON x = doc_id
+    ), c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+    """,
+)
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from haulmark.llm.near_dedup import near_duplicates
 
