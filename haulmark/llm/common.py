@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 SLICE_BYTES = 1 << 20
+#: Distinct keys a counting task holds before it hands its counts on.
+HELD = 1 << 20
 
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _own: list[str] = []
@@ -145,6 +147,37 @@ def binary_column(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     )
 
 
+class Tally:
+    """Sums counts by key, with a note on each key; what was added is merged when there is much of it."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = self.held = 0
+
+    def add(self, keys: np.ndarray, note: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((keys, note, n))
+        self.size += len(keys)
+        if self.size > 2 * max(self.held, HELD // 4):
+            self.merge()
+
+    def merge(self) -> None:
+        keys, note, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)])
+        n = np.add.reduceat(n[order], first) if len(first) else n
+        self.parts, self.size, self.held = [(keys[first], note[order[first]], n)], len(first), len(first)
+
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """All sums; the tally is empty then."""
+        if not self.size:
+            return None
+        self.merge()
+        out = self.parts[0]
+        self.__init__()
+        return out
+
+
 # --- words -------------------------------------------------------------------------------
 
 _U = np.uint64

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.llm.common import LOWER, Words, arrow_schema, keep, map_slices, mix, record, slices, texts
+from haulmark.llm.common import HELD, LOWER, Tally, Words, arrow_schema, keep, map_slices, mix, record, slices, texts
 
 ENDINGS = 32
 SINGLES = 31
@@ -36,12 +36,12 @@ STEP = 0.4
 PRIOR = 2.0
 #: Words whose counts every task holds.
 FREQUENT = 1 << 15
-#: Distinct words a counting task holds before it hands its counts on.
-HELD = 1 << 20
 BUCKET_WORDS = 200_000
 LEAST_BUCKETS = 24
 BATCH = 1 << 13
 CHUNK = 1 << 8
+#: Rows that one small matrix product adds up.
+RUN = 16
 
 _U = np.uint64
 _END_HASH = _U(0x5851F42D4C957F2D)
@@ -118,17 +118,65 @@ def features(t: Tokens, kind: np.ndarray) -> np.ndarray:
     return np.stack([(mix(c + _U(i << 56)) % _U(FEATURES)).astype(np.int32) for i, c in enumerate(codes)])
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log probabilities of the classes, one row a token."""
+def scores(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Scores of the classes, one row a token, the largest of a row 0."""
     z = weights[rows[0]]
     for r in rows[1:]:
         z += weights[r]
     z += bias
-    z -= z.max(axis=1, keepdims=True)
+    top = z
+    while (n := top.shape[1]) > 1:
+        half = np.maximum(top[:, : n // 2], top[:, n // 2 : n // 2 * 2])
+        top = np.maximum(half, top[:, -1:]) if n % 2 else half
+    z -= top
+    return z
+
+
+def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Log probabilities of the classes, one row a token."""
+    z = scores(weights, bias, rows)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
+def softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Probabilities of the classes, one row a token."""
+    p = scores(weights, bias, rows)
+    np.exp(p, out=p)
+    p /= p.sum(axis=1, keepdims=True)
+    return p
+
+
+def add_rows(grid: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Adds each of ``values`` to its row of the grid.
+
+    Sorted by row, RUN values at a time are added up by a product with a matrix of zeros and
+    ones; only rows that go on in the next run have several sums.
+    """
+    n = len(rows)
+    order = np.argsort(rows.astype(np.int16) if len(grid) <= 1 << 15 else rows, kind="stable")
+    own = rows[order]
+    begins = np.ones(n, bool)
+    np.not_equal(own[1:], own[:-1], out=begins[1:])
+    new = begins.copy()
+    new[::RUN] = True
+    at = np.arange(n)
+    lead = at - at % RUN
+    part = np.cumsum(new)
+    place = part - part[lead] + lead
+    runs = -(-n // RUN)
+    ones = np.zeros((runs, RUN, RUN), values.dtype)
+    ones.reshape(-1)[place * RUN + at - lead] = 1
+    sorted_ = np.zeros((runs * RUN, values.shape[1]), values.dtype)
+    np.take(values, order, axis=0, out=sorted_[:n], mode="clip")
+    sums = np.matmul(ones, sorted_.reshape(runs, RUN, -1)).reshape(sorted_.shape)
+    grid[own[begins]] += sums[place[begins]]
+    on = np.flatnonzero(new & ~begins)
+    if len(on):
+        first = np.flatnonzero(np.concatenate(([True], own[on][1:] != own[on][:-1])))
+        grid[own[on][first]] += np.add.reduceat(sums[place[on]], first, axis=0)
+
+
 # --- counting ----------------------------------------------------------------------------
 
 COUNTED = "hash long, ending int, n long"
@@ -142,20 +190,16 @@ def count_words(rows: DataFrame) -> DataFrame:
         return record({"hash": keys.view(np.int64), "ending": ending, "n": n}, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ending, n = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        tally = Tally()
         for batch in batches:
             for part in slices(batch):
                 t = Tokens(part.column("text"))
-                new, first, count = np.unique(t.hash[t.words], return_index=True, return_counts=True)
-                both, where, back = np.unique(np.concatenate((keys, new)), return_index=True, return_inverse=True)
-                ending = np.concatenate((ending, t.ending[t.words][first]))[where]
-                n = np.bincount(back, np.concatenate((n, count)), minlength=len(both)).astype(np.int64)
-                keys = both
-                if len(keys) > HELD:
-                    yield out(keys, ending, n)
-                    keys, ending, n = keys[:0], ending[:0], n[:0]
-        if len(keys):
-            yield out(keys, ending, n)
+                keys, first, n = np.unique(t.hash[t.words], return_index=True, return_counts=True)
+                tally.add(keys, t.ending[t.words][first], n)
+                if tally.held > HELD and (sums := tally.take()):
+                    yield out(*sums)
+        if sums := tally.take():
+            yield out(*sums)
 
     train = rows.filter(~F.col("held_out")).select("text")
     return train.mapInArrow(run, COUNTED).groupBy("hash").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
@@ -215,17 +259,15 @@ def class_counts(rows: DataFrame, held, weights=None) -> np.ndarray:
                 kind, _ = vocab.find(t)
                 f = features(t, kind)
                 if weights is None:
-                    for r in f:
-                        total += np.bincount(r * CLASSES + kind, minlength=len(total))
+                    total += np.bincount((f * CLASSES + kind).ravel(), minlength=len(total))
                     continue
                 w, bias = weights.value
-                grid = total.reshape(FEATURES, CLASSES)
+                grid = np.zeros((FEATURES, CLASSES), np.float32)
                 for b in range(0, f.shape[1], BATCH):
-                    p = np.exp(log_softmax(w, bias, f[:, b : b + BATCH]))
+                    p = softmax(w, bias, f[:, b : b + BATCH])
                     for r in f[:, b : b + BATCH]:
-                        order = np.argsort(r)
-                        own, first = np.unique(r[order], return_index=True)
-                        grid[own] += np.add.reduceat(p[order], first, axis=0)
+                        add_rows(grid, r, p)
+                total += grid.reshape(-1)
         if total.any():
             table = total.astype(np.float32).reshape(-1, CHUNK * CLASSES)
             some = np.flatnonzero(table.any(axis=1))
