@@ -14,7 +14,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from haulmark.llm import quality, word_trigrams  # noqa: E402
+from haulmark.llm import decontaminate, quality, word_trigrams  # noqa: E402
 from haulmark.llm.common import AS_WRITTEN, Words  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string"
@@ -129,3 +129,25 @@ def test_codes_come_back_and_ranges_of_a_hot_word_cover_all_contexts(monkeypatch
     assert (np.diff(first.astype(np.int64)) > 0).all()
     middle = (first >> np.uint64(word_trigrams.CLASS_BITS)).tolist()
     assert middle.count(7) > 3 and max(middle.count(i) for i in range(50) if i != 7) == 1
+
+
+def test_documents_that_are_surely_kept_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(7)
+    words = language(8)
+    rows = [(i, chain(rng, *words, 100), "x") for i in range(300)] + [(1000 + i, "too short", "x") for i in range(40)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        for full in (False, True):
+            if full:  # a filter that holds all rows
+                ones = np.full(decontaminate.FILTER_BITS // 64, (1 << 64) - 1, np.uint64)
+                monkeypatch.setattr(quality, "bloom", lambda _: ones)
+            kept = quality.keep_good(frame)
+            assert kept.columns == frame.columns
+            assert {r.doc_id for r in kept.collect()} == set(range(300))
+            moved = kept._jdf.queryExecution().optimizedPlan().toString().split("LeftAnti")
+            assert len(moved) == 2 and "Union" in moved[0]
+    finally:
+        spark.conf.set(threshold, before)
