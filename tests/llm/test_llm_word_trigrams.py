@@ -151,3 +151,12 @@ def test_documents_that_are_surely_kept_are_not_shuffled(spark, monkeypatch):
             assert len(moved) == 2 and "Union" in moved[0]
     finally:
         spark.conf.set(threshold, before)
+
+
+def test_copies_are_left_to_deduplication(spark):
+    rng = random.Random(9)
+    words = language(10)
+    rows = [(i, chain(rng, *words, 300), "x") for i in range(200)]
+    rows += [(1000 + i, rows[0][1], "x") for i in range(3)]
+    out = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out[0].word_deviations < -quality.WIDTH and all(r.kept for r in out.values())
