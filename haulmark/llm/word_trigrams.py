@@ -196,7 +196,7 @@ def chunks(parts: list[tuple[int, int, bytes]]) -> Iterator[list[tuple[int, int,
     for part in parts:
         own.append(part)
         size += part[1]
-        if size > HELD // 2:
+        if size > HELD // 4:
             yield own
             own, size = [], 0
     if own:
@@ -259,6 +259,7 @@ def word_perplexity(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 )
         if parts:
             yield from scored(parts, held.value, schema)
+        pa.default_memory_pool().release_unused()
 
     replies = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, REPLY)
     by_text = replies.groupBy("slice", "text").agg(*(F.max("content").alias("content"), F.sum("logs").alias("logs"), F.sum("n").alias("n")))
