@@ -25,6 +25,7 @@ SLICE_BYTES = 1 << 20
 HELD = 1 << 20
 
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
 _shipped: set[str] = set()
 
@@ -76,6 +77,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_lean(df: DataFrame, name: str) -> DataFrame:
+    """As ``keep``; what was shuffled for it leaves the disk once it is written."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return keep(df, name)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

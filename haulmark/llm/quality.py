@@ -36,6 +36,7 @@ from haulmark.llm.common import (
     Words,
     arrow_schema,
     keep,
+    keep_lean,
     map_slices,
     mix,
     new_folder,
@@ -47,10 +48,12 @@ from haulmark.llm.common import (
 )
 from haulmark.llm.decontaminate import bloom, may_hold
 from haulmark.llm.word_trigrams import Vocabulary, word_perplexity
-from haulmark.llm.word_units import BITS, LEAD, SYMBOL, UNITS, discounts, per_word, units, word_keys
+from haulmark.llm.word_units import BITS, LEAD, SYMBOL, UNITS, Places, discounts, running, units, word_keys
 
 #: Bytes of models a worker holds; beyond them it drops those unused for longest.
-MODEL_BYTES = 256 << 20
+MODEL_BYTES = 160 << 20
+#: Trigrams from which on a worker holds a model as a table of all codes (16 MB).
+TABLE_FROM = 1 << 16
 #: Words whose counts every task holds; all others are looked up.
 FREQUENT = 1 << 17
 #: Words of the corpus for each bucket of counts.
@@ -64,10 +67,14 @@ WIDTH = 5.0
 SAMPLING_WORDS = 100
 MIN_WORDS = 50
 
-COUNTS = "group long, code int, n long"
+#: Words by hash; trigrams of units, whose unit is TRIGRAM, by code.
 COUNTED = "group long, unit int, hash long, n long"
+FOLDED = f"{COUNTED}, words long"
+TRIGRAM = -1
 SURFACE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _U = np.uint64
+
+
 def trigrams(unit: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Codes of three units that follow each other in one text, and the first one's word."""
     at = np.flatnonzero(np.arange(len(unit)) + 3 <= np.repeat(words.docs[1:], words.counts))
@@ -87,56 +94,65 @@ class Numbers:
         return np.array(list(self.known), np.int64)
 
 
-def count_trigrams(docs: DataFrame) -> DataFrame:
-    schema = arrow_schema(COUNTS)
+def count(docs: DataFrame) -> DataFrame:
+    """How often each word of each language occurs, with its unit, and each trigram of units."""
+    schema = arrow_schema(COUNTED)
     size = 1 << 3 * BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, tally = Numbers(), Tally()
+        numbers, words_held, trigrams_held = Numbers(), Tally(), Tally()
+
+        def of_words(keys: np.ndarray, note: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            group = numbers.groups()[note >> BITS]
+            return record({"group": group, "unit": note & (UNITS - 1), "hash": keys.view(np.int64), "n": n}, schema)
 
-        def out(keys: np.ndarray, _: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return record({"group": numbers.groups()[keys // size], "code": keys % size, "n": n}, schema)
+        def of_trigrams(keys: np.ndarray, _: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            unit = np.full(len(keys), TRIGRAM)
+            return record({"group": numbers.groups()[keys // size], "unit": unit, "hash": keys % size, "n": n}, schema)
 
+        held = ((words_held, of_words), (trigrams_held, of_trigrams))
         for batch in batches:
             for part in slices(batch):
                 words = Words(part.column("text"), AS_WRITTEN)
-                code, at = trigrams(units(words), words)
-                number = numbers.of(part.column("group").to_numpy())
-                codes, n = np.unique(number[words.doc_of()[at]] * size + code, return_counts=True)
-                tally.add(codes, np.zeros(len(codes), np.int8), n)
-                if tally.held > HELD and (sums := tally.take()):
-                    yield out(*sums)
-        if sums := tally.take():
-            yield out(*sums)
+                unit, group = units(words), part.column("group").to_numpy()
+                number = numbers.of(group)[words.doc_of()]
+                keys, first, n = np.unique(word_keys(words, group), return_index=True, return_counts=True)
+                words_held.add(keys, (number << BITS | unit)[first], n)
+                code, at = trigrams(unit, words)
+                codes, n = np.unique(number[at] * size + code, return_counts=True)
+                trigrams_held.add(codes, np.zeros(len(codes), np.int8), n)
+                for tally, out in held:
+                    if tally.held > HELD and (sums := tally.take()):
+                        yield out(*sums)
+        for tally, out in held:
+            if sums := tally.take():
+                yield out(*sums)
 
-    return docs.mapInArrow(run, COUNTS).groupBy("group", "code").agg(F.sum("n").alias("n"))
+    summed = docs.mapInArrow(run, COUNTED).groupBy("hash", "group", "unit").agg(F.sum("n").alias("n"))
+    return fold(summed.select("group", "unit", "hash", "n"))
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """How often each word of each language occurs, with its unit."""
-    schema = arrow_schema(COUNTED)
+def fold(counts: DataFrame) -> DataFrame:
+    """The counts with those words that occur once in a row for each unit, which tells how many ``words`` they are."""
+    schema = arrow_schema(FOLDED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, tally = Numbers(), Tally()
-
-        def out(keys: np.ndarray, note: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            group = numbers.groups()[note >> BITS]
-            return record({"group": group, "unit": note & (UNITS - 1), "hash": keys.view(np.int64), "n": n}, schema)
-
+        numbers, once = Numbers(), np.zeros(0, np.int64)
         for batch in batches:
-            for part in slices(batch):
-                words = Words(part.column("text"), AS_WRITTEN)
-                group = part.column("group").to_numpy()
-                note = numbers.of(group)[words.doc_of()] << BITS | units(words)
-                keys, first, n = np.unique(word_keys(words, group), return_index=True, return_counts=True)
-                tally.add(keys, note[first], n)
-                if tally.held > HELD and (sums := tally.take()):
-                    yield out(*sums)
-        if sums := tally.take():
-            yield out(*sums)
-
-    counted = docs.mapInArrow(run, COUNTED).groupBy("hash")
-    return counted.agg(*[F.first(c).alias(c) for c in ("group", "unit")], F.sum("n").alias("n"))
+            group, unit, key, n = (c.to_numpy() for c in batch.columns)
+            single = (n == 1) & (unit != TRIGRAM)
+            groups, where = np.unique(group[single], return_inverse=True)
+            place = numbers.of(groups)[where] * UNITS + unit[single]
+            sums = np.bincount(place, minlength=len(numbers.known) * UNITS)
+            sums[: len(once)] += once
+            once, more = sums, ~single
+            yield record(dict(zip(schema.names, (group[more], unit[more], key[more], n[more], np.ones(more.sum(), np.int64)), strict=True)), schema)
+        at = np.flatnonzero(once)
+        zero = np.zeros(len(at), np.int64)
+        yield record(dict(zip(schema.names, (numbers.groups()[at // UNITS], at % UNITS, zero, zero + 1, once[at]), strict=True)), schema)
+        pa.default_memory_pool().release_unused()
+
+    return counts.mapInArrow(run, FOLDED)
 
 
 # --- the model ---------------------------------------------------------------------------
@@ -165,6 +181,12 @@ class Level:
         share = found(self.codes, self.share, code, 0.0)
         return share + found(self.contexts, self.weight, code >> BITS, 1.0) * lower
 
+    def table(self, lower: np.ndarray) -> np.ndarray:
+        """The probability of every code of the order, from those of the order below."""
+        share, weight = np.zeros(len(lower) * UNITS), np.ones(len(lower))
+        share[self.codes], weight[self.contexts] = self.share, self.weight
+        return share + np.repeat(weight, UNITS) * np.tile(lower, UNITS)
+
 
 def found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, otherwise: float) -> np.ndarray:
     if not len(keys):
@@ -185,6 +207,13 @@ class KneserNey:
         self.two = Level(pairs, n_pairs)
         self.one = Level(single, n_single)
 
+    def log_table(self) -> np.ndarray:
+        """What ``log_probability`` gives for each code."""
+        low = np.full(1, 1.0 / UNITS)
+        for level in (self.one, self.two, self.three):
+            low = level.table(low)
+        return np.log(low)
+
     def log_probability(self, code: np.ndarray) -> np.ndarray:
         uniform = np.full(len(code), 1.0 / UNITS)
         one = self.one.probability(code & (UNITS - 1), uniform)
@@ -192,6 +221,16 @@ class KneserNey:
         return np.log(self.three.probability(code, two))
 
 
+@dataclass
+class LogTable:
+    """A model as the log probabilities of all codes."""
+
+    logs: np.ndarray
+
+    def log_probability(self, code: np.ndarray) -> np.ndarray:
+        return self.logs.take(code)
+
+
 def build_models(counts: DataFrame) -> str:
     """The folder with the model of each language, a file for each; the counts of one are 2**21 at most."""
     folder = new_folder(counts.sparkSession, "models")
@@ -216,12 +255,14 @@ def model_file(root: str, group: int) -> str:
     return f"{root}/{group & (1 << 64) - 1:016x}.model"
 
 
-_models: OrderedDict[tuple[str, int], tuple[KneserNey | None, int]] = OrderedDict()
+_models: OrderedDict[tuple[str, int], tuple[KneserNey | LogTable | None, int]] = OrderedDict()
 
 
-def model_of(folder: str, group: int) -> KneserNey | None:
-    """A language's model; None if no text of it has three words."""
+def model_of(folder: str, group: int) -> KneserNey | LogTable | None:
+    """A language's model; None if no text of it has three words. Those of another folder go."""
     key = (folder, group)
+    if _models and next(iter(_models))[0] != folder:
+        _models.clear()
     if key not in _models:
         fs, root = pafs.FileSystem.from_uri(folder)
         name, model, size = model_file(root, group), None, 0
@@ -229,6 +270,9 @@ def model_of(folder: str, group: int) -> KneserNey | None:
             with fs.open_input_file(name) as file:
                 data = file.read()
             model, size = pickle.loads(data), len(data)
+            if len(model.three.codes) >= TABLE_FROM:
+                model = LogTable(model.log_table())
+                size = model.logs.nbytes
         _models[key] = model, size
         while len(_models) > 1 and sum(n for _, n in _models.values()) > MODEL_BYTES:
             _models.popitem(last=False)
@@ -247,23 +291,25 @@ class Shares:
     discount: np.ndarray
     rest: np.ndarray
     log_size: np.ndarray
-    hashes: np.ndarray
+    places: Places
     counts: np.ndarray
     words: int
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         """Counts of the frequent words among the keys, 0 for others."""
-        return found(self.hashes, self.counts, keys, 0)
+        at, known = self.places.get(keys)
+        return np.where(known, np.append(self.counts, 0).take(at), 0)
 
 
 def word_shares(counts: DataFrame) -> tuple[Shares, Vocabulary, DataFrame]:
     """What every task holds, a row for each unit of each language; and the counts with their unit's discount."""
-    once, twice = (F.count_if(F.col("n") == i) for i in (1, 2))
-    v = F.count("*")
+    once, twice = (F.sum(F.when(F.col("n") == i, F.col("words")).otherwise(0)) for i in (1, 2))
+    v = F.sum("words")
     discount = F.when((once > 0) & (twice > 0), once / (once + 2 * twice)).otherwise(0.75)
+    size = F.sum(F.col("n") * F.col("words"))
     sizes = keep(
         counts.groupBy("group", "unit").agg(
-            discount.alias("discount"), (discount * v / (v + 1)).alias("rest"), F.sum("n").alias("size")
+            discount.alias("discount"), (discount * v / (v + 1)).alias("rest"), size.alias("size")
         ),
         "units",
     )
@@ -279,7 +325,7 @@ def word_shares(counts: DataFrame) -> tuple[Shares, Vocabulary, DataFrame]:
     sizes_of = np.zeros((len(groups), UNITS))
     sizes_of[row, unit] = size
     vocabulary = Vocabulary(groups, sizes_of, hashes[order], n[order], place[order])
-    shares = Shares(groups, *tables, hashes[order], n[order], int(size.sum()))
+    shares = Shares(groups, *tables, vocabulary.places, n[order], int(size.sum()))
     # a word that occurs once is in no other text
     shared = counts.filter("n > 1").join(F.broadcast(sizes.drop("size")), ["group", "unit"])
     return shares, vocabulary, shared.select("hash", "n", "discount", "rest")
@@ -370,10 +416,11 @@ def measure(docs: DataFrame, folder: str, shares: Shares, buckets: int) -> DataF
         left = np.where(count > times, count - times - shares.discount[row, kind], 0)
         word_logs = times * (np.log(left + shares.rest[row, kind]) - shares.log_size[row, kind])
         other = count == 0
-        symbols = np.concatenate(([0], np.cumsum(SYMBOL[np.frombuffer(words.data, np.uint8)])))
+        signs = running(words, SYMBOL | LEAD << 32)
+        symbols = signs & (1 << 32) - 1
         cols = {c: part.column(c) for c in PER_DOC[:5]} | {
             "n_words": words.counts,
-            "word_chars": np.bincount(doc, per_word(words, LEAD), minlength=n).astype(np.int64),
+            "word_chars": np.bincount(doc, signs.take(words.end) - signs.take(words.start) >> 32, minlength=n).astype(np.int64),
             "n_symbols": symbols[words.bytes_from[1:]] - symbols[words.bytes_from[:-1]],
             "n_dup_lines": [repeated_lines(t) for t in part.column("text").to_pylist()],
             "n_repeat_words": repeated_words(words),
@@ -475,8 +522,12 @@ def spread(n_words: Column) -> Column:
 
 def measured(rows: DataFrame) -> DataFrame:
     """Surface counts and log perplexities of each text."""
-    folder = build_models(count_trigrams(rows))
-    shares, vocabulary, shared = word_shares(keep(count_words(rows), "words"))
+    counts = keep_lean(count(rows), "counts")
+    is_word = F.col("unit") != TRIGRAM
+    folder = build_models(counts.filter(~is_word).select("group", F.col("hash").alias("code"), "n"))
+    shares, vocabulary, shared = word_shares(counts.filter(is_word))
+    # what is shuffled most comes first, while little else is on disk
+    by_content = keep_lean(word_perplexity(rows, vocabulary), "trigrams")
     buckets = max(LEAST_BUCKETS, -(-shares.words // BUCKET_WORDS))
     # the keys number the rows of this one pass, so that equal rows stay apart
     keyed = rows.withColumn("key", F.monotonically_increasing_id())
@@ -486,7 +537,7 @@ def measured(rows: DataFrame) -> DataFrame:
     log_ppl = -F.col("unit_logs") / (F.col("n_words") - 2) - word_logs / F.col("n_words")
     found_ = each.join(look_up(local, shared, buckets), "key", "left")
     found_ = found_.select(*PER_DOC[1:], F.when(F.col("n_words") > 2, log_ppl).alias("log_ppl"))
-    return keep(found_.join(keep(word_perplexity(rows, vocabulary), "trigrams"), "content", "left"), "quality")
+    return keep_lean(found_.join(by_content, "content", "left"), "quality")
 
 
 def deviations(found_: DataFrame, measure: str, name: str) -> DataFrame:

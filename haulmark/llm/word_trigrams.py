@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulmark.llm.common import AS_WRITTEN, HELD, Tally, Words, arrow_schema, mix, record, slices
-from haulmark.llm.word_units import UNITS, discounts, units, word_keys
+from haulmark.llm.word_units import UNITS, Places, discounts, units, word_keys
 
 CLASS_BITS = 18
 CLASSES = 1 << CLASS_BITS
@@ -29,12 +29,16 @@ CLASSES = 1 << CLASS_BITS
 MOST_WORDS = 1 << 17
 SLOTS = (CLASSES - MOST_WORDS) // UNITS
 TEXT_BITS = 64 - 3 * CLASS_BITS
+#: The last word and the text of a code; whole bytes of the difference of two contexts.
+REST_BITS = CLASS_BITS + TEXT_BITS
+STEP_BYTES = 5
 #: Trigrams that a bucket holds, about, and buckets at least.
 BUCKET_TRIGRAMS = 1 << 22
 LEAST_BUCKETS = 24
 
 MESSAGE = "bucket int, slice long, n int, codes binary"
-REPLY = "slice long, text int, content long, logs double, n long"
+REPLY = "slice long, contents binary, texts binary, logs binary"
+SUMS = "content long, logs double, n long"
 _U = np.uint64
 _CLASS = _U(CLASSES - 1)
 _codec = pa.Codec("zstd", compression_level=1)
@@ -45,7 +49,7 @@ class Vocabulary:
     """Classes of words, their shares of their language, and the first context of each bucket but one."""
 
     groups: np.ndarray
-    hashes: np.ndarray
+    places: Places
     ids: np.ndarray
     share: np.ndarray
     bounds: np.ndarray
@@ -57,7 +61,7 @@ class Vocabulary:
         total = np.bincount(slot, sizes.sum(axis=1), minlength=SLOTS)
         n = np.zeros(CLASSES, np.int64)
         rank = np.argsort(-counts, kind="stable")
-        self.groups, self.hashes, self.ids = groups, hashes, np.empty(len(hashes), np.int64)
+        self.groups, self.places, self.ids = groups, Places(hashes), np.zeros(len(hashes) + 1, np.int64)
         self.ids[rank] = np.arange(len(rank))
         n[: len(rank)] = counts[rank]
         np.add.at(n, MOST_WORDS + np.repeat(slot, UNITS) * UNITS + np.tile(np.arange(UNITS), len(groups)), rest)
@@ -69,10 +73,8 @@ class Vocabulary:
 
     def classes(self, keys: np.ndarray, row: np.ndarray, unit: np.ndarray) -> np.ndarray:
         rare = MOST_WORDS + row % SLOTS * UNITS + unit
-        if not len(self.hashes):
-            return rare.astype(_U)
-        at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == keys, self.ids[at], rare).astype(_U)
+        at, known = self.places.get(keys)
+        return np.where(known, self.ids.take(at), rare).astype(_U)
 
 
 def bounds(n: np.ndarray) -> np.ndarray:
@@ -91,14 +93,17 @@ def bounds(n: np.ndarray) -> np.ndarray:
 
 
 def pack(codes: np.ndarray) -> bytes:
-    """Sorted codes as differences, byte by byte of them."""
-    steps = np.diff(codes, prepend=_U(0))
-    return _codec.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
+    """Sorted codes byte by byte: contexts as differences, what follows them as it is."""
+    steps = np.diff(codes >> _U(REST_BITS), prepend=_U(0)).view(np.uint8).reshape(-1, 8)
+    rest = (codes & _U((1 << REST_BITS) - 1)).astype(np.uint32).view(np.uint8).reshape(-1, 4)
+    return _codec.compress(np.concatenate((steps.T[:STEP_BYTES], rest.T)).tobytes(), asbytes=True)
 
 
 def unpack(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(_codec.decompress(data, 8 * n, asbytes=True), np.uint8).reshape(8, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(_U).ravel(), dtype=_U)
+    planes = np.frombuffer(_codec.decompress(data, (STEP_BYTES + 4) * n, asbytes=True), np.uint8).reshape(-1, n)
+    steps, rest = np.zeros((n, 8), np.uint8), np.empty((n, 4), np.uint8)
+    steps[:, :STEP_BYTES], rest[:] = planes[:STEP_BYTES].T, planes[STEP_BYTES:].T
+    return np.cumsum(steps.view(_U).ravel(), dtype=_U) << _U(REST_BITS) | rest.view(np.uint32).ravel()
 
 
 def codes_of(classes: np.ndarray, words: Words) -> np.ndarray:
@@ -110,7 +115,7 @@ def codes_of(classes: np.ndarray, words: Words) -> np.ndarray:
 
 
 def messages(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """All trigrams by bucket; and, with no codes, the texts of each slice."""
+    """All trigrams by bucket; and, with no codes, the texts of each slice and their numbers of trigrams."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = arrow_schema(MESSAGE)
 
@@ -123,7 +128,7 @@ def messages(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         name = int(mix(np.array([mix(content.view(_U) + np.arange(len(content), dtype=_U)).sum()]))[0].view(np.int64))
         cuts = [0, *np.searchsorted(codes, known.bounds << _U(CLASS_BITS + TEXT_BITS)).tolist(), len(codes)]
         rows = [(b, z - a, pack(codes[a:z])) for b, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if z > a]
-        rows.append((name % (len(known.bounds) + 1), 0, content.tobytes()))
+        rows.append((name % (len(known.bounds) + 1), 0, np.concatenate((content, np.maximum(words.counts - 2, 0))).tobytes()))
         bucket, n, data = zip(*rows, strict=True)
         return record({"bucket": bucket, "slice": [name] * len(rows), "n": n, "codes": data}, schema)
 
@@ -145,24 +150,25 @@ class Bucket:
     def __init__(self, codes: np.ndarray, n: np.ndarray):
         self.codes, self.n = codes, n
         self.off3 = discounts(n)
-        context = codes >> _U(CLASS_BITS)
-        self.context = np.cumsum(np.concatenate(([False], context[1:] != context[:-1])))
+        self.context = numbered(codes >> _U(CLASS_BITS))
         self.total3 = np.bincount(self.context, n)
         self.mass3 = np.bincount(self.context, self.off3[np.minimum(n, 3)])
         pair = (codes >> _U(2 * CLASS_BITS)) << _U(CLASS_BITS) | codes & _CLASS
-        pairs, self.pair, self.left = np.unique(pair, return_inverse=True, return_counts=True)
+        order = np.argsort(pair)
+        pair = pair[order]
+        number = numbered(pair)
+        self.pair = np.empty(len(codes), np.int32)
+        self.pair[order] = number
+        self.left = np.bincount(number)
+        first = np.flatnonzero(np.diff(number, prepend=np.int32(-1)))
         self.off2 = discounts(self.left)
-        middle = pairs >> _U(CLASS_BITS)
-        self.middle = np.cumsum(np.concatenate(([False], middle[1:] != middle[:-1])))
+        self.middle = numbered(pair[first] >> _U(CLASS_BITS))
         self.total2 = np.bincount(self.middle, self.left)
         self.mass2 = np.bincount(self.middle, self.off2[np.minimum(self.left, 3)])
 
     def probability(self, code: np.ndarray, text: np.ndarray, times: np.ndarray, share: np.ndarray) -> np.ndarray:
         """Of trigrams that texts hold ``times`` times, each by what other texts hold."""
 
-        def grouped(places: np.ndarray) -> np.ndarray:
-            return np.unique(places.astype(np.int64) << 32 | text, return_inverse=True)[1]
-
         def less(of: np.ndarray, own: np.ndarray) -> np.ndarray:
             return np.bincount(of, own)[of]
 
@@ -173,23 +179,45 @@ class Bucket:
         n, context, pair = self.n[at], self.context[at], self.pair[at]
         middle, others = self.middle[pair], n - times
         alone = others == 0
+        # contexts are numbered by middle word, so one order serves both
+        keyed = text << 32
+        by_context, by_middle = grouped(keyed | context, keyed | middle)
+        (by_pair,) = grouped(keyed | pair)
         # bigrams: words before that no other text has there leave the count
-        by_pair, by_middle = grouped(pair), grouped(middle)
         before = self.left[pair]
         left = before - less(by_pair, alone).astype(np.int64)
-        once = np.zeros(len(code), bool)
-        once[np.unique(by_pair, return_index=True)[1]] = True
+        place = np.arange(len(code))
+        one = np.empty(int(by_pair.max(initial=-1)) + 1, np.int64)
+        one[by_pair] = place
+        once = one[by_pair] == place
         total = self.total2[middle] - less(by_middle, alone)
         mass = self.mass2[middle] - less(by_middle, np.where(once, off(self.off2, before) - off(self.off2, left), 0.0))
         low = share[(code & _CLASS).astype(np.int64)]
         with np.errstate(divide="ignore", invalid="ignore"):
             low = np.where(total > 0, (left - off(self.off2, left) + mass * low) / total, low)
-            by_context = grouped(context)
             total = self.total3[context] - less(by_context, times)
             mass = self.mass3[context] - less(by_context, off(self.off3, n) - off(self.off3, others))
             return np.where(total > 0, (others - off(self.off3, others) + mass * low) / total, low)
 
 
+def numbered(keys: np.ndarray) -> np.ndarray:
+    """Numbers of the distinct ones of sorted keys."""
+    new = np.zeros(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return np.cumsum(new, dtype=np.int32)
+
+
+def grouped(keys: np.ndarray, *coarser: np.ndarray) -> list[np.ndarray]:
+    """Numbers of equal keys, and of equal coarser ones, which the order of the keys sorts as well."""
+    order = np.argsort(keys)
+    out = []
+    for some in (keys, *coarser):
+        number = np.empty(len(keys), np.int32)
+        number[order] = numbered(some[order])
+        out.append(number)
+    return out
+
+
 def chunks(parts: list[tuple[int, int, bytes]]) -> Iterator[list[tuple[int, int, bytes]]]:
     """Messages by about as many as a task holds codes of at once."""
     own, size = [], 0
@@ -213,7 +241,7 @@ def scored(parts: list[tuple[int, int, bytes]], share: np.ndarray, schema: pa.Sc
     codes, _, n = tally.take()
     bucket = Bucket(codes, n)
     for some in chunks(parts):
-        names, sizes = np.array([x[0] for x in some], np.int64), [x[1] for x in some]
+        sizes = [x[1] for x in some]
         own = np.concatenate([unpack(data, n) for _, n, data in some])
         which = np.repeat(np.arange(len(some)), sizes)
         new = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (which[1:] != which[:-1]))))
@@ -222,16 +250,39 @@ def scored(parts: list[tuple[int, int, bytes]], share: np.ndarray, schema: pa.Sc
         text = which << TEXT_BITS | (own & _U((1 << TEXT_BITS) - 1)).astype(np.int64)
         logs = np.log(bucket.probability(own >> _U(TEXT_BITS), text, times, share))
         texts, where = np.unique(text, return_inverse=True)
+        total = np.bincount(where, logs * times)
+        cuts = np.searchsorted(texts, np.arange(len(some) + 1) << TEXT_BITS).tolist()
+        inside = (texts & ((1 << TEXT_BITS) - 1)).astype(np.uint16)
+        spans = [slice(a, z) for a, z in zip(cuts, cuts[1:], strict=False)]
         cols = {
-            "slice": names[texts >> TEXT_BITS],
-            "text": texts & ((1 << TEXT_BITS) - 1),
-            "content": pa.nulls(len(texts), pa.int64()),
-            "logs": np.bincount(where, logs * times),
-            "n": np.bincount(where, times).astype(np.int64),
+            "slice": [x[0] for x in some],
+            "contents": pa.nulls(len(some), pa.binary()),
+            "texts": [inside[x].tobytes() for x in spans],
+            "logs": [total[x].tobytes() for x in spans],
         }
         yield record(cols, schema)
 
 
+class Sums:
+    """Logarithms of the texts of one slice, from the replies of all buckets."""
+
+    def __init__(self) -> None:
+        self.logs, self.n = np.zeros(1 << TEXT_BITS), np.zeros(1 << TEXT_BITS, np.int64)
+        self.content = np.zeros(0, np.int64)
+
+    def add(self, contents: bytes | None, texts: bytes, logs: bytes) -> None:
+        if contents is None:
+            self.logs[np.frombuffer(texts, np.uint16)] += np.frombuffer(logs)
+            return
+        # slices of equal texts have one name: their sums and numbers both double
+        self.content, n = np.frombuffer(contents, np.int64).reshape(2, -1)
+        self.n[: len(n)] += n
+
+    def columns(self) -> dict:
+        size = len(self.content)
+        return {"content": self.content, "logs": self.logs[:size], "n": self.n[:size]}
+
+
 def word_perplexity(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``content`` and ``word_log_ppl`` of the texts with three words; needs ``content``, ``text`` and ``group``.
 
@@ -252,16 +303,25 @@ def word_perplexity(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 if n:
                     parts.append((name, n, data))
                     continue
-                content = np.frombuffer(data, np.int64)
-                none = np.zeros(len(content), np.int64)
-                yield record(
-                    {"slice": none + name, "text": np.arange(len(content)), "content": content, "logs": none, "n": none}, schema
-                )
+                yield record({"slice": [name], "contents": [data], "texts": [None], "logs": [None]}, schema)
         if parts:
             yield from scored(parts, held.value, schema)
         pa.default_memory_pool().release_unused()
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, Sums()
+        for batch in batches:
+            for name, *reply in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != now:
+                    if now is not None:
+                        yield record(sums.columns(), total)
+                    now, sums = name, Sums()
+                sums.add(*reply)
+        if now is not None:
+            yield record(sums.columns(), total)
+
+    total = arrow_schema(SUMS)
     replies = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, REPLY)
-    by_text = replies.groupBy("slice", "text").agg(*(F.max("content").alias("content"), F.sum("logs").alias("logs"), F.sum("n").alias("n")))
-    total = by_text.groupBy("content").agg(F.sum("logs").alias("logs"), F.sum("n").alias("n"))
-    return total.filter("n > 0").select("content", (-F.col("logs") / F.col("n")).alias("word_log_ppl"))
+    by_text = replies.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, SUMS)
+    sums = by_text.groupBy("content").agg(F.sum("logs").alias("logs"), F.sum("n").alias("n"))
+    return sums.filter("n > 0").select("content", (-F.col("logs") / F.col("n")).alias("word_log_ppl"))

@@ -13,8 +13,11 @@ import pyarrow as pa
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from haulmark.llm import quality  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from haulmark.llm import common, quality  # noqa: E402
 from haulmark.llm.common import AS_WRITTEN, Words  # noqa: E402
+from haulmark.llm.word_units import Places  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -93,3 +96,43 @@ def test_each_of_many_languages_has_its_own_band(spark):
     out = quality.judge(frame).collect()
     assert {r.doc_id for r in out if not r.kept} == {d for d, _, _ in foreign}
     assert {r.doc_id for r in quality.keep_good(frame).collect()} == {d for d, _, _ in rows}
+
+
+def test_a_table_of_all_codes_equals_the_model():
+    rng = np.random.default_rng(11)
+    codes, n = np.unique(rng.integers(0, 1 << 3 * quality.BITS, 5000) // 97 * 97, return_counts=True)
+    model = quality.KneserNey(codes, n)
+    wanted = np.concatenate((codes[::7], rng.integers(0, 1 << 3 * quality.BITS, 2000)))
+    assert (model.log_table()[wanted] == model.log_probability(wanted)).all()
+
+
+def test_words_that_occur_once_are_one_row_of_their_unit(spark):
+    rows = [(i, f"common words lone{'abcdefgh'[i]}", 5) for i in range(8)]
+    got = quality.count(spark.createDataFrame(rows, "doc_id long, text string, group long").coalesce(1)).collect()
+    words = [r for r in got if r.unit != quality.TRIGRAM]
+    assert sorted((r.n, r.words) for r in words) in ([(1, 8), (8, 1), (8, 1)], [(1, 1)] * 8 + [(8, 1)] * 2)
+    once = [(r.group, r.unit) for r in words if r.n == 1]
+    assert len(once) == len(set(once)) and sum(r.n * r.words for r in words) == 24
+    assert sum(r.n for r in got if r.unit == quality.TRIGRAM) == 8
+
+
+def test_hashes_are_found_by_their_leading_bits():
+    rng = np.random.default_rng(12)
+    for size in (0, 1, 1000):
+        table = np.unique(rng.integers(0, 1 << 64, size, np.uint64, endpoint=False) >> np.uint64(rng.integers(0, 3)))
+        keys = np.concatenate((table, rng.integers(0, 1 << 63, 500).astype(np.uint64), np.array([0, (1 << 64) - 1], np.uint64)))
+        at, known = Places(table).get(keys)
+        assert (known == np.isin(keys, table)).all() and (table[at[known]] == keys[known]).all()
+
+
+def test_shuffle_files_leave_the_disk_once_a_table_is_written(spark):
+    def files() -> int:
+        held = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return sum(held.apply(i).getName().startswith("shuffle_") for i in range(held.size()))
+
+    frame, before = spark.range(10_000).groupBy(F.col("id") % 100).count(), files()
+    lean = common.keep_lean(frame, "lean")
+    assert files() == before
+    kept = common.keep(frame, "kept")
+    assert files() > before
+    assert lean.count() == kept.count() == 100

@@ -160,3 +160,25 @@ def test_copies_are_left_to_deduplication(spark):
     rows += [(1000 + i, rows[0][1], "x") for i in range(3)]
     out = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert out[0].word_deviations < -quality.WIDTH and all(r.kept for r in out.values())
+
+
+def test_replies_are_a_row_for_each_slice_of_a_bucket():
+    rng = np.random.default_rng(13)
+    sent = [np.sort(rng.integers(0, 1 << 30, 400).astype(np.uint64) << np.uint64(20) | rng.integers(0, 9, 400).astype(np.uint64)) for _ in range(5)]
+    schema = pa.schema([("slice", pa.int64()), *((c, pa.binary()) for c in ("contents", "texts", "logs"))])
+    parts = [(i, len(c), word_trigrams.pack(c)) for i, c in enumerate(sent)]
+    rows = [r for b in word_trigrams.scored(parts, np.full(word_trigrams.CLASSES, 1e-5), schema) for r in b.to_pylist()]
+    assert [r["slice"] for r in rows] == list(range(5))
+    sums = word_trigrams.Sums()
+    for r in rows[:1]:
+        sums.add(r["contents"], r["texts"], r["logs"])
+    assert (sums.logs[:9] < 0).all() and not sums.logs[9:].any()
+
+
+def test_packed_codes_of_one_slice_are_small():
+    rng = np.random.default_rng(14)
+    u, v, w = ((rng.zipf(1.2, 200_000) % (1 << 17)).astype(np.uint64) for _ in range(3))
+    codes = np.sort(((v << np.uint64(18) | u) << np.uint64(18) | w) << np.uint64(10) | rng.integers(0, 500, len(u)).astype(np.uint64))
+    steps = np.diff(codes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    whole = word_trigrams._codec.compress(np.ascontiguousarray(steps).tobytes(), asbytes=True)
+    assert len(word_trigrams.pack(codes)) < 0.97 * len(whole)
