@@ -249,14 +249,16 @@ class Words:
         size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
         self.data = b" " + b" ".join(column.cast(pa.binary()).to_pylist()) + b" "
         raw = np.frombuffer(self.data, dtype=np.uint8)
-        gap = sep[raw]
+        gap = np.frombuffer(self.data.translate(sep.tobytes()), np.uint8)
         edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
         self.start, self.end = edge[0::2], edge[1::2]
         if cuts is not None:
             self.cuts = cuts(raw)
             self.start, self.end = (np.sort(np.concatenate((x, self.cuts)), kind="stable") for x in (self.start, self.end))
         power, inverse = powers(len(raw))
-        total = np.cumsum(code[raw] * power, dtype=_U)
+        total = code.take(raw)
+        total *= power
+        np.cumsum(total, out=total)
         h = (total[self.end - 1] - total[self.start - 1]) * inverse[self.start]
         self.hash = mix(h ^ ((self.end - self.start).astype(_U) << _U(48)))
         begin = np.cumsum(size + 1) - size

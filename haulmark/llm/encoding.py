@@ -21,11 +21,18 @@ from haulmark.llm.common import SPACED, Words
 #: Chunks a worker keeps at most (about 50 MB); then it begins anew.
 CHUNKS = 700_000
 
+#: Classes of bytes: 1 for ASCII letters; 2 and 3 for other ASCII but the space, 3 where letters after it may belong to it.
+_CLASS = bytes(
+    0 if b >= 128 or b == 32 else 1 if chr(b).isalpha() else 3 if b < 32 or b == 39 else 2 for b in range(256)
+)
+#: Bytes of white space, also those that characters of white space beyond ASCII begin with.
+_MAY_SPACE = np.array([b <= 32 or b in (0xC2, 0xE1, 0xE2, 0xE3) for b in range(256)], np.int64)
+#: Chunks that the library gets as one text; how its vocabulary writes a space.
+JOINED = 64
+SPACE = "\u0120"
+
 _FIRST = np.uint64(0xA5A5F00DD00F5A5B)
 _encoders: dict[str, Encoder] = {}
-_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
-#: ASCII other than letters and the space.
-_OTHER = np.array([b < 128 and b != 32 and not chr(b).isalpha() for b in range(256)])
 
 
 def letter_edges(raw: np.ndarray) -> np.ndarray:
@@ -34,10 +41,9 @@ def letter_edges(raw: np.ndarray) -> np.ndarray:
     After an apostrophe letters may belong to it, and white space is split by what follows
     it, so letters after these are not cut off.
     """
-    letter, other = _LETTER[raw], _OTHER[raw]
-    ends = letter[:-1] & other[1:]
-    begins = other[:-1] & letter[1:] & (raw[:-1] > 32) & (raw[:-1] != 39)
-    return np.flatnonzero(ends | begins) + 1
+    kind = np.frombuffer(raw.tobytes().translate(_CLASS), np.uint8)
+    pair = kind[:-1] << 2 | kind[1:]
+    return np.flatnonzero((pair == 0b0110) | (pair == 0b0111) | (pair == 0b1001)) + 1
 
 
 def encoder(path: str) -> Encoder:
@@ -55,15 +61,20 @@ class Lookup:
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Numbers of the keys; -1 where there is none."""
-        out = np.full(len(keys), -1, np.int32)
-        mask = np.uint64(len(self.keys) - 1)
-        todo, slot = np.arange(len(keys)), keys & mask
+        mask = len(self.keys) - 1
+        slot = (keys & np.uint64(mask)).astype(np.int64)
+        held = self.keys.take(slot)
+        hit = held == keys
+        out = np.where(hit, self.numbers.take(slot), np.int32(-1))
+        todo = np.flatnonzero(~hit & (held != 0))
+        slot = slot[todo]
         while len(todo):
-            held = self.keys[slot]
+            slot = (slot + 1) & mask
+            held = self.keys.take(slot)
             hit = held == keys[todo]
             out[todo[hit]] = self.numbers[slot[hit]]
             on = ~hit & (held != 0)
-            todo, slot = todo[on], (slot[on] + np.uint64(1)) & mask
+            todo, slot = todo[on], slot[on]
         return out
 
     def add(self, keys: np.ndarray) -> None:
@@ -94,6 +105,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.chunks = Tokenizer.from_file(path), chunks
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Tokens that begin with a space.
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
@@ -105,26 +120,25 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def learn(self, keys: np.ndarray, chunks: list[str], first: np.ndarray) -> None:
-        """A chunk that is not ``first`` stands for itself with a space before it."""
-        plain = [i for i, (c, f) in enumerate(zip(chunks, first.tolist(), strict=True)) if not f and c.isascii() and c.isalpha()]
-        other = sorted(set(range(len(chunks))).difference(plain))
-        given = [chunks[i] if first[i] else " " + chunks[i] for i in other]
+    def learn(self, keys: np.ndarray, data: bytes, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> None:
+        """Chunks of ``data``; one that is not ``first`` stands for itself with the space before it."""
+        raw, long = np.frombuffer(data, np.uint8), end - start
+        odd = np.add.reduceat(_MAY_SPACE[spread(raw, start, long)], np.cumsum(long) - long) > 0
+        plain, other = np.flatnonzero(~(first | odd)), np.flatnonzero(first | odd)
+        chunks = [data[b:e].decode() for b, e in zip(start[other].tolist(), end[other].tolist(), strict=True)]
+        given = [c if f else " " + c for c, f in zip(chunks, first[other].tolist(), strict=True)]
+        # visible characters with a space before them, some chunks in one text: each begins where a token begins with a space
+        text = spread(raw, start[plain] - 1, long[plain] + 1).tobytes()
+        cuts = [0, *np.cumsum(long[plain] + 1)[JOINED - 1 :: JOINED].tolist(), len(text)]
+        given += [text[a:z].decode() for a, z in zip(cuts, cuts[1:], strict=False) if z > a]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(given, add_special_tokens=False)]
         ids = np.fromiter(chain.from_iterable(found), np.uint32)
-        size = np.zeros(len(chunks), np.int32)
-        size[other] = np.fromiter(map(len, found), np.int32, len(found))
-        if plain:
-            # letters with a space before them, in one text: their ids by where they end
-            text = " ".join(["", *(chunks[i] for i in plain)])
-            made = self.tokenizer.encode(text, add_special_tokens=False)
-            ends = np.fromiter((e for _, e in made.offsets), np.int64)
-            upto = np.cumsum([len(chunks[i]) + 1 for i in plain])
-            size[plain] = np.bincount(np.searchsorted(upto, ends), minlength=len(plain))
-            ids = np.concatenate((ids, np.array(made.ids, np.uint32)))
-        order = np.concatenate((np.array(other, np.int64), np.array(plain, np.int64)))
-        keys, first, size = keys[order], first[order], size[order]
-        chunks = [chunks[i] for i in order.tolist()]
+        size = np.fromiter(map(len, found[: len(other)]), np.int32, len(other))
+        begin = int(size.sum()) + np.flatnonzero(self.spaced[ids[int(size.sum()) :]])
+        order = np.concatenate((other, plain))
+        gap = np.zeros(len(order), bool)
+        gap[: len(other)] = [c[0].isspace() for c in chunks]
+        keys, first, size = keys[order], first[order], np.concatenate((size, np.diff(begin, append=len(ids)).astype(np.int32)))
         n, total = self.known.count, len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
@@ -133,8 +147,7 @@ class Encoder:
             self.size = np.concatenate((self.size, np.zeros_like(self.size)))
         self.flat[self.used : self.used + total] = ids
         self.begin[n : n + len(size)] = self.used + np.cumsum(size) - size
-        gap = np.fromiter((c[0].isspace() for c in chunks), bool, len(size)) & ~first
-        self.size[n : n + len(size)] = np.where(gap, -1, size)
+        self.size[n : n + len(size)] = np.where(gap & ~first, -1, size)
         self.known.add(keys)
         self.used += total
 
@@ -154,9 +167,8 @@ class Encoder:
         if (at < 0).any():
             new, where = np.unique(keys[at < 0], return_index=True)
             where = np.flatnonzero(at < 0)[where]
-            spans = zip(words.start[where].tolist(), words.end[where].tolist(), strict=True)
-            self.learn(new, [words.data[b:e].decode() for b, e in spans], first[where])
-            at = self.known.get(keys)
+            self.learn(new, words.data, words.start[where], words.end[where], first[where])
+            at[at < 0] = self.known.get(keys[at < 0])
         size = self.size[at].astype(np.int64)
         # spaces in a text beyond those between its chunks: it is encoded whole
         length = np.diff(words.bytes_from) - 1

@@ -23,6 +23,7 @@ LANES = 4096
 
 _U = np.uint64
 _ONE_BITS, _TWO_BITS = 9, 11
+_SLOT_MASKS = np.array([[(1 << _ONE_BITS) - 1], [(1 << _TWO_BITS) - 1]])
 _MAGNITUDES = 17
 _SCALE_BITS = 12
 _RENEW = 64
@@ -40,77 +41,91 @@ class Mixer:
     """Predictions, mixture and magnitude frequencies of ``n`` blocks at the same step."""
 
     def __init__(self, n: int):
-        self.lane = np.arange(n)
-        self.lane1, self.lane2, self.lane8 = self.lane << _ONE_BITS, self.lane << _TWO_BITS, self.lane << 3
-        # an id and, in the low three bits, the confidence in it
-        self.tables = [np.zeros(n << _ONE_BITS, np.int32), np.zeros(n << _TWO_BITS, np.int32)]
+        lane = np.arange(n)
+        # both orders side by side, 1 before 2: an id and, in the low three bits, the confidence in it
+        self.table = np.zeros((n << _ONE_BITS) + (n << _TWO_BITS), np.int32)
+        self.slots_from = np.stack((lane << _ONE_BITS, (n << _ONE_BITS) + (lane << _TWO_BITS)))
         # probability of being right, of 2**16, by confidence
-        self.right = [np.tile(_CHANCES, n) for _ in range(2)]
-        self.weight2 = np.full(n, _WEIGHT * 5 // 8, np.int32)
+        self.right = np.tile(_CHANCES, 2 * n)
+        self.cells_from = np.stack((lane, n + lane)) << 3
+        self.weight = np.empty((2, n), np.int32)
+        self.weight[1] = _WEIGHT * 5 // 8
+        np.subtract(_WEIGHT, self.weight[1], out=self.weight[0])
         self.one, self.two = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.count = np.full((n, _MAGNITUDES), 8, np.int32)
+        self.count = np.full((_MAGNITUDES, n), 8, np.int32)
         self.steps = 0
         self.renew()
 
     def keep(self, n: int) -> None:
         """Goes on with the first ``n`` blocks; the others have ended."""
-        self.lane, self.lane1, self.lane2, self.lane8 = (x[:n] for x in (self.lane, self.lane1, self.lane2, self.lane8))
-        self.weight2, self.one, self.two = self.weight2[:n], self.one[:n], self.two[:n]
-        self.count, self.cum = self.count[:n], self.cum[:n]
+        self.slots_from, self.cells_from, self.weight = (x[:, :n] for x in (self.slots_from, self.cells_from, self.weight))
+        self.one, self.two = self.one[:n], self.two[:n]
+        self.count, self.cum = (np.ascontiguousarray(x[:, :n]) for x in (self.count, self.cum))
 
     def renew(self) -> None:
-        """Cumulative frequencies, of 2**_SCALE_BITS, from the counts so far."""
-        total = np.cumsum(self.count, axis=1)
-        share = ((1 << _SCALE_BITS) - _MAGNITUDES) / total[:, -1:]
-        self.cum = np.zeros((len(total), _MAGNITUDES + 1), np.int16)
-        self.cum[:, 1:] = (total * share).astype(np.int16) + np.arange(1, _MAGNITUDES + 1, dtype=np.int16)
-        self.cum[:, -1] = 1 << _SCALE_BITS
-        full = total[:, -1] > 1 << 14
+        """Cumulative frequencies, of 2**_SCALE_BITS, from the counts so far: a row for each magnitude."""
+        total = np.cumsum(self.count, axis=0)
+        share = ((1 << _SCALE_BITS) - _MAGNITUDES) / total[-1]
+        self.cum = np.zeros((_MAGNITUDES + 1, len(share)), np.int16)
+        self.cum[1:] = total * share
+        self.cum[1:] += np.arange(1, _MAGNITUDES + 1, dtype=np.int16)[:, None]
+        self.cum[-1] = 1 << _SCALE_BITS
+        full = total[-1] > 1 << 14
         if full.any():
-            self.count[full] = (self.count[full] >> 1) + 1
+            self.count[:, full] = (self.count[:, full] >> 1) + 1
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The ids of orders 1 and 2, and the upper ends of the intervals of 2 and 1, of 2**16."""
         code = self.one * 40503
-        self.slot1 = ((code >> 4) & ((1 << _ONE_BITS) - 1)) + self.lane1
+        self.slot = np.empty((2, len(code)), np.int64)
+        np.right_shift(code, 4, out=self.slot[0])
         code += self.two * 30011
-        self.slot2 = ((code >> 5) & ((1 << _TWO_BITS) - 1)) + self.lane2
-        self.held1, self.held2 = self.tables[0].take(self.slot1), self.tables[1].take(self.slot2)
-        self.cell1, self.cell2 = (self.held1 & 7) + self.lane8, (self.held2 & 7) + self.lane8
-        self.chance1, self.chance2 = self.right[0].take(self.cell1), self.right[1].take(self.cell2)
-        self.id1, self.id2 = self.held1 >> 3, self.held2 >> 3
-        end1 = ((_WEIGHT - self.weight2) * self.chance1) >> 15
-        end2 = (self.weight2 * self.chance2) >> 15
-        end1 += end2
-        np.minimum(end1, _MOST, out=end1)
-        np.minimum(end2, _MOST, out=end2)
-        return self.id1, self.id2, np.where(self.id1 == self.id2, end1, end2), end1
+        np.right_shift(code, 5, out=self.slot[1])
+        self.slot &= _SLOT_MASKS
+        self.slot += self.slots_from
+        self.held = self.table.take(self.slot)
+        self.cell = (self.held & 7) + self.cells_from
+        self.chance = self.right.take(self.cell)
+        self.ids = self.held >> 3
+        part = (self.weight * self.chance) >> 15
+        end1 = np.minimum(part[0] + part[1], _MOST)
+        end2 = np.minimum(part[1], _MOST)
+        return self.ids[0], self.ids[1], np.where(self.ids[0] == self.ids[1], end1, end2), end1
 
     def update(self, ids: np.ndarray) -> None:
         """Learns the ids that came: ids and confidence in the tables, chances, weights."""
-        new = (ids << 3) + 1
-        hit1, hit2 = self.id1 == ids, self.id2 == ids
-        for table, slot, held, right, cell, chance, hit in (
-            (self.tables[0], self.slot1, self.held1, self.right[0], self.cell1, self.chance1, hit1),
-            (self.tables[1], self.slot2, self.held2, self.right[1], self.cell2, self.chance2, hit2),
-        ):
-            state = cell & 7
-            state += hit.view(np.int8) * np.int8(8)
-            held += _CONFIDENCE.take(state)
-            np.copyto(held, new, where=state == 0)
-            table[slot] = held
-            chance += (_TARGET.take(state) - chance) >> 5
-            right[cell] = chance
-        self.weight2 += (hit2.view(np.int8) - hit1.view(np.int8)) * np.int32(128)
-        np.maximum(self.weight2, 1024, out=self.weight2)
-        np.minimum(self.weight2, _WEIGHT - 1024, out=self.weight2)
+        hit = self.ids == ids
+        state = self.cell & 7
+        state += hit.view(np.int8) * np.int8(8)
+        self.held += _CONFIDENCE.take(state)
+        np.copyto(self.held, (ids << 3) + 1, where=state == 0)
+        self.table[self.slot] = self.held
+        self.chance += (_TARGET.take(state) - self.chance) >> 5
+        self.right[self.cell] = self.chance
+        weight = self.weight[1]
+        weight += (hit[1].view(np.int8) - hit[0].view(np.int8)) * np.int32(128)
+        np.maximum(weight, 1024, out=weight)
+        np.minimum(weight, _WEIGHT - 1024, out=weight)
+        np.subtract(_WEIGHT, weight, out=self.weight[0])
         self.two, self.one = self.one, ids.astype(np.int64)
         self.steps += 1
         if self.steps % _RENEW == 0:
             self.renew()
 
-    def coded(self, rows: np.ndarray, magnitude: np.ndarray) -> None:
-        self.count.reshape(-1)[rows * _MAGNITUDES + magnitude] += 32
+    def magnitude(self, rows: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """The magnitudes in whose shares those of the given blocks lie."""
+        wanted = np.zeros(len(self.one), np.int16)
+        wanted[rows] = share
+        return np.add.reduce((self.cum[1:] <= wanted).view(np.int8), axis=0, dtype=np.int8).take(rows).astype(np.int64)
+
+    def interval(self, rows: np.ndarray, magnitude: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the magnitudes' shares begin, and how large the share of one id is there; counts them."""
+        width, cum = len(self.one), self.cum.reshape(-1)
+        at = magnitude * width + rows
+        self.count.reshape(-1)[at] += 32
+        below = cum.take(at).astype(np.int64)
+        at += width
+        return below, (cum.take(at) - below) << (16 - magnitude)
 
 
 _LOW32 = _U(0xFFFFFFFF)
@@ -151,18 +166,19 @@ class Writer(Coder):
     def __init__(self, n: int, words: int):
         super().__init__(n)
         self.whole = (self.low, self.range)
-        self.out, self.used = np.zeros((n, words), np.uint32), np.zeros(n, np.int64)
+        self.out, self.used = np.zeros(n * words, np.uint32), np.arange(n) * words
+        self.begin = self.used.tolist()
 
     def put(self) -> None:
         full, word = self.settle()
         at = self.used.take(full)
-        self.out[full, at] = word
+        self.out[at] = word
         self.used[full] = at + 1
 
     def finish(self, row: int) -> bytes:
         low = int(self.whole[0][row])
         tail = np.array([low >> 32, low & 0xFFFFFFFF], np.uint32)
-        return np.concatenate((self.out[row, : self.used[row]], tail)).astype("<u4").tobytes()
+        return np.concatenate((self.out[self.begin[row] : self.used[row]], tail)).astype("<u4").tobytes()
 
 
 class Reader(Coder):
@@ -171,11 +187,12 @@ class Reader(Coder):
     def __init__(self, blocks: list[bytes]):
         super().__init__(len(blocks))
         words = [np.frombuffer(b, "<u4") for b in blocks]
-        self.data = np.zeros((len(words), max(map(len, words)) + 2), np.uint32)
+        data = np.zeros((len(words), max(map(len, words)) + 2), np.uint32)
         for i, w in enumerate(words):
-            self.data[i, : len(w)] = w
-        self.used = np.full(len(words), 2)
-        self.code = (self.data[:, 0].astype(_U) << _U(32)) | self.data[:, 1]
+            data[i, : len(w)] = w
+        self.code = (data[:, 0].astype(_U) << _U(32)) | data[:, 1]
+        self.data, begin = data.reshape(-1), np.arange(len(words)) * data.shape[1]
+        self.used, self.last = begin + 2, begin + data.shape[1] - 1
 
     def keep(self, n: int) -> None:
         super().keep(n)
@@ -184,7 +201,7 @@ class Reader(Coder):
     def take(self) -> None:
         full, _ = self.settle()
         at = self.used.take(full)
-        self.code[full] = (self.code.take(full) << _U(32)) | self.data[full, np.minimum(at, self.data.shape[1] - 1)]
+        self.code[full] = (self.code.take(full) << _U(32)) | self.data.take(np.minimum(at, self.last.take(full)))
         self.used[full] = at + 1
 
 
@@ -231,13 +248,9 @@ def _encode(ids: np.ndarray, sizes: list[int], block: int) -> list[bytes]:
         if len(rows):
             y = x.take(rows).astype(np.int64) + 1
             m = _MAGNITUDE.take(y)
-            at = rows * (_MAGNITUDES + 1) + m
-            cum = mixer.cum.reshape(-1)
-            below = cum.take(at).astype(np.int64)
-            part = (cum.take(at + 1) - below) << (16 - m)
+            below, part = mixer.interval(rows, m)
             step = writer.range.take(rows) >> _U(_SCALE_BITS + 16)
             writer.narrow_rows(rows, step, (below << 16) + (y - (1 << m)) * part, part)
-            mixer.coded(rows, m)
         writer.put()
         mixer.update(x)
     return [writer.finish(i) for i in range(n)]
@@ -281,16 +294,12 @@ def _decode(sizes: list[int], codes: list[bytes]) -> np.ndarray:
             step = reader.range.take(rows) >> _U(_SCALE_BITS + 16)
             value = ((reader.code.take(rows) - reader.low.take(rows)) // step).astype(np.int64)
             np.minimum(value, (1 << _SCALE_BITS + 16) - 1, out=value)
-            m = (mixer.cum[rows, 1:] <= (value >> 16).astype(np.int16)[:, None]).sum(axis=1)
-            at = rows * (_MAGNITUDES + 1) + m
-            cum = mixer.cum.reshape(-1)
-            below = cum.take(at).astype(np.int64)
-            part = (cum.take(at + 1) - below) << (16 - m)
+            m = mixer.magnitude(rows, value >> 16)
+            below, part = mixer.interval(rows, m)
             below <<= 16
             rest = ((value - below) / part).astype(np.int64)  # exact: both are below 2**28
             reader.narrow_rows(rows, step, below + rest * part, part)
             x[rows] = rest + (1 << m) - 1
-            mixer.coded(rows, m)
         reader.take()
         mixer.update(x)
         grid[t, :now] = x

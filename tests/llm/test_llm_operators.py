@@ -119,6 +119,37 @@ def test_documents_may_cross_segments(tmp_path, monkeypatch):
         tf.read_table(file)
 
 
+def test_new_chunks_reach_the_library_some_in_one_text(tokenizer):
+    import random
+
+    import pyarrow as pa
+
+    from haulmark.llm.encoding import JOINED
+
+    class Counting:
+        texts = 0
+
+        def encode_batch_fast(self, given, **options):
+            self.texts += len(given)
+            return tokenizer.encode_batch_fast(given, **options)
+
+        def __getattr__(self, name):
+            return getattr(tokenizer, name)
+
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abcdeéüß") for _ in range(rng.randrange(2, 12))) for _ in range(2000)})
+    own = Encoder(PATH)
+    own.tokenizer = Counting()
+    ids, upto = own.encode(pa.array([" ".join(words)]))
+    assert ids.tolist() == tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+    assert own.tokenizer.texts <= len(words) / JOINED + 2
+    odd = [*"abcZ09.,;'\"-!_\n\t\r\x0b\x00\x1c\x7f\u0085\u00a0\u1680\u180e\u2003\u2028\u3000\u200b\u0301¼Ⅷ«–日", *" " * 12, "'s"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    ids, upto = Encoder(PATH).encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[upto[i] : upto[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_units_follow_the_key_and_the_bound():
     import pyarrow as pa
 
