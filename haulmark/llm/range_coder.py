@@ -1,14 +1,14 @@
 """Adaptive context-mixing range coder for sequences of ids.
 
-A sequence is cut into blocks that start from the same state and carry a checksum each.
-Order 2 predicts the id last seen after the two ids before, order 1 the one after the id
-before. Each has an adaptive probability of being right for its confidence; their mixture,
-whose weights adapt too, gives the intervals of right predictions, three quarters at most.
-All other ids fall to order 0: the magnitude of the id, by adaptive frequencies, and its remaining bits. Intervals
-drive a carry-less range coder with 32-bit words.
+A sequence is cut into blocks that are coded side by side: a numpy vector holds one value for
+each block, a step codes one id of every block. The blocks of a group start from the same
+state, share what they learn, are decoded together, and carry a checksum each.
 
-Blocks are coded side by side: a numpy vector holds one value for each block, a step codes
-one id of every block.
+Order 2 predicts the id last seen after the two ids before, order 1 the one after the id
+before. Each has an adaptive probability of being right for its confidence. Their mixture,
+whose weight adapts too, is refined by what came of the same two confidences and gives the
+intervals of right predictions. All other ids fall to order 0: adaptive frequencies of the ids, and of
+their magnitudes for ids that are rare so far. Intervals drive a range coder with 32-bit words and carries.
 """
 
 from __future__ import annotations
@@ -22,192 +22,213 @@ BLOCK = 2048
 LANES = 4096
 
 _U = np.uint64
-_ONE_BITS, _TWO_BITS = 9, 11
-_SLOT_MASKS = np.array([[(1 << _ONE_BITS) - 1], [(1 << _TWO_BITS) - 1]])
-_MAGNITUDES = 17
-_SCALE_BITS = 12
-_RENEW = 64
-_WEIGHT = 1 << 15
-#: Upper end of right predictions, of 2**16: what is left has room for a second interval.
-_MOST = 3 << 14
-_MAGNITUDE = np.array([0, *(x.bit_length() - 1 for x in range(1, 65537))], dtype=np.int64)
+_IDS = 1 << 16
+#: Order 1 has a slot for each id, order 2 slots by a hash.
+_TWO_BITS = 18
+_HASH = _U(0x9E3779B97F4A7C15)
+#: Scales of the predictions' and of order 0's intervals.
+_PART_BITS, _FREQ_BITS = 16, 20
+#: Ids after which intervals and frequencies are renewed at the latest; before, when there are a quarter more.
+_RENEW = 1 << 18
+#: Least interval of a prediction, and upper end of both: what is left has room for a second interval.
+_LEAST, _MOST = 64, 15 << 12
+#: Ids of a magnitude: those whose successors have as many bits.
+_MAGNITUDES = np.array([*(1 << m for m in range(16)), 1])
 # by confidence after a miss and, from 8 on, after a hit
 _CONFIDENCE = np.array([0, *[-1] * 7, *[1] * 7, 0], np.int32)
-_TARGET = np.array([30] * 8 + [65000] * 8, np.int32)
-_CHANCES = np.array([600, 2000, 6000, 12000, 20000, 28000, 36000, 44000], np.int32)
+_CHANCES = np.array([600, 2000, 6000, 12000, 20000, 28000, 36000, 44000]) / 65536
+#: Ids that the predictions, and that the frequencies by magnitude, count for.
+_TRUST, _RARE = 32, 4096
+#: Which prediction is right: order 2, order 1 alone, none.
+_TWO, _ONE, _NONE = range(3)
 
 
-class Mixer:
-    """Predictions, mixture and magnitude frequencies of ``n`` blocks at the same step."""
+class Model:
+    """Predictions, their intervals and order 0's frequencies, shared by ``n`` blocks at the same step."""
 
     def __init__(self, n: int):
-        lane = np.arange(n)
-        # both orders side by side, 1 before 2: an id and, in the low three bits, the confidence in it
-        self.table = np.zeros((n << _ONE_BITS) + (n << _TWO_BITS), np.int32)
-        self.slots_from = np.stack((lane << _ONE_BITS, (n << _ONE_BITS) + (lane << _TWO_BITS)))
-        # probability of being right, of 2**16, by confidence
-        self.right = np.tile(_CHANCES, 2 * n)
-        self.cells_from = np.stack((lane, n + lane)) << 3
-        self.weight = np.empty((2, n), np.int32)
-        self.weight[1] = _WEIGHT * 5 // 8
-        np.subtract(_WEIGHT, self.weight[1], out=self.weight[0])
+        # both orders, 1 before 2: an id and, in the low three bits, the confidence in it
+        self.table = np.zeros(_IDS + (1 << _TWO_BITS), np.int32)
         self.one, self.two = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.count = np.full((_MAGNITUDES, n), 8, np.int32)
-        self.steps = 0
-        self.renew()
+        # by what is right, whether both orders predict the same, and the confidences of 1 and 2
+        self.came = np.zeros((3, 2, 8, 8), np.int64)
+        self.count = np.zeros(_IDS, np.int64)
+        self.outcomes: list[np.ndarray] = []
+        self.coded: list[np.ndarray] = []
+        self.seen = self.new = 0
+        self._intervals()
+        self._frequencies()
 
     def keep(self, n: int) -> None:
         """Goes on with the first ``n`` blocks; the others have ended."""
-        self.slots_from, self.cells_from, self.weight = (x[:, :n] for x in (self.slots_from, self.cells_from, self.weight))
         self.one, self.two = self.one[:n], self.two[:n]
-        self.count, self.cum = (np.ascontiguousarray(x[:, :n]) for x in (self.count, self.cum))
-
-    def renew(self) -> None:
-        """Cumulative frequencies, of 2**_SCALE_BITS, from the counts so far: a row for each magnitude."""
-        total = np.cumsum(self.count, axis=0)
-        share = ((1 << _SCALE_BITS) - _MAGNITUDES) / total[-1]
-        self.cum = np.zeros((_MAGNITUDES + 1, len(share)), np.int16)
-        self.cum[1:] = total * share
-        self.cum[1:] += np.arange(1, _MAGNITUDES + 1, dtype=np.int16)[:, None]
-        self.cum[-1] = 1 << _SCALE_BITS
-        full = total[-1] > 1 << 14
-        if full.any():
-            self.count[:, full] = (self.count[:, full] >> 1) + 1
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The ids of orders 1 and 2, and the upper ends of the intervals of 2 and 1, of 2**16."""
-        code = self.one * 40503
-        self.slot = np.empty((2, len(code)), np.int64)
-        np.right_shift(code, 4, out=self.slot[0])
-        code += self.two * 30011
-        np.right_shift(code, 5, out=self.slot[1])
-        self.slot &= _SLOT_MASKS
-        self.slot += self.slots_from
-        self.held = self.table.take(self.slot)
-        self.cell = (self.held & 7) + self.cells_from
-        self.chance = self.right.take(self.cell)
-        self.ids = self.held >> 3
-        part = (self.weight * self.chance) >> 15
-        end1 = np.minimum(part[0] + part[1], _MOST)
-        end2 = np.minimum(part[1], _MOST)
-        return self.ids[0], self.ids[1], np.where(self.ids[0] == self.ids[1], end1, end2), end1
-
-    def update(self, ids: np.ndarray) -> None:
-        """Learns the ids that came: ids and confidence in the tables, chances, weights."""
-        hit = self.ids == ids
-        state = self.cell & 7
-        state += hit.view(np.int8) * np.int8(8)
-        self.held += _CONFIDENCE.take(state)
-        np.copyto(self.held, (ids << 3) + 1, where=state == 0)
-        self.table[self.slot] = self.held
-        self.chance += (_TARGET.take(state) - self.chance) >> 5
-        self.right[self.cell] = self.chance
-        weight = self.weight[1]
-        weight += (hit[1].view(np.int8) - hit[0].view(np.int8)) * np.int32(128)
-        np.maximum(weight, 1024, out=weight)
-        np.minimum(weight, _WEIGHT - 1024, out=weight)
-        np.subtract(_WEIGHT, weight, out=self.weight[0])
+
+    def _intervals(self) -> None:
+        """Begin and size of each outcome's interval, of 2**_PART_BITS, from the outcomes so far."""
+        came = self.came
+        seen, right1, right2 = came.sum(axis=(0, 1)), came[_ONE].sum(axis=0) + came[_TWO, 1], came[_TWO].sum(axis=0)
+        one = (right1.sum(axis=1) + _TRUST * _CHANCES) / (seen.sum(axis=1) + _TRUST)
+        two = (right2.sum(axis=0) + _TRUST * _CHANCES) / (seen.sum(axis=0) + _TRUST)
+        apart1, apart2 = int(came[_ONE, 0].sum()), int(came[_TWO, 0].sum())
+        weight = (apart2 + 5) / (apart1 + apart2 + 8)
+        mixed1, mixed2 = (1 - weight) * one[:, None], weight * two[None, :]
+        share = (1 << _PART_BITS) / (came.sum(axis=0) + _TRUST)
+        size1 = (came[_ONE, 0] + _TRUST * mixed1) * share[0]
+        size2 = (came[_TWO] + _TRUST * np.stack((np.broadcast_to(mixed2, (8, 8)), mixed1 + mixed2))) * share
+        end2 = np.clip(size2.astype(np.int64), _LEAST, _MOST - _LEAST)
+        end1 = end2.copy()
+        end1[0] = np.clip(end2[0] + np.maximum(size1.astype(np.int64), _LEAST), None, _MOST)
+        end1[0] = np.maximum(end1[0], end2[0] + _LEAST)
+        edges = np.stack((np.zeros_like(end2), end2, end1, np.full_like(end2, 1 << _PART_BITS))).reshape(4, -1).astype(_U)
+        self.end2, self.end1 = edges[1], edges[2]
+        self.begin, self.size = edges[:3].reshape(-1), (edges[1:] - edges[:3]).reshape(-1)
+
+    def _frequencies(self) -> None:
+        """Begin and size of each id's interval, of 2**_FREQ_BITS; a last one is the whole."""
+        total = int(self.count.sum())
+        by = np.add.reduceat(self.count, np.cumsum(_MAGNITUDES) - _MAGNITUDES)
+        rare = _RARE * ((by + 1) / (total + len(by)) / _MAGNITUDES)
+        share = np.repeat(rare, _MAGNITUDES)
+        share += self.count
+        share *= ((1 << _FREQ_BITS) - _IDS) / (total + _RARE)
+        size = share.astype(np.int64)
+        size += 1
+        size[np.argmax(size)] += (1 << _FREQ_BITS) - int(size.sum())
+        self.id_size = size
+        # begin and size in one number
+        self.spans = np.append((np.cumsum(size) - size) << 32 | size, 1 << _FREQ_BITS).view(_U)
+
+    def predict(self) -> np.ndarray:
+        """Finds the ids of orders 1 and 2; whether they are the same, and both confidences."""
+        n = len(self.one)
+        self.slot = np.empty(2 * n, np.int64)
+        self.slot[:n] = self.one
+        code = ((self.two << 16) | self.one).view(_U)
+        code *= _HASH
+        code >>= _U(64 - _TWO_BITS)
+        np.add(code.view(np.int64), _IDS, out=self.slot[n:])
+        self.held = self.table.take(self.slot).reshape(2, n)
+        self.sure, self.guess = self.held & 7, self.held >> 3
+        place = (self.guess[0] == self.guess[1]).astype(np.int64) << 6
+        place |= self.sure[0] << 3
+        place |= self.sure[1]
+        return place
+
+    def update(self, ids: np.ndarray, outcome: np.ndarray, coded: np.ndarray) -> None:
+        """Learns the ids that came, and those coded by order 0. Of blocks in the same slot the last one stays."""
+        state = self.sure | ((self.guess == ids).astype(np.int32) << 3)
+        # where the confidence is gone the id gives way
+        fresh = (ids << 3 | 1) - self.held
+        fresh *= state == 0
+        fresh += _CONFIDENCE.take(state)
+        fresh += self.held
+        self.table[self.slot] = fresh.reshape(-1)
         self.two, self.one = self.one, ids.astype(np.int64)
-        self.steps += 1
-        if self.steps % _RENEW == 0:
-            self.renew()
-
-    def magnitude(self, rows: np.ndarray, share: np.ndarray) -> np.ndarray:
-        """The magnitudes in whose shares those of the given blocks lie."""
-        wanted = np.zeros(len(self.one), np.int16)
-        wanted[rows] = share
-        return np.add.reduce((self.cum[1:] <= wanted).view(np.int8), axis=0, dtype=np.int8).take(rows).astype(np.int64)
-
-    def interval(self, rows: np.ndarray, magnitude: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the magnitudes' shares begin, and how large the share of one id is there; counts them."""
-        width, cum = len(self.one), self.cum.reshape(-1)
-        at = magnitude * width + rows
-        self.count.reshape(-1)[at] += 32
-        below = cum.take(at).astype(np.int64)
-        at += width
-        return below, (cum.take(at) - below) << (16 - magnitude)
+        self.outcomes.append(outcome)
+        self.coded.append(coded)
+        self.new += len(ids)
+        if self.new >= min(_RENEW, self.seen // 4):
+            self.seen, self.new = self.seen + self.new, 0
+            self.came += np.bincount(np.concatenate(self.outcomes), minlength=self.came.size).reshape(self.came.shape)
+            self.count += np.bincount(np.concatenate(self.coded), minlength=_IDS + 1)[:_IDS]
+            self.outcomes, self.coded = [], []
+            self._intervals()
+            self._frequencies()
 
 
 _LOW32 = _U(0xFFFFFFFF)
+_WORD, _PART, _FREQ = _U(32), _U(_PART_BITS), _U(_FREQ_BITS)
 
 
-class Coder:
-    """The intervals of ``n`` blocks, kept alike by the writer and the reader."""
-
-    def __init__(self, n: int):
-        self.low, self.range = np.zeros(n, _U), np.full(n, 0xFFFFFFFFFFFFFFFF, _U)
-
-    def narrow(self, step: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        """All blocks go to an interval in units of ``step``."""
-        self.low += start.astype(_U) * step
-        np.multiply(size.astype(_U), step, out=self.range)
-
-    def narrow_rows(self, rows: np.ndarray, step: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        self.low[rows] += start.astype(_U) * step
-        self.range[rows] = size.astype(_U) * step
-
-    def settle(self) -> tuple[np.ndarray, np.ndarray]:
-        """The blocks whose upper word is fixed, or whose range is too small, and that word."""
-        settled = (self.low ^ (self.low + self.range)) <= _LOW32
-        full = np.flatnonzero(settled | (self.range <= _LOW32))
-        part = self.low.take(full)
-        left = np.where(settled.take(full), self.range.take(full), (~part + _U(1)) & _LOW32)
-        self.range[full] = left << _U(32)
-        self.low[full] = part << _U(32)
-        return full, part >> _U(32)
-
-    def keep(self, n: int) -> None:
-        self.low, self.range = self.low[:n], self.range[:n]
-
-
-class Writer(Coder):
+class Writer:
     """Range encoders of ``n`` blocks."""
 
     def __init__(self, n: int, words: int):
-        super().__init__(n)
-        self.whole = (self.low, self.range)
+        self.low, self.range = np.zeros(n, _U), np.full(n, 0xFFFFFFFFFFFFFFFF, _U)
+        self.whole = self.low
         self.out, self.used = np.zeros(n * words, np.uint32), np.arange(n) * words
         self.begin = self.used.tolist()
 
-    def put(self) -> None:
-        full, word = self.settle()
-        at = self.used.take(full)
-        self.out[at] = word
+    def put(self, model: Model, outcome: np.ndarray, ids: np.ndarray) -> None:
+        """Narrows all blocks to their outcome and then to their id, which may be the whole."""
+        step = self.range >> _PART
+        add = model.begin.take(outcome) * step
+        step *= model.size.take(outcome)
+        step >>= _FREQ
+        span = model.spans.take(ids)
+        add += (span >> _WORD) * step
+        span &= _LOW32
+        np.multiply(span, step, out=self.range)
+        self.low += add
+        carry = np.flatnonzero(self.low < add)
+        at = self.used.take(carry)
+        while len(at):
+            at -= 1
+            self.out[at] += np.uint32(1)
+            at = at[self.out.take(at) == 0]
+        full = np.flatnonzero(self.range <= _LOW32)
+        low, at = self.low.take(full), self.used.take(full)
+        self.out[at] = low >> _WORD
+        self.low[full] = low << _WORD
+        self.range[full] = self.range.take(full) << _WORD
         self.used[full] = at + 1
 
+    def keep(self, n: int) -> None:
+        self.low, self.range = self.low[:n], self.range[:n]
+
     def finish(self, row: int) -> bytes:
-        low = int(self.whole[0][row])
+        low = int(self.whole[row])
         tail = np.array([low >> 32, low & 0xFFFFFFFF], np.uint32)
         return np.concatenate((self.out[self.begin[row] : self.used[row]], tail)).astype("<u4").tobytes()
 
 
-class Reader(Coder):
+class Reader:
     """Range decoders of several blocks."""
 
     def __init__(self, blocks: list[bytes]):
-        super().__init__(len(blocks))
         words = [np.frombuffer(b, "<u4") for b in blocks]
         data = np.zeros((len(words), max(map(len, words)) + 2), np.uint32)
         for i, w in enumerate(words):
             data[i, : len(w)] = w
-        self.code = (data[:, 0].astype(_U) << _U(32)) | data[:, 1]
+        self.range = np.full(len(words), 0xFFFFFFFFFFFFFFFF, _U)
+        # how far the code is above the lower end
+        self.above = (data[:, 0].astype(_U) << _WORD) | data[:, 1]
         self.data, begin = data.reshape(-1), np.arange(len(words)) * data.shape[1]
         self.used, self.last = begin + 2, begin + data.shape[1] - 1
 
-    def keep(self, n: int) -> None:
-        super().keep(n)
-        self.code = self.code[:n]
-
-    def take(self) -> None:
-        full, _ = self.settle()
+    def outcome(self, model: Model, place: np.ndarray) -> np.ndarray:
+        step = self.range >> _PART
+        missed2 = self.above >= model.end2.take(place) * step
+        missed1 = self.above >= model.end1.take(place) * step
+        outcome = place + ((missed2.view(np.int8) + missed1.view(np.int8)).astype(np.int64) << 7)
+        self.above -= model.begin.take(outcome) * step
+        step *= model.size.take(outcome)
+        self.range = step >> _FREQ
+        return outcome
+
+    def share(self) -> np.ndarray:
+        """Where the code lies, of 2**_FREQ_BITS; that of damaged blocks may lie outside."""
+        return (self.above // self.range).view(np.int64)
+
+    def take(self, model: Model, ids: np.ndarray) -> None:
+        span = model.spans.take(ids)
+        self.above -= (span >> _WORD) * self.range
+        span &= _LOW32
+        self.range *= span
+        full = np.flatnonzero(self.range <= _LOW32)
         at = self.used.take(full)
-        self.code[full] = (self.code.take(full) << _U(32)) | self.data.take(np.minimum(at, self.last.take(full)))
+        word = self.data.take(np.minimum(at, self.last.take(full)))
+        self.above[full] = (self.above.take(full) << _WORD) | word
+        self.range[full] = self.range.take(full) << _WORD
         self.used[full] = at + 1
 
+    def keep(self, n: int) -> None:
+        self.above, self.range = self.above[:n], self.range[:n]
+
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> list[tuple[int, int, bytes]]:
     """Number of ids, CRC-32 of the ids (little-endian, 32 bits) and code of each block."""
-    if len(ids) and ids.max() > 0xFFFF:
+    if len(ids) and ids.max() >= _IDS:
         raise ValueError("ids must fit in 16 bits")
     sizes = [min(block, len(ids) - b) for b in range(0, len(ids), block)]
     out = []
@@ -226,42 +247,41 @@ def checksums(ids: np.ndarray, sizes: list[int]) -> list[int]:
 
 def _encode(ids: np.ndarray, sizes: list[int], block: int) -> list[bytes]:
     n = len(sizes)
-    grid = np.zeros((n, max(sizes)), np.int32)
-    for i, size in enumerate(sizes):
-        grid[i, :size] = ids[i * block : i * block + size]
-    grid = np.ascontiguousarray(grid.T)
-    mixer, writer = Mixer(n), Writer(n, max(sizes) * 2 + 4)
+    grid = turned(np.append(ids, np.zeros(n * max(sizes) - len(ids), ids.dtype)).reshape(n, -1).astype(np.int32))
+    model, writer = Model(n), Writer(n, max(sizes) + 4)
     for t, x in enumerate(grid):
         now = n if t < sizes[-1] else n - 1  # only the last block is shorter
-        if now != len(mixer.one):
+        if now != len(model.one):
             if not now:
                 break
-            mixer.keep(now)
+            model.keep(now)
             writer.keep(now)
         x = x[:now]
-        i1, i2, a, b = mixer.predict()
-        hit2 = (i2 == x) & (a > 0)
-        hit = hit2 | ((i1 == x) & (b > a))
-        start = np.where(hit, np.where(hit2, 0, a), b)
-        writer.narrow(writer.range >> _U(16), start, np.where(hit, np.where(hit2, a, b), 65536) - start)
-        rows = np.flatnonzero(~hit)
-        if len(rows):
-            y = x.take(rows).astype(np.int64) + 1
-            m = _MAGNITUDE.take(y)
-            below, part = mixer.interval(rows, m)
-            step = writer.range.take(rows) >> _U(_SCALE_BITS + 16)
-            writer.narrow_rows(rows, step, (below << 16) + (y - (1 << m)) * part, part)
-        writer.put()
-        mixer.update(x)
+        place = model.predict()
+        missed = model.guess != x
+        none = missed[0] & missed[1]
+        outcome = place + ((missed[1].view(np.int8) + none.view(np.int8)).astype(np.int64) << 7)
+        coded = np.where(none, x, np.int32(_IDS))
+        writer.put(model, outcome, coded)
+        model.update(x, outcome, coded)
     return [writer.finish(i) for i in range(n)]
 
 
+def turned(grid: np.ndarray) -> np.ndarray:
+    """Columns as rows, a few at a time: strides as long as a block's would miss the cache."""
+    out = np.empty(grid.shape[::-1], grid.dtype)
+    for a in range(0, len(grid), 64):
+        for b in range(0, len(out), 64):
+            out[b : b + 64, a : a + 64] = grid[a : a + 64, b : b + 64].T
+    return out
+
+
 class BadBlock(ValueError):
     """A block whose ids do not have its checksum."""
 
 
 def decode(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
-    """The ids of the blocks, one after another. All but the last must be of one size."""
+    """The ids of the blocks, one after another: all that ``encode`` returned."""
     out = []
     for b in range(0, len(blocks), LANES):
         group = blocks[b : b + LANES]
@@ -275,33 +295,24 @@ def decode(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
 
 def _decode(sizes: list[int], codes: list[bytes]) -> np.ndarray:
     n = len(sizes)
-    grid = np.zeros((max(sizes), n), np.int32)
-    mixer, reader = Mixer(n), Reader(codes)
+    grid, lanes = np.zeros((max(sizes), n), np.int32), np.arange(n)
+    model, reader = Model(n), Reader(codes)
     for t in range(max(sizes)):
         now = n if t < sizes[-1] else n - 1
-        if now != len(mixer.one):
-            mixer.keep(now)
+        if now != len(model.one):
+            model.keep(now)
             reader.keep(now)
-        i1, i2, a, b = mixer.predict()
-        step = reader.range >> _U(16)
-        value = reader.code - reader.low
-        hit2, hit = value < a.astype(_U) * step, value < b.astype(_U) * step
-        start = np.where(hit, np.where(hit2, 0, a), b)
-        reader.narrow(step, start, np.where(hit, np.where(hit2, a, b), 65536) - start)
-        x = np.where(hit2, i2, i1)
-        rows = np.flatnonzero(~hit)
-        if len(rows):
-            step = reader.range.take(rows) >> _U(_SCALE_BITS + 16)
-            value = ((reader.code.take(rows) - reader.low.take(rows)) // step).astype(np.int64)
-            np.minimum(value, (1 << _SCALE_BITS + 16) - 1, out=value)
-            m = mixer.magnitude(rows, value >> 16)
-            below, part = mixer.interval(rows, m)
-            below <<= 16
-            rest = ((value - below) / part).astype(np.int64)  # exact: both are below 2**28
-            reader.narrow_rows(rows, step, below + rest * part, part)
-            x[rows] = rest + (1 << m) - 1
-        reader.take()
-        mixer.update(x)
+        if not model.outcomes:  # the frequencies are new
+            by_share = np.repeat(np.arange(_IDS, dtype=np.uint16), model.id_size)
+        place = model.predict()
+        outcome = reader.outcome(model, place)
+        ids = by_share.take(reader.share(), mode="clip").astype(np.int32)
+        right = outcome >> 7
+        coded = np.where(right == _NONE, ids, np.int32(_IDS))
+        reader.take(model, coded)
+        right *= now
+        right += lanes[:now]
+        x = np.concatenate((model.guess[1], model.guess[0], ids)).take(right)
+        model.update(x, outcome, coded)
         grid[t, :now] = x
-    flat = np.ascontiguousarray(grid.T)
-    return np.concatenate([flat[i, :size] for i, size in enumerate(sizes)]).astype(np.uint32)
+    return turned(grid).reshape(-1)[: sum(sizes)].astype(np.uint32)

@@ -26,7 +26,7 @@ from haulmark.llm import range_coder
 from haulmark.llm.common import arrow_schema, keep, new_folder, record, slices, texts
 from haulmark.llm.encoding import encoder
 
-MAGIC = b"HMTOK01\n"
+MAGIC = b"HMTOK02\n"
 SEGMENT_IDS = range_coder.BLOCK * range_coder.LANES
 
 MANIFEST = "part int, path string, docs long, ids long"

@@ -180,6 +180,35 @@ def test_range_coder_learns_and_notices_damage():
         range_coder.encode(np.array([65536], np.uint32))
 
 
+def test_range_coder_blocks_learn_frequencies_and_contexts_together():
+    rng = np.random.default_rng(5)
+    share = 1 / np.arange(1, 20_001)
+    share /= share.sum()
+    ids = rng.permutation(50_000)[rng.choice(20_000, 300_000, p=share)].astype(np.uint32)
+    blocks = range_coder.encode(ids)
+    assert (range_coder.decode(blocks) == ids).all()
+    entropy = -(share * np.log2(share)).sum()
+    assert sum(len(b[2]) for b in blocks) * 8 < (entropy + 1) * len(ids)
+    # what a block alone is too short to learn: pairs that come once in each
+    pairs = rng.integers(0, 50_000, 1024).astype(np.uint32)
+    ids = np.concatenate([p for _ in range(100) for p in np.stack((pairs, pairs ^ 1), axis=1)[rng.permutation(1024)]])
+    blocks = range_coder.encode(ids)
+    assert (range_coder.decode(blocks) == ids).all()
+    assert sum(len(b[2]) for b in blocks) * 8 < 8 * len(ids)
+
+
+def test_range_coder_carries_and_notices_damage_anywhere():
+    rng = np.random.default_rng(6)
+    ids = np.where(rng.random(20_000) < 0.7, 65535, rng.integers(0, 65536, 20_000)).astype(np.uint32)
+    blocks = range_coder.encode(ids, 512)
+    assert (range_coder.decode(blocks) == ids).all()
+    for at in range(0, len(blocks), 7):
+        size, crc, code = blocks[at]
+        for bad in (code[:-12], code[:3] + bytes([code[3] ^ 128]) + code[4:], b"\xff" * len(code)):
+            with pytest.raises(range_coder.BadBlock):
+                range_coder.decode([*blocks[:at], (size, crc, bad), *blocks[at + 1 :]])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=" \n\t\x0b\x1c 　abé'.!1s", max_size=30), max_size=4))
 def test_chunked_encoding_equals_the_library(texts):
