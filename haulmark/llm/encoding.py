@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 from haulmark.llm.common import SPACED, Words
 
-#: Chunks a worker keeps at most (about 50 MB); then it begins anew.
+#: Chunks a worker keeps at most (about 50 MB); then those that came once leave.
 CHUNKS = 700_000
 
 #: Classes of bytes: 1 for ASCII letters; 2 and 3 for other ASCII but the space, 3 where letters after it may belong to it.
@@ -116,6 +116,36 @@ class Encoder:
         self.known = Lookup()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.size = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        # of a chunk: its key, and whether it came again in later texts; one place at the end is of no chunk
+        self.keys, self.again = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, bool)
+
+    def thin(self) -> None:
+        """Goes on with the chunks that came again, or begins anew if these are most."""
+        kept = np.flatnonzero(self.again[: self.known.count])
+        if 2 * len(kept) > self.chunks:
+            kept = kept[:0]
+        keys, size = self.keys[kept], self.size[kept]
+        long = np.maximum(size, 0)
+        ids = spread(self.flat, self.begin[kept], long)
+        self.clear()
+        self.hold(keys, ids, long, size)
+
+    def hold(self, keys: np.ndarray, ids: np.ndarray, long: np.ndarray, size: np.ndarray) -> None:
+        """Chunks with ``long`` of the ids each, and the size to be known of them."""
+        n, total = self.known.count, len(ids)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while n + len(size) >= len(self.begin):
+            self.begin, self.size, self.keys, self.again = (
+                np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.size, self.keys, self.again)
+            )
+        self.again[n:] = False
+        self.flat[self.used : self.used + total] = ids
+        self.begin[n : n + len(size)] = self.used + np.cumsum(long) - long
+        self.size[n : n + len(size)] = size
+        self.keys[n : n + len(size)] = keys
+        self.known.add(keys)
+        self.used += total
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
@@ -139,22 +169,12 @@ class Encoder:
         gap = np.zeros(len(order), bool)
         gap[: len(other)] = [c[0].isspace() for c in chunks]
         keys, first, size = keys[order], first[order], np.concatenate((size, np.diff(begin, append=len(ids)).astype(np.int32)))
-        n, total = self.known.count, len(ids)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while n + len(size) > len(self.begin):
-            self.begin = np.concatenate((self.begin, np.zeros_like(self.begin)))
-            self.size = np.concatenate((self.size, np.zeros_like(self.size)))
-        self.flat[self.used : self.used + total] = ids
-        self.begin[n : n + len(size)] = self.used + np.cumsum(size) - size
-        self.size[n : n + len(size)] = np.where(gap & ~first, -1, size)
-        self.known.add(keys)
-        self.used += total
+        self.hold(keys, ids, size, np.where(gap & ~first, -1, size))
 
     def encode(self, texts: pa.Array, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each closed by ``last``, and where each begins."""
         if self.known.count > self.chunks:
-            self.clear()
+            self.thin()
         n = len(texts)
         words = Words(texts, SPACED, letter_edges)
         # the first chunk of a text, and one cut off from the chunk before, has no space before it
@@ -164,6 +184,7 @@ class Encoder:
         first[words.docs[:-1][words.counts > 0]] = True
         keys = np.where(first, words.hash ^ _FIRST, words.hash) | np.uint64(1 << 63)
         at = self.known.get(keys)
+        self.again[at] = True  # -1: the place of no chunk
         if (at < 0).any():
             new, where = np.unique(keys[at < 0], return_index=True)
             where = np.flatnonzero(at < 0)[where]

@@ -150,6 +150,34 @@ def test_new_chunks_reach_the_library_some_in_one_text(tokenizer):
         assert ids[upto[i] : upto[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_chunks_that_came_again_stay_known(tokenizer):
+    import pyarrow as pa
+
+    class Counting:
+        given = ()
+
+        def encode_batch_fast(self, given, **options):
+            self.given += tuple(given)
+            return tokenizer.encode_batch_fast(given, **options)
+
+        def __getattr__(self, name):
+            return getattr(tokenizer, name)
+
+    own = Encoder(PATH, chunks=200)
+    own.tokenizer = counting = Counting()
+    often, odd = "the cat's new-found house, naïve 日本 words 12", "some\u2003gap \u2003here"
+    most = 0
+    for turn in range(1, 7):
+        counting.given = ()
+        ids, _ = own.encode(pa.array([often, odd]))
+        assert ids.tolist() == [*own.whole(often).tolist(), *own.whole(odd).tolist()]
+        assert bool(counting.given) == (turn == 1)
+        new = " ".join("".join(chr(97 + int(c)) for c in str(10_000 * turn + i)) for i in range(150))
+        assert own.encode(pa.array([new]))[0].tolist() == tokenizer.encode(new, add_special_tokens=False).ids
+        most = max(most, own.known.count)
+    assert 200 < most < 400
+
+
 def test_units_follow_the_key_and_the_bound():
     import pyarrow as pa
 
